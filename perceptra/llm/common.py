@@ -40,22 +40,20 @@ def batches_of(spark: SparkSession, rows: int, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def spread(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], salt_on: list[str]) -> DataFrame:
-    """Adds aggregates over each group of keys to the group's rows, without gathering a group in one task.
+def spread(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], salt_on: list[str], having: str = "true") -> DataFrame:
+    """Adds aggregates over each group of keys to the group's rows, without gathering a group in one task; having drops groups.
 
-    aggs maps a new column to (min, max, sum or count; its argument). The rows of a key are dealt by a
-    hash of salt_on to SALTS tasks: aggregated there, the few partial rows are combined by key, and the
-    result returns to each salt that occurs. keys must not be null. df is read twice, so pass a table
-    that is cheap to read again.
+    aggs maps a new column to (min, max, sum or count; its argument). Partial aggregation leaves few rows of a
+    key to shuffle. The result returns once for each salt, a hash of salt_on, that the group's rows have, and the rows meet it by key and
+    salt, so a key's rows lie in up to SALTS tasks. keys must not be null. df is read twice, so pass a table that is cheap
+    to read again.
     """
     fn = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)))
-    part = salted.groupBy(*keys, "_salt").agg(*[fn[f](c).alias(n) for n, (f, c) in aggs.items()])
-    whole = part.groupBy(*keys).agg(
-        *[fn["sum" if f == "count" else f](n).alias(n) for n, (f, _) in aggs.items()], F.collect_set("_salt").alias("_salt")
-    )
-    back = whole.withColumn("_salt", F.explode("_salt"))
-    return salted.join(back, [*keys, "_salt"]).drop("_salt")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int"))
+    salts = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_salt"))).alias("_salts")
+    whole = salted.groupBy(*keys).agg(*[fn[f](c).alias(n) for n, (f, c) in aggs.items()], salts).where(having)
+    each = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("_salts", s) == 1)
+    return salted.join(whole.withColumn("_salt", F.explode(each)).drop("_salts"), [*keys, "_salt"]).drop("_salt")
 
 
 def bit_table(keys: DataFrame, key: Column, bits: int) -> DataFrame:
