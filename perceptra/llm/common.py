@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,28 @@ def with_bit(df: DataFrame, bits_table: DataFrame, key: Column, bits: int, name:
     marked = df.withColumn("_slot", slot).withColumn("word", F.shiftright("_slot", 6))
     hit = F.coalesce(F.getbit(F.col("mask"), (F.col("_slot") % 64).cast("int")) == 1, F.lit(False))
     return marked.join(F.broadcast(bits_table), "word", "left").withColumn(name, hit).drop("word", "_slot", "mask")
+
+
+def by_group(rows: DataFrame, judge: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
+    """Applies judge to the rows of each group (_group, the first column), streaming through sorted partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(0).to_numpy()
+            edges = np.flatnonzero(group[1:] != group[:-1]) + 1
+            if held and group[0] != held[-1].column(0)[-1].as_py():
+                edges = np.insert(edges, 0, 0)
+            begin = 0
+            for edge in edges.tolist():
+                held.append(batch.slice(begin, edge - begin))
+                yield from judge(pa.Table.from_batches(held))
+                held, begin = [], edge
+            held.append(batch.slice(begin))
+        if held:
+            yield from judge(pa.Table.from_batches(held))
+
+    dealt = rows.repartition(parts, "_group") if parts else rows.repartition("_group")
+    return dealt.sortWithinPartitions("_group").mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of
+from .text_arrays import MIX, windows, word_begins, word_hashes
 
 #: Base rules: fewer words fail, as does a larger percentage of words in repeated windows of WINDOW words.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
@@ -33,20 +34,6 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASS = _byte_classes()
-MIX = np.uint64(0x9E3779B97F4A7C15)
-_powers = [np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> np.ndarray:
-    if len(_powers[0]) < n:
-        _powers[0] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * n, 0x5851F42D4C957F2D, np.uint64)), dtype=np.uint64)
-    return _powers[0]
-
-
-def _scrambled(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * MIX
-    return h ^ (h >> np.uint64(29))
-
 
 def _repeated(h: np.ndarray) -> np.ndarray:
     """Which values occur twice or more."""
@@ -82,20 +69,13 @@ def measure(text: str | None) -> Measured:
     n_lines = int(line[-1]) + 1
     counts = np.bincount(line * 9 + kind, minlength=9 * n_lines).reshape(n_lines, 9).astype(np.float64)
     solid = kind != BLANK
-    begins = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    begins = word_begins(solid)
     n = len(begins)
     line_words = np.bincount(line[begins], minlength=n_lines)
-    word_hash, covered = np.empty(0, np.uint64), np.zeros(n, bool)
-    if n:
-        at = np.zeros(len(data), np.int64)
-        at[begins[0] :] = np.arange(begins[0], len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
-        value = np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * _power(int(at[solid].max()) + 1)[np.where(solid, at, 0)], np.uint64(0))
-        word_hash = _scrambled(np.add.reduceat(value, begins))
+    word_hash = word_hashes(data, solid, begins) if n else np.empty(0, np.uint64)
+    covered = np.zeros(n, bool)
     if n > WINDOW:
-        h, size = word_hash, 1
-        while size < WINDOW:
-            h, size = _scrambled(h[:-size] * np.uint64(3) + h[size:]), 2 * size
-        at = np.flatnonzero(_repeated(h))
+        at = np.flatnonzero(_repeated(windows(word_hash, WINDOW)))
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + WINDOW, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, sharding, token_counts, url_filters, warc
+from . import exact_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, token_counts, url_filters, warc
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "host", "path", "rule", "verdict")
@@ -43,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mixing, op4_packing, op5_sharding, op8_url_filters, op9_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mixing, op4_packing, op5_sharding, op6_minhash, op7_suffix_dedup, op8_url_filters, op9_exact_dedup, op10_quality)}
 
 OP3_SQL = r"""
 WITH sizes AS (
