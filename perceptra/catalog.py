@@ -1,4 +1,6 @@
 """The registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import grids  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
