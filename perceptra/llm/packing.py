@@ -6,7 +6,8 @@ import base64
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,24 +16,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
 from .common import batches_of, materialize
 
 WINDOW, END = 2048, 1
-#: Tokens of the documents that share an index.
-SHARD_TOKENS = 4_000_000
+#: Tokens, and documents, that share an index at most.
+SHARD_TOKENS, SHARD_DOCS = 4_000_000, 4096
 K1, B = 1.2, 0.75
 
-_tables: dict = {}
+_encoders: dict = {}
 
 
-def encoder(vocabulary: str) -> ChunkTable:
-    """Text parts to the bytes of their ids as unsigned 16-bit numbers; one for each worker process.
+def encoder(vocabulary: str) -> Callable[[str | None], bytes]:
+    """Text to the bytes of its ids as unsigned 16-bit numbers; one for each worker process.
 
     The ids are those of the tokenizers library with the vocabulary's .json. Its rank file, where there is one, gives
-    the same ids several times faster for parts without an added token's string; the tests hold one against the other.
+    the same ids several times faster for texts without an added token's string; the tests hold one against the other.
     """
-    if vocabulary not in _tables:
+    if vocabulary not in _encoders:
         import tokenizers
 
         path = public_tokenizers.path(vocabulary)
@@ -43,16 +43,14 @@ def encoder(vocabulary: str) -> ChunkTable:
         ranks = path.removesuffix(".json") + ".tiktoken"
         plain = _rank_encoding(ranks).encode_ordinary if os.path.exists(ranks) else None
 
-        def encode(part: str) -> list[int]:
-            if plain is None or any(map(part.__contains__, added)):
-                return tokenizer.encode(part, add_special_tokens=False).ids
-            return plain(part)
+        def encode(text: str | None) -> bytes:
+            text = text or ""
+            if plain is None or any(map(text.__contains__, added)):
+                return array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("H", plain(text)).tobytes()
 
-        def resolve(parts: list[str]) -> list[bytes]:
-            return [array("H", encode(part)).tobytes() for part in parts]
-
-        _tables[vocabulary] = ChunkTable(resolve)
-    return _tables[vocabulary]
+        _encoders[vocabulary] = encode
+    return _encoders[vocabulary]
 
 
 def _rank_encoding(path: str):
@@ -68,9 +66,9 @@ def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str) -> D
     batches_of(docs.sparkSession, 2000, 4)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = encoder(vocabulary), np.array([END], "<u2").tobytes()
+        encode_text, end = encoder(vocabulary), array("H", [END]).tobytes()
         for batch in batches:
-            ids = [b"".join((head, *rest, end)) for head, rest in table.values(batch.column(1).to_pylist())]
+            ids = [encode_text(t) + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -107,26 +105,45 @@ def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 class Index:
-    """BM25 inverted index of one shard's documents, with the idf and mean length of the whole corpus."""
+    """BM25 inverted index of one shard's documents, with the idf and mean length of the whole corpus.
+
+    Terms in more than a sixteenth of the documents have no postings: their part of the scores of all pairs is one
+    matrix product, of weights by presence. The others' postings are added up for each query.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         doc, term, tf = _terms(ids)
         size = np.fromiter(map(len, ids), np.float64, len(ids))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        here = np.bincount(term, minlength=1 << 16)
+        often = here > max(16, len(ids) // 16)
+        column = np.cumsum(often) - 1
+        dense = often[term]
+        common = np.zeros((int(often.sum()), len(ids)), np.float32)
+        common[column[term[dense]], doc[dense]] = weight[dense]
+        self.common = (common > 0).astype(np.float32).T @ common
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         self.term, self.first = term, np.searchsorted(doc, np.arange(len(ids) + 1))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
-    def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents, the best match for the seed's terms first; those without a common term last."""
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents, the best match for the seed's terms first; of equals the first."""
         terms = self.term[self.first[seed] : self.first[seed + 1]]
         lo, hi = self.start[terms], self.start[terms + 1]
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.doc[at], self.weight[at], len(self.first) - 1)
-        left = np.flatnonzero(unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        score = np.bincount(self.doc[at], self.weight[at], len(self.first) - 1) + self.common[seed]
+        score[~unused] = -np.inf
+        for _ in range(8):
+            best = int(score.argmax())
+            if score[best] == -np.inf:
+                return
+            score[best] = -np.inf
+            yield best
+        left = np.flatnonzero(score > -np.inf)
+        yield from left[np.argsort(-score[left], kind="stable")].tolist()
 
 
 def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -152,7 +169,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             pending = begin
         seed, pending, space, pieces = pending, -1, window, []
         unused[seed] = False
-        for d in (seed, *index.ranked(seed, unused)):
+        for d in chain((seed,), index.ranked(seed, unused)):
             unused[d] = False
             n = min(space, int(rest[d]))
             pieces.append((int(d), int(start[d]), n))
@@ -182,7 +199,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", window: int = WINDOW) -> DataFrame:
     """Rows (key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every row of docs in one piece.
 
-    The documents of a task are indexed in shards of SHARD_TOKENS tokens; idf and mean length are the whole corpus's. The ids are written once to
+    The documents of a task are indexed in shards of at most SHARD_TOKENS tokens and SHARD_DOCS documents; idf and mean length are the whole corpus's. The ids are written once to
     the shared folder, so nothing is shuffled. A null or empty text is its end id alone. Null and repeated keys are documents
     like others (a repeated row is packed again); an empty table gives an empty result; other columns are ignored.
     """
@@ -216,7 +233,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", voc
                 keys.append(k)
                 ids.append(np.frombuffer(x, "<u2"))
                 held += len(ids[-1])
-                if held >= SHARD_TOKENS:
+                if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
                     yield packed(keys, ids)
                     keys, ids, held = [], [], 0
         if keys:
