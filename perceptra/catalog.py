@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import detection, grids, histograms  # noqa: F401
+from .plans import detection, evaluation, grids, histograms, worlds  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
