@@ -82,3 +82,51 @@ def rendered(edges: DataFrame, marginals: DataFrame, by: list[str], least: float
     """Edges between cells that are both occupied often enough."""
     busy = marginals.where(F.col("c_occ") / (F.col("c_occ") + F.col("c_free")) > least).select(*by, "cell")
     return edges.join(busy.withColumnRenamed("cell", "a"), [*by, "a"], "left_semi").join(busy.withColumnRenamed("cell", "b"), [*by, "b"], "left_semi")
+
+
+def tree_scores(cells: DataFrame, parents: DataFrame, conditionals: DataFrame, marginals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Log probability of each grid under its tree (R4, J19): conditional terms of children, marginal ones of cells without a parent.
+
+    cells has keys, by, cell and occ; parents as greedy_parents() gives them; conditionals by, a, b, given, occ and log_p; marginals by, cell,
+    log_free and log_occ. A term that was never observed counts as log 1e-99.
+    """
+    least = F.lit(-227.95592420641055)
+    up = cells.join(parents.withColumnRenamed("child", "cell"), [*keys, "cell"], "left")
+    of_parent = cells.select(*keys, F.col("cell").alias("parent"), F.col("occ").alias("given"))
+    known = up.join(of_parent, [*keys, "parent"], "left")
+    terms = known.join(conditionals.select(*by, F.col("a").alias("parent"), F.col("b").alias("cell"), "given", "occ", "log_p"), [*by, "parent", "cell", "given", "occ"], "left")
+    terms = terms.join(marginals.select(*by, "cell", "log_free", "log_occ"), [*by, "cell"], "left")
+    own = F.when(F.col("occ") == 1, F.col("log_occ")).otherwise(F.col("log_free"))
+    term = F.greatest(least, F.coalesce(F.when(F.col("parent").isNull(), own).otherwise(F.col("log_p")), least))
+    return terms.groupBy(*keys).agg(F.sum(term).alias("score"), F.count_if(F.col("parent").isNull()).alias("roots"))
+
+
+def grid_forests(cells: DataFrame, edges: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Maximum spanning forest of each grid's own cells, as (keys, a, b, mi).
+
+    A grid's cells are bounded by the model's window, so each grid is one array and one call; edges are joined by class and both
+    ends first, which leaves out cells without any edge.
+    """
+    import pandas as pd
+
+    a = cells.select(*keys, *[b for b in by if b not in keys], F.col("cell").alias("a"))
+    b = cells.select(*keys, F.col("cell").alias("b"))
+    inside = a.join(edges.select(*by, "a", "b", "mi"), [*by, "a"]).join(b, [*keys, "b"]).select(*keys, "a", "b", "mi")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, root = pdf.sort_values(["mi", "a", "b"], ascending=[False, True, True]), {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        take = []
+        for x, y in zip(pdf.a, pdf.b, strict=True):
+            p, q = top(x), top(y)
+            take.append(p != q)
+            root[max(p, q)] = min(p, q)
+        return pdf[take]
+
+    return inside.groupBy(*keys).applyInPandas(forest, inside.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import detect, raymodel, scoring
-from ..operators.histogram import Histogram
+from ..operators.histogram import Histogram, blur_axis, upper_median
 from ..operators.rays import box_lattice
 from ..registry import query
 from ..sources.adapters import HITS_SQL, hits, table
@@ -241,3 +241,19 @@ WHERE cz > 0 AND (700*cx + 696*cz)/cz BETWEEN 0 AND 1392 AND (700*cy + 256*cz)/c
 def camera_view(spark, sf_dir):
     c = hits(spark, sf_dir).select("scan_id", "hit_idx", (-F.col("y")).alias("x"), (-F.col("z")).alias("y"), F.col("x").alias("z"))
     return detect.camera_view(c, CAMERA).select("scan_id", "hit_idx", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+
+
+@query(f"""WITH {KEYED}, h AS (SELECT k_phi, k_dist, count(*)::DOUBLE AS w FROM keyed WHERE cls = 0 GROUP BY ALL),
+a AS (SELECT pmod, k_dist, sum(w) AS w FROM (SELECT CAST(((k_phi + d) % 13 + 13) % 13 AS INTEGER) AS pmod, k_dist, w*exp(-(d*d)/2.0) AS w FROM h, range(-3, 4) r(d)) GROUP BY ALL)
+SELECT pmod AS k_phi, CAST(k_dist + d AS INTEGER) AS k_dist, round(sum(w*exp(-(d*d)/2.0)), 6) AS w FROM a, range(-3, 4) r(d) GROUP BY ALL""")
+def bank_blur(spark, sf_dir):
+    h = keyed(seen(spark, sf_dir).where("cls = 0")).groupBy("k_phi", "k_dist").agg(F.count("*").cast("double").alias("w"))
+    h = blur_axis(h, ["k_phi", "k_dist"], "k_phi", 1.0, wrap=13)
+    return blur_axis(h, ["k_phi", "k_dist"], "k_dist", 1.0).withColumn("w", F.round("w", 6))
+
+
+@query(f"""WITH {KEYED}, h AS (SELECT cls, k_phi, k_dist, count(*)::DOUBLE AS w FROM keyed GROUP BY ALL), s AS (SELECT cls, k_phi, list_sort(list(w)) AS l FROM h GROUP BY ALL)
+SELECT cls, k_phi, len(l)/11.0::DOUBLE AS fill, l[len(l)//2 + 1] AS median_w FROM s""")
+def bank_coverage(spark, sf_dir):
+    h = keyed(seen(spark, sf_dir)).groupBy("cls", "k_phi", "k_dist").agg(F.count("*").cast("double").alias("w"))
+    return h.groupBy("cls", "k_phi").agg((F.count("*") / 11.0).alias("fill"), upper_median(F.collect_list("w")).alias("median_w"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import models, rays, scoring, trees
+from ..operators import models, rays, scoring, training, trees
 from ..registry import query
 from ..sources.adapters import HITS_SQL, hits
 
@@ -257,3 +257,49 @@ def greedy_tree_total(spark, sf_dir):
 @query()
 def mst_chow_liu(spark, sf_dir):
     return trees.spanning_forest(edges(spark, sf_dir), ["cls"])
+
+
+MARGIN = f"""marg AS (
+  SELECT cls, {CELL.format(i='i', j='j', k='k')} AS cell, ln((count(*) FILTER (WHERE log_odds < 0) + 1)/(count(*) + 2)) AS log_free, ln((count(*) FILTER (WHERE log_odds > 0) + 1)/(count(*) + 2)) AS log_occ
+  FROM grid WHERE log_odds <> 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {PARENTS}, {MARGIN},
+best AS (SELECT scan_id, child, parent FROM tried QUALIFY row_number() OVER (PARTITION BY scan_id, child ORDER BY mi DESC, po) = 1),
+known AS (SELECT scan_id, cls, {CELL.format(i='i', j='j', k='k')} AS cell, o FROM state),
+cond AS (
+  SELECT cls, {CELL.format(i='i1', j='j1', k='k1')} AS a, {CELL.format(i='i2', j='j2', k='k2')} AS b, given, occ, CASE WHEN t > 0 AND c > 0 THEN ln(c/t) END AS log_p FROM (
+    SELECT *, CASE WHEN given = 0 THEN c00 + c01 ELSE c10 + c11 END AS t, CASE given*2 + occ WHEN 0 THEN c00 WHEN 1 THEN c01 WHEN 2 THEN c10 ELSE c11 END AS c
+    FROM joint, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(given, occ))),
+terms AS (
+  SELECT k.scan_id, b.parent, greatest(-227.95592420641055, coalesce(CASE WHEN b.parent IS NULL THEN CASE WHEN k.o = 1 THEN log_occ ELSE log_free END ELSE log_p END, -227.95592420641055)) AS term
+  FROM known k LEFT JOIN best b ON b.scan_id = k.scan_id AND b.child = k.cell LEFT JOIN known p ON p.scan_id = k.scan_id AND p.cell = b.parent
+  LEFT JOIN cond ON cond.cls = k.cls AND cond.a = b.parent AND cond.b = k.cell AND cond.given = p.o AND cond.occ = k.o LEFT JOIN marg m ON m.cls = k.cls AND m.cell = k.cell)
+SELECT scan_id, round(sum(term), 5) AS score, count(*) FILTER (WHERE parent IS NULL) AS roots FROM terms GROUP BY scan_id""")
+def greedy_tree_score(spark, sf_dir):
+    known = near(spark, sf_dir).where("log_odds != 0")
+    j = joint(spark, sf_dir)
+    conditional = models.conditional_table(j, ["cls"]).select("cls", cell("1").alias("a"), cell("2").alias("b"), "given", "occ", "log_p")
+    marginals = models.marginal_log_probs(models.marginal_model(known, ["cls"])).select("cls", cell().alias("cell"), "log_free", "log_occ")
+    parents = trees.greedy_parents(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"])
+    cells = known.select("scan_id", "cls", cell().alias("cell"), (F.col("log_odds") > 0).cast("int").alias("occ"))
+    return trees.tree_scores(cells, parents, conditional, marginals, ["scan_id"], ["cls"]).select("scan_id", F.round("score", 5).alias("score"), "roots")
+
+
+@query()
+def grid_forests(spark, sf_dir):
+    return trees.grid_forests(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"])
+
+
+@query(f"""WITH {MARGINAL} SELECT scan_id, round(sum(ln(CASE WHEN log_odds > 0 THEN c_occ ELSE c_free END/(c_occ + c_free))), 6) AS score
+FROM grid JOIN marginal m ON m.model_cls = grid.cls AND m.i = grid.i AND m.j = grid.j AND m.k = grid.k WHERE log_odds <> 0 GROUP BY scan_id""")
+def marginal_tree_score(spark, sf_dir):
+    probs = models.marginal_log_probs(marginal(spark, sf_dir)).withColumnRenamed("model_cls", "cls")
+    return scoring.marginal_tree_score(near(spark, sf_dir), probs, ["scan_id"], ["cls"]).withColumn("score", F.round("score", 6))
+
+
+@query()
+def hard_training(spark, sf_dir):
+    g = near(spark, sf_dir)
+    frames = [g.where(f"scan_id % 10 = {n}") for n in (1, 3)]
+    return training.hard_rounds(frames, marginal(spark, sf_dir), trees.stored)
