@@ -53,6 +53,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mixing, op4_packing, op5_sharding, op6_minhash, op7_suffix_dedup, op8_url_filters, op9_exact_dedup, op10_quality)}
 
+OP2_SQL = r"""
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, payload_bytes, x, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, CAST(5*g + 1 AS BIGINT), 5))::BIGINT >> s) & 31), 1)), '')), '') AS payload_digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first, row_number() OVER (PARTITION BY x ORDER BY page_id NULLS LAST) AS place FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first END AS refers_to FROM f
+"""
+
 OP3_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -85,6 +93,40 @@ FROM sizes z JOIN k ON z.source IS NOT DISTINCT FROM k.source
 LEFT JOIN cut ON z.source IS NOT DISTINCT FROM cut.source
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100*c >= 75*(x.n + y.n - c)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, d.doc_id) AS component_id, coalesce(low.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""
+
+OP7_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+part AS (SELECT doc_id, 500*c AS base, substr(h, 1000*c + 1, 1098) AS h, least(500, n - 49 - 500*c) AS m FROM (SELECT *, unnest(range((n - 49 + 499)//500)) AS c FROM b WHERE n >= 50)),
+pos AS (SELECT doc_id, base + p AS p, substr(h, 2*p + 1, 100) AS s FROM (SELECT *, unnest(range(m)) AS p FROM part)),
+low AS (SELECT s, min(doc_id) AS m FROM pos GROUP BY s),
+hit AS (SELECT doc_id, p FROM pos JOIN low USING (s) WHERE m < doc_id),
+edge AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+gone AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM run GROUP BY doc_id, k),
+stays AS (
+  SELECT b.doc_id, x.lo, x.hi FROM b JOIN (
+    SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+    UNION ALL SELECT doc_id, max(hi), NULL FROM gone GROUP BY doc_id) x ON x.doc_id = b.doc_id),
+kept AS (SELECT s.doc_id, string_agg(substr(h, 2*s.lo + 1, 2*(coalesce(s.hi, n) - s.lo)), '' ORDER BY s.lo) AS k FROM stays s JOIN b ON b.doc_id = s.doc_id GROUP BY s.doc_id),
+sums AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS removed, count(*) AS spans FROM gone GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM b LEFT JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN sums ON sums.doc_id = b.doc_id
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE rules(verdict, host, path) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -126,4 +168,11 @@ w AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
 """
 
-ORACLES = {"op3_mixing": OP3_SQL, "op8_url_filters": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {
+    "op2_warc": OP2_SQL,
+    "op3_mixing": OP3_SQL,
+    "op6_minhash": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
+    "op8_url_filters": OP8_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
