@@ -184,3 +184,8 @@ def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label",
         if keep.any():
             live = live[keep]
     return RelevanceVector(c[live], w[live], width)
+
+
+def valid(samples: DataFrame) -> DataFrame:
+    """Samples marked valid (F16)."""
+    return samples.where(F.col("valid") != 0)

@@ -101,3 +101,13 @@ def occupancy_log_probs(model: DataFrame, least: float = 1e-4) -> DataFrame:
     n = F.col("c_free") + F.col("c_occ")
     p = F.when(n > 0, F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col("c_occ") / F.nullif(n, F.lit(0))))).otherwise(0.5)
     return model.withColumns({"log_occ": F.ln(p), "log_free": F.ln(1 - p)})
+
+
+def fill_in(keys_: DataFrame, by: list[str], parts: list[str], size: int) -> DataFrame:
+    """Share of the possible keys that occur."""
+    return keys_.groupBy(*by).agg((F.count_distinct(*parts) / float(size)).alias("fill"))
+
+
+def largest(models: DataFrame, size: str = "size") -> DataFrame:
+    """Largest size over the models."""
+    return models.agg(F.max(size).alias(size))

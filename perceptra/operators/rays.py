@@ -91,3 +91,8 @@ def fraction_known(grid: DataFrame, keys: list[str], i: int, j: int, k: int) ->
     """Share of a box's cells that are known."""
     inside = F.col("i").between(-i, i) & F.col("j").between(-j, j) & F.col("k").between(-k, k)
     return grid.groupBy(*keys).agg((F.count_if(inside) / ((2 * i + 1) * (2 * j + 1) * (2 * k + 1))).alias("fraction"))
+
+
+def in_order(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells in order of grid and cell (T1): sorted within range partitions, only for output."""
+    return grid.repartitionByRange(*keys, "i", "j", "k").sortWithinPartitions(*keys, "i", "j", "k")

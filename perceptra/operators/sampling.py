@@ -28,3 +28,21 @@ def class_counts(rows: DataFrame, by: list[str], enough: int = 100_000) -> DataF
 def bucketed(rows: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
     """Rows of a bucket together and in order."""
     return rows.repartition(*bucket).sortWithinPartitions(*bucket, *order)
+
+
+def balanced(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """As many rows of each class as the smallest has (T6), in the given order."""
+    least = rows.groupBy(by).count().agg(F.min("count").alias("_m"))
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return numbered.join(F.broadcast(least)).where("_n <= _m").drop("_n", "_m")
+
+
+def stride(rows: DataFrame, by: list[str], order: list[str], step: int) -> DataFrame:
+    """Every step-th row of a group."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return rows.withColumn("_n", n).where(F.col("_n") % step == 0).drop("_n")
+
+
+def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each group, the order complete."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")

@@ -130,3 +130,8 @@ def grid_forests(cells: DataFrame, edges: DataFrame, keys: list[str], by: list[s
         return pdf[take]
 
     return inside.groupBy(*keys).applyInPandas(forest, inside.schema)
+
+
+def total_information(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Mutual information of a tree: the sum over its edges."""
+    return edges.groupBy(*by).agg(F.sum("mi").alias("total_mi"), F.count("*").alias("n_edges"))

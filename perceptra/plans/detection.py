@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import detect, raymodel, scoring
+from ..operators import detect, raymodel, sampling, scoring
 from ..operators.histogram import Histogram, blur_axis, upper_median
 from ..operators.rays import box_lattice
 from ..registry import query
@@ -195,8 +195,7 @@ def nms_greedy_radius(spark, sf_dir):
 
 @query(f"WITH {FULL} SELECT scan_id, px, py, model_cls, log_odds FROM logodds QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY log_odds DESC, px, py, model_cls) <= 5")
 def top_detections(spark, sf_dir):
-    w = Window.partitionBy("scan_id").orderBy(F.desc("log_odds"), "px", "py", "model_cls")
-    return pose_lo(spark, sf_dir).withColumn("_n", F.row_number().over(w)).where("_n <= 5").drop("_n")
+    return sampling.top(pose_lo(spark, sf_dir), ["scan_id"], [F.desc("log_odds"), "px", "py", "model_cls"], 5)
 
 
 @query(f"WITH {FULL} SELECT scan_id, px, py, round(sum(p), 6) AS p FROM soft WHERE model_cls < 5 GROUP BY ALL")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -131,15 +130,12 @@ def weighted_systematic_sample(spark, sf_dir):
 @query("""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS n FROM labels), m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM labels GROUP BY quality))
 SELECT doc_id, quality FROM r, m WHERE n <= m""")
 def balanced_sample(spark, sf_dir):
-    t = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    least = t.groupBy("quality").count().agg(F.min("count").alias("m"))
-    return t.withColumn("n", F.row_number().over(Window.partitionBy("quality").orderBy("doc_id"))).join(F.broadcast(least)).where("n <= m").select("doc_id", "quality")
+    return sampling.balanced(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n % 5 = 0")
 def stride_sample(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").withColumn("n", n).where("n % 5 = 0").select("user_id", "event_id")
+    return sampling.stride(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id")
 
 
 FREE = f"""{HITS_SQL}, r AS (SELECT scan_id, hit_idx, x, y, sqrt(x*x+y*y) AS range FROM hits),

@@ -251,7 +251,7 @@ def greedy_tree_parent_window(spark, sf_dir):
 @query(f"""WITH {PARENTS}, best AS (SELECT scan_id, mi FROM tried QUALIFY row_number() OVER (PARTITION BY scan_id, child ORDER BY mi DESC, po) = 1)
 SELECT scan_id, round(sum(mi), 6) AS total_mi, count(*) AS n_edges FROM best GROUP BY scan_id""")
 def greedy_tree_total(spark, sf_dir):
-    return trees.greedy_parents(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"]).groupBy("scan_id").agg(F.round(F.sum("mi"), 6).alias("total_mi"), F.count("*").alias("n_edges"))
+    return trees.greedy_parents(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"]).transform(trees.total_information, ["scan_id"]).withColumn("total_mi", F.round("total_mi", 6))
 
 
 @query()

@@ -168,4 +168,4 @@ def bin_directions(spark, sf_dir):
 @query(f"WITH {DIRECTION} SELECT scan_id, count(DISTINCT (CAST(floor(theta/0.2) AS INTEGER), CAST(floor(phi/0.2) AS INTEGER)))/1024.0::DOUBLE AS fill FROM d GROUP BY scan_id")
 def fill_in_fraction(spark, sf_dir):
     d = directions(spark, sf_dir).select("scan_id", F.floor(F.col("theta") / 0.2).alias("a"), F.floor(F.col("phi") / 0.2).alias("b"))
-    return d.groupBy("scan_id").agg((F.count_distinct("a", "b") / 1024.0).alias("fill"))
+    return models.fill_in(d, ["scan_id"], ["a", "b"], 1024)
