@@ -64,3 +64,9 @@ def test_mix_and_packing_stages(stages):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op3_mixing", "op5_sharding", "op8_url_filters", "op9_exact_dedup"])
+def test_native_operators_run_no_python(spark, name):
+    plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "MapInArrow", "MapInPandas", "Cartesian", "NestedLoop"))
