@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, by_group, materialize
-from .text_arrays import scrambled
+from .text_arrays import powers, scrambled
 
 #: Length of the strings that are judged, and of the anchors that deal them out: a string's anchor is the least hash among its substrings of that length.
 SPAN, ANCHOR = 50, 16
@@ -21,9 +22,10 @@ RUN = 4096
 #: The filter of anchors that occur twice, one bit each: 32 MB, broadcast. If it fills up, more pieces travel; no repeat is lost.
 FILTER_BITS, PARTS = 28, 256
 #: Bytes of text for each partition that merges transforms; symbols of a shard's transform.
-TEXT_PER_TASK, SHARD = 12 << 20, 1 << 19
+TEXT_PER_TASK, SHARD = 4 << 20, 1 << 18
 #: Anchors or bytes gathered before they are handed on.
 FLUSH = 1 << 21
+ZSTD = pa.Codec("zstd", 1)
 #: Ends a piece; no byte of UTF-8 is 0xFF, so symbols are bytes plus one.
 STOP = 0
 
@@ -49,6 +51,10 @@ def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return new, count, low[new]
 
 
+def _packed(raw: bytes) -> bytes:
+    return ZSTD.compress(raw, asbytes=True)
+
+
 def _bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
@@ -58,8 +64,21 @@ def _dealt(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.
     order = np.argsort(part, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1])))
     upto = np.append(edge[1:], len(part))
-    blobs = [pa.array([c[order[i:j]].tobytes() for i, j in zip(edge, upto, strict=True)], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(part[order[edge]].astype(np.int64)), *blobs], names=["_group", *names])
+    blobs = [pa.array([_packed(c[order[i:j]].tobytes()) for i, j in zip(edge, upto, strict=True)], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(part[order[edge]].astype(np.int64)), pa.array(upto - edge), *blobs], names=["_group", "n", *names])
+
+
+def _blobs(table: pa.Table, sizes: np.ndarray, column: str, kind: type) -> np.ndarray:
+    """The values of a column of blobs; sizes are their numbers of values."""
+    width = np.dtype(kind).itemsize
+    raw = [ZSTD.decompress(x, int(n) * width, asbytes=True) for x, n in zip(table.column(column).to_pylist(), sizes, strict=True)]
+    return np.concatenate([np.frombuffer(x, kind) for x in raw])
+
+
+def _release(docs: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of plans that are no longer used, before more are written."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
 
 
 def repeated_anchors(docs: DataFrame, text: str) -> tuple[bytes, int]:
@@ -84,8 +103,8 @@ def repeated_anchors(docs: DataFrame, text: str) -> tuple[bytes, int]:
             yield flush()
 
     def combine(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("anchor").to_pylist()])
-        many = np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
+        sizes = table.column("n").to_numpy()
+        anchor, many = _blobs(table, sizes, "anchor", np.uint64), _blobs(table, sizes, "many", np.bool_).copy()
         order = np.argsort(anchor)
         anchor, many = anchor[order], many[order]
         same = anchor[1:] == anchor[:-1]
@@ -95,12 +114,14 @@ def repeated_anchors(docs: DataFrame, text: str) -> tuple[bytes, int]:
         bits[slots] = 1
         yield pa.RecordBatch.from_arrays([table.column("_group")[:1].combine_chunks(), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([len(anchor)])], names=["part", "bits", "n"])
 
-    dealt = docs.select(text).mapInArrow(gather, "_group long, anchor binary, many binary")
+    dealt = docs.select(text).mapInArrow(gather, "_group long, n long, anchor binary, many binary")
     rows = by_group(dealt, combine, "part long, bits binary, n long").collect()
     size = 1 << (FILTER_BITS - 11)
     whole = bytearray(size * PARTS)
     for r in rows:
         whole[r.part * size : (r.part + 1) * size] = r.bits
+    del dealt
+    _release(docs)
     return bytes(whole), sum(r.n for r in rows)
 
 
@@ -116,7 +137,7 @@ def pieces(docs: DataFrame, bits: bytes, parts: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             start, count, anchor, order, ident, body = (np.concatenate(x) for x in zip(*held, strict=True))
             part = (anchor % np.uint64(1 << 32) % np.uint64(parts)).astype(np.int64)
-            rows = _dealt(part, [start.astype(np.uint32), count.astype(np.uint16), anchor, order, ident], ["start", "count", "anchor", "order", "ident"])
+            rows = _dealt(part, [start.astype(np.uint32), count.astype(np.uint16), (anchor >> np.uint64(8)).astype(np.uint32), order, ident.astype(np.int32)], ["start", "count", "anchor", "order", "ident"])
             size = count + SPAN - 1
             by_part = np.argsort(part, kind="stable")
             first = np.cumsum(size) - size
@@ -124,7 +145,7 @@ def pieces(docs: DataFrame, bits: bytes, parts: int) -> DataFrame:
             sums = np.bincount(part, size).astype(np.int64)
             sums = sums[sums > 0]
             joined, edges = body[at].tobytes(), np.concatenate(([0], np.cumsum(sums)))
-            return rows.append_column("body", pa.array([joined[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+            return rows.append_column("body", pa.array([_packed(joined[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())).append_column("bytes", pa.array(sums))
 
         for batch in batches:
             for order, ident, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -144,7 +165,7 @@ def pieces(docs: DataFrame, bits: bytes, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(cut, "_group long, start binary, count binary, anchor binary, order binary, ident binary, body binary")
+    return docs.mapInArrow(cut, "_group long, n long, start binary, count binary, anchor binary, order binary, ident binary, body binary, bytes long")
 
 
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
@@ -176,48 +197,53 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     return rank
 
 
-def merged_blocks(shards: list[np.ndarray], depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(places, first): places of the concatenated shards in the order of their suffixes' first depth symbols, and where suffixes begin to differ from those before.
+def repeated_intervals(shards: list[np.ndarray], depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(places, block): places of the concatenated shards whose suffixes share their first depth symbols with another's, in the order of these, and which share them.
 
     Each shard is sorted alone and kept as its transform: the symbol before each suffix, and the rank of the suffix one longer.
     The interleave of the shards begins in any order; in each round, suffixes in the present order are dealt by the symbol before them,
-    stably, which gives the order by one symbol more. Two neighbours share a prefix one longer than before if the
-    symbols are equal and the suffixes after them shared theirs. After depth rounds, blocks without a difference are
-    the repeated intervals; the suffixes themselves are never compared across shards.
+    stably, which gives the order by one symbol more. Two suffixes share a prefix one longer than before if the symbols are
+    equal and the suffixes after them shared theirs. A suffix that shares its prefix with none, and so all longer
+    ones that end in it, leave the interleave: that changes no one else's order. Suffixes are never compared across shards.
     """
-    place, before, longer, stops, base = [], [], [], [], 0
+    place, step, base = [], [], 0
     for symbols in shards:
         rank = suffix_ranks(symbols)
         at = np.empty(len(rank), np.int64)
         at[rank] = np.arange(len(rank))
         place.append(at + base)
-        before.append(np.where(at > 0, symbols[at - 1], STOP))
-        longer.append(rank[at - 1] + base)
-        stops.append(np.arange(np.count_nonzero(symbols == STOP)) + base)
+        step.append((rank[at - 1] + base) << 8 | np.where(at > 0, symbols[at - 1], STOP))
         base += len(symbols)
-    place, before, longer, stops = map(np.concatenate, (place, before, longer, stops))
-    order, block = np.arange(base), np.zeros(base, np.int64)
-    first = np.zeros(base, bool)
+    place, step = np.concatenate(place), np.concatenate(step)
+    order, block = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
     for _ in range(depth):
-        symbol = before[order]
+        both = step[order]
+        symbol = both.astype(np.uint8)
         inner = symbol != STOP
-        order, block, symbol = order[inner], block[inner], symbol[inner]
-        deal = np.argsort(symbol, kind="stable")
-        symbol, block = symbol[deal], block[deal]
-        differ = np.ones(len(deal), bool)
-        differ[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        order = np.concatenate((stops, longer[order[deal]]))
-        first = np.concatenate((np.ones(len(stops), bool), differ))
-        block = np.cumsum(first)
-    return place[order], first
+        symbol = symbol[inner]
+        deal = np.argsort(symbol, kind="stable").astype(np.int32)
+        symbol, block = symbol[deal], block[inner][deal]
+        order = (both >> 8).astype(np.int32)[inner][deal]
+        differ = np.ones(len(deal) + 1, bool)
+        differ[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        shared = ~(differ[:-1] & differ[1:])
+        order, block = order[shared], np.cumsum(differ[:-1], dtype=np.int32)[shared]
+    return place[order], block
 
 
 def _hashes(body: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each piece's bytes and length."""
-    begin = np.cumsum(size) - size
-    at = np.arange(len(body)) - np.repeat(begin, size)
-    power = np.cumprod(np.append(np.ones(1, np.uint64), np.full(int(size.max()), 0x5851F42D4C957F2D, np.uint64)), dtype=np.uint64)
-    return scrambled(np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * power[at], begin) + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    """A hash of each piece's bytes and length, in slices of bounded size."""
+    end = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(end, np.arange(1 << 20, end[-1], 1 << 20)), len(size))) if len(size) else []
+    power, out, i = powers(int(size.max())) if len(size) else None, [], 0
+    for j in cuts:
+        if j > i:
+            n, lo = size[i:j], end[i] - size[i]
+            begin = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(begin, n)
+            out.append(np.add.reduceat((body[lo : end[j - 1]].astype(np.uint64) + np.uint64(1)) * power[at], begin))
+            i = j
+    return scrambled(np.concatenate(out) + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
 def _take(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -249,14 +275,14 @@ def covered(anchor: np.ndarray, order: np.ndarray, count: np.ndarray, body: np.n
         text[end] = STOP
         cuts = np.searchsorted(end, np.arange(SHARD, len(text), SHARD))
         edges = np.unique(np.concatenate(([0], end[np.minimum(cuts, len(end) - 1)] + 1, [len(text)])))
-        place, first = merged_blocks([text[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        place, block = repeated_intervals([text[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)])
         piece = np.repeat(np.arange(len(own)), own)
         offset = np.arange(len(text)) - (end - own + 1)[piece]
-        value = np.where(offset < own[piece] - SPAN, low[judged][piece], np.iinfo(np.int64).max)
-        starts = np.flatnonzero(first)
-        best = np.repeat(np.minimum.reduceat(value[place], starts), np.diff(np.append(starts, len(place))))
+        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else block
+        value = low[judged][piece[place]]
+        best = np.repeat(np.minimum.reduceat(value, starts), np.diff(np.append(starts, len(place)))) if len(block) else value
         flag = np.zeros(len(text) + 1, bool)
-        flag[place] = best < value[place]
+        flag[place] = best < value
         flag[:-1] &= offset < own[piece] - SPAN
         rise = np.flatnonzero(flag[:-1] & ~np.concatenate(([False], flag[:-2]))) if len(text) > 1 else np.flatnonzero(flag[:-1])
         fall = np.flatnonzero(flag[:-1] & ~flag[1:])
@@ -276,15 +302,16 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     parts = max(8, n * 18 // TEXT_PER_TASK)
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = {"start": np.uint32, "count": np.uint16, "anchor": np.uint64, "order": np.int64, "ident": np.int64, "body": np.uint8}
-        c = {k: np.concatenate([np.frombuffer(x, t) for x in table.column(k).to_pylist()]) for k, t in kinds.items()}
+        kinds = {"start": np.uint32, "count": np.uint16, "anchor": np.uint32, "order": np.int64, "ident": np.int32}
+        c = {k: _blobs(table, table.column("n").to_numpy(), k, t) for k, t in kinds.items()}
+        c["body"] = _blobs(table, table.column("bytes").to_numpy(), "body", np.uint8)
         piece, lo, hi = covered(c["anchor"], c["order"], c["count"].astype(np.int64), c["body"])
         start = c["start"][piece].astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["order"][piece], c["ident"][piece], (start + lo).astype(np.int32), (start + hi + SPAN).astype(np.int32))], names=["_order", "_ident", "lo", "hi"])
 
     dealt = pieces(docs.select("_order", "_ident", text), bits, parts)
     batches_of(docs.sparkSession, 200, 8)
-    return by_group(dealt, judge, "_order long, _ident long, lo int, hi int", parts)
+    return by_group(dealt, judge, "_order long, _ident int, lo int, hi int", parts)
 
 
 def kept_ranges(n: int, lo: list[int], hi: list[int]) -> tuple[list[tuple[int, int]], int]:
@@ -311,8 +338,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     body = F.coalesce(F.col(text), F.lit(""))
     order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.col(key).alias("_key"), order.alias("_order"), F.xxhash64(body).alias("_ident"), body.alias("_text"))
-    spans = materialize(repeated_spans(rows, "_text"), "spans").groupBy("_order", "_ident").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    rows = docs.select(F.col(key).alias("_key"), order.alias("_order"), F.hash(body).alias("_ident"), body.alias("_text"))
+    spans = materialize(repeated_spans(rows, "_text"), "spans")
+    _release(docs)
+    spans = spans.groupBy("_order", "_ident").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     joined = rows.join(spans, ["_order", "_ident"], "left").select("_key", "_text", F.col("lo"), F.col("hi"))
     batches_of(docs.sparkSession, 1000, 4)
 
