@@ -21,6 +21,7 @@ from .common import batches_of, materialize
 WINDOW, END = 2048, 1
 #: Tokens, and documents, that share an index at most.
 SHARD_TOKENS, SHARD_DOCS = 4_000_000, 4096
+SLICE = 1 << 18
 K1, B = 1.2, 0.75
 
 _encoders: dict = {}
@@ -76,11 +77,19 @@ def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str) -> D
 
 
 def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of several documents: document, term and frequency, by document and term."""
-    doc = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) for x in ids])
-    both = np.sort(doc << 16 | np.concatenate(ids).astype(np.int64)) if ids else np.empty(0, np.int64)
-    start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else both
-    return both[start] >> 16, both[start] & 0xFFFF, np.diff(np.append(start, len(both)))
+    """Of several documents: document, term and frequency, by document and term. Sorted in slices of about SLICE tokens."""
+    found, begin, held = [(np.empty(0, np.int32),) * 3], 0, 0
+    for end, x in enumerate(ids, 1):
+        held += len(x)
+        if held >= SLICE or end == len(ids):
+            doc = np.repeat(np.arange(begin, end, dtype=np.int64), [len(x) for x in ids[begin:end]])
+            both = np.sort(doc << 16 | np.concatenate(ids[begin:end]).astype(np.int64))
+            start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+            tf = np.diff(np.append(start, len(both)))
+            both = both[start]
+            found.append(((both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32), tf.astype(np.int32)))
+            begin, held = end, 0
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -121,7 +130,8 @@ class Index:
         dense = often[term]
         common = np.zeros((int(often.sum()), len(ids)), np.float32)
         common[column[term[dense]], doc[dense]] = weight[dense]
-        self.common = (common > 0).astype(np.float32).T @ common
+        self.common = np.sign(common).T @ common
+        del common
         doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         self.term, self.first = term, np.searchsorted(doc, np.arange(len(ids) + 1))
         order = np.argsort(term, kind="stable")
