@@ -20,7 +20,9 @@ AROUND = SPAN - ANCHOR + 1
 #: Longest run of string starts that travels as one piece.
 RUN = 4096
 #: The filter of anchors that occur twice, one bit each: 32 MB, broadcast. If it fills up, more pieces travel; no repeat is lost.
-FILTER_BITS, PARTS = 28, 256
+FILTER_BITS = 28
+#: Bytes of text for each group of anchors that are counted together, of which there are a power of two from 2^8 to 2^16.
+TEXT_PER_COUNT = 1 << 28
 #: Bytes of text for each partition that merges transforms; symbols of a shard's transform.
 TEXT_PER_TASK, SHARD = 4 << 20, 1 << 18
 #: Anchors or bytes gathered before they are handed on.
@@ -81,16 +83,17 @@ def _release(docs: DataFrame) -> None:
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
-def repeated_anchors(docs: DataFrame, text: str) -> tuple[bytes, int]:
-    """The filter of anchors that occur at two places or more, and the number of anchors."""
+def repeated_anchors(docs: DataFrame, text: str, total: int) -> bytes:
+    """The filter of anchors that occur at two places or more; total is the text's bytes."""
     batches_of(docs.sparkSession, 1000, 4)
+    split = min(16, max(8, (total // TEXT_PER_COUNT).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
-            return _dealt(found >> np.uint64(56), [found, times > 1], ["anchor", "many"])
+            return _dealt(found >> np.uint64(64 - split), [found, times > 1], ["anchor", "many"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -109,20 +112,20 @@ def repeated_anchors(docs: DataFrame, text: str) -> tuple[bytes, int]:
         anchor, many = anchor[order], many[order]
         same = anchor[1:] == anchor[:-1]
         many[1:][same] = True
-        slots = (anchor[many] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - (table.column("_group")[0].as_py() << (FILTER_BITS - 8))
-        bits = np.zeros(1 << (FILTER_BITS - 8), np.uint8)
+        slots = (anchor[many] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - (table.column("_group")[0].as_py() << (FILTER_BITS - split))
+        bits = np.zeros(1 << (FILTER_BITS - split), np.uint8)
         bits[slots] = 1
-        yield pa.RecordBatch.from_arrays([table.column("_group")[:1].combine_chunks(), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([len(anchor)])], names=["part", "bits", "n"])
+        yield pa.RecordBatch.from_arrays([table.column("_group")[:1].combine_chunks(), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     dealt = docs.select(text).mapInArrow(gather, "_group long, n long, anchor binary, many binary")
-    rows = by_group(dealt, combine, "part long, bits binary, n long").collect()
-    size = 1 << (FILTER_BITS - 11)
-    whole = bytearray(size * PARTS)
+    rows = by_group(dealt, combine, "part long, bits binary", 1 << (split - 3)).collect()
+    size = 1 << (FILTER_BITS - split - 3)
+    whole = bytearray(size << split)
     for r in rows:
         whole[r.part * size : (r.part + 1) * size] = r.bits
     del dealt
     _release(docs)
-    return bytes(whole), sum(r.n for r in rows)
+    return bytes(whole)
 
 
 def pieces(docs: DataFrame, bits: bytes, parts: int) -> DataFrame:
@@ -298,8 +301,9 @@ def covered(anchor: np.ndarray, order: np.ndarray, count: np.ndarray, body: np.n
 
 def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     """Rows (_order, _ident, lo, hi): bytes of documents that lie in a string which also starts in a document of smaller order."""
-    bits, n = repeated_anchors(docs, text)
-    parts = max(8, n * 18 // TEXT_PER_TASK)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = repeated_anchors(docs, text, total)
+    parts = max(8, total // TEXT_PER_TASK)
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
         kinds = {"start": np.uint32, "count": np.uint16, "anchor": np.uint32, "order": np.int64, "ident": np.int32}
