@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed values of the evaluation: recall steps and least overlaps.
 SAMPLES = 41
 MIN_OVERLAP = {"Car": 0.7, "Pedestrian": 0.5, "Cyclist": 0.5}
 #: (least height, most occlusion, most truncation) of easy, moderate and hard.
 DIFFICULTY = [(40, 0, 0.15), (25, 1, 0.3), (25, 2, 0.5)]
+#: Kinds that are neutral for another.
 NEIGHBOURS = {"Car": "Van", "Pedestrian": "Person_sitting"}
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed values of the label format.
 KINDS = ["Car", "Van", "Truck", "Pedestrian", "Person_sitting", "Cyclist", "Tram", "Misc", "DontCare"]
 LABEL = "type string, truncated double, occluded double, alpha double, x1 double, y1 double, x2 double, y2 double, h double, w double, l double, x double, y double, z double, rotation_y double"
 FRAME = r"(\d+)\.[a-z]+$"
