@@ -346,3 +346,44 @@ def test_likeliest_labels_are_found_by_trying_all():
         score = x @ model.weights
         best = max(range(64), key=lambda c: sum(score[t, c >> t & 1] for t in range(6)) + sum(model.moves[c >> t & 1, c >> (t + 1) & 1] for t in range(5)))
         assert model.label(x).tolist() == [best >> t & 1 for t in range(6)]
+
+
+def test_neighbours_are_found_in_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOCAL_DOCS", 0, raising=False)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 7)
+    monkeypatch.setattr(packing, "SEEDS", 16, raising=False)
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice([chr(97 + 2 * t), chr(98 + 2 * t)], 6)) for _ in range(40)] for t in range(12)]
+    rows = [(n, " ".join(rng.choice(words[n // 40 if n % 2 else n % 12], 60)), "a") for n in range(480)]
+    topic = {n: n // 40 if n % 2 else n % 12 for n in range(480)}
+    got = packing.pack_documents(spark.createDataFrame(rows, brute.SCHEMA).repartition(5)).collect()
+    windows = defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append((r.offset, topic[r.doc_id], r.length))
+    pairs = [(a[1], b[1]) for w in windows.values() for a, b in zip(sorted(w), sorted(w)[1:], strict=False)]
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.8
+    assert sum(sum(n for *_, n in w) < 2048 for w in windows.values()) <= 11
+    assert {r.doc_id for r in got} == set(topic)
+
+
+def test_search_of_all_shards_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(n, " ".join(f"w{x}" for x in rng.zipf(1.5, 50) % 300), "a") for n in range(120)]
+    encoded = packing.materialize(packing.encode_documents(spark.createDataFrame(rows, brute.SCHEMA).repartition(5), "doc_id", "text", "byte_bpe_50k.json"), "ids")
+    df, n, tokens = packing.corpus_statistics(encoded)
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / n
+    size, offset = packing.document_sizes(encoded)
+    ids = packing.ids_of(encoded, np.arange(n), offset, False)
+    assert [len(x) for x in ids] == size.tolist()
+    unused = np.arange(n) % 5 > 0
+    seeds = np.arange(0, n, 3)
+    found = packing.corpus_search(encoded, offset, idf, mean)(seeds, unused, 6)
+    for seed, docs in zip(seeds, found, strict=True):
+        score = np.zeros(n)
+        for d in range(n):
+            for t in np.intersect1d(ids[seed], ids[d]):
+                tf = (ids[d] == t).sum()
+                score[d] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean))
+        score[~unused] = score[seed] = -1
+        assert len(docs) == 6 and np.allclose(np.sort(score[docs])[::-1], np.sort(score)[::-1][:6], rtol=1e-4)
