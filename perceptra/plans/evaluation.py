@@ -172,7 +172,7 @@ def kernel_map_occupancy(spark, sf_dir):
 
 @query()
 def kernel_map_training(spark, sf_dir):
-    rows = free(spark, sf_dir).where("scan_id % 10 = 0")
+    rows = free(spark, sf_dir)
     _, losses = learn.kernel_map(rows, ["scan_id", "hit_idx", "sample"], 2.0, 2.0, stored, rounds=4, rate=1e-3)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "round int, loss double")
 
@@ -212,5 +212,5 @@ def bayesian_linear(spark, sf_dir):
 def rvm_predict(spark, sf_dir):
     h = hits(spark, sf_dir).select("scan_id", "hit_idx", (F.col("x") / 10).alias("x0"), (F.col("y") / 10).alias("x1"))
     h = h.withColumn("label", (F.col("x1") > 0.2 * F.sin(2 * expr.PI * F.col("x0"))).cast("int"))
-    model = learn.fit_rvm(h.where("scan_id % 2 = 0"), centres=15, rounds=4)
+    model = learn.fit_rvm(h.where("scan_id % 2 = 0"))
     return model.predict(h.where("scan_id % 2 = 1")).select("scan_id", "hit_idx", "label", F.round("p", 6).alias("p"))
