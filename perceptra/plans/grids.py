@@ -301,5 +301,5 @@ def marginal_tree_score(spark, sf_dir):
 @query()
 def hard_training(spark, sf_dir):
     g = near(spark, sf_dir)
-    frames = [g.where(f"scan_id % 10 = {n}") for n in (1, 3)]
+    frames = [g.where(f"scan_id % 10 = {n}") for n in (1, 3, 5, 7, 9)]
     return training.hard_rounds(frames, marginal(spark, sf_dir), trees.stored)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from perceptra import catalog
-from perceptra.operators import learn
+from perceptra.operators import learn, training
 from perceptra.plans import evaluation
 from perceptra.sources.adapters import hits
 
@@ -37,3 +37,11 @@ def test_rvm_is_fitted_with_the_operators_defaults(spark, monkeypatch):
     p = catalog.QUERIES["rvm_predict"](spark, SMALL)
     assert seen == [{}]
     assert p.count() == hits(spark, SMALL).where("scan_id % 2 = 1").count()
+
+
+def test_hard_training_scores_every_scan_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(training, "hard_rounds", lambda frames, model, store: seen.extend(frames) or model)
+    catalog.QUERIES["hard_training"](spark, SMALL)
+    scans = [r.scan_id for f in seen for r in f.select("scan_id").distinct().collect()]
+    assert sorted(scans) == sorted(r.scan_id for r in hits(spark, SMALL).where("scan_id % 2 = 1").select("scan_id").distinct().collect())
