@@ -141,12 +141,12 @@ logodds AS (SELECT scan_id, px, py, model_cls, round(CASE WHEN abs(lead) > 10 TH
 of_class AS (SELECT scan_id, px, py, log_odds FROM logodds WHERE model_cls = 0)"""
 
 
-def pose_scored(spark, sf_dir):
+def pose_scored(spark, sf_dir, cells=grids.near):
     m = grids.marginal(spark, sf_dir)
-    cells = m.select("model_cls").distinct().join(F.broadcast(box_lattice(spark, 2, 2, 1))).join(m, ["model_cls", "i", "j", "k"], "left").na.fill(1, ["c_free", "c_occ"])
+    full = m.select("model_cls").distinct().join(F.broadcast(box_lattice(spark, 2, 2, 1))).join(m, ["model_cls", "i", "j", "k"], "left").na.fill(1, ["c_free", "c_occ"])
     n = F.col("c_free") + F.col("c_occ")
-    model = cells.select("model_cls", "i", "j", "k", F.ln(F.col("c_free") / n).alias("log_free"), F.ln(F.col("c_occ") / n).alias("log_occ"))
-    return detect.pose_scores(grids.near(spark, sf_dir).where("scan_id % 2 = 1"), model, ["scan_id"], REACH)
+    model = full.select("model_cls", "i", "j", "k", F.ln(F.col("c_free") / n).alias("log_free"), F.ln(F.col("c_occ") / n).alias("log_occ"))
+    return detect.pose_scores(cells(spark, sf_dir).where("scan_id % 2 = 1"), model, ["scan_id"], REACH)
 
 
 AT = ["scan_id", "px", "py"]
@@ -162,8 +162,8 @@ def pose_softmax(spark, sf_dir):
     return scoring.softmax(pose_scored(spark, sf_dir), AT).select(*AT, "model_cls", F.round("p", 6).alias("p"))
 
 
-def pose_lo(spark, sf_dir):
-    return scoring.log_odds(pose_scored(spark, sf_dir), AT).select(*AT, "model_cls", F.round("log_odds", 6).alias("log_odds"))
+def pose_lo(spark, sf_dir, cells=grids.near):
+    return scoring.log_odds(pose_scored(spark, sf_dir, cells), AT).select(*AT, "model_cls", F.round("log_odds", 6).alias("log_odds"))
 
 
 @query(f"WITH {FULL} SELECT * FROM logodds")
@@ -189,7 +189,7 @@ def nms_over_classes(spark, sf_dir):
 
 @query()
 def nms_greedy_radius(spark, sf_dir):
-    one = pose_lo(spark, sf_dir).where("model_cls = 0").select("scan_id", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), "log_odds")
+    one = pose_lo(spark, sf_dir, reached).where("model_cls = 0").select("scan_id", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), "log_odds")
     return detect.greedy_radius(one, ["scan_id"], "log_odds", 3.0, one.schema.simpleString()[7:-1])
 
 
@@ -203,6 +203,42 @@ def class_marginal(spark, sf_dir):
     return detect.angle_marginal(scoring.softmax(pose_scored(spark, sf_dir), AT).where("model_cls < 5"), AT).withColumn("p", F.round("p", 6))
 
 
+#: The queries above see a grid only within the class models' window, as their SQL does; those below see all cells that any pose reaches.
+REACHED = f"abs(i) <= {REACH + 2} AND abs(j) <= {REACH + 2} AND abs(k) <= 1"
+WHOLE = FULL.replace(f"FROM cells WHERE {grids.IN_SIZE}", f"FROM cells WHERE {REACHED}").replace("FROM grid WHERE scan_id % 2 = 0", f"FROM grid WHERE {grids.IN_SIZE} AND scan_id % 2 = 0")
+
+
+def reached(spark, sf_dir):
+    return grids.grid(spark, sf_dir).where(REACHED)
+
+
+@query(f"WITH {WHOLE} SELECT scan_id, px, py, model_cls, round(score, 6) AS score, n FROM pose")
+def pose_scores_whole(spark, sf_dir):
+    return pose_scored(spark, sf_dir, reached).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {WHOLE} SELECT scan_id, px, py, model_cls, round(p, 6) AS p FROM soft")
+def pose_softmax_whole(spark, sf_dir):
+    return scoring.softmax(pose_scored(spark, sf_dir, reached), AT).select(*AT, "model_cls", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {WHOLE} SELECT * FROM logodds")
+def pose_log_odds_whole(spark, sf_dir):
+    return pose_lo(spark, sf_dir, reached)
+
+
+@query(f"""WITH {WHOLE}, best AS (SELECT * FROM logodds QUALIFY log_odds = max(log_odds) OVER (PARTITION BY scan_id, px, py))
+SELECT a.scan_id, a.px, a.py, a.model_cls, a.log_odds FROM best a WHERE NOT EXISTS (
+  SELECT 1 FROM best b WHERE b.scan_id = a.scan_id AND abs(a.px-b.px) <= {WINDOW} AND abs(a.py-b.py) <= {WINDOW} AND (-b.log_odds, b.px, b.py) < (-a.log_odds, a.px, a.py))""")
+def nms_over_classes_whole(spark, sf_dir):
+    return detect.window_maxima(pose_lo(spark, sf_dir, reached), ["scan_id"], "log_odds", WINDOW)
+
+
+@query(f"WITH {WHOLE} SELECT scan_id, px, py, model_cls, log_odds FROM logodds QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY log_odds DESC, px, py, model_cls) <= 5")
+def top_detections_whole(spark, sf_dir):
+    return sampling.top(pose_lo(spark, sf_dir, reached), ["scan_id"], [F.desc("log_odds"), "px", "py", "model_cls"], 5)
+
+
 @query("""SELECT o_orderkey, l_linenumber, o_orderdate, l_shipdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 WHERE l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY""")
 def interval_join_active(spark, sf_dir):

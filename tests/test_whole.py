@@ -5,7 +5,7 @@ import pytest
 
 from perceptra import catalog
 from perceptra.operators import learn, training
-from perceptra.plans import evaluation
+from perceptra.plans import evaluation, grids
 from perceptra.sources.adapters import hits
 
 from .oracle import SMALL
@@ -45,3 +45,15 @@ def test_hard_training_scores_every_scan_once(spark, monkeypatch):
     catalog.QUERIES["hard_training"](spark, SMALL)
     scans = [r.scan_id for f in seen for r in f.select("scan_id").distinct().collect()]
     assert sorted(scans) == sorted(r.scan_id for r in hits(spark, SMALL).where("scan_id % 2 = 1").select("scan_id").distinct().collect())
+
+
+def test_outer_poses_have_all_their_cells(spark):
+    known = [(r.scan_id, r.i, r.j) for r in grids.grid(spark, SMALL).where("abs(k) <= 1 AND log_odds != 0 AND scan_id % 2 = 1").collect()]
+    got = {(r.scan_id, r.px, r.py): r.n for r in catalog.QUERIES["pose_scores_whole"](spark, SMALL).where("model_cls = 0").collect()}
+    want = {}
+    for scan, i, j in known:
+        for px in range(max(-4, i - 2), min(4, i + 2) + 1):
+            for py in range(max(-4, j - 2), min(4, j + 2) + 1):
+                want[scan, px, py] = want.get((scan, px, py), 0) + 1
+    clipped = {(r.scan_id, r.px, r.py): r.n for r in catalog.QUERIES["pose_scores"](spark, SMALL).where("model_cls = 0").collect()}
+    assert got == want != clipped
