@@ -239,6 +239,19 @@ def top_detections_whole(spark, sf_dir):
     return sampling.top(pose_lo(spark, sf_dir, reached), ["scan_id"], [F.desc("log_odds"), "px", "py", "model_cls"], 5)
 
 
+ALL_PREV = PREV.replace(" WHERE scan_id % 2 = 0 GROUP BY ALL", " GROUP BY ALL")
+
+
+@query(f"WITH {ALL_PREV} SELECT * FROM one")
+def ray_histogram_1gram_whole(spark, sf_dir):
+    return _one(seen(spark, sf_dir))
+
+
+@query(f"WITH {ALL_PREV} SELECT * FROM two")
+def ray_histogram_2gram_whole(spark, sf_dir):
+    return _two(seen(spark, sf_dir))
+
+
 @query("""SELECT o_orderkey, l_linenumber, o_orderdate, l_shipdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 WHERE l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY""")
 def interval_join_active(spark, sf_dir):

@@ -126,6 +126,26 @@ def occupancy_log_probs(spark, sf_dir):
     return m.select("model_cls", "i", "j", "k", F.round("log_occ", 9).alias("log_occ"), F.round("log_free", 9).alias("log_free"))
 
 
+#: Of all scans, where the models above leave the odd ones to be scored.
+MARGINAL_WHOLE = MARGINAL.replace("WHERE scan_id % 2 = 0 AND log_odds <> 0", "WHERE log_odds <> 0")
+
+
+def marginal_whole(spark, sf_dir):
+    return models.marginal_model(near(spark, sf_dir).withColumnRenamed("cls", "model_cls"), ["model_cls"])
+
+
+@query(f"WITH {MARGINAL_WHOLE} SELECT * FROM marginal")
+def marginal_model_whole(spark, sf_dir):
+    return marginal_whole(spark, sf_dir)
+
+
+@query(f"""WITH {MARGINAL_WHOLE} SELECT model_cls, i, j, k, round(ln(greatest(1e-4, least(1 - 1e-4, c_occ/(c_occ+c_free)))), 9) AS log_occ,
+  round(ln(1 - greatest(1e-4, least(1 - 1e-4, c_occ/(c_occ+c_free)))), 9) AS log_free FROM marginal""")
+def occupancy_log_probs_whole(spark, sf_dir):
+    m = models.occupancy_log_probs(marginal_whole(spark, sf_dir))
+    return m.select("model_cls", "i", "j", "k", F.round("log_occ", 9).alias("log_occ"), F.round("log_free", 9).alias("log_free"))
+
+
 SCORES = f"""{MARGINAL},
 known AS (SELECT * FROM grid WHERE scan_id % 2 = 1 AND log_odds <> 0),
 scores AS (

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from perceptra import catalog
-from perceptra.operators import learn, training
+from perceptra.operators import evaluate, learn, training
 from perceptra.plans import evaluation, grids
 from perceptra.sources.adapters import hits
 
@@ -57,3 +57,16 @@ def test_outer_poses_have_all_their_cells(spark):
                 want[scan, px, py] = want.get((scan, px, py), 0) + 1
     clipped = {(r.scan_id, r.px, r.py): r.n for r in catalog.QUERIES["pose_scores"](spark, SMALL).where("model_cls = 0").collect()}
     assert got == want != clipped
+
+
+def test_thresholds_come_from_all_matches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(evaluate, "recall_thresholds", lambda scores, by: seen.append(scores) or scores)
+    catalog.QUERIES["recall_thresholds"](spark, SMALL)
+    kinds = evaluation.ground_truth(spark, SMALL).select("kind").distinct()
+    assert seen[0].count() == evaluation.detections(spark, SMALL).join(kinds, "kind", "left_semi").count()
+
+
+def test_ray_histogram_counts_all_scans(spark):
+    counted = lambda name: catalog.QUERIES[name](spark, SMALL).agg({"w": "sum"}).first()[0]
+    assert counted("ray_histogram_1gram_whole") == catalog.QUERIES["ray_observation_projection"](spark, SMALL).count() > counted("ray_histogram_1gram")
