@@ -189,8 +189,8 @@ def nms_over_classes(spark, sf_dir):
 
 @query()
 def nms_greedy_radius(spark, sf_dir):
-    one = pose_lo(spark, sf_dir, reached).where("model_cls = 0").select("scan_id", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), "log_odds")
-    return detect.greedy_radius(one, ["scan_id"], "log_odds", 3.0, one.schema.simpleString()[7:-1])
+    each = pose_lo(spark, sf_dir, reached).select("scan_id", "model_cls", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), "log_odds")
+    return detect.greedy_radius(each, ["scan_id", "model_cls"], "log_odds", 3.0, each.schema.simpleString()[7:-1])
 
 
 @query(f"WITH {FULL} SELECT scan_id, px, py, model_cls, log_odds FROM logodds QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY log_odds DESC, px, py, model_cls) <= 5")
@@ -239,6 +239,27 @@ def top_detections_whole(spark, sf_dir):
     return sampling.top(pose_lo(spark, sf_dir, reached), ["scan_id"], [F.desc("log_odds"), "px", "py", "model_cls"], 5)
 
 
+@query(f"""WITH {WHOLE} SELECT a.* FROM logodds a WHERE NOT EXISTS (
+  SELECT 1 FROM logodds b WHERE b.scan_id = a.scan_id AND b.model_cls = a.model_cls AND abs(a.px-b.px) <= {WINDOW} AND abs(a.py-b.py) <= {WINDOW} AND (-b.log_odds, b.px, b.py) < (-a.log_odds, a.px, a.py))
+  AND (greatest(abs(px), abs(py)) <= {REACH - WINDOW} OR log_odds >= 0)""")
+def nms_local_max_whole(spark, sf_dir):
+    return detect.local_maxima(pose_lo(spark, sf_dir, reached), ["scan_id", "model_cls"], "log_odds", WINDOW, REACH)
+
+
+@query(f"WITH {WHOLE} SELECT scan_id, px, py, round(sum(p), 6) AS p FROM soft GROUP BY ALL")
+def class_marginal_whole(spark, sf_dir):
+    return detect.angle_marginal(scoring.softmax(pose_scored(spark, sf_dir, reached), AT), AT).withColumn("p", F.round("p", 6))
+
+
+@query(f"""WITH {KEYED}, h AS (SELECT cls, k_phi, k_dist, count(*)::DOUBLE AS w FROM keyed GROUP BY ALL),
+a AS (SELECT cls, pmod, k_dist, sum(w) AS w FROM (SELECT cls, CAST(((k_phi + d) % 13 + 13) % 13 AS INTEGER) AS pmod, k_dist, w*exp(-(d*d)/2.0) AS w FROM h, range(-3, 4) r(d)) GROUP BY ALL)
+SELECT cls, pmod AS k_phi, CAST(k_dist + d AS INTEGER) AS k_dist, round(sum(w*exp(-(d*d)/2.0)), 6) AS w FROM a, range(-3, 4) r(d) GROUP BY ALL""")
+def bank_blur_whole(spark, sf_dir):
+    keys = ["cls", "k_phi", "k_dist"]
+    h = keyed(seen(spark, sf_dir)).groupBy(*keys).agg(F.count("*").cast("double").alias("w"))
+    return blur_axis(blur_axis(h, keys, "k_phi", 1.0, wrap=13), keys, "k_dist", 1.0).withColumn("w", F.round("w", 6))
+
+
 ALL_PREV = PREV.replace(" WHERE scan_id % 2 = 0 GROUP BY ALL", " GROUP BY ALL")
 
 

@@ -70,3 +70,9 @@ def test_thresholds_come_from_all_matches(spark, monkeypatch):
 def test_ray_histogram_counts_all_scans(spark):
     counted = lambda name: catalog.QUERIES[name](spark, SMALL).agg({"w": "sum"}).first()[0]
     assert counted("ray_histogram_1gram_whole") == catalog.QUERIES["ray_observation_projection"](spark, SMALL).count() > counted("ray_histogram_1gram")
+
+
+def test_every_class_is_suppressed_and_blurred(spark):
+    classes = {r.cls for r in hits(spark, SMALL).select("cls").distinct().collect()}
+    for name, column in (("nms_greedy_radius", "model_cls"), ("bank_blur_whole", "cls")):
+        assert {r[0] for r in catalog.QUERIES[name](spark, SMALL).select(column).distinct().collect()} == classes
