@@ -101,6 +101,7 @@ def _candidates(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Of a group: its members that have a partner by signature, each with the later partners whose first common band is the group's."""
     keys, band, side = table.column("_key"), table.column("_band")[0].as_py(), table.column("_side").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(keys), BANDS * ROWS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), BANDS)
     partners: dict[int, list[int]] = {}
     mixed = side.any()
     for i in range(len(keys) - 1):
@@ -109,7 +110,7 @@ def _candidates(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if mixed:
             near = near[side[i + 1 :][near] != side[i]]
         if len(near):
-            first = same[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1)
+            first = (bands[i + 1 :][near] == bands[i]).argmax(1)
             near = near[first == band] + i + 1
         if len(near):
             partners.setdefault(i, []).extend(near.tolist())
@@ -178,7 +179,7 @@ def near_links(docs: DataFrame, signed: DataFrame, key: str, text: str) -> DataF
     members = members.select(
         F.xxhash64("_bucket", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_group"), "_key", "_rid", "_band", (F.col("_block") > F.col("_other")).alias("_a"), (F.col("_block") < F.col("_other")).alias("_b")
     ).select("_group", "_key", "_rid", "_band", (F.col("_a").cast("int") + 2 * F.col("_b").cast("int")).alias("_side"))
-    signed_members = members.join(alone.select("_rid", "sig"), "_rid").select("_group", "_key", "_band", "_side", "sig")
+    signed_members = members.join(alone.select("_rid", "sig", "bands"), "_rid").select("_group", "_key", "_band", "_side", "sig", "bands")
     batches_of(docs.sparkSession, 10_000, 8)
     found = materialize(by_group(signed_members, _candidates, f"_group long, _key {kind}, partners array<{kind}>"), "candidates")
     sets = full_sets(docs, found.select("_key").distinct(), key, text)

@@ -387,3 +387,16 @@ def test_search_of_all_shards_is_exact(spark, monkeypatch):
                 score[d] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean))
         score[~unused] = score[seed] = -1
         assert len(docs) == 6 and np.allclose(np.sort(score[docs])[::-1], np.sort(score)[::-1][:6], rtol=1e-4)
+
+
+def test_a_band_that_agrees_in_its_slices_only_loses_no_pair():
+    import pyarrow as pa
+
+    low = np.arange(1, minhash.BANDS * minhash.ROWS + 1, dtype=np.uint64) << np.uint64(20)
+    other = low.copy()
+    other[0] ^= np.uint64(1)
+    bands = [minhash.band_keys(x) for x in (low, other)]
+    assert bands[0][0] != bands[1][0] and bands[0][1] == bands[1][1]
+    sig = [(x >> np.uint64(20)).astype("<u2").tobytes() for x in (low, other)]
+    group = pa.table({"_group": [7, 7], "_key": [1, 2], "_band": pa.array([1, 1], pa.int32()), "_side": pa.array([0, 0], pa.int32()), "sig": sig, "bands": pa.array(bands, pa.list_(pa.int64()))})
+    assert [r["partners"] for b in minhash._candidates(group) for r in b.to_pylist()] == [[2], []]
