@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -45,18 +45,36 @@ def match_rules(df: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b): a page's url, and the absolute url of its canonical link or meta refresh. Relative targets are resolved to the page's origin."""
+    """Edges (a, b): a page's url, and the absolute url of its canonical link or meta refresh. Relative targets are resolved against the page's url."""
     tags = pages.where(F.col(url).isNotNull() & F.rlike(html, F.lit(r"(?i)\bcanonical\b|http-equiv"))).select(
         F.col(url).alias("a"), F.explode(F.regexp_extract_all(html, F.lit(TAG), F.lit(0))).alias("tag")
     )
     to = F.when(F.rlike("tag", F.lit(r"(?is)\brel\s*=\s*[\"']?canonical\b")), F.regexp_extract("tag", HREF, 1)).when(
         F.rlike("tag", F.lit(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b")), F.regexp_extract("tag", REFRESH, 1)
     )
-    origin = F.regexp_extract("a", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract("a", r"(?s)^(.*?:)//", 1), to)).when(F.startswith(to, F.lit("/")), F.concat(origin, to)).otherwise(to)
+    to = F.replace(to, F.lit("&amp;"), F.lit("&"))
+    part = lambda pattern: F.regexp_extract("a", pattern, 1)
+    page, origin = part(r"(?s)^(.*?://[^?#]*)"), part(r"(?s)^(.*?://[^/?#]*)")
+    folder = F.coalesce(F.nullif(part(r"(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)"), F.lit("")), F.concat(origin, F.lit("/")))
+    to = (
+        F.when(F.rlike(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")) | (to == ""), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(part(r"(?s)^(.*?:)//"), to))
+        .when(F.startswith(to, F.lit("/")), _without_dots(F.concat(origin, to)))
+        .when(F.startswith(to, F.lit("?")) | F.startswith(to, F.lit("#")), F.concat(page, to))
+        .otherwise(_without_dots(F.concat(folder, to)))
+    )
     return tags.select("a", to.alias("b")).where("b LIKE '%://%' AND a != b").distinct()
 
 
+def _without_dots(url: Column) -> Column:
+    """The url with the segments . and .. of its path resolved."""
+    part = lambda n: F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)/?([^?#]*)(.*)$", n)
+    steps = F.split(F.regexp_replace(part(2), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(steps, none, lambda s, x: F.when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    return F.concat(part(1), F.lit("/"), F.array_join(kept, "/"), part(3))
+
+
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows (key, host, path, rule, verdict, component) for every row of pages.
 

@@ -400,3 +400,9 @@ def test_a_band_that_agrees_in_its_slices_only_loses_no_pair():
     sig = [(x >> np.uint64(20)).astype("<u2").tobytes() for x in (low, other)]
     group = pa.table({"_group": [7, 7], "_key": [1, 2], "_band": pa.array([1, 1], pa.int32()), "_side": pa.array([0, 0], pa.int32()), "sig": sig, "bands": pa.array(bands, pa.list_(pa.int64()))})
     assert [r["partners"] for b in minhash._candidates(group) for r in b.to_pylist()] == [[2], []]
+
+
+def test_relative_targets_are_resolved(spark):
+    want = {"other.html": "http://h/a/b/other.html", "../x": "http://h/a/x", "?id=2&amp;n=1": "http://h/a/b/p?id=2&n=1", "/r/./s": "http://h/r/s", "//g/y": "http://g/y", "../../../z?q=a/../b": "http://h/z?q=a/../b", "..": "http://h/a/", "https://k/?a&amp;b": "https://k/?a&b"}
+    pages = spark.createDataFrame([("http://h/a/b/p?old=1", f'<link rel="canonical" href="{t}">') for t in want] + [("http://n", '<link rel="canonical" href="m">'), ("http://n", '<link rel="canonical" href="mailto:x">')], "url string, html string")
+    assert {tuple(r) for r in url_filters.alias_edges(pages).collect()} == {("http://h/a/b/p?old=1", b) for b in want.values()} | {("http://n", "http://n/m")}
