@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: How many tasks share the rows of one key.
 SALTS = 32
+#: Bits of a filter for each of its keys; the largest filter that is broadcast, 262,144 rows.
+BITS_PER_KEY, MAX_BITS = 16, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the storage that driver and executors share (spark.checkpoint.dir)."""
+    """A fresh folder in the storage that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a local master takes a temporary folder; a cluster raises, since its machines share none.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='perceptra-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -37,10 +45,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batches_of(spark: SparkSession, rows: int, mb: int = 16) -> None:
-    """Bounds the Arrow batches handed to Python, so that long texts do not add up to large batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize() returned, once all that was made of it is written."""
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        discard(df.sparkSession, path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], mb: int = 4) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a slice's texts, binaries and lists take about mb megabytes, or one row.
+
+    Spark hands over at most spark.sql.execution.arrow.maxBytesPerBatch (64 MB) at once; what becomes Python objects is bounded here,
+    without a session setting that other plans would run under.
+    """
+    for batch in batches:
+        if batch.nbytes <= mb << 20:
+            yield batch
+            continue
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_list(column.type):
+                size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        end, begin = np.cumsum(size), 0
+        while begin < batch.num_rows:
+            upto = int(np.searchsorted(end, (end[begin - 1] if begin else 0) + (mb << 20), "right"))
+            upto = max(upto, begin + 1)
+            yield batch.slice(begin, upto - begin)
+            begin = upto
 
 
 def spread(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], salt_on: list[str], having: str = "true") -> DataFrame:
@@ -59,21 +97,26 @@ def spread(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]],
     return salted.join(whole.withColumn("_salt", F.explode(each)).drop("_salts"), [*keys, "_salt"]).drop("_salt")
 
 
-def bit_table(keys: DataFrame, key: Column, bits: int) -> DataFrame:
-    """A Bloom filter of one hash over keys: rows (word, mask), at most bits / 64 of them, so it may be broadcast."""
+def flagged(df: DataFrame, keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """Adds boolean name: whether key, a 64-bit hash, may be among keys (its column _h, materialized); never a false no.
+
+    Up to MAX_BITS / BITS_PER_KEY keys are a filter of one hash that grows with their number: its words, at most MAX_BITS / 64 rows, are broadcast.
+    More keys are joined by shuffle, exactly, each copied to SALTS tasks so that the rows of a hot key need not meet in one.
+    """
+    n = keys.count()
+    bits = 1 << max(16, (BITS_PER_KEY * n - 1).bit_length())
+    if bits > MAX_BITS:
+        known = keys.select("_h").distinct().select("_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias(name))
+        salted = df.withColumns({"_h": key, "_salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
+        return salted.join(known, ["_h", "_salt"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_h", "_salt")
     slot = F.pmod(key, F.lit(bits))
-    one = keys.select(slot.alias("s")).select(
+    one = keys.select(F.pmod("_h", F.lit(bits)).alias("s")).select(
         F.shiftright("s", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int")).alias("m")
     )
-    return one.groupBy("word").agg(F.bit_or("m").alias("mask"))
-
-
-def with_bit(df: DataFrame, bits_table: DataFrame, key: Column, bits: int, name: str) -> DataFrame:
-    """Adds boolean name: whether key may be in the filter (never a false no)."""
-    slot = F.pmod(key, F.lit(bits))
+    words = materialize(one.groupBy("word").agg(F.bit_or("m").alias("mask")), "filter")
     marked = df.withColumn("_slot", slot).withColumn("word", F.shiftright("_slot", 6))
     hit = F.coalesce(F.getbit(F.col("mask"), (F.col("_slot") % 64).cast("int")) == 1, F.lit(False))
-    return marked.join(F.broadcast(bits_table), "word", "left").withColumn(name, hit).drop("word", "_slot", "mask")
+    return marked.join(F.broadcast(words), "word", "left").withColumn(name, hit).drop("word", "_slot", "mask")
 
 
 def by_group(rows: DataFrame, judge: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from .common import drop_table, materialize, spread
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,9 +29,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = spread(both, ["u"], {"m": ("min", F.col("v"))}, ["v"]).withColumn("m", F.least("m", "u"))
         large = materialize(low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "cc")
+        drop_table(e)
         low = spread(large, ["u"], {"m": ("min", F.col("v"))}, ["v"])
         small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         e = materialize(small.select("x.u", "x.v").where("u != v").distinct(), "cc")
+        drop_table(large)
         if (now := _state(e)) == before:
             break
         before = now

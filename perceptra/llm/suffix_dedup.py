@@ -2,44 +2,60 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, by_group, materialize
-from .text_arrays import powers, scrambled
+from .common import by_group, materialize, slices
+from .text_arrays import scrambled
 
 #: Length of the strings that are judged, and of the anchors that deal them out: a string's anchor is the least hash among its substrings of that length.
 SPAN, ANCHOR = 50, 16
 AROUND = SPAN - ANCHOR + 1
-#: Longest run of string starts that travels as one piece.
-RUN = 4096
-#: The filter of anchors that occur twice, one bit each: 32 MB, broadcast. If it fills up, more pieces travel; no repeat is lost.
-FILTER_BITS = 28
+#: Longest run of string starts that travels as one piece, and bytes of text that are looked at at once.
+RUN, CHUNK = 4096, 1 << 20
+#: The filter of anchors that occur twice has a bit for every two bytes of text, from 2^20 to 2^30 (128 MB), and is broadcast. Beyond 2 GB it
+#: fills up: more pieces travel, no repeat is lost.
+LEAST_BITS, MOST_BITS = 20, 30
 #: Bytes of text for each group of anchors that are counted together, of which there are a power of two from 2^8 to 2^16.
 TEXT_PER_COUNT = 1 << 28
+#: Anchors are counted by their upper 44 bits.
+COUNTED = np.uint64(20)
+#: An anchor at more places than this is hot: its strings are dealt one by one by all of their bytes. There are at most a text's bytes / HOT of them.
+HOT = 1 << 16
 #: Bytes of text for each partition that merges transforms; symbols of a shard's transform.
 TEXT_PER_TASK, SHARD = 4 << 20, 1 << 18
-#: Anchors or bytes gathered before they are handed on.
-FLUSH = 1 << 21
+#: Anchors, and bytes of pieces, gathered before they are handed on.
+FLUSH, FLUSH_BYTES = 1 << 21, 1 << 23
 ZSTD = pa.Codec("zstd", 1)
 #: Ends a piece; no byte of UTF-8 is 0xFF, so symbols are bytes plus one.
 STOP = 0
 
 
+def rolled(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each substring of size bytes. Equal strings have equal hashes; unequal ones may, and are told apart by their bytes later."""
+    h, power, done = data.astype(np.uint64) + np.uint64(1), 0x5851F42D4C957F2D, 1
+    total, held = None, 0
+    while True:
+        if size & done:
+            n = len(data) - held - done + 1
+            total = h[:n] if total is None else total[:n] * np.uint64(power % (1 << 64)) + h[held : held + n]
+            held += done
+        if held == size:
+            return scrambled(total)
+        h, power, done = h[:-done] * np.uint64(power) + h[done:], power * power % (1 << 64), 2 * done
+
+
 def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, count, anchor): runs of string starts with the same anchor; none if the text is shorter than SPAN."""
     if len(data) < SPAN:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    h, power, size = data.astype(np.uint64) + np.uint64(1), 0x5851F42D4C957F2D, 1
-    while size < ANCHOR:
-        h, power, size = h[:-size] * np.uint64(power) + h[size:], power * power % (1 << 64), 2 * size
-    low, size = scrambled(h), 1
+    low, size = rolled(data, ANCHOR), 1
     while 2 * size <= AROUND:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
     low = np.minimum(low[: len(low) - (AROUND - size)], low[AROUND - size :])
@@ -53,10 +69,20 @@ def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return new, count, low[new]
 
 
+def chunks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A long text as parts of CHUNK string starts each, and where they begin: every string lies whole in one part."""
+    for at in range(0, max(1, len(data) - SPAN + 1), CHUNK):
+        yield at, data[at : at + CHUNK + SPAN - 1]
+
+
 def _packed(raw: bytes) -> bytes:
     return ZSTD.compress(raw, asbytes=True)
 
 
+def _unpacked(blob: bytes, size: int) -> bytes:
+    return ZSTD.decompress(blob, size, asbytes=True)
+
+
 def _bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
@@ -73,100 +99,141 @@ def _dealt(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.
 def _blobs(table: pa.Table, sizes: np.ndarray, column: str, kind: type) -> np.ndarray:
     """The values of a column of blobs; sizes are their numbers of values."""
     width = np.dtype(kind).itemsize
-    raw = [ZSTD.decompress(x, int(n) * width, asbytes=True) for x, n in zip(table.column(column).to_pylist(), sizes, strict=True)]
+    raw = [_unpacked(x, int(n) * width) for x, n in zip(table.column(column).to_pylist(), sizes, strict=True)]
     return np.concatenate([np.frombuffer(x, kind) for x in raw])
 
 
-def _release(docs: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer used, before more are written."""
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+def _steps(sorted_values: np.ndarray) -> bytes:
+    """Differences of ascending numbers, byte by byte of all, which compresses well."""
+    return np.diff(sorted_values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
 
+def filter_bits(total: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (total // 2).bit_length()))
 
-def repeated_anchors(docs: DataFrame, text: str, total: int) -> bytes:
-    """The filter of anchors that occur at two places or more; total is the text's bytes."""
-    batches_of(docs.sparkSession, 1000, 4)
+
+def repeated_anchors(docs: DataFrame, text: str, total: int) -> tuple[bytes, np.ndarray]:
+    """The filter of anchors that occur at two places or more, and the hot anchors; total is the text's bytes."""
+    filter_size = filter_bits(total)
     split = min(16, max(8, (total // TEXT_PER_COUNT).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            return _dealt(found >> np.uint64(64 - split), [found, times > 1], ["anchor", "many"])
-
-        for batch in batches:
+            found, times = np.unique(np.concatenate(held) >> COUNTED, return_counts=True)
+            part = (found >> (np.uint64(64 - split) - COUNTED)).astype(np.int64)
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            upto = np.append(edge[1:], len(part))
+            blobs = [[_packed(make(x[i:j])) for i, j in zip(edge, upto, strict=True)] for make, x in ((_steps, found), (np.ndarray.tobytes, times.astype(np.uint32)))]
+            return pa.RecordBatch.from_arrays([pa.array(part[edge]), pa.array(upto - edge), *(pa.array(b, pa.binary()) for b in blobs)], names=["_group", "n", "anchor", "times"])
+
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
-                held.append(anchor_runs(_bytes_of(t))[2])
-                n += len(held[-1])
-            if n >= FLUSH:
-                yield flush()
-                held, n = [], 0
+                for _, data in chunks(_bytes_of(t)):
+                    held.append(anchor_runs(data)[2])
+                    n += len(held[-1])
+                    if n >= FLUSH:
+                        yield flush()
+                        held, n = [], 0
         if n:
             yield flush()
 
     def combine(table: pa.Table) -> Iterator[pa.RecordBatch]:
         sizes = table.column("n").to_numpy()
-        anchor, many = _blobs(table, sizes, "anchor", np.uint64), _blobs(table, sizes, "many", np.bool_).copy()
+        raw = [_unpacked(x, int(n) * 8) for x, n in zip(table.column("anchor").to_pylist(), sizes, strict=True)]
+        anchor, times = np.concatenate(list(map(_from_steps, raw))), _blobs(table, sizes, "times", np.uint32)
         order = np.argsort(anchor)
-        anchor, many = anchor[order], many[order]
-        same = anchor[1:] == anchor[:-1]
-        many[1:][same] = True
-        slots = (anchor[many] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - (table.column("_group")[0].as_py() << (FILTER_BITS - split))
-        bits = np.zeros(1 << (FILTER_BITS - split), np.uint8)
-        bits[slots] = 1
-        yield pa.RecordBatch.from_arrays([table.column("_group")[:1].combine_chunks(), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
-
-    dealt = docs.select(text).mapInArrow(gather, "_group long, n long, anchor binary, many binary")
-    rows = by_group(dealt, combine, "part long, bits binary", 1 << (split - 3)).collect()
-    size = 1 << (FILTER_BITS - split - 3)
+        anchor = anchor[order]
+        edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        anchor, times = anchor[edge], np.add.reduceat(times[order].astype(np.int64), edge)
+        group = table.column("_group")[0].as_py()
+        bits = np.zeros(1 << (filter_size - split), np.uint8)
+        bits[(anchor[times > 1] >> (np.uint64(64 - filter_size) - COUNTED)).astype(np.int64) - (group << (filter_size - split))] = 1
+        yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "bits": [np.packbits(bits, bitorder="little").tobytes()], "hot": [anchor[times > HOT].tobytes()]})
+
+    dealt = docs.select(text).mapInArrow(gather, "_group long, n long, anchor binary, times binary")
+    rows = by_group(dealt, combine, "part long, bits binary, hot binary", 1 << (split - 3)).collect()
+    size = 1 << (filter_size - split - 3)
     whole = bytearray(size << split)
     for r in rows:
         whole[r.part * size : (r.part + 1) * size] = r.bits
-    del dealt
-    _release(docs)
-    return bytes(whole)
+    return bytes(whole), np.sort(np.frombuffer(b"".join(bytes(r.hot) for r in rows), np.uint64))
+
+
+def _one_by_one(data: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs, those of hot anchors as single starts with a hash of their string for an anchor."""
+    short = anchor >> COUNTED
+    is_hot = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short if len(hot) else np.zeros(len(anchor), bool)
+    if not is_hot.any():
+        return start, count, anchor
+    n = count[is_hot]
+    each = np.repeat(start[is_hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    rest = ~is_hot
+    return np.concatenate((start[rest], each)), np.concatenate((count[rest], np.ones(len(each), np.int64))), np.concatenate((anchor[rest], rolled(data, SPAN)[each]))
 
 
-def pieces(docs: DataFrame, bits: bytes, parts: int) -> DataFrame:
-    """Runs of strings whose anchor may occur again, dealt by anchor: docs has _order, _ident and the text; a row for each part and batch."""
-    filtered = docs.sparkSession.sparkContext.broadcast(bits)
-    batches_of(docs.sparkSession, 1000, 4)
+#: What is known of each piece, and how it is kept.
+FIELDS = {"start": np.uint32, "count": np.uint16, "anchor": np.uint32, "order": np.int64, "ident": np.int64}
+
+
+def pieces(docs: DataFrame, bits: bytes, hot: np.ndarray, parts: int) -> DataFrame:
+    """Runs of strings whose anchor may occur again, dealt by anchor: docs has _order, _ident and the text; a row for each part and batch.
+
+    Of equal pieces of one batch, those whose order is not the least are settled: they repeat whole. They travel without bytes or
+    anchor, dealt by their order, so that a passage in many documents is a few pieces to the task that has its anchor.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((bits, hot))
+    shift = np.uint64(64 - (len(bits).bit_length() + 2))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(filtered.value, np.uint8)
+        mask, hot = np.frombuffer(known.value[0], np.uint8), known.value[1]
         held, n = [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             start, count, anchor, order, ident, body = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (anchor % np.uint64(1 << 32) % np.uint64(parts)).astype(np.int64)
-            rows = _dealt(part, [start.astype(np.uint32), count.astype(np.uint16), (anchor >> np.uint64(8)).astype(np.uint32), order, ident.astype(np.int32)], ["start", "count", "anchor", "order", "ident"])
             size = count + SPAN - 1
-            by_part = np.argsort(part, kind="stable")
             first = np.cumsum(size) - size
-            at = np.repeat(first[by_part] - (np.cumsum(size[by_part]) - size[by_part]), size[by_part]) + np.arange(size.sum())
-            sums = np.bincount(part, size).astype(np.int64)
+            which, pick = pooled(body, size)
+            low = np.full(len(pick), np.iinfo(np.int64).max)
+            np.minimum.at(low, which, order)
+            settled = order > low[which]
+            columns = [start.astype(np.uint32), count.astype(np.uint16), (anchor >> np.uint64(8)).astype(np.uint32), order, ident]
+            at = np.flatnonzero(settled)
+            if len(at):
+                part = (scrambled(order[at].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                rows = _dealt(part, [c[at] for c in columns], list(FIELDS))
+                none = pa.array([b""] * rows.num_rows, pa.binary())
+                yield rows.append_column("body", none).append_column("bytes", pa.array(np.zeros(rows.num_rows, np.int64)))
+            at = np.flatnonzero(~settled)
+            part = (anchor[at] % np.uint64(1 << 32) % np.uint64(parts)).astype(np.int64)
+            rows = _dealt(part, [c[at] for c in columns], list(FIELDS))
+            at = at[np.argsort(part, kind="stable")]
+            sums = np.bincount(part, size[~settled]).astype(np.int64)
             sums = sums[sums > 0]
-            joined, edges = body[at].tobytes(), np.concatenate(([0], np.cumsum(sums)))
-            return rows.append_column("body", pa.array([_packed(joined[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())).append_column("bytes", pa.array(sums))
+            joined, edges = _take(body, first[at], size[at]).tobytes(), np.concatenate(([0], np.cumsum(sums)))
+            yield rows.append_column("body", pa.array([_packed(joined[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())).append_column("bytes", pa.array(sums))
 
-        for batch in batches:
+        for batch in slices(batches):
             for order, ident, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = _bytes_of(t)
-                start, count, anchor = anchor_runs(data)
-                slot = (anchor >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = (mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                if hit.any():
-                    start, count, anchor = start[hit], count[hit], anchor[hit]
-                    size = count + SPAN - 1
-                    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    held.append((start, count, anchor, np.full(len(start), order), np.full(len(start), ident), data[at]))
-                    n += len(at)
-            if n >= 4 * FLUSH:
-                yield flush()
-                held, n = [], 0
+                for begin, data in chunks(_bytes_of(t)):
+                    start, count, anchor = anchor_runs(data)
+                    slot = (anchor >> shift).astype(np.int64)
+                    hit = (mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    if hit.any():
+                        start, count, anchor = _one_by_one(data, start[hit], count[hit], anchor[hit], hot)
+                        body = _take(data, start, count + SPAN - 1)
+                        held.append((start + begin, count, anchor, np.full(len(start), order), np.full(len(start), ident), body))
+                        n += len(body)
+                    if n >= FLUSH_BYTES:
+                        yield from flush()
+                        held, n = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(cut, "_group long, n long, start binary, count binary, anchor binary, order binary, ident binary, body binary, bytes long")
 
@@ -234,23 +301,67 @@ def repeated_intervals(shards: list[np.ndarray], depth: int = SPAN) -> tuple[np.
     return place[order], block
 
 
-def _hashes(body: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each piece's bytes and length, in slices of bounded size."""
-    end = np.cumsum(size)
-    cuts = np.unique(np.append(np.searchsorted(end, np.arange(1 << 20, end[-1], 1 << 20)), len(size))) if len(size) else []
-    power, out, i = powers(int(size.max())) if len(size) else None, [], 0
-    for j in cuts:
-        if j > i:
-            n, lo = size[i:j], end[i] - size[i]
-            begin = np.cumsum(n) - n
-            at = np.arange(n.sum()) - np.repeat(begin, n)
-            out.append(np.add.reduceat((body[lo : end[j - 1]].astype(np.uint64) + np.uint64(1)) * power[at], begin))
-            i = j
-    return scrambled(np.concatenate(out) + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+def _cuts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of pieces of about a megabyte."""
+    end, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + (1 << 20), "right")))
+        yield i, j
+        i = j
 
 
 def _take(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return body[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    """The bytes of pieces, one after the other."""
+    out, at = np.empty(int(size.sum()), body.dtype), 0
+    for i, j in _cuts(size):
+        n = size[i:j]
+        where = np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[at : at + len(where)] = body[where]
+        at += len(where)
+    return out
+
+
+def _hashes(body: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each piece's bytes and length, eight bytes at a time over all pieces; equal hashes don't prove equal pieces."""
+    padded = np.concatenate((body, np.zeros(7, np.uint8)))
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    begin = np.cumsum(size) - size
+    h, order = scrambled(size.astype(np.uint64)), np.argsort(-size, kind="stable")
+    for at in range(0, int(size.max(initial=0)), 8):
+        order = order[: np.searchsorted(-size[order], -at)]
+        left = size[order] - at
+        value = np.ascontiguousarray(words[begin[order] + at]).view(np.uint64).ravel()
+        value = np.where(left < 8, value & (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1), value)
+        h[order] = scrambled(h[order] * np.uint64(0x632BE59BD9B4E019) ^ value)
+    return h
+
+
+def pooled(body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, pick): for each piece the number of its bytes among the different ones, and for each of these the first piece that has them.
+
+    Pieces are brought together by a hash and compared with the first of the hash byte by byte, in slices; those that differ from it are told apart by their bytes.
+    """
+    if not len(size):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    begin = np.cumsum(size) - size
+    _, pick, which = np.unique(_hashes(body, size), return_index=True, return_inverse=True)
+    twin = pick[which]
+    other = np.flatnonzero(twin != np.arange(len(size)))
+    differ = [other[size[other] != size[twin[other]]]]
+    other = other[size[other] == size[twin[other]]]
+    for i, j in _cuts(size[other]):
+        x = other[i:j]
+        unequal = _take(body, begin[x], size[x]) != _take(body, begin[twin[x]], size[x])
+        differ.append(x[np.logical_or.reduceat(unequal, np.cumsum(size[x]) - size[x])])
+    odd = np.concatenate(differ)
+    if len(odd):
+        more: dict[bytes, int] = {}
+        for x in odd.tolist():
+            which[x] = more.setdefault(body[begin[x] : begin[x] + size[x]].tobytes(), len(pick) + len(more))
+        extra = np.full(len(more), len(size))
+        np.minimum.at(extra, which[odd] - len(pick), odd)
+        pick = np.concatenate((pick, extra))
+    return which, pick
 
 
 def covered(anchor: np.ndarray, order: np.ndarray, count: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +372,7 @@ def covered(anchor: np.ndarray, order: np.ndarray, count: np.ndarray, body: np.n
     """
     size = count + SPAN - 1
     begin = np.cumsum(size) - size
-    _, pick, which = np.unique(_hashes(body, size), return_index=True, return_inverse=True)
+    which, pick = pooled(body, size)
     low = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(low, which, order)
     whole = np.flatnonzero(order > low[which])
@@ -299,23 +410,37 @@ def covered(anchor: np.ndarray, order: np.ndarray, count: np.ndarray, body: np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _spans(order: np.ndarray, ident: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Ranges of bytes; those that follow on each other in a document are one."""
+    by = np.lexsort((lo, ident, order))
+    order, ident, lo, hi = order[by], ident[by], lo[by], hi[by]
+    new = np.flatnonzero(np.concatenate(([True], (order[1:] != order[:-1]) | (ident[1:] != ident[:-1]) | (lo[1:] > hi[:-1])))) if len(lo) else np.empty(0, np.int64)
+    hi = np.maximum.reduceat(hi, new) if len(new) else hi
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (order[new], ident[new], lo[new].astype(np.int32), hi.astype(np.int32))], names=["_order", "_ident", "lo", "hi"])
+
+
 def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     """Rows (_order, _ident, lo, hi): bytes of documents that lie in a string which also starts in a document of smaller order."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = repeated_anchors(docs, text, total)
+    bits, hot = repeated_anchors(docs, text, total)
     parts = max(8, total // TEXT_PER_TASK)
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = {"start": np.uint32, "count": np.uint16, "anchor": np.uint32, "order": np.int64, "ident": np.int32}
-        c = {k: _blobs(table, table.column("n").to_numpy(), k, t) for k, t in kinds.items()}
-        c["body"] = _blobs(table, table.column("bytes").to_numpy(), "body", np.uint8)
-        piece, lo, hi = covered(c["anchor"], c["order"], c["count"].astype(np.int64), c["body"])
-        start = c["start"][piece].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["order"][piece], c["ident"][piece], (start + lo).astype(np.int32), (start + hi + SPAN).astype(np.int32))], names=["_order", "_ident", "lo", "hi"])
-
-    dealt = pieces(docs.select("_order", "_ident", text), bits, parts)
-    batches_of(docs.sparkSession, 200, 8)
-    return by_group(dealt, judge, "_order long, _ident int, lo int, hi int", parts)
+        settled = pc.equal(table.column("bytes"), 0)
+        for rows, open_ in ((table.filter(settled), False), (table.filter(pc.invert(settled)), True)):
+            if not rows.num_rows:
+                continue
+            c = {k: _blobs(rows, rows.column("n").to_numpy(), k, t) for k, t in FIELDS.items()}
+            count = c["count"].astype(np.int64)
+            if open_:
+                piece, lo, hi = covered(c["anchor"], c["order"], count, _blobs(rows, rows.column("bytes").to_numpy(), "body", np.uint8))
+            else:
+                piece, lo, hi = np.arange(len(count)), np.zeros(len(count), np.int64), count - 1
+            start = c["start"][piece].astype(np.int64)
+            yield _spans(c["order"][piece], c["ident"][piece], start + lo, start + hi + SPAN)
+
+    dealt = pieces(docs.select("_order", "_ident", text), bits, hot, parts)
+    return by_group(dealt, judge, "_order long, _ident long, lo int, hi int", parts)
 
 
 def kept_ranges(n: int, lo: list[int], hi: list[int]) -> tuple[list[tuple[int, int]], int]:
@@ -342,15 +467,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     body = F.coalesce(F.col(text), F.lit(""))
     order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.col(key).alias("_key"), order.alias("_order"), F.hash(body).alias("_ident"), body.alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), order.alias("_order"), F.xxhash64(body).alias("_ident"), body.alias("_text"))
     spans = materialize(repeated_spans(rows, "_text"), "spans")
-    _release(docs)
     spans = spans.groupBy("_order", "_ident").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     joined = rows.join(spans, ["_order", "_ident"], "left").select("_key", "_text", F.col("lo"), F.col("hi"))
-    batches_of(docs.sparkSession, 1000, 4)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t, lo, hi in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 raw = t.encode()

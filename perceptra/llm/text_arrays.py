@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_powers = [np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd constant modulo 2**64."""
-    if len(_powers[0]) < n:
-        _powers[0] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * n, 0x5851F42D4C957F2D, np.uint64)), dtype=np.uint64)
-    return _powers[0]
+#: Long words whose hash is kept in each worker process, and their length at most.
+MEMO, MEMO_BYTES = 1 << 16, 64
+_long_words: dict[bytes, int] = {}
 
 
 def scrambled(h: np.ndarray) -> np.ndarray:
@@ -25,13 +22,39 @@ def word_begins(solid: np.ndarray) -> np.ndarray:
     return np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
 
 
+def _digest(word: bytes) -> int:
+    value = _long_words.get(word)
+    if value is None:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMO_BYTES:
+            if len(_long_words) >= MEMO:
+                _long_words.clear()
+            _long_words[word] = value
+    return value
+
+
 def word_hashes(data: np.ndarray, solid: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A hash of each run of solid bytes; begins as word_begins() gives them, not empty."""
-    at = np.zeros(len(data), np.int64)
-    at[begins[0] :] = np.arange(begins[0], len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
-    at[~solid] = 0
-    value = np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * powers(int(at.max()) + 1)[at], np.uint64(0))
-    return scrambled(np.add.reduceat(value, begins))
+    """A hash of each run of solid bytes; begins as word_begins() gives them, not empty.
+
+    Up to eight bytes are one number, whose hash is a bijection, so such words never collide; longer ones, and those with a zero byte, have a
+    BLAKE2b digest.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    ends = np.flatnonzero(solid & ~np.concatenate((solid[1:], [False]))) + 1
+    size = ends - begins
+    packed = np.zeros(len(begins), np.uint64)
+    for j in range(8):
+        packed |= np.where(size > j, padded[begins + j], 0).astype(np.uint64) << np.uint64(8 * j)
+    out = scrambled(packed + MIX)
+    long = size > 8
+    zero = np.flatnonzero(data == 0)
+    if len(zero):
+        long[np.searchsorted(begins, zero, "right") - 1] = True
+    at = np.flatnonzero(long)
+    if len(at):
+        raw = data.tobytes()
+        out[at] = np.fromiter((_digest(raw[i:j]) for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)), np.uint64, len(at))
+    return out
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
