@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_table, by_group, materialize, spread, with_bit
+from .common import by_group, drop_table, flagged, materialize, slices, spread
 from .graph import connected_components
 from .text_arrays import scrambled, windows, word_begins, word_hashes
 
@@ -19,9 +19,12 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Minima that must agree before full sets are compared: the mean at the threshold less 4.75 standard deviations (1e-6 of such pairs have fewer).
 AGREE = 72
-#: Members of a bucket that are compared in one task; larger buckets are compared block by block.
-BLOCK = 1024
-FILTER_BITS = 1 << 22
+#: Members of a bucket, and bytes of their texts, that are compared in one task; larger buckets are compared block by block.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Buckets of several blocks up to this number are broadcast; beyond, they are joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
+#: Shingles of the exact sets that a task keeps at hand.
+HELD = 1 << 20
 
 _random = np.random.default_rng(20240101)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,14 +35,28 @@ SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of WORDS words, A-Z lower-cased; of fewer words, one of them all; none without words."""
+def words_of(text: str | None) -> bytes:
+    """The words of a text, A-Z lower-cased, with one space between."""
     data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
     solid = SOLID[data]
+    keep = solid | np.concatenate(([False], solid[:-1])) if len(data) else solid
+    return np.where(solid, data, 32).astype(np.uint8)[keep].tobytes().removesuffix(b" ")
+
+
+def shingles(words: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of WORDS words; of fewer words, one of them all; none without words."""
+    data = np.frombuffer(words, np.uint8)
+    solid = data != 32
     begins = word_begins(solid) if len(data) else data
     return np.unique(windows(word_hashes(data, solid, begins), WORDS)) if len(begins) else np.empty(0, np.uint64)
 
 
+def exact_shingles(words: bytes) -> set[bytes]:
+    """The shingles themselves."""
+    w = words.split(b" ")
+    return {b" ".join(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))}
+
+
 def minima(found: np.ndarray) -> np.ndarray:
     """The smallest value of each universal hash (a x + b modulo 2**64) over the set."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -58,94 +75,112 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (_key, n_shingles, digest of the set, bands, sig: 16 bits of each minimum); of an empty set the last three are null."""
-    batches_of(docs.sparkSession, 1000, 4)
+    """Rows (_key, n_shingles, size of the words, their digest, bands, sig: 16 bits of each minimum); without words the last three are null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests, bands, sigs = [], [], [], []
+        for batch in slices(batches):
+            rows = []
             for t in batch.column(1).to_pylist():
-                found = shingles(t)
+                words = words_of(t)
+                if not words:
+                    rows.append((0, 0, None, None, None))
+                    continue
+                found = shingles(words)
                 low = minima(found)
-                some = len(found) > 0
-                sizes.append(len(found))
-                digests.append(hashlib.blake2b(found, digest_size=16).digest() if some else None)
-                bands.append(band_keys(low) if some else None)
-                sigs.append((low >> np.uint64(20)).astype("<u2").tobytes() if some else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["_key", "n_shingles", "digest", "bands", "sig"],
-            )
+                rows.append((len(found), len(words), _digest(words), band_keys(low), (low >> np.uint64(20)).astype("<u2").tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["_key", "n_shingles", "size", "digest", "bands", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
-    signed = docs.select(key, text).mapInArrow(sign, f"_key {kind}, n_shingles long, digest binary, bands array<long>, sig binary")
+    signed = docs.select(key, text).mapInArrow(sign, f"_key {kind}, n_shingles long, size long, digest binary, bands array<long>, sig binary")
     return materialize(signed.withColumn("_rid", F.monotonically_increasing_id()), "signatures")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (_key, set) of the documents in wanted (_key), and by way of the bounded filter a few others."""
-    bits = materialize(bit_table(wanted, F.xxhash64("_key"), FILTER_BITS), "wanted")
-    batches_of(docs.sparkSession, 1000, 4)
-    hit = with_bit(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), bits, F.xxhash64("_key"), FILTER_BITS, "_hit").where("_hit").select("_key", "_text")
+def words_for(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (_key, digest, words) of the documents in wanted (_key), and by way of the filter a few others."""
+    keys = materialize(wanted.select(F.xxhash64("_key").alias("_h")).distinct(), "wanted")
+    hit = flagged(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), keys, F.xxhash64("_key"), "_hit").where("_hit").select("_key", "_text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_key", "set"])
-
-    return hit.mapInArrow(build, f"_key {docs.schema[key].dataType.simpleString()}, set binary")
-
-
-def _candidates(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of a group: its members that have a partner by signature, each with the later partners whose first common band is the group's."""
-    keys, band, side = table.column("_key"), table.column("_band")[0].as_py(), table.column("_side").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(keys), BANDS * ROWS)
-    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), BANDS)
-    partners: dict[int, list[int]] = {}
-    mixed = side.any()
-    for i in range(len(keys) - 1):
-        same = sig[i + 1 :] == sig[i]
-        near = np.flatnonzero(same.sum(1) >= AGREE)
-        if mixed:
-            near = near[side[i + 1 :][near] != side[i]]
-        if len(near):
-            first = (bands[i + 1 :][near] == bands[i]).argmax(1)
-            near = near[first == band] + i + 1
-        if len(near):
-            partners.setdefault(i, []).extend(near.tolist())
-            for j in near.tolist():
-                partners.setdefault(j, [])
-    if partners:
-        rows = list(partners)
-        values = keys.to_pylist()
-        kind = pa.list_(keys.type)
-        yield pa.RecordBatch.from_arrays(
-            [table.column("_group").combine_chunks().take(pa.array(rows)), pa.array([values[i] for i in rows], keys.type), pa.array([[values[j] for j in partners[i]] for i in rows], kind)],
-            names=["_group", "_key", "partners"],
-        )
+        for batch in slices(batches):
+            words = list(map(words_of, batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, words), pa.binary()), pa.array(words, pa.binary())], names=["_key", "digest", "words"])
+
+    return hit.mapInArrow(build, f"_key {docs.schema[key].dataType.simpleString()}, digest binary, words binary")
+
+
+class Group:
+    """Members of a bucket that are compared with one another, or the members of one side with those of the other."""
+
+    def __init__(self, table: pa.Table):
+        n = table.num_rows
+        self.band, self.side = table.column("_band")[0].as_py(), table.column("_side").to_numpy()
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(n, BANDS * ROWS)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+        names = table.column("_part").to_pylist()
+        number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+        #: Members of one part are joined already.
+        self.part = np.array([number[name] for name in names])
+        self.mixed = bool(self.side.any())
+
+    def partners(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Of members after i, those not joined to it that agree by signature and meet it here in their first common band."""
+        among = among[self.part[among] != self.part[i]]
+        if self.mixed:
+            among = among[self.side[among] != self.side[i]]
+        among = among[(self.sig[among] == self.sig[i]).sum(1) >= AGREE]
+        return among[(self.bands[among] == self.bands[i]).argmax(1) == self.band] if len(among) else among
+
+    def join(self, i: int, j: int) -> None:
+        self.part[self.part == self.part[j]] = self.part[i]
+
+
+MEMBER = "_group long, _band int, _side int, _part {kind}, _key {kind}, digest binary, sig binary, bands array<long>"
+
+
+def _promising(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of a group, the members that have a partner by signature."""
+    if table.num_rows > 1:
+        group, n = Group(table), table.num_rows
+        found = np.zeros(n, bool)
+        for i in range(n - 1):
+            rest = np.arange(i + 1, n)
+            rest = rest[~found[rest]] if found[i] else rest
+            if len(rest) and len(near := group.partners(i, rest)):
+                found[i] = found[near] = True
+        if found.any():
+            yield from table.filter(pa.array(found)).combine_chunks().to_batches()
 
 
 def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of a group: pairs that reach the threshold on their full sets, as far as they join what is not joined yet."""
-    sets: dict = {}
-    for k, s in zip(table.column("_key").to_pylist(), table.column("set").to_pylist(), strict=True):
-        sets.setdefault(k, []).append(np.frombuffer(s, np.uint64))
-    root = {k: k for k in sets}
-
-    def top(k):
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    out = []
-    for k, partners in zip(table.column("_key").to_pylist(), table.column("partners").to_pylist(), strict=True):
-        for p in partners:
-            a, b = top(k), top(p)
-            if a != b and any(similar(x, y) for x in sets[k] for y in sets[p]):
-                root[max(a, b)] = min(a, b)
-                out.append((k, p))
+    """Of a group: pairs that reach the threshold on their full sets and join what is not joined yet, fewer than its members."""
+    n, keys = table.num_rows, table.column("_key").to_pylist()
+    group, words, out = Group(table), table.column("words"), []
+    hashed: dict[int, np.ndarray] = {}
+    exact: dict[int, set[bytes]] = {}
+
+    def kept(cache: dict, i: int, make: Callable):
+        if i not in cache:
+            if sum(map(len, cache.values())) > HELD:
+                cache.clear()
+            cache[i] = make(words[i].as_py())
+        return cache[i]
+
+    for i in range(n - 1):
+        if (group.part[i:] == group.part[i]).all():
+            continue
+        for j in group.partners(i, np.arange(i + 1, n)).tolist():
+            if group.part[i] != group.part[j] and similar(kept(hashed, i, shingles), kept(hashed, j, shingles)):
+                x, y = kept(exact, i, exact_shingles), kept(exact, j, exact_shingles)
+                if 100 * (common := len(x & y)) >= PERCENT * (len(x) + len(y) - common):
+                    group.join(i, j)
+                    out.append((keys[i], keys[j]))
     if out:
         kind = table.column("_key").type
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -160,32 +195,64 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
+def _confirmed(members: DataFrame, alone: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) within the groups of members (_group, _band, _side, _part, _rid)."""
+    kind = docs.schema[key].dataType.simpleString()
+    named = members.join(alone.select("_rid", "_key", "digest", "sig", "bands"), "_rid").select("_group", "_band", "_side", "_part", "_key", "digest", "sig", "bands")
+    found = materialize(by_group(named, _promising, MEMBER.format(kind=kind)), "candidates")
+    words = words_for(docs, found, key, text).dropDuplicates(["_key", "digest"])
+    links = materialize(by_group(found.join(words, ["_key", "digest"]).select("_group", *found.columns[1:], "words"), _links, f"a {kind}, b {kind}"), "links")
+    drop_table(found)
+    return links
+
+
+def _others(large: DataFrame, links: DataFrame, alone: DataFrame) -> DataFrame:
+    """Groups that compare what the blocks of large buckets left apart: members outside a bucket's largest part with one another, and with that part."""
+    parts = connected_components(links)
+    placed = large.join(parts, F.col("_key") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "_key"))
+    placed = materialize(placed.select("_bucket", "_band", "_rid", "_part", "size"), "placed")
+    by_part = placed.groupBy("_bucket", "_part").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sums = by_part.groupBy("_bucket").agg(F.max(F.struct("n", "s", "_part")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > m.n")
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(s / BLOCK_BYTES)).cast("int")
+    sums = materialize(sums.select("_bucket", F.col("m._part").alias("_main"), blocks(F.col("m.n"), F.col("m.s")).alias("_mains"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("_rests")), "large")
+    each = placed.join(F.broadcast(sums) if sums.count() <= MAX_BROADCAST_ROWS else sums, "_bucket")
+    main = F.col("_part") == F.col("_main")
+    own = F.pmod(F.xxhash64("_rid", "_band"), F.when(main, F.col("_mains")).otherwise(F.col("_rests"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.cast("int").alias("side"))
+    one = F.col("_own")
+    to_main = F.transform(upto(F.col("_mains")), lambda x: pair(0, one, x, F.lit(0)))
+    to_rest = F.transform(upto(F.col("_rests")), lambda x: pair(1, F.least(one, x), F.greatest(one, x), one > x))
+    from_main = F.transform(upto(F.col("_rests")), lambda x: pair(0, x, one, F.lit(1)))
+    each = each.withColumn("_own", own).withColumn("_x", F.explode(F.when(main, from_main).otherwise(F.concat(to_main, to_rest))))
+    return each.select(F.xxhash64("_bucket", "_x.kind", "_x.lo", "_x.hi").alias("_group"), "_band", F.col("_x.side").alias("_side"), "_part", "_rid")
+
+
 def near_links(docs: DataFrame, signed: DataFrame, key: str, text: str) -> DataFrame:
-    """Edges (a, b) that connect all documents that the similarity connects, each confirmed on full sets.
+    """Edges (a, b) that connect all documents that the similarity connects, each confirmed on the shingles themselves.
 
-    Equal sets are compared once, for the smallest key that has them. Members of a band's bucket are compared by signature
-    in blocks, each pair in its first common band only; full sets are fetched only for members with a partner. Of a group's
-    pairs those are returned that join two parts of it, fewer than its members.
+    Equal word sequences are compared once, for the smallest key that has them. Members of a band's bucket are compared by signature, each pair in
+    its first common band only; texts are fetched only for members with a partner. What is joined already is not
+    compared again, so a group writes fewer links than it has members. A bucket that is larger than a block is compared within random blocks,
+    each with the bucket's leader; where that leaves it in several parts, all outside the largest meet the rest, block by block.
     """
-    kind = docs.schema[key].dataType.simpleString()
     some = signed.where("digest IS NOT NULL AND _key IS NOT NULL")
     first = some.groupBy("digest").agg(F.min(F.struct("_key", "_rid")).alias("x")).select(F.col("x._rid").alias("_rid"))
-    alone = materialize(some.join(first, "_rid", "left_semi").select("_key", "_rid", "bands", "sig"), "distinct")
-    banded = materialize(alone.select("_key", "_rid", F.posexplode("bands").alias("_band", "_bucket")), "bands")
-    members = spread(banded, ["_bucket"], {"_n": ("count", F.lit(1))}, ["_rid"], "_n > 1")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    members = members.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_rid"), F.col("_blocks")).cast("int"))
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    members = members.select(
-        F.xxhash64("_bucket", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_group"), "_key", "_rid", "_band", (F.col("_block") > F.col("_other")).alias("_a"), (F.col("_block") < F.col("_other")).alias("_b")
-    ).select("_group", "_key", "_rid", "_band", (F.col("_a").cast("int") + 2 * F.col("_b").cast("int")).alias("_side"))
-    signed_members = members.join(alone.select("_rid", "sig", "bands"), "_rid").select("_group", "_key", "_band", "_side", "sig", "bands")
-    batches_of(docs.sparkSession, 10_000, 8)
-    found = materialize(by_group(signed_members, _candidates, f"_group long, _key {kind}, partners array<{kind}>"), "candidates")
-    sets = full_sets(docs, found.select("_key").distinct(), key, text)
-    batches_of(docs.sparkSession, 2_000, 8)
-    # repeated keys may bring several sets: each is compared, and links the document that has the key
-    return by_group(found.join(sets, "_key").select("_group", "_key", "partners", "set"), _links, f"a {kind}, b {kind}")
+    alone = materialize(some.join(first, "_rid", "left_semi").select("_key", "_rid", "size", "digest", "bands", "sig"), "distinct")
+    banded = materialize(alone.select("_key", "_rid", "size", F.posexplode("bands").alias("_band", "_bucket")), "bands")
+    sums = {"_n": ("count", F.lit(1)), "_bytes": ("sum", F.col("size")), "_lead": ("min", F.xxhash64("_rid"))}
+    members = spread(banded, ["_bucket"], sums, ["_rid"], "_n > 1")
+    members = members.withColumn("_blocks", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int"))
+    members = materialize(members.select("_bucket", "_band", "_key", "_rid", "size", "_blocks", (F.col("_lead") == F.xxhash64("_rid")).alias("_leads")), "members")
+    drop_table(banded)
+    here = F.when(F.col("_leads"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_rid", "_band"), F.col("_blocks")).cast("int")))
+    dealt = members.withColumn("_block", F.explode(here))
+    dealt = dealt.select(F.xxhash64("_bucket", "_block").alias("_group"), "_band", F.lit(0).alias("_side"), F.col("_key").alias("_part"), "_rid")
+    links = _confirmed(dealt, alone, docs, key, text)
+    large = members.where("_blocks > 1")
+    if large.isEmpty():
+        return links
+    return links.unionByName(_confirmed(_others(large, links, alone), alone, docs, key, text))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,10 +276,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that near_groups() keeps, all columns. Only rows that a bounded filter may name are shuffled."""
+    """The rows of docs that near_groups() keeps, all columns. Only rows that a filter may name are shuffled.
+
+    Null and empty texts and rows with a null key stay; of rows that share a key all stay or none does; an empty table gives an empty result.
+    """
     dropped = materialize(near_groups(docs, key, text).where("NOT kept").select(F.col(key).alias("_drop")).distinct(), "dropped")
-    bits = materialize(bit_table(dropped, F.xxhash64("_drop"), FILTER_BITS), "dropped")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    marked = with_bit(docs.select(whole, F.col(key).alias("_key")), bits, F.xxhash64("_key"), FILTER_BITS, "_hit")
+    marked = flagged(docs.select(whole, F.col(key).alias("_key")), dropped.select(F.xxhash64("_drop").alias("_h")), F.xxhash64("_key"), "_hit")
     left = marked.where("_hit").join(dropped, F.col("_drop") == F.col("_key"), "left_anti")
     return marked.where("NOT _hit").select("_doc.*").unionByName(left.select("_doc.*"))
