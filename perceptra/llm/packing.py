@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -16,17 +18,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, by_group, materialize, shared_dir
+from .common import drop_table, materialize, slices
+from .text_arrays import scrambled
 
 WINDOW, END = 2048, 1
-#: Tokens, and documents, that are indexed at once at most.
-SHARD_TOKENS, SHARD_DOCS = 4_000_000, 4096
-#: Tokens, and documents, that the driver indexes alone at most.
-LOCAL_TOKENS, LOCAL_DOCS = 1_000_000, 2048
-#: Seeds that are searched for at once, neighbours of each at first, seeds in a block, and pieces that the driver holds.
-SEEDS, NEIGHBOURS, BLOCK, PIECES = 1 << 15, 32, 128, 1 << 18
+#: Tokens of a partition on average; tokens, and documents, that share an index at most.
+PART_TOKENS, SHARD_TOKENS, SHARD_DOCS = 3_000_000, 4_000_000, 4096
 SLICE = 1 << 18
 K1, B = 1.2, 0.75
+#: The classes that deal documents to shards are fitted on at most SAMPLE documents, by the TERMS terms of most weight, SAMPLE_TERMS of a document.
+SAMPLE, TERMS, SAMPLE_TERMS, CLASSES, ROUNDS = 2048, 4096, 512, 64, 10
+#: Weighted minima that order the documents of a class.
+MINIMA = 3
+#: Texts with a longer run of white space, or of other characters, go to the tokenizers library itself.
+LONGEST_RUN = 512
+BLANK_RUN = re.compile(rf"\s{{{LONGEST_RUN}}}")
 
 _encoders: dict = {}
 
@@ -34,8 +40,9 @@ _encoders: dict = {}
 def encoder(vocabulary: str) -> Callable[[str | None], bytes]:
     """Text to the bytes of its ids as unsigned 16-bit numbers; one for each worker process.
 
-    The ids are those of the tokenizers library with the vocabulary's .json. Its rank file, where there is one, gives
-    the same ids several times faster for texts without an added token's string; the tests hold one against the other.
+    The ids are those of the tokenizers library with the vocabulary's .json. Its rank file, where there is one, gives the same ids several times
+    faster for ordinary texts; texts with an added token's string or a very long run, which its pattern may not get through, are the library's. The
+    tests hold one against the other.
     """
     if vocabulary not in _encoders:
         import tokenizers
@@ -48,11 +55,15 @@ def encoder(vocabulary: str) -> Callable[[str | None], bytes]:
         ranks = path.removesuffix(".json") + ".tiktoken"
         plain = _rank_encoding(ranks).encode_ordinary if os.path.exists(ranks) else None
 
+        def ordinary(text: str) -> bool:
+            if len(text) >= LONGEST_RUN and (max(map(len, text.split()), default=0) >= LONGEST_RUN or BLANK_RUN.search(text)):
+                return False
+            return not any(map(text.__contains__, added))
+
         def encode(text: str | None) -> bytes:
             text = text or ""
-            if plain is None or any(map(text.__contains__, added)):
-                return array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            return array("H", plain(text)).tobytes()
+            ids = plain(text) if plain and ordinary(text) else tokenizer.encode(text, add_special_tokens=False).ids
+            return array("H", ids).tobytes()
 
         _encoders[vocabulary] = encode
     return _encoders[vocabulary]
@@ -67,20 +78,16 @@ def _rank_encoding(path: str):
 
 
 def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
-    """Rows (_key, ids, _part, _row): the ids of the text and the end id, two bytes each, and where the document is."""
-    batches_of(docs.sparkSession, 2000, 4)
+    """Rows (_key, ids): the ids of the text and the end id, two bytes each."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, end = encoder(vocabulary), array("H", [END]).tobytes()
-        part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode_text(t) + end for t in batch.column(1).to_pylist()]
-            here = np.arange(row, row + len(ids))
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part, np.int32)), pa.array(here)], names=["_key", "ids", "_part", "_row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(encode, f"_key {kind}, ids binary, _part int, _row long")
+    return docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(encode, f"_key {kind}, ids binary")
 
 
 def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +111,7 @@ def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
             df += np.bincount(_terms(ids)[1], minlength=1 << 16)
             docs, tokens = docs + len(ids), tokens + sum(map(len, ids))
@@ -120,329 +127,250 @@ def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, found.get(-1, 0), found.get(-2, 0)
 
 
+@dataclass
+class Deal:
+    """What deals documents to shards: a class and the first of the document's terms in several weighted random orders.
+
+    Two documents have the same first term with the probability that a term, drawn by squared idf from those of both, is in each; so
+    documents that share telling terms lie side by side.
+    """
+
+    weight: np.ndarray
+    column: np.ndarray
+    centres: np.ndarray
+    orders: np.ndarray
+
+    def keys(self, ids: list[np.ndarray]) -> np.ndarray:
+        """A row for each document: its class and its minima."""
+        doc, term, tf = _terms(ids)
+        begin = np.searchsorted(doc, np.arange(len(ids)))
+        out = np.zeros((len(ids), 1 + MINIMA), np.int32)
+        for k, order in enumerate(self.orders):
+            out[:, 1 + k] = np.minimum.reduceat(order[term], begin)
+        if len(self.centres):
+            value, column = self.weight[term] * np.log1p(tf), self.column[term]
+            for d, (i, j) in enumerate(zip(begin, np.append(begin[1:], len(doc)), strict=True)):
+                out[d, 0] = (value[i:j] @ self.centres[column[i:j]]).argmax()
+        return out
+
+
+def weighted_orders(weight: np.ndarray) -> np.ndarray:
+    """Random orders of the terms in which the first of a set is each of its terms with a probability by weight."""
+    terms = np.arange(len(weight), dtype=np.uint64)
+    out = np.empty((MINIMA, len(weight)), np.int32)
+    for k in range(MINIMA):
+        uniform = (scrambled(scrambled(terms + np.uint64(1)) + np.uint64(k)) >> np.uint64(11)).astype(np.float64) / 2**53
+        out[k, np.argsort(-np.log(uniform + 1e-18) / np.maximum(weight, 1e-9), kind="stable")] = terms
+    return out
+
+
+def fit_deal(encoded: DataFrame, idf: np.ndarray, documents: int) -> Deal:
+    """Fits the classes (spherical k-means) on at most SAMPLE documents, those with the smallest hash of their place."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            terms, tfs = [], []
+            for x in batch.column(1).to_pylist():
+                term, tf = np.unique(np.frombuffer(x, "<u2"), return_counts=True)
+                best = np.argsort(-idf[term] * np.log1p(tf), kind="stable")[:SAMPLE_TERMS]
+                terms.append(term[best].astype("<u2").tobytes())
+                tfs.append(tf[best].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], names=["place", "terms", "tfs"])
+
+    place = F.xxhash64("_rid")
+    share = min(1.0, 2 * SAMPLE / max(1, documents))
+    few = encoded.where(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))).select(place.alias("place"), "ids")
+    rows = few.mapInArrow(weigh, "place long, terms binary, tfs binary").orderBy("place").limit(SAMPLE).collect()
+    sample = [(np.frombuffer(bytes(r.terms), "<u2"), np.frombuffer(bytes(r.tfs), "<i4")) for r in rows]
+    total = np.zeros(1 << 16)
+    for term, tf in sample:
+        total[term] += idf[term] * np.log1p(tf)
+    known = np.argsort(-total, kind="stable")[:TERMS]
+    known = known[total[known] > 0]
+    column = np.full(1 << 16, len(known), np.int32)
+    column[known] = np.arange(len(known))
+    x = np.zeros((len(sample), len(known) + 1), np.float32)
+    for i, (term, tf) in enumerate(sample):
+        x[i, column[term]] = idf[term] * np.log1p(tf)
+    x[:, -1] = 0
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = x[:CLASSES].copy()
+    for _ in range(ROUNDS if len(x) > CLASSES else 0):
+        nearest = (x @ centres.T).argmax(1)
+        for c in np.unique(nearest):
+            mean = x[nearest == c].mean(0)
+            centres[c] = mean / max(np.linalg.norm(mean), 1e-9)
+    return Deal(idf.astype(np.float32), column, np.ascontiguousarray(centres.T), weighted_orders(idf**2))
+
+
 class Index:
     """BM25 inverted index of one shard's documents, with the idf and mean length of the whole corpus.
 
-    The weights of terms in more than a sixteenth of the documents are a matrix, so their part of the scores of several
-    queries is one matrix product. The others' postings are added up for each query.
+    Terms in more than a sixteenth of the documents have no postings: their part of the scores of all pairs is one
+    matrix product, of weights by presence. The others' postings are added up for each query.
     """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         doc, term, tf = _terms(ids)
-        self.n, size = len(ids), np.fromiter(map(len, ids), np.float64, len(ids))
+        size = np.fromiter(map(len, ids), np.float64, len(ids))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         often = np.bincount(term, minlength=1 << 16) > max(16, len(ids) // 16)
-        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        column = np.cumsum(often) - 1
         dense = often[term]
-        self.common = np.zeros((int(often.sum()), len(ids)), np.float32)
-        self.common[self.column[term[dense]], doc[dense]] = weight[dense]
+        common = np.zeros((int(often.sum()), len(ids)), np.float32)
+        common[column[term[dense]], doc[dense]] = weight[dense]
+        self.common = np.sign(common).T @ common
+        del common
         doc, term, weight = doc[~dense], term[~dense], weight[~dense]
+        self.term, self.first = term, np.searchsorted(doc, np.arange(len(ids) + 1))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Scores of all documents, a row for each query, a query being its different terms."""
-        row = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-        terms = np.concatenate(queries).astype(np.int64)
-        column = self.column[terms]
-        asked = np.zeros((len(queries), len(self.common)), np.float32)
-        asked[row[column >= 0], column[column >= 0]] = 1
+    def scores(self, seed: int) -> np.ndarray:
+        terms = self.term[self.first[seed] : self.first[seed + 1]]
         lo, hi = self.start[terms], self.start[terms + 1]
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        rare = np.bincount(np.repeat(row, n) * self.n + self.doc[at], self.weight[at], len(queries) * self.n)
-        return asked @ self.common + rare.reshape(len(queries), self.n).astype(np.float32)
-
-
-class Best:
-    """The k best documents of each seed, over the shards added so far: of equal scores those that follow the seed first, cyclically."""
-
-    def __init__(self, seeds: np.ndarray, k: int, documents: int):
-        self.seeds, self.k, self.documents = seeds, k, documents
-        self.doc = np.full((len(seeds), k), -1, np.int32)
-        self.score = np.full((len(seeds), k), -np.inf, np.float32)
-
-    def merge(self, first: int, upto: int, row: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
-        """Adds candidates of seeds first to upto, row counted from first."""
-        held_row, held = np.nonzero(self.doc[first:upto] >= 0)
-        row = np.concatenate((held_row, row))
-        doc = np.concatenate((self.doc[first:upto][held_row, held], doc))
-        score = np.concatenate((self.score[first:upto][held_row, held], score))
-        order = np.lexsort(((doc - self.seeds[first + row]) % self.documents, -score, row))
-        row, doc, score = row[order], doc[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < self.k
-        self.doc[first + row[keep], rank[keep]] = doc[keep]
-        self.score[first + row[keep], rank[keep]] = score[keep]
-
-    def add(self, index: Index, docs: np.ndarray, queries: list[np.ndarray]) -> None:
-        """Adds a shard, docs being the numbers of its documents."""
-        order = np.argsort(docs)
-        for first in range(0, len(self.seeds), BLOCK):
-            upto = min(first + BLOCK, len(self.seeds))
-            score = index.scores(queries[first:upto])
-            at = np.minimum(np.searchsorted(docs, self.seeds[first:upto], sorter=order), len(docs) - 1)
-            own = np.flatnonzero(docs[order[at]] == self.seeds[first:upto])
-            score[own, order[at[own]]] = -np.inf
-            least = self.score[first:upto, -1].copy()
-            many = np.flatnonzero((score >= least[:, None]).sum(1) > self.k)
-            if len(many) and len(docs) > self.k:
-                least[many] = np.maximum(least[many], np.partition(score[many], len(docs) - self.k, axis=1)[:, len(docs) - self.k])
-            row, found = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            self.merge(first, upto, row, docs[found].astype(np.int32), score[row, found])
-
-    def lists(self) -> list[np.ndarray]:
-        return [d[d >= 0] for d in self.doc]
-
-
-def pack_rests(size: np.ndarray, search: Callable, window: int, ask: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length) of what whole windows leave of each document.
-
-    In order, an unused document seeds a window that its unused neighbours fill, best match first; the one that does not
-    fit is cut, and its rest seeds a later window. search(seeds, unused, k) gives the k best unused documents of each seed,
-    of all there are, for about ask seeds at once. Claims are resolved in the order of the seeds; a window whose neighbours were
-    all claimed before it is full stays open and asks again. The last, partial window is cut into lengths that are powers of two.
+        return np.bincount(self.doc[at], self.weight[at], len(self.first) - 1) + self.common[seed]
+
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents, the best match for the seed's terms first; of equals the first."""
+        score = self.scores(seed)
+        score[~unused] = -np.inf
+        for _ in range(8):
+            best = int(score.argmax())
+            if score[best] == -np.inf:
+                return
+            score[best] = -np.inf
+            yield best
+        left = np.flatnonzero(score > -np.inf)
+        yield from left[np.argsort(-score[left], kind="stable")].tolist()
+
+
+#: (document, start, length).
+Piece = tuple[int, int, int]
+
+
+def pack_shard(ids: list[np.ndarray], start: np.ndarray, idf: np.ndarray, mean: float, window: int = WINDOW) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full sequences of pieces, and the pieces of the last window, which is not full: every token from start on, once.
+
+    Whole windows of long documents stand alone. What is left of each document, in order, seeds a window that its unused
+    neighbours fill, best match first; the one that does not fit is cut, and its rest seeds the next window.
     """
-    start = size // window * window
-    rest = size - start
-    unused, left, k = rest > 0, int(rest.sum()), NEIGHBOURS
-    opened, cut = [], []
-    while unused.any():
-        n = max(1, min(ask * NEIGHBOURS // k, left // window + 64))
-        resumed, later = opened[:n], opened[n:]
-        new = cut[: n - len(resumed)]
-        if len(resumed) + len(new) < n:
-            free = np.flatnonzero(unused)
-            new += np.setdiff1d(free[:n], new, assume_unique=True)[: n - len(resumed) - len(new)].tolist()
-        asked = [(w[0], w) for w in resumed] + [(d, None) for d in new]
-        found = search(np.array([d for d, _ in asked], np.int64), unused, k)
-        opened, waiting, tried, filled = [], len(resumed) + len(later), 0, 0
-        cut = [d for d in cut if d not in set(new)] if len(cut) > len(new) else []
-        rests = []
-        for (seed, w), docs in zip(asked, found, strict=True):
-            if w is None:
-                if not unused[seed] or waiting >= max(1, left // window):
-                    continue
-                w = [seed, [(seed, int(start[seed]), int(rest[seed]))], window - int(rest[seed])]
-                unused[seed] = False
-                waiting += 1
-            tried += 1
-            for d in docs.tolist():
-                if not unused[d]:
-                    continue
-                unused[d] = False
-                took = min(w[2], int(rest[d]))
-                w[1].append((d, int(start[d]), took))
-                w[2] -= took
-                if took < rest[d]:
-                    start[d] += took
-                    rest[d] -= took
-                    rests.append(d)
-                if not w[2]:
-                    break
-            if not w[2]:
-                yield w[1]
-                left -= window
-                waiting -= 1
-                filled += 1
-            elif len(w[1]) == 1 and len(docs):
-                unused[seed] = True
-                waiting -= 1
-            else:
-                opened.append(w)
-        opened += later
-        unused[rests] = True
-        cut = rests + [d for d in cut if unused[d]]
-        k = k * 4 if filled * 2 < tried else max(NEIGHBOURS, k // 2) if filled * 10 > tried * 9 else k
-        k = min(k, max(NEIGHBOURS, ask * NEIGHBOURS))
-    pieces = [p for w in opened for p in w[1]]
-    total = sum(n for *_, n in pieces)
-    powers = [1 << b for b in range(window.bit_length() - 1, -1, -1) if total % window & 1 << b and 1 << b < window]
-    for need in [window] * (total // window) + powers:
-        part = []
+    start, full = start.copy(), []
+    rest = np.fromiter(map(len, ids), np.int64, len(ids)) - start
+    for d, n in enumerate((rest // window).tolist()):
+        full += [[(d, int(start[d]) + i * window, window)] for i in range(n)]
+        start[d] += n * window
+        rest[d] -= n * window
+    unused = rest > 0
+    index, pending, begin = Index(ids, idf, mean), -1, 0
+    while True:
+        if pending < 0:
+            while begin < len(ids) and not unused[begin]:
+                begin += 1
+            if begin == len(ids):
+                return full, []
+            pending = begin
+        seed, pending, space, pieces = pending, -1, window, []
+        unused[seed] = False
+        for d in chain((seed,), index.ranked(seed, unused)):
+            unused[d] = False
+            n = min(space, int(rest[d]))
+            pieces.append((int(d), int(start[d]), n))
+            start[d] += n
+            rest[d] -= n
+            space -= n
+            if not space:
+                pending = int(d) if rest[d] else -1
+                break
+        if space:
+            return full, pieces
+        full.append(pieces)
+
+
+def cut_tail(pieces: list[Piece], window: int = WINDOW) -> Iterator[list[Piece]]:
+    """A window that is not full as sequences whose lengths are powers of two, which need no padding."""
+    size = sum(n for *_, n in pieces)
+    for power in (1 << k for k in range(window.bit_length() - 1, -1, -1)):
+        need, part = power if size & power else 0, []
         while need:
             d, at, n = pieces.pop(0)
             part.append((d, at, min(n, need)))
             if n > need:
                 pieces.insert(0, (d, at + need, n - need))
             need -= min(n, need)
-        yield part
+        if part:
+            yield part
 
 
-def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length) that hold every token of documents in memory once.
+def deal_documents(encoded: DataFrame, deal: Deal, tokens: int) -> DataFrame:
+    """The documents, in partitions of about PART_TOKENS tokens, those that share telling terms side by side; rows with equal terms may be parted, so none is hot."""
+    shared = encoded.sparkSession.sparkContext.broadcast(deal)
+    names = ["_class", *(f"_min{k}" for k in range(MINIMA))]
 
-    Whole windows of long documents stand alone; the rests are packed by pack_rests, one seed after the other.
-    """
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    for d, n in enumerate(size):
-        yield from ([(d, at, window)] for at in range(0, int(n) // window * window, window))
-    yield from pack_rests(size, local_search(ids, idf, mean), window, 1)
-
-
-def local_search(ids: list[np.ndarray], idf: np.ndarray, mean: float) -> Callable:
-    index = Index(ids, idf, mean)
-
-    def search(seeds: np.ndarray, unused: np.ndarray, k: int) -> list[np.ndarray]:
-        found = []
-        for seed in seeds:
-            score = index.scores([np.unique(ids[seed])])[0]
-            free = np.flatnonzero(unused & (np.arange(index.n) != seed))
-            found.append(free[np.argsort(-score[free], kind="stable")[:k]])
-        return found
-
-    return search
-
-
-def document_sizes(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each document, and the number of the first document of each part; four bytes a document come to the driver."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, row, size = (c.to_numpy() for c in batch.columns)
-            edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(row) != 1)) + 1
-            for a, b in zip(np.append(0, edges), np.append(edges, len(part)), strict=True):
-                if b > a:
-                    yield pa.RecordBatch.from_pydict({"part": part[a : a + 1], "row": row[a : a + 1], "sizes": [size[a:b].astype(np.int32).tobytes()]})
-
-    sizes = encoded.select("_part", "_row", (F.octet_length("ids") / 2).cast("int").alias("n"))
-    found = sorted((r.part, r.row, bytes(r.sizes)) for r in sizes.mapInArrow(runs, "part int, row long, sizes binary").collect())
-    count = np.zeros(max((p for p, *_ in found), default=0) + 2, np.int64)
-    for part, _, x in found:
-        count[part + 1] += len(x) // 4
-    return np.frombuffer(b"".join(x for *_, x in found), np.int32), np.cumsum(count)
-
-
-def ids_of(encoded: DataFrame, docs: np.ndarray, offset: np.ndarray, distinct: bool) -> list[np.ndarray]:
-    """The ids, or the different ones, of some documents by number; they come to the driver."""
-    shared = encoded.sparkSession.sparkContext.broadcast((np.unique(docs), offset))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, first = shared.value
-        for batch in batches:
-            doc = first[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
-            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, doc), len(wanted) - 1)] == doc)
-            ids = [np.frombuffer(x, "<u2") for x in batch.column(2).take(pa.array(at)).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc": doc[at], "ids": pa.array([(np.unique(x) if distinct else x).tobytes() for x in ids], pa.binary())})
-
-    rows = encoded.select("_part", "_row", "ids").mapInArrow(pick, "doc long, ids binary").collect()
-    found = {r.doc: np.frombuffer(bytes(r.ids), "<u2") for r in rows}
-    return [found[d] for d in docs.tolist()]
-
-
-def corpus_search(encoded: DataFrame, offset: np.ndarray, idf: np.ndarray, mean: float) -> Callable:
-    """The search of pack_rests over all documents: every shard scores all seeds, and the best of all shards are merged."""
-    session = encoded.sparkSession
-    tasks = 2 * session.sparkContext.defaultParallelism
-
-    def search(seeds: np.ndarray, unused: np.ndarray, k: int) -> list[np.ndarray]:
-        k = int(min(k, unused.sum()))
-        shared = session.sparkContext.broadcast((seeds, ids_of(encoded, seeds, offset, True), np.packbits(unused), offset, idf))
-        documents = len(unused)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds, queries, bits, offset, idf = shared.value
-            best, docs, ids, held = Best(seeds, k, documents), [], [], 0
-            for batch in chain(batches, (None,)):
-                if batch is not None:
-                    doc = offset[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
-                    at = np.flatnonzero(bits[doc >> 3] >> (7 - (doc & 7)) & 1)
-                    for d, x in zip(doc[at].tolist(), batch.column(2).take(pa.array(at)).to_pylist(), strict=True):
-                        docs.append(d)
-                        ids.append(np.frombuffer(x, "<u2"))
-                        held += len(ids[-1])
-                        if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
-                            best.add(Index(ids, idf, mean), np.array(docs), queries)
-                            docs, ids, held = [], [], 0
-                elif docs:
-                    best.add(Index(ids, idf, mean), np.array(docs), queries)
-            for first in range(0, len(seeds), BLOCK):
-                doc, found = best.doc[first : first + BLOCK], best.score[first : first + BLOCK]
-                yield pa.RecordBatch.from_pydict({"_group": pa.array([first // BLOCK], pa.int32()), "doc": [doc.tobytes()], "score": [found.tobytes()]})
-
-        def merge(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            block = group.column(0)[0].as_py()
-            best = Best(shared.value[0][block * BLOCK : (block + 1) * BLOCK], k, documents)
-            for doc, found in zip(group.column(1).to_pylist(), group.column(2).to_pylist(), strict=True):
-                doc, found = np.frombuffer(doc, np.int32).reshape(-1, k), np.frombuffer(found, np.float32).reshape(-1, k)
-                row, at = np.nonzero(doc >= 0)
-                best.merge(0, len(doc), row, doc[row, at], found[row, at])
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "doc": [best.doc.tobytes()]})
-
-        rows = encoded.select("_part", "_row", "ids").coalesce(tasks).mapInArrow(score, "_group int, doc binary, score binary")
-        merged = by_group(rows, merge, "block int, doc binary", min(tasks, -(-len(seeds) // BLOCK)))
-        found = np.concatenate([np.frombuffer(bytes(r.doc), np.int32).reshape(-1, k) for r in sorted(merged.collect(), key=lambda r: r.block)])
-        shared.unpersist()
-        return [d[d >= 0] for d in found]
-
-    return search
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            if batch.num_rows:
+                keys = shared.value.keys([np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys.T.copy())], names=[*batch.schema.names, *names])
+
+    kind = encoded.schema["_key"].dataType.simpleString()
+    placed = materialize(encoded.mapInArrow(place, f"_key {kind}, ids binary, _rid long, " + ", ".join(f"{n} int" for n in names)), "placed")
+    order = [*names, "_rid"]
+    return placed.repartitionByRange(max(1, -(-tokens // PART_TOKENS)), *order).sortWithinPartitions(*order).select("_key", "ids")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", window: int = WINDOW) -> DataFrame:
     """Rows (key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every row of docs in one piece.
 
-    Every seed is scored against all unused documents, shard by shard (a shard has at most SHARD_TOKENS tokens and SHARD_DOCS
-    documents), so the work grows with the square of the documents. The ids are written once to the shared folder; the driver
-    holds a few numbers a document. A table that fits LOCAL_DOCS and LOCAL_TOKENS is searched on the driver. A null
-    or empty text is its end id alone. Null and repeated keys are documents like others (a repeated row is packed again);
-    an empty table gives an empty result; other columns are ignored.
+    Documents are dealt to shards by the telling terms they share (Deal); each shard is an inverted index of at most SHARD_TOKENS tokens or SHARD_DOCS
+    documents in which every seed is scored against all unused documents; idf and mean length are the whole corpus's. What does not fill a shard's last
+    window goes to the task's next shard; a task's last window is cut into powers of two. Nothing but terms and the sample comes to the driver.
+    A null or empty text is its end id alone. Null and repeated keys are documents like others (a repeated row is packed again); an empty table
+    gives an empty result; other columns are ignored. Very long texts are cut into windows like others.
     """
-    session = docs.sparkSession
-    encoded = materialize(encode_documents(docs, key, text, vocabulary), "ids")
+    encoded = materialize(encode_documents(docs, key, text, vocabulary).withColumn("_rid", F.monotonically_increasing_id()), "ids")
     df, n, tokens = corpus_statistics(encoded)
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, tokens / max(1, n))
-    size, offset = document_sizes(encoded)
-    if n <= LOCAL_DOCS and tokens <= LOCAL_TOKENS:
-        sequences = pack_rests(size, local_search(ids_of(encoded, np.arange(n), offset, False), idf, mean), window, 1) if n else iter(())
-    else:
-        sequences = pack_rests(size, corpus_search(encoded, offset, idf, mean), window, SEEDS)
-    folder = shared_dir(session, "pieces")
-    schema = "_part int, _row long, start long, length long, sequence_id long, offset long"
-    number, rows = 0, []
-
-    def write() -> None:
-        cells = np.array(rows, np.int64).reshape(-1, 5)
-        part = np.searchsorted(offset, cells[:, 0], "right") - 1
-        columns = [part.astype(np.int32), cells[:, 0] - offset[part], *cells.T[1:].copy()]
-        names = ["_part", "_row", "start", "length", "sequence_id", "offset"]
-        session.createDataFrame(pa.table(dict(zip(names, columns, strict=True))), schema).write.mode("append").parquet(folder)
-
-    for pieces in sequences:
-        at = 0
-        for d, begin, length in pieces:
-            rows.append((d, begin, length, number, at))
-            at += length
-        number += 1
-        if len(rows) >= PIECES:
-            write()
-            rows = []
-    write()
-    pieces = session.read.schema(schema).parquet(folder)
-    kind = docs.schema[key].dataType.simpleString()
+    dealt = deal_documents(encoded, fit_deal(encoded, idf, n), tokens)
+    drop_table(encoded)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    kind = docs.schema[key].dataType
     columns = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    result = f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in columns)
-    shared = session.sparkContext.broadcast(offset)
-
-    def checked(owner: pa.Array, ids: list, cells: list[tuple]) -> pa.RecordBatch:
-        rows = [(at, n, zlib.crc32(np.frombuffer(x, "<u2")[at : at + n].astype("<u4").tobytes()), len(x) // 2, s, o) for x, (at, n, s, o) in zip(ids, cells, strict=True)]
-        table = np.array(rows, np.int64).reshape(-1, len(columns))
-        return pa.RecordBatch.from_arrays([owner, *map(pa.array, table.T.copy())], names=[key, *columns])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield checked(batch.column(0), batch.column(1).to_pylist(), list(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = shared.value[batch.column(2).to_numpy()] + batch.column(3).to_numpy()
-            ids, owner, cells = batch.column(1).to_pylist(), [], []
-            for i, x in enumerate(ids):
-                for w in range(len(x) // 2 // window):
-                    owner.append(i)
-                    cells.append((w * window, window, (1 << 62) + (int(doc[i]) << 20) + w, 0))
-            yield checked(batch.column(0).take(pa.array(owner, pa.int64())), [ids[i] for i in owner], cells)
-
-    rests = encoded.join(pieces, ["_part", "_row"]).select("_key", "ids", "start", "length", "sequence_id", "offset").mapInArrow(placed, result)
-    long = encoded.where(F.octet_length("ids") >= 2 * window).select("_key", "ids", "_part", "_row").mapInArrow(whole, result)
-    return long.unionAll(rests)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 32
+        keys, ids, start, held, key_type = [], [], [], 0, pa.int64()
+
+        def written(sequences: list[list[Piece]]) -> pa.RecordBatch:
+            nonlocal sequence
+            owner, rows = [], []
+            for pieces in sequences:
+                offset = 0
+                for d, at, size in pieces:
+                    owner.append(keys[d])
+                    rows.append((at, size, zlib.crc32(ids[d][at : at + size].astype("<u4").tobytes()), len(ids[d]), sequence, offset))
+                    offset += size
+                sequence += 1
+            cells = np.array(rows, np.int64).reshape(-1, len(columns))
+            return pa.RecordBatch.from_arrays([pa.array(owner, key_type), *map(pa.array, cells.T.copy())], names=[key, *columns])
+
+        for batch in slices(batches):
+            key_type = batch.schema.field(0).type
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(k)
+                ids.append(np.frombuffer(x, "<u2"))
+                start.append(0)
+                held += len(ids[-1])
+                if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
+                    full, left = pack_shard(ids, np.array(start, np.int64), shared.value, mean, window)
+                    yield written(full)
+                    keys, ids, start = [keys[d] for d, *_ in left], [ids[d] for d, *_ in left], [at for _, at, _ in left]
+                    held = sum(map(len, ids))
+        if keys:
+            full, left = pack_shard(ids, np.array(start, np.int64), shared.value, mean, window)
+            yield written(full + list(cut_tail(left, window)))
+
+    return dealt.mapInArrow(pack, f"`{key}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in columns))
