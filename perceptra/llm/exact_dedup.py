@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, materialize, spread, with_bit
+from .common import flagged, materialize, spread
 
 #: The characters that do not count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
 PREFIX = 256
-#: Bound of the filter that tells which rows to read again: a sixteenth of it, in bytes, is broadcast.
-FILTER_BITS = 1 << 20
 
 
 def _normal(text: str):
@@ -29,7 +27,7 @@ SLOT = F.xxhash64  # of _len and _prefix
 
 
 def refine(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(groups, survivors): rows of documents grouped by equal normal text, and the filter of rows that were read in full.
+    """(groups, survivors): rows of documents grouped by equal normal text, and the hashes _h of the lengths and prefixes whose rows were read in full.
 
     First rows whose length is unique fall out, then those whose prefix hash is unique for the length; only
     the others' full SHA-256 is computed, in a second scan (digests=True: in the first, since the caller
@@ -39,18 +37,18 @@ def refine(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: bo
     rows = materialize(_measured(docs, key, text, digests).select(*columns).withColumn("_rid", F.monotonically_increasing_id()), "measured")
     by_length = spread(rows.select("_rid", "_len", "_prefix"), ["_len"], {"_n": ("count", F.lit(1))}, ["_rid"]).where("_n > 1").drop("_n")
     by_prefix = by_length.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1")
-    bits = materialize(bit_table(by_prefix, SLOT("_len", "_prefix"), FILTER_BITS), "survivors")
-    marked = with_bit(rows, bits, SLOT("_len", "_prefix"), FILTER_BITS, "_hit")
+    survivors = materialize(by_prefix.select(SLOT("_len", "_prefix").alias("_h")), "survivors")
+    marked = flagged(rows, survivors, SLOT("_len", "_prefix"), "_hit")
     if digests:
         again = marked.where("_hit").drop("_hit")
     else:
-        measured = with_bit(_measured(docs, key, text, False), bits, SLOT("_len", "_prefix"), FILTER_BITS, "_hit").where("_hit")
+        measured = flagged(_measured(docs, key, text, False), survivors, SLOT("_len", "_prefix"), "_hit").where("_hit")
         again = materialize(measured.withColumn("_full", F.sha2(F.col("_norm"), 256)).select(*columns).withColumn("_rid", F.monotonically_increasing_id()), "full")
     best = F.struct((-F.col("_cps")).alias("c"), F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("_rid").alias("r"))
     grouped = spread(again, ["_len", "_full"], {"group_size": ("count", F.lit(1)), "_best": ("min", best)}, ["_rid"])
     many = grouped.select(key, F.col("_best.k").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_best.r")).alias("kept"), "_len", "_full")
     alone = marked.where("NOT _hit").select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_len", "_full")
-    return many.unionByName(alone), bits
+    return many.unionByName(alone), survivors
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,12 +63,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() does not keep, all columns. Only rows that may have copies are shuffled."""
-    groups, bits = refine(docs.select(key, text), key, text)
+    """docs without the rows that exact_groups() does not keep, all columns. Only rows that may have copies are shuffled.
+
+    Null and empty texts are equal, so one of them stays; of repeated rows one stays; an empty table gives an empty result.
+    """
+    groups, survivors = refine(docs.select(key, text), key, text)
     keepers = materialize(groups.where("kept AND _full IS NOT NULL").select(F.col(key).alias("_keep"), F.col("_full").alias("_f")), "keepers")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     measured = _measured(docs.select(whole.alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text", False)
-    measured = with_bit(measured, bits, SLOT("_len", "_prefix"), FILTER_BITS, "_hit")
+    measured = flagged(measured, survivors, SLOT("_len", "_prefix"), "_hit")
     hit = measured.where("_hit").select("_doc", "_key", "_cps", F.sha2(F.col("_norm"), 256).alias("_full"))
     keeper = hit.join(keepers, (F.col("_f") == F.col("_full")) & F.col("_keep").eqNullSafe(F.col("_key")), "left_semi")
     # rows may repeat the keeper's key: the longest stays, one of several; partial aggregation comes before the shuffle

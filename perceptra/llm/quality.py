@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import slices
 from .text_arrays import MIX, windows, word_begins, word_hashes
 
 #: Base rules: fewer words fail, as does a larger percentage of words in repeated windows of WINDOW words.
@@ -203,11 +203,10 @@ def rate_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     and repeated keys are rows like others; other columns are ignored; an empty table gives an empty result.
     """
     model = train(docs, labels, key, text)
-    batches_of(docs.sparkSession, 1000, 4)
     kind = docs.schema[key].dataType.simpleString()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*(judge(t, model) for t in batch.column(1).to_pylist()), strict=True)) or [()] * 8
             numbers = [pa.array(c, pa.int64()) for c in (*rows[:5], rows[7])]
             flags = [pa.array(c, pa.bool_()) for c in rows[5:7]]
@@ -220,11 +219,10 @@ def rate_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that rate_documents() keeps, all columns."""
     model = train(docs, labels, key, text)
-    batches_of(docs.sparkSession, 1000, 4)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([judge(t, model)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkTable
-from .common import batches_of
+from .common import slices
 
 OVER = 1024
 NONE = np.iinfo(np.int32).max
@@ -129,12 +129,11 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     Null and empty texts have no bytes and no tokens. Null and repeated keys are rows like others; an empty table gives an
     empty result; other columns are ignored. Long texts are counted whole.
     """
-    batches_of(docs.sparkSession, 2000, 4)
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(public_tokenizers.path(vocabulary))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             n = pa.array(m.count(texts), pa.int64())
             size = pa.array([len((t or "").encode()) for t in texts], pa.int64())

@@ -13,7 +13,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, shared_dir, spread
+from .common import discard, materialize, shared_dir, slices, spread
 
 #: The date in fresh headers: a parameter, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
@@ -21,6 +21,8 @@ DATE = "2024-01-01T00:00:00Z"
 MIN_BYTES = 0
 #: An archive is closed when its compressed size passes this.
 ARCHIVE_BYTES = 64 << 20
+#: Bytes of an archive that one task rewrites at once.
+RUN_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -92,11 +94,10 @@ HEADERS = "archive string, place long, size long, {key} {kind}, url string, payl
 def capture(pages: DataFrame, folder: str, key: str, url: str, html: str) -> DataFrame:
     """Writes a response record for every row and returns their headers with archive, place and size."""
     kind = pages.schema[key].dataType.simpleString()
-    batches_of(pages.sparkSession, 1000, 8)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Archives(folder)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, u, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (body or "").encode()
@@ -125,9 +126,9 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFram
 
 def deduplicate(resolved: DataFrame, source: str, folder: str) -> DataFrame:
     """Rewrites the records of the archives in source to folder with fresh headers, revisits without payload; rows (archive, records)."""
-    batches_of(resolved.sparkSession, 5000, 8)
+    total = resolved.agg(F.sum("size")).first()[0] or 0
     ordered = resolved.select("archive", "place", "size", "_key", "url", "payload_bytes", "payload_digest", "revisit", "refers_to")
-    ordered = ordered.repartition("archive", F.floor(F.col("place") / (ARCHIVE_BYTES // 16))).sortWithinPartitions("archive", "place")
+    ordered = ordered.repartition(max(1, 2 * total // RUN_BYTES), "archive", F.floor(F.col("place") / RUN_BYTES)).sortWithinPartitions("archive", "place")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(source)
@@ -165,7 +166,6 @@ def members(fs: pa.fs.FileSystem, path: str) -> Iterator[bytes]:
 def read_archives(archives: DataFrame, folder: str, key: str, kind: str) -> DataFrame:
     """Rows (key, url, payload_bytes, payload_digest, record_type, refers_to) of the records in the archives of folder; checks the digests of responses."""
     number = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    batches_of(archives.sparkSession, 1, 8)
 
     def ident(x: str | None):
         x = x and x.removeprefix("<urn:x-page:").removesuffix(">")
@@ -205,4 +205,5 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     source, folder = shared_dir(pages.sparkSession, "warc-in"), shared_dir(pages.sparkSession, "warc-out")
     headers = capture(pages, source, key, url, html)
     archives = deduplicate(resolve_revisits(headers, min_bytes), source, folder)
+    discard(pages.sparkSession, source)
     return read_archives(archives, folder, key, kind)

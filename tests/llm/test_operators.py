@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from perceptra.llm import exact_dedup, graph, minhash, mixing, packing, quality, sharding, suffix_dedup, token_counts, url_filters, warc
+from perceptra.llm import common, exact_dedup, graph, minhash, mixing, packing, quality, sharding, suffix_dedup, text_arrays, token_counts, url_filters, warc
 
 from . import brute
 
@@ -154,7 +154,7 @@ def test_neighbours_share_windows():
     topics = [rng.integers(i * 100, i * 100 + 100, (30, 300)).astype("<u2") for i in range(6)]
     ids = [topics[n % 6][n // 6] for n in range(180)]
     together = total = 0
-    for pieces in packing.pack_shard(ids, np.ones(1 << 16), 300.0):
+    for pieces in packing.pack_shard(ids, np.zeros(180, np.int64), np.ones(1 << 16), 300.0)[0]:
         for a, b in zip(pieces, pieces[1:], strict=False):
             total += 1
             together += a[0] % 6 == b[0] % 6
@@ -220,6 +220,38 @@ def test_minhash_group_of_near_copies_over_blocks(spark, monkeypatch):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_groups(spark.createDataFrame(rows, brute.SCHEMA)).collect()], brute.components(rows))
 
 
+def test_large_buckets_that_stay_in_parts_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(12)
+    rows = []
+    for family in range(3):
+        base = [f"w{n}" for n in range(60)] + [f"f{family}_{n}" for n in range(12)]
+        for n in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * family + n, " ".join(w), "a"))
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_groups(spark.createDataFrame(rows, brute.SCHEMA)).collect()], brute.components(rows))
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_flagged_says_no_wrong_no(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "MAX_BITS", limit)
+    keys = spark.range(0, 1000, 7).select(F.xxhash64("id").alias("_h"))
+    got = common.flagged(spark.range(1000), keys, F.xxhash64("id"), "hit").collect()
+    assert len(got) == 1000 and all(r.hit for r in got if r.id % 7 == 0) and sum(r.hit for r in got) < 300
+
+
+def test_slices_keep_all_rows():
+    import pyarrow as pa
+
+    texts = [None, "x" * 3_000_000, "", "y" * 9_000_000, "z", None] + ["w" * 500_000] * 12
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": texts})
+    cut = list(common.slices([batch]))
+    assert len(cut) > 3 and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert all(b.num_rows == 1 or b.nbytes < 5 << 20 for b in cut)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, n) for n in range(1001, 1200)] + [(n, n + 1) for n in range(2000, 2060)] + [(5, 5), (None, 3)]
@@ -258,6 +290,62 @@ def test_suffix_dedup_of_random_overlaps(spark):
     same([tuple(r)[:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, brute.SCHEMA)).collect()], brute.stripped(rows))
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_suffix_dedup_removes_nothing_where_polynomial_hashes_collide(spark):
+    bits = thue_morse(128)
+    one = "".join("-" * 31 + ("m" if b else "n") for b in bits)
+    two = "".join("-" * 31 + ("n" if b else "m") for b in bits)
+    pool = [one.encode()[i : i + 50] for i in range(len(one) - 49)]
+    shared = {two.encode()[i : i + 50] for i in range(len(two) - 49)} & set(pool)
+    rows = [(1, one, "a"), (2, two, "a")]
+    got = [tuple(r)[:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, brute.SCHEMA)).collect()]
+    same(got, brute.stripped(rows))
+    apart = [(1, "".join("-" * 31 + "mp"[b] for b in bits)), (2, "".join("-" * 31 + chr(ord("mp"[b]) + (1 if c else -1)) for b, c in zip(bits, thue_morse(128), strict=True)))]
+    rows = [(k, t, "a") for k, t in apart]
+    same([tuple(r)[:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, brute.SCHEMA)).collect()], brute.stripped(rows))
+    assert shared is not None
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_pieces_are_told_apart_by_their_bytes(monkeypatch, bad):
+    if bad:
+        monkeypatch.setattr(suffix_dedup, "_hashes", lambda body, size: (size % 3).astype(np.uint64))
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        size = rng.integers(1, 40, rng.integers(0, 60))
+        body = rng.integers(97, 99, size.sum()).astype(np.uint8)
+        which, pick = suffix_dedup.pooled(body, size)
+        found = [body[end - n : end].tobytes() for end, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
+        assert len(set(which.tolist())) == len(set(found))
+        assert all(pick[w] == found.index(x) for w, x in zip(which.tolist(), found, strict=True))
+
+
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 4000)
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdef ", k=150))
+    rows = [(n, "".join(rng.choices("ghijk", k=rng.randint(0, 70))) + passage[rng.randint(0, 9) :] + "".join(rng.choices("lm", k=rng.randint(0, 70))), "a") for n in range(150)]
+    rows += [(200, "z" * 7000, "a"), (201, "z" * 9000, "a"), (202, "yz" * 60, "a")]
+    same([tuple(r)[:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, brute.SCHEMA).repartition(4)).collect()], brute.stripped(rows))
+
+
+def test_suffix_dedup_of_texts_longer_than_a_chunk(spark, monkeypatch):
+    rng = random.Random(10)
+    base = "".join(rng.choices("abcdefgh", k=500))
+    data = np.frombuffer(base.encode(), np.uint8)
+    whole = suffix_dedup.anchor_runs(data)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    starts = []
+    for at, part in suffix_dedup.chunks(data):
+        start, count, anchor = suffix_dedup.anchor_runs(part)
+        starts += [(at + s + i, a) for s, n, a in zip(start.tolist(), count.tolist(), anchor.tolist(), strict=True) for i in range(n)]
+    assert starts == [(s + i, a) for s, n, a in zip(*(x.tolist() for x in whole), strict=True) for i in range(n)]
+
+
 def test_repeated_intervals_against_sorting():
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -366,27 +454,46 @@ def test_neighbours_are_found_in_all_shards(spark, monkeypatch):
     assert {r.doc_id for r in got} == set(topic)
 
 
-def test_search_of_all_shards_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_DOCS", 7)
+def test_scores_of_a_shard_are_those_of_the_formula():
     rng = np.random.default_rng(4)
-    rows = [(n, " ".join(f"w{x}" for x in rng.zipf(1.5, 50) % 300), "a") for n in range(120)]
-    encoded = packing.materialize(packing.encode_documents(spark.createDataFrame(rows, brute.SCHEMA).repartition(5), "doc_id", "text", "byte_bpe_50k.json"), "ids")
-    df, n, tokens = packing.corpus_statistics(encoded)
-    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / n
-    size, offset = packing.document_sizes(encoded)
-    ids = packing.ids_of(encoded, np.arange(n), offset, False)
-    assert [len(x) for x in ids] == size.tolist()
-    unused = np.arange(n) % 5 > 0
-    seeds = np.arange(0, n, 3)
-    found = packing.corpus_search(encoded, offset, idf, mean)(seeds, unused, 6)
-    for seed, docs in zip(seeds, found, strict=True):
-        score = np.zeros(n)
-        for d in range(n):
+    ids = [(rng.zipf(1.5, rng.integers(1, 60)) % 300).astype("<u2") for _ in range(120)]
+    idf, mean = rng.random(1 << 16), 30.0
+    index = packing.Index(ids, idf, mean)
+    for seed in range(0, 120, 7):
+        score = np.zeros(120)
+        for d in range(120):
             for t in np.intersect1d(ids[seed], ids[d]):
                 tf = (ids[d] == t).sum()
                 score[d] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean))
-        score[~unused] = score[seed] = -1
-        assert len(docs) == 6 and np.allclose(np.sort(score[docs])[::-1], np.sort(score)[::-1][:6], rtol=1e-4)
+        assert np.allclose(index.scores(seed), score, rtol=1e-4)
+        unused = np.arange(120) % 3 > 0
+        ranked = list(index.ranked(seed, unused))
+        assert sorted(ranked) == np.flatnonzero(unused).tolist() and (np.diff(score[ranked]) < 1e-3).all()
+
+
+def test_documents_that_share_terms_are_dealt_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_TOKENS", 4000)
+    rng = np.random.default_rng(5)
+    words = [[f"t{t}x{n}" for n in range(40)] for t in range(12)]
+    rows = [(n, " ".join(rng.choice(words[n % 12], 50)), "a") for n in range(480)]
+    encoded = common.materialize(packing.encode_documents(spark.createDataFrame(rows, brute.SCHEMA), "doc_id", "text", "byte_bpe_50k.json").withColumn("_rid", F.monotonically_increasing_id()), "ids")
+    df, n, tokens = packing.corpus_statistics(encoded)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    dealt = packing.deal_documents(encoded, packing.fit_deal(encoded, idf, n), tokens).withColumn("part", F.spark_partition_id()).select("part", "_key").collect()
+    parts = defaultdict(Counter)
+    for r in dealt:
+        parts[r.part][r._key % 12] += 1
+    assert len(parts) > 5 and sum(c.most_common(1)[0][1] for c in parts.values()) / 480 > 0.5
+
+
+def test_ids_of_very_long_runs(spark, tokenizer):
+    rng = random.Random(6)
+    texts = [" " * 2_000_000 + "x", "a" * 1_000_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "\n" * 5000 + "\t" * 5000, "é" * 3000, "#" * 700 + " " + " " * 600 + "end"]
+    encode = packing.encoder("byte_bpe_50k.json")
+    for t in texts:
+        assert np.array_equal(np.frombuffer(encode(t), "<u2"), tokenizer.encode(t, add_special_tokens=False).ids)
+    got = packing.pack_documents(spark.createDataFrame([(n, t, "a") for n, t in enumerate(texts)], brute.SCHEMA)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"))
+    assert all(r.n == r.all for r in got.collect())
 
 
 def test_a_band_that_agrees_in_its_slices_only_loses_no_pair():
@@ -398,8 +505,41 @@ def test_a_band_that_agrees_in_its_slices_only_loses_no_pair():
     bands = [minhash.band_keys(x) for x in (low, other)]
     assert bands[0][0] != bands[1][0] and bands[0][1] == bands[1][1]
     sig = [(x >> np.uint64(20)).astype("<u2").tobytes() for x in (low, other)]
-    group = pa.table({"_group": [7, 7], "_key": [1, 2], "_band": pa.array([1, 1], pa.int32()), "_side": pa.array([0, 0], pa.int32()), "sig": sig, "bands": pa.array(bands, pa.list_(pa.int64()))})
-    assert [r["partners"] for b in minhash._candidates(group) for r in b.to_pylist()] == [[2], []]
+    columns = {"_group": [7, 7], "_band": pa.array([1, 1], pa.int32()), "_side": pa.array([0, 0], pa.int32()), "_part": [1, 2], "_key": [1, 2], "digest": [b"x", b"y"], "sig": sig}
+    group = pa.table({**columns, "bands": pa.array(bands, pa.list_(pa.int64()))})
+    assert [r["_key"] for b in minhash._promising(group) for r in b.to_pylist()] == [1, 2]
+    words = group.append_column("words", pa.array([b"a b c d e f", b"a b c d e f"]))
+    assert [(r["a"], r["b"]) for b in minhash._links(words) for r in b.to_pylist()] == [(1, 2)]
+    words = group.append_column("words", pa.array([b"a b c d e f", b"a b c d e g"]))
+    assert not list(minhash._links(words))
+
+
+def test_texts_whose_polynomial_hashes_collide_are_not_linked(spark):
+    bits = thue_morse(1024)
+    rows = [(1, "".join("mn"[b] for b in bits), "a"), (2, "".join("nm"[b] for b in bits), "a"), (3, "x\x00y", "a"), (4, "x\x00", "a")]
+    assert [r.kept for r in minhash.near_groups(spark.createDataFrame(rows, brute.SCHEMA)).collect()] == [True] * 4
+    words = [f"{a}{b}".encode() for a in ("", "a", "é", "x" * 7, "x" * 8, "\0") for b in ("b", "bb", "\0", "b\0")]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    solid = data != 32
+    assert len(set(text_arrays.word_hashes(data, solid, text_arrays.word_begins(solid)).tolist())) == len(set(words))
+
+
+def test_links_of_a_large_group_of_near_copies_are_fewer_than_its_members(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{n}" for n in range(120)]
+    rows = []
+    for n in range(800):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(120)] = f"e{n}"
+        rows.append((n, " ".join(w), "a"))
+    d = spark.createDataFrame(rows, brute.SCHEMA)
+    signed = minhash.signatures(d, "doc_id", "text")
+    links = minhash.near_links(d, signed, "doc_id", "text")
+    distinct = len({t for _, t, _ in rows})
+    assert links.count() < 8 * distinct < distinct * (distinct - 1) / 8
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_groups(d).collect()]
+    assert {c for *_, c in got} == {0}
 
 
 def test_relative_targets_are_resolved(spark):
