@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, slices
+from .common import materialize, slices
 from .text_arrays import scrambled
 
 WINDOW, END = 2048, 1
-#: Tokens of a partition on average; tokens, and documents, that share an index at most.
+#: Tokens for each partition of shards; tokens, and documents, that share an index at most.
 PART_TOKENS, SHARD_TOKENS, SHARD_DOCS = 3_000_000, 4_000_000, 4096
 SLICE = 1 << 18
 K1, B = 1.2, 0.75
@@ -77,19 +77,6 @@ def _rank_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
-    """Rows (_key, ids): the ids of the text and the end id, two bytes each."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, end = encoder(vocabulary), array("H", [END]).tobytes()
-        for batch in slices(batches):
-            ids = [encode_text(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(encode, f"_key {kind}, ids binary")
-
-
 def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of several documents: document, term and frequency, by document and term. Sorted in slices of about SLICE tokens."""
     found, begin, held = [(np.empty(0, np.int32),) * 3], 0, 0
@@ -106,27 +93,6 @@ def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents with each term, documents, tokens: over all documents; one row a term of the vocabulary comes to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
-        for batch in slices(batches):
-            ids = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
-            df += np.bincount(_terms(ids)[1], minlength=1 << 16)
-            docs, tokens = docs + len(ids), tokens + sum(map(len, ids))
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [docs, tokens]))], names=["term", "df"])
-
-    rows = encoded.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    found = {r.term: r.df for r in rows}
-    df = np.zeros(1 << 16, np.int64)
-    for term, n in found.items():
-        if term >= 0:
-            df[term] = n
-    return df, found.get(-1, 0), found.get(-2, 0)
-
-
 @dataclass
 class Deal:
     """What deals documents to shards: a class and the first of the document's terms in several weighted random orders.
@@ -140,16 +106,14 @@ class Deal:
     centres: np.ndarray
     orders: np.ndarray
 
-    def keys(self, ids: list[np.ndarray]) -> np.ndarray:
-        """A row for each document: its class and its minima."""
-        doc, term, tf = _terms(ids)
-        begin = np.searchsorted(doc, np.arange(len(ids)))
-        out = np.zeros((len(ids), 1 + MINIMA), np.int32)
+    def keys(self, begin: np.ndarray, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """A row for each document, whose terms begin there: its class and its minima."""
+        out = np.zeros((len(begin), 1 + MINIMA), np.int32)
         for k, order in enumerate(self.orders):
             out[:, 1 + k] = np.minimum.reduceat(order[term], begin)
         if len(self.centres):
             value, column = self.weight[term] * np.log1p(tf), self.column[term]
-            for d, (i, j) in enumerate(zip(begin, np.append(begin[1:], len(doc)), strict=True)):
+            for d, (i, j) in enumerate(zip(begin, np.append(begin[1:], len(term)), strict=True)):
                 out[d, 0] = (value[i:j] @ self.centres[column[i:j]]).argmax()
         return out
 
@@ -164,24 +128,25 @@ def weighted_orders(weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_deal(encoded: DataFrame, idf: np.ndarray, documents: int) -> Deal:
-    """Fits the classes (spherical k-means) on at most SAMPLE documents, those with the smallest hash of their place."""
+def fit_deal(docs: DataFrame, text: str, vocabulary: str) -> Deal:
+    """Fits term weights and classes (spherical k-means) on at most SAMPLE different texts, those with the smallest hash."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary)
         for batch in slices(batches):
-            terms, tfs = [], []
-            for x in batch.column(1).to_pylist():
-                term, tf = np.unique(np.frombuffer(x, "<u2"), return_counts=True)
-                best = np.argsort(-idf[term] * np.log1p(tf), kind="stable")[:SAMPLE_TERMS]
-                terms.append(term[best].astype("<u2").tobytes())
-                tfs.append(tf[best].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], names=["place", "terms", "tfs"])
-
-    place = F.xxhash64("_rid")
-    share = min(1.0, 2 * SAMPLE / max(1, documents))
-    few = encoded.where(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))).select(place.alias("place"), "ids")
-    rows = few.mapInArrow(weigh, "place long, terms binary, tfs binary").orderBy("place").limit(SAMPLE).collect()
+            found = [np.unique(np.frombuffer(encode(t), "<u2"), return_counts=True) for t in batch.column(1).to_pylist()]
+            terms, tfs = ([x.astype(kind).tobytes() for x in column] for kind, column in zip(("<u2", "<i4"), list(zip(*found, strict=True)) or [()] * 2, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], names=["h", "terms", "tfs"])
+
+    share = min(1.0, 2 * SAMPLE / max(1, docs.count()))
+    few = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    few = few.groupBy("h").agg(F.first("t").alias("t")).orderBy("h").limit(SAMPLE)
+    rows = sorted(few.mapInArrow(count, "h long, terms binary, tfs binary").collect())
     sample = [(np.frombuffer(bytes(r.terms), "<u2"), np.frombuffer(bytes(r.tfs), "<i4")) for r in rows]
+    df = np.zeros(1 << 16)
+    for term, _ in sample:
+        df[term] += 1
+    idf = inverse_frequency(df, len(sample))
     total = np.zeros(1 << 16)
     for term, tf in sample:
         total[term] += idf[term] * np.log1p(tf)
@@ -203,6 +168,10 @@ def fit_deal(encoded: DataFrame, idf: np.ndarray, documents: int) -> Deal:
     return Deal(idf.astype(np.float32), column, np.ascontiguousarray(centres.T), weighted_orders(idf**2))
 
 
+def inverse_frequency(df: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p((documents - df + 0.5) / (df + 0.5))
+
+
 class Index:
     """BM25 inverted index of one shard's documents, with the idf and mean length of the whole corpus.
 
@@ -210,19 +179,17 @@ class Index:
     matrix product, of weights by presence. The others' postings are added up for each query.
     """
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        doc, term, tf = _terms(ids)
-        size = np.fromiter(map(len, ids), np.float64, len(ids))
+    def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float):
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-        often = np.bincount(term, minlength=1 << 16) > max(16, len(ids) // 16)
+        often = np.bincount(term, minlength=1 << 16) > max(16, len(size) // 16)
         column = np.cumsum(often) - 1
         dense = often[term]
-        common = np.zeros((int(often.sum()), len(ids)), np.float32)
+        common = np.zeros((int(often.sum()), len(size)), np.float32)
         common[column[term[dense]], doc[dense]] = weight[dense]
         self.common = np.sign(common).T @ common
         del common
         doc, term, weight = doc[~dense], term[~dense], weight[~dense]
-        self.term, self.first = term, np.searchsorted(doc, np.arange(len(ids) + 1))
+        self.term, self.first = term, np.searchsorted(doc, np.arange(len(size) + 1))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
@@ -252,25 +219,20 @@ class Index:
 Piece = tuple[int, int, int]
 
 
-def pack_shard(ids: list[np.ndarray], start: np.ndarray, idf: np.ndarray, mean: float, window: int = WINDOW) -> tuple[list[list[Piece]], list[Piece]]:
-    """Full sequences of pieces, and the pieces of the last window, which is not full: every token from start on, once.
+def pack_shard(index: Index, rest: np.ndarray, window: int = WINDOW) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full sequences of pieces, and the pieces of the last window, which is not full: every token of the documents, rest many of each, once.
 
-    Whole windows of long documents stand alone. What is left of each document, in order, seeds a window that its unused
-    neighbours fill, best match first; the one that does not fit is cut, and its rest seeds the next window.
+    Each document in order seeds a window that its unused neighbours fill, best match first; the one that does not fit is cut, and its rest
+    seeds the next window.
     """
-    start, full = start.copy(), []
-    rest = np.fromiter(map(len, ids), np.int64, len(ids)) - start
-    for d, n in enumerate((rest // window).tolist()):
-        full += [[(d, int(start[d]) + i * window, window)] for i in range(n)]
-        start[d] += n * window
-        rest[d] -= n * window
+    rest, start, full = rest.copy(), np.zeros(len(rest), np.int64), []
     unused = rest > 0
-    index, pending, begin = Index(ids, idf, mean), -1, 0
+    pending, begin = -1, 0
     while True:
         if pending < 0:
-            while begin < len(ids) and not unused[begin]:
+            while begin < len(rest) and not unused[begin]:
                 begin += 1
-            if begin == len(ids):
+            if begin == len(rest):
                 return full, []
             pending = begin
         seed, pending, space, pieces = pending, -1, window, []
@@ -305,72 +267,151 @@ def cut_tail(pieces: list[Piece], window: int = WINDOW) -> Iterator[list[Piece]]
             yield part
 
 
-def deal_documents(encoded: DataFrame, deal: Deal, tokens: int) -> DataFrame:
-    """The documents, in partitions of about PART_TOKENS tokens, those that share telling terms side by side; rows with equal terms may be parted, so none is hot."""
-    shared = encoded.sparkSession.sparkContext.broadcast(deal)
-    names = ["_class", *(f"_min{k}" for k in range(MINIMA))]
+#: Rows of encoded documents: what whole windows leave of one, a whole window, and the counts of a task.
+REST, WHOLE, COUNTS = range(3)
+KEYS = ["_class", *(f"_min{k}" for k in range(MINIMA))]
+ENCODED = {"kind": pa.int32(), "ids": pa.binary(), "start": pa.int64(), "doc_tokens": pa.int64(), "ids_crc32": pa.int64(), "sequence_id": pa.int64(), "terms": pa.binary(), "tfs": pa.binary(), **dict.fromkeys(KEYS, pa.int32())}
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _cut(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """A binary value for each run of values."""
+    edges = (np.append(begin, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str, deal: Deal, window: int = WINDOW) -> DataFrame:
+    """Rows _key and ENCODED, two bytes for each id, a text's ids ending in END.
+
+    Whole windows of long documents are sequences of their own. What they leave is a row with the terms of the whole document and their counts
+    and the keys that deal it to a shard. Each task adds a row of its documents with each term, all documents and all tokens.
+    """
+    shared, key_type = docs.sparkSession.sparkContext.broadcast(deal), docs.schema[key].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_text, end = encoder(vocabulary), array("H", [END]).tobytes()
+        df, documents, tokens, sequence = np.zeros(1 << 16, np.int64), 0, 0, 1 << 62 | TaskContext.get().partitionId() << 32
+        kind = pa.int64()
+
+        def rows(keys: pa.Array, n: int, **columns) -> pa.RecordBatch:
+            arrays = [x if isinstance(x := columns.get(name), pa.Array) else pa.nulls(n, t) if x is None else pa.array(x, t) for name, t in ENCODED.items()]
+            return pa.RecordBatch.from_arrays([keys, *arrays], names=["_key", *ENCODED])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            if batch.num_rows:
-                keys = shared.value.keys([np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys.T.copy())], names=[*batch.schema.names, *names])
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            raw = [encode_text(t) + end for t in batch.column(1).to_pylist()]
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+            doc, term, tf = _terms([np.frombuffer(x, "<u2") for x in raw])
+            begin = np.searchsorted(doc, np.arange(len(raw)))
+            df += np.bincount(term, minlength=1 << 16)
+            documents, tokens = documents + len(raw), tokens + int(size.sum())
+            long = [(i, at) for i in np.flatnonzero(size >= window).tolist() for at in range(0, int(size[i]) // window * window, window)]
+            if long:
+                crc = [_crc(np.frombuffer(raw[i], "<u2", window, 2 * at)) for i, at in long]
+                owner = pa.array([i for i, _ in long])
+                yield rows(batch.column(0).take(owner), len(long), kind=[WHOLE] * len(long), start=[at for _, at in long], doc_tokens=size[[i for i, _ in long]], ids_crc32=crc, sequence_id=range(sequence, sequence + len(long)))
+                sequence += len(long)
+            start = size // window * window
+            dealt = dict(zip(KEYS, shared.value.keys(begin, term, tf).T.copy(), strict=True))
+            terms, tfs = _cut(term.astype("<u2"), begin), _cut(tf.astype("<i4"), begin)
+            left = rows(batch.column(0), len(raw), kind=[REST] * len(raw), ids=[x[2 * at :] for x, at in zip(raw, start.tolist(), strict=True)], start=start, doc_tokens=size, terms=terms, tfs=tfs, **dealt)
+            yield left.filter(pa.array(start < size))
+        at = np.flatnonzero(df)
+        counts = pa.array([df[at].astype("<i8").tobytes()], pa.binary())
+        yield rows(pa.nulls(1, kind), 1, kind=[COUNTS], terms=[at.astype("<u2").tobytes()], tfs=counts, start=[documents], doc_tokens=[tokens])
+
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    schema = f"_key {key_type}, " + ", ".join(f"{n} {names[t]}" for n, t in ENCODED.items())
+    rows = docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(encode, schema)
+    return materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), "ids")
+
 
-    kind = encoded.schema["_key"].dataType.simpleString()
-    placed = materialize(encoded.mapInArrow(place, f"_key {kind}, ids binary, _rid long, " + ", ".join(f"{n} int" for n in names)), "placed")
-    order = [*names, "_rid"]
-    return placed.repartitionByRange(max(1, -(-tokens // PART_TOKENS)), *order).sortWithinPartitions(*order).select("_key", "ids")
+def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents with each term, documents, tokens: over all documents; one row a term of the vocabulary comes to the driver."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, counts, documents, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                term = np.append(np.frombuffer(terms, "<u2").astype(np.int64), [-1, -2])
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.append(np.frombuffer(counts, "<i8"), [documents, tokens]))], names=["term", "df"])
+
+    rows = encoded.where(F.col("kind") == COUNTS).select("terms", "tfs", "start", "doc_tokens").mapInArrow(spread, "term long, df long")
+    found = {r.term: r.df for r in rows.groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    df = np.zeros(1 << 16, np.int64)
+    for term, n in found.items():
+        if term >= 0:
+            df[term] = n
+    return df, found.get(-1, 0), found.get(-2, 0)
+
+
+def deal_documents(encoded: DataFrame, tokens: int) -> DataFrame:
+    """The documents' rests, in partitions of about PART_TOKENS tokens, those that share telling terms side by side; rows with equal terms may be parted, so none is hot."""
+    order = [*KEYS, "_rid"]
+    rests = encoded.where(F.col("kind") == REST).select("_key", "ids", "start", "doc_tokens", "terms", "tfs", *order)
+    return rests.repartitionByRange(max(1, -(-tokens // PART_TOKENS)), *order).sortWithinPartitions(*order).drop(*order)
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", window: int = WINDOW) -> DataFrame:
     """Rows (key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every row of docs in one piece.
 
     Documents are dealt to shards by the telling terms they share (Deal); each shard is an inverted index of at most SHARD_TOKENS tokens or SHARD_DOCS
-    documents in which every seed is scored against all unused documents; idf and mean length are the whole corpus's. What does not fill a shard's last
-    window goes to the task's next shard; a task's last window is cut into powers of two. Nothing but terms and the sample comes to the driver.
-    A null or empty text is its end id alone. Null and repeated keys are documents like others (a repeated row is packed again); an empty table
-    gives an empty result; other columns are ignored. Very long texts are cut into windows like others.
+    documents in which every seed is scored against all unused documents by the terms of the whole documents; idf and mean length are the whole
+    corpus's. What does not fill a shard's last window goes to the task's next shard; a task's last window is cut into powers of two. Nothing but
+    terms and the sample comes to the driver. A null or empty text is its end id alone. Null and repeated keys are documents like others (a
+    repeated row is packed again); an empty table gives an empty result; other columns are ignored. Very long texts are cut into windows like others.
     """
-    encoded = materialize(encode_documents(docs, key, text, vocabulary).withColumn("_rid", F.monotonically_increasing_id()), "ids")
+    encoded = encode_documents(docs, key, text, vocabulary, fit_deal(docs, text, vocabulary), window)
     df, n, tokens = corpus_statistics(encoded)
-    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, tokens / max(1, n))
-    dealt = deal_documents(encoded, fit_deal(encoded, idf, n), tokens)
-    drop_table(encoded)
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-    kind = docs.schema[key].dataType
+    mean = max(1.0, tokens / max(1, n))
+    shared = docs.sparkSession.sparkContext.broadcast(inverse_frequency(df, n))
     columns = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 32
-        keys, ids, start, held, key_type = [], [], [], 0, pa.int64()
+        sequence, key_type = TaskContext.get().partitionId() << 32, pa.int64()
+        held: list[tuple] = []
 
-        def written(sequences: list[list[Piece]]) -> pa.RecordBatch:
+        def written(full: list[list[Piece]]) -> pa.RecordBatch:
             nonlocal sequence
             owner, rows = [], []
-            for pieces in sequences:
+            for pieces in full:
                 offset = 0
                 for d, at, size in pieces:
-                    owner.append(keys[d])
-                    rows.append((at, size, zlib.crc32(ids[d][at : at + size].astype("<u4").tobytes()), len(ids[d]), sequence, offset))
+                    k, ids, start, whole, *_ = held[d]
+                    owner.append(k)
+                    rows.append((start + at, size, _crc(ids[at : at + size]), whole, sequence, offset))
                     offset += size
                 sequence += 1
             cells = np.array(rows, np.int64).reshape(-1, len(columns))
             return pa.RecordBatch.from_arrays([pa.array(owner, key_type), *map(pa.array, cells.T.copy())], names=[key, *columns])
 
+        def packed(last: bool) -> pa.RecordBatch:
+            nonlocal held
+            terms, tfs = ([np.frombuffer(row[at], kind) for row in held] for at, kind in ((4, "<u2"), (5, "<i4")))
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t in terms])
+            index = Index(doc, np.concatenate(terms), np.concatenate(tfs), np.array([row[3] for row in held], np.float64), shared.value, mean)
+            full, left = pack_shard(index, np.array([len(row[1]) for row in held], np.int64), window)
+            out = written(full + list(cut_tail(left, window)) if last else full)
+            held = [(k, ids[at:], start + at, *more) for k, ids, start, *more, at in ((*held[d], at) for d, at, _ in left)]
+            return out
+
+        tokens = 0
         for batch in slices(batches):
             key_type = batch.schema.field(0).type
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                ids.append(np.frombuffer(x, "<u2"))
-                start.append(0)
-                held += len(ids[-1])
-                if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
-                    full, left = pack_shard(ids, np.array(start, np.int64), shared.value, mean, window)
-                    yield written(full)
-                    keys, ids, start = [keys[d] for d, *_ in left], [ids[d] for d, *_ in left], [at for _, at, _ in left]
-                    held = sum(map(len, ids))
-        if keys:
-            full, left = pack_shard(ids, np.array(start, np.int64), shared.value, mean, window)
-            yield written(full + list(cut_tail(left, window)))
-
-    return dealt.mapInArrow(pack, f"`{key}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in columns))
+            for k, ids, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((k, np.frombuffer(ids, "<u2"), *more))
+                tokens += len(ids) // 2
+                if tokens >= SHARD_TOKENS or len(held) >= SHARD_DOCS:
+                    yield packed(False)
+                    tokens = sum(len(row[1]) for row in held)
+        if held:
+            yield packed(True)
+
+    kind = docs.schema[key].dataType.simpleString()
+    rests = deal_documents(encoded, tokens).mapInArrow(pack, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in columns))
+    whole = encoded.where(F.col("kind") == WHOLE)
+    return whole.select(F.col("_key").alias(key), "start", F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset")).unionAll(rests)

@@ -154,7 +154,8 @@ def test_neighbours_share_windows():
     topics = [rng.integers(i * 100, i * 100 + 100, (30, 300)).astype("<u2") for i in range(6)]
     ids = [topics[n % 6][n // 6] for n in range(180)]
     together = total = 0
-    for pieces in packing.pack_shard(ids, np.zeros(180, np.int64), np.ones(1 << 16), 300.0)[0]:
+    size = np.array(list(map(len, ids)))
+    for pieces in packing.pack_shard(packing.Index(*packing._terms(ids), size, np.ones(1 << 16), 300.0), size)[0]:
         for a, b in zip(pieces, pieces[1:], strict=False):
             total += 1
             together += a[0] % 6 == b[0] % 6
@@ -458,7 +459,7 @@ def test_scores_of_a_shard_are_those_of_the_formula():
     rng = np.random.default_rng(4)
     ids = [(rng.zipf(1.5, rng.integers(1, 60)) % 300).astype("<u2") for _ in range(120)]
     idf, mean = rng.random(1 << 16), 30.0
-    index = packing.Index(ids, idf, mean)
+    index = packing.Index(*packing._terms(ids), np.array(list(map(len, ids))), idf, mean)
     for seed in range(0, 120, 7):
         score = np.zeros(120)
         for d in range(120):
@@ -476,10 +477,11 @@ def test_documents_that_share_terms_are_dealt_side_by_side(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = [[f"t{t}x{n}" for n in range(40)] for t in range(12)]
     rows = [(n, " ".join(rng.choice(words[n % 12], 50)), "a") for n in range(480)]
-    encoded = common.materialize(packing.encode_documents(spark.createDataFrame(rows, brute.SCHEMA), "doc_id", "text", "byte_bpe_50k.json").withColumn("_rid", F.monotonically_increasing_id()), "ids")
+    d = spark.createDataFrame(rows, brute.SCHEMA).repartition(3)
+    encoded = packing.encode_documents(d, "doc_id", "text", "byte_bpe_50k.json", packing.fit_deal(d, "text", "byte_bpe_50k.json"))
     df, n, tokens = packing.corpus_statistics(encoded)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    dealt = packing.deal_documents(encoded, packing.fit_deal(encoded, idf, n), tokens).withColumn("part", F.spark_partition_id()).select("part", "_key").collect()
+    assert n == 480 and df[1] == 480
+    dealt = packing.deal_documents(encoded, tokens).withColumn("part", F.spark_partition_id()).select("part", "_key").collect()
     parts = defaultdict(Counter)
     for r in dealt:
         parts[r.part][r._key % 12] += 1
