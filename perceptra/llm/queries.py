@@ -93,6 +93,35 @@ FROM sizes z JOIN k ON z.source IS NOT DISTINCT FROM k.source
 LEFT JOIN cut ON z.source IS NOT DISTINCT FROM cut.source
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE bit(n, k, c) AS (
+  SELECT n, 0, n FROM range(256) r(n) UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS step FROM bit WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+h AS (
+  SELECT doc_id, strlen(body) + 1 AS size, ('0x' || substr(md5(body), 1, 15))::BIGINT AS h,
+         xor(4294967295, list_reduce(list_transform(range(strlen(body)), lambda i: ('0x' || substr(x, 2*i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32
+  FROM (SELECT *, hex(encode(body)) AS x FROM d), crc),
+r AS (
+  SELECT *, (h % 4096)::INT AS vslot, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || text_crc32 || '/' || size), 1, 15))::BIGINT AS deal FROM h),
+slots AS (SELECT vslot, sum(size) AS bytes FROM r GROUP BY vslot),
+heavy AS (SELECT vslot, bytes, mean / 8 AS part FROM slots, (SELECT sum(bytes) / 16::DOUBLE AS mean FROM slots) WHERE bytes > mean),
+hot AS (SELECT r.vslot, h, ceil(sum(size) / any_value(part))::INT AS keys FROM r JOIN heavy USING (vslot) GROUP BY r.vslot, h HAVING sum(size) > any_value(part)),
+placed AS (
+  SELECT r.*, CASE WHEN keys IS NULL THEN -1 ELSE h END AS hot_text,
+         (CASE WHEN keys IS NULL THEN (h // 4096) % coalesce(ceil(heavy.bytes / heavy.part)::BIGINT, 1) ELSE deal % keys END)::INT AS part
+  FROM r LEFT JOIN heavy USING (vslot) LEFT JOIN hot USING (vslot, h)),
+units AS (SELECT vslot, hot_text, part, sum(size)::BIGINT AS bytes, row_number() OVER (ORDER BY sum(size) DESC, vslot DESC, hot_text DESC, part DESC) AS i FROM placed GROUP BY vslot, hot_text, part),
+fold(i, loads, shard) AS (
+  SELECT 0::BIGINT, list_transform(range(16), lambda x: 0::BIGINT), NULL::BIGINT UNION ALL
+  SELECT u.i, list_transform(range(16), lambda x: f.loads[x + 1] + CASE WHEN x + 1 = list_position(f.loads, list_min(f.loads)) THEN u.bytes ELSE 0 END), list_position(f.loads, list_min(f.loads)) - 1
+  FROM fold f JOIN units u ON u.i = f.i + 1)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY vslot, hot_text, part, deal, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard
+FROM placed JOIN units USING (vslot, hot_text, part) JOIN fold USING (i)
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -171,6 +200,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op3_mixing": OP3_SQL,
+    "op5_sharding": OP5_SQL,
     "op6_minhash": OP6_SQL,
     "op7_suffix_dedup": OP7_SQL,
     "op8_url_filters": OP8_SQL,
