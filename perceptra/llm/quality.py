@@ -15,8 +15,8 @@ from .text_arrays import MIX, windows, word_begins, word_hashes
 
 #: Base rules: fewer words fail, as does a larger percentage of words in repeated windows of WINDOW words.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
-#: Labelled documents that the model is fitted on, at most; those with the smallest hash of their key.
-MAX_LABELLED = 800
+#: Labelled documents that the model is fitted on, at most; those with the smallest hash of their key. Of each, at most so many lines, around its middle.
+MAX_LABELLED, MAX_LINES = 800, 256
 #: Share of a document's words that must lie in content lines.
 MIN_CONTENT = 0.5
 ROUNDS, RATE, DECAY, CHAIN = 60, 0.3, 1e-3, 4
@@ -172,16 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model fitted on at most limit labelled documents; None if they are not of both kinds.
 
     Every line of a document takes its document's quality as label; CHAIN documents in the order of a hash make a sequence, so
-    that labels change within it. Rows with a null key, quality or text are left out.
+    that labels change within it. Lines are measured in the tasks; the driver gets the features of at most MAX_LINES lines of a document, which
+    bounds what it holds whatever the texts' lengths. Rows with a null key, quality or text are left out.
     """
     order = F.xxhash64("_k")
     known = labels.select(F.col(key).alias("_k"), F.col("quality").alias("_q")).where("_k IS NOT NULL AND _q IS NOT NULL").orderBy(order, "_k", "_q").limit(limit)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t IS NOT NULL").join(F.broadcast(known), "_k").orderBy(order, "_k", "_q", F.xxhash64("_t")).limit(limit).collect()
-    if len({r._q for r in rows}) < 2:
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t IS NOT NULL").join(F.broadcast(known), "_k")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for t in batch.column(3).to_pylist():
+                lines = measure(t).features
+                begin = max(0, (len(lines) - MAX_LINES) // 2)
+                found.append(lines[begin : begin + MAX_LINES].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["h", "t", "q", "lines"])
+
+    chosen = rows.select(order.alias("h"), F.xxhash64("_t").alias("t"), F.col("_q").cast("double").alias("q"), "_t").mapInArrow(features, "h long, t long, q double, lines binary")
+    found = sorted((r.h, r.q, r.t, bytes(r.lines)) for r in chosen.orderBy("h", "q", "t").limit(limit).collect())
+    if len({q > 0 for _, q, *_ in found}) < 2:
         return None
-    measured = [(m := measure(r._t), np.full(len(m.line_words), int(r._q > 0))) for r in rows]
+    measured = [(np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(np.float64), int(q > 0)) for _, q, _, x in found]
     parts = [measured[i : i + CHAIN] for i in range(0, len(measured), CHAIN)]
-    return fit([(np.concatenate([m.features for m, _ in p]), np.concatenate([y for _, y in p])) for p in parts])
+    return fit([(np.concatenate([x for x, _ in p]), np.concatenate([np.full(len(x), y) for x, y in p])) for p in parts])
 
 
 def judge(text: str | None, model: LineModel | None) -> tuple:
@@ -217,7 +230,7 @@ def rate_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that rate_documents() keeps, all columns."""
+    """The rows of docs that rate_documents() keeps, all columns. Null and empty texts fail the base rules; an empty table gives an empty result."""
     model = train(docs, labels, key, text)
     at = docs.columns.index(text)
 
