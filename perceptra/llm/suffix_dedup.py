@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, materialize, slices
+from .common import by_group, flagged, materialize, slices
 from .text_arrays import scrambled
 
 #: Length of the strings that are judged, and of the anchors that deal them out: a string's anchor is the least hash among its substrings of that length.
@@ -467,7 +467,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     body = F.coalesce(F.col(text), F.lit(""))
     order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.col(key).alias("_key"), order.alias("_order"), F.xxhash64(body).alias("_ident"), body.alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), order.alias("_order"), body.alias("_text"))
+    again = materialize(rows.groupBy("_order").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("_order").alias("_h")), "again")
+    if again.isEmpty():
+        rows = rows.withColumn("_ident", F.lit(0).cast("long"))
+    else:  # rows of a repeated key are told apart by their text
+        rows = flagged(rows, again, F.xxhash64("_order"), "_again").withColumn("_ident", F.when(F.col("_again"), F.xxhash64("_text")).otherwise(0)).drop("_again")
     spans = materialize(repeated_spans(rows, "_text"), "spans")
     spans = spans.groupBy("_order", "_ident").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     joined = rows.join(spans, ["_order", "_ident"], "left").select("_key", "_text", F.col("lo"), F.col("hi"))
