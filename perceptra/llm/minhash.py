@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import by_group, drop_table, flagged, materialize, slices, spread
 from .graph import connected_components
-from .text_arrays import scrambled, windows, word_begins, word_hashes
+from .text_arrays import distinct, scrambled, windows, word_begins, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32, all but 5e-6.
@@ -48,7 +48,7 @@ def shingles(words: bytes) -> np.ndarray:
     data = np.frombuffer(words, np.uint8)
     solid = data != 32
     begins = word_begins(solid) if len(data) else data
-    return np.unique(windows(word_hashes(data, solid, begins), WORDS)) if len(begins) else np.empty(0, np.uint64)
+    return distinct(windows(word_hashes(data, solid, begins), WORDS)) if len(begins) else np.empty(0, np.uint64)
 
 
 def exact_shingles(words: bytes) -> set[bytes]:

@@ -99,7 +99,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs in the mix's proportions: each row 0, 1 or 2 times, all columns. The cut is a filter on the key's hash; texts are not shuffled."""
+    """docs in the mix's proportions: each row 0, 1 or 2 times, all columns. The cut is a filter on the key's hash; texts are not shuffled.
+
+    Null keys, texts and sources are those of mix(); rows that repeat a key share their fate; an empty table gives an empty result.
+    """
     measured = _measured(docs, key, text, source)
     sizes = materialize(docs.select(*[c.alias(n) for n, c in measured.items()]), "sizes")
     plan = materialize(thresholds(sizes, source_targets(sizes)), "plan")

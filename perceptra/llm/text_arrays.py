@@ -22,41 +22,50 @@ def word_begins(solid: np.ndarray) -> np.ndarray:
     return np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
 
 
-def _digest(word: bytes) -> int:
-    value = _long_words.get(word)
-    if value is None:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= MEMO_BYTES:
-            if len(_long_words) >= MEMO:
-                _long_words.clear()
-            _long_words[word] = value
-    return value
+#: The bytes of a little-endian number that a word of so many bytes fills.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _digests(words: list[bytes]) -> list[int]:
+    values = list(map(_long_words.get, words))
+    for i, word in enumerate(words):
+        if values[i] is None:
+            values[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            if len(word) <= MEMO_BYTES:
+                if len(_long_words) >= MEMO:
+                    _long_words.clear()
+                _long_words[word] = values[i]
+    return values
 
 
 def word_hashes(data: np.ndarray, solid: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """A hash of each run of solid bytes; begins as word_begins() gives them, not empty.
 
-    Up to eight bytes are one number, whose hash is a bijection, so such words never collide; longer ones, and those with a zero byte, have a
-    BLAKE2b digest.
+    Up to eight bytes are one number, whose hash is a bijection, so such words never collide; up to sixteen are two numbers, mixed one
+    after the other; longer ones, and those with a zero byte, have a BLAKE2b digest.
     """
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(data) + 8,), "<u8", padded, 0, (1,))
     ends = np.flatnonzero(solid & ~np.concatenate((solid[1:], [False]))) + 1
     size = ends - begins
-    packed = np.zeros(len(begins), np.uint64)
-    for j in range(8):
-        packed |= np.where(size > j, padded[begins + j], 0).astype(np.uint64) << np.uint64(8 * j)
-    out = scrambled(packed + MIX)
-    long = size > 8
-    zero = np.flatnonzero(data == 0)
-    if len(zero):
-        long[np.searchsorted(begins, zero, "right") - 1] = True
+    out = scrambled((eight[begins] & _FILLED[np.minimum(size, 8)]) + MIX)
+    at = np.flatnonzero(size > 8)
+    out[at] = scrambled(scrambled(out[at] + MIX) ^ scrambled(eight[begins[at] + 8] & _FILLED[np.minimum(size[at] - 8, 8)]))
+    long, raw = size > 16, data.tobytes()
+    if b"\0" in raw:
+        long[np.searchsorted(begins, np.flatnonzero(data == 0), "right") - 1] = True
     at = np.flatnonzero(long)
     if len(at):
-        raw = data.tobytes()
-        out[at] = np.fromiter((_digest(raw[i:j]) for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)), np.uint64, len(at))
+        out[at] = np.array(_digests([raw[i:j] for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]), np.uint64)
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
+
+
 def windows(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of size hashes, in order; fewer than size give one of all."""
     out = scrambled(h[: max(1, len(h) - size + 1)])

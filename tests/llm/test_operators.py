@@ -188,7 +188,7 @@ def test_a_hot_text_is_cut_by_key(spark):
 
 
 def test_growing_moves_units_only_into_the_new_shard(spark):
-    w = spark.createDataFrame([(n, 0, 1000 + n % 37) for n in range(600)], "vslot int, part int, bytes long")
+    w = spark.createDataFrame([(n, -1, 0, 1, 1000 + n % 37) for n in range(600)], "vslot int, hot_text long, part int, parts int, bytes long")
     first = sharding.build_map(w, 16)
     grown = sharding.rebalance(first, w, 17)
     before = {r.vslot: r.shard for r in first.collect()}
@@ -197,6 +197,41 @@ def test_growing_moves_units_only_into_the_new_shard(spark):
     assert {r.version for r in grown.collect()} == {2}
 
 
+def test_only_texts_heavier_than_a_part_are_cut_by_key(spark):
+    """Small texts that share the hot text's slot stay together."""
+    slot = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16) % sharding.SLOTS
+    hot = "hot text"
+    beside = [t for t in (f"small {n}" for n in range(60_000)) if slot(t) == slot(hot)][:5]
+    assert len(beside) >= 3
+    rows = [(n, hot, "a") for n in range(3000)] + [(9000 + n, f"other {n}", "a") for n in range(1000)] + [(20_000 + 6 * i + c, t, "a") for i, t in enumerate(beside) for c in range(6)]
+    texts = {k: t for k, t, _ in rows}
+    homes = defaultdict(set)
+    for r in sharding.shard_documents(spark.createDataFrame(rows, brute.SCHEMA)).collect():
+        homes[texts[r.doc_id]].add(r.shard)
+    assert len(homes.pop(hot)) > 8 and all(len(s) == 1 for s in homes.values())
+
+
+def test_a_stored_map_is_used_again_and_edited_when_a_shard_is_added(spark, tmp_path):
+    path = f"file://{tmp_path}/maps"
+    rows = [(n, f"text {n} " + "x" * (n % 50), "a") for n in range(2000)] + [(5000 + n, "hot", "a") for n in range(20_000)]
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    first = {r.doc_id: r.shard for r in sharding.shard_documents(docs, path=path).collect()}
+    again = sharding.shard_documents(docs, slot_map=sharding.load_map(spark, path), path=path)
+    assert {r.doc_id: r.shard for r in again.collect()} == first
+    assert sharding.load_map(spark, path).first().version == 1
+    grown = {r.doc_id: r.shard for r in sharding.shard_documents(docs, shards=17, slot_map=sharding.load_map(spark, path), path=path).collect()}
+    moved = {k for k in first if grown[k] != first[k]}
+    size = {k: len(t) + 1 for k, t, _ in rows}
+    assert 0 < sum(size[k] for k in moved) < sum(size.values()) / 8
+    assert sum(size[k] for k in moved if grown[k] == 16) > 0.8 * sum(size[k] for k in moved)
+    assert sharding.load_map(spark, path).first().version == 2 and sharding.load_map(spark, path, 1).first().version == 1
+    with pytest.raises(ValueError):
+        sharding.save_map(sharding.load_map(spark, path), path)
+    more = docs.unionAll(spark.createDataFrame([(90_000 + n, f"new {n}", "a") for n in range(500)], brute.SCHEMA))
+    later = {r.doc_id: r.shard for r in sharding.shard_documents(more, shards=17, slot_map=sharding.load_map(spark, path)).collect()}
+    assert len(later) == len(first) + 500 and sum(later[k] != grown[k] for k in grown) < len(grown) / 20
+
+
 def test_minhash(docs, empty):
     got = minhash.near_groups(docs).collect()
     rows = brute.awkward()
@@ -402,6 +437,14 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
+def test_stages_on_empty_tables(spark, empty):
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, quality int")
+    assert quality.keep_good(empty, labels).count() == 0
+    assert mixing.mixed_documents(empty).count() == 0
+    assert minhash.drop_near_duplicates(empty).count() == 0
+    assert sharding.shard_documents(empty).count() == 0
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(5, 1, 0), (12, 0, 0), (20, 1, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.rate_documents(docs, labels).collect()
@@ -416,6 +459,17 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, labels.limit(0)).count() == sum(r.kept for r in none)
 
 
+def test_a_labelled_document_of_a_million_lines(spark, monkeypatch):
+    good = [(n, " ".join(brute.BASE) + "\n" + " ".join(brute.BASE[::-1]), "a") for n in range(30)]
+    bad = [(100 + n, "$$ # 12 !!\n" * 20, "a") for n in range(30)]
+    docs = spark.createDataFrame([*good, *bad, (999, "x\n" * 1_000_000, "a")], brute.SCHEMA)
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in [*range(30), *range(100, 130), 999]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda chains: seen.extend(len(y) for _, y in chains))
+    quality.train(docs, labels)
+    assert seen and max(seen) <= quality.CHAIN * quality.MAX_LINES
+
+
 def test_line_labels_on_held_out_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
