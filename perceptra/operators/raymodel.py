@@ -11,6 +11,8 @@ from ..functions.expr import grams_2d, object_frame, polar
 from .histogram import Histogram
 
 LEAST, SUPPORT = 1e-99, 10
+#: Steps of a ray key's angle and distance.
+GRAIN = (0.1, 0.1)
 
 
 def observations(hits: DataFrame) -> DataFrame:
@@ -61,21 +63,21 @@ def half_turn_order(seen: DataFrame, group: list[str], order: str, n: int) -> Da
     return seen.withColumn("turn", F.pmod(F.col(order) - F.when(first, n // 2).otherwise(0), F.lit(n)))
 
 
-def gram_keys(seen: DataFrame) -> DataFrame:
-    k_phi, k_dist = grams_2d("m_phi", "dist_ray")
+def gram_keys(seen: DataFrame, grain: tuple[float, float] = GRAIN) -> DataFrame:
+    k_phi, k_dist = grams_2d("m_phi", "dist_ray", *grain)
     return seen.withColumns({"k_phi": k_phi, "k_dist": k_dist})
 
 
-def one_gram(seen: DataFrame, keys: list[str], hist: Histogram) -> DataFrame:
+def one_gram(seen: DataFrame, keys: list[str], hist: Histogram, grain: tuple[float, float] = GRAIN) -> DataFrame:
     """Histograms of the end's distance by ray key."""
-    return hist.count(gram_keys(seen), [*keys, "k_phi", "k_dist"], "dist_obs", None)
+    return hist.count(gram_keys(seen, grain), [*keys, "k_phi", "k_dist"], "dist_obs", None)
 
 
-def two_gram(seen: DataFrame, keys: list[str], group: list[str], hist: Histogram) -> DataFrame:
+def two_gram(seen: DataFrame, keys: list[str], group: list[str], hist: Histogram, grain: tuple[float, float] = GRAIN) -> DataFrame:
     """Histograms by ray key and the neighbour's bin, each pair of neighbours counted both ways."""
     from ..functions.expr import bin_index
 
-    s = gram_keys(seen).withColumn("bin", bin_index("dist_obs", hist.lo, hist.hi, hist.res))
+    s = gram_keys(seen, grain).withColumn("bin", bin_index("dist_obs", hist.lo, hist.hi, hist.res))
     for c in ("k_phi", "k_dist", "bin"):
         s = with_previous(s, group, "hit_idx", c, f"p_{c}")
     forth = s.select(*keys, "k_phi", "k_dist", F.col("p_bin").alias("prev"), "bin")
@@ -89,11 +91,11 @@ def likelihoods(hist: DataFrame, keys: list[str], res: float, support: float = S
     return hist.withColumn("_n", total).where(F.col("_n") >= support).withColumn("lik", F.col("w") / F.col("_n") / res).drop("_n", "w")
 
 
-def score(seen: DataFrame, one: DataFrame, two: DataFrame, keys: list[str], group: list[str], hist: Histogram, support: float = SUPPORT) -> DataFrame:
+def score(seen: DataFrame, one: DataFrame, two: DataFrame, keys: list[str], group: list[str], hist: Histogram, support: float = SUPPORT, grain: tuple[float, float] = GRAIN) -> DataFrame:
     """Sum of log likelihoods (J8, G23): of the two-gram if its key has support, else of the one-gram, else of LEAST."""
     from ..functions.expr import bin_index
 
-    s = gram_keys(seen).withColumn("bin", bin_index("dist_obs", hist.lo, hist.hi, hist.res))
+    s = gram_keys(seen, grain).withColumn("bin", bin_index("dist_obs", hist.lo, hist.hi, hist.res))
     s = with_previous(s, group, "hit_idx", "bin", "prev")
     one_key, two_key = [*keys, "k_phi", "k_dist"], [*keys, "k_phi", "k_dist", "prev"]
     has2 = two.groupBy(*two_key).agg(F.sum("w").alias("_n2")).where(F.col("_n2") >= support)
@@ -107,9 +109,9 @@ def least_log(p: Column) -> Column:
     return F.ln(F.greatest(p, F.lit(LEAST)))
 
 
-def sample_ranges(rays: DataFrame, one: DataFrame, keys: list[str], hist: Histogram, u: str = "u") -> DataFrame:
+def sample_ranges(rays: DataFrame, one: DataFrame, keys: list[str], hist: Histogram, u: str = "u", grain: tuple[float, float] = GRAIN) -> DataFrame:
     """A drawn distance for each ray from its one-gram histogram (M9)."""
-    return hist.sample(one, gram_keys(rays).select(*keys, "hit_idx", "k_phi", "k_dist", u), [*keys, "k_phi", "k_dist"], u)
+    return hist.sample(one, gram_keys(rays, grain).select(*keys, "hit_idx", "k_phi", "k_dist", u), [*keys, "k_phi", "k_dist"], u)
 
 
 def sample_chain(draws: DataFrame, two: DataFrame, keys: list[str], hist: Histogram, schema: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +11,22 @@ from pyspark.sql import functions as F
 from .models import mutual_information
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once in the storage that the cluster shares, or in the checkpoint folder set for this session."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the storage that the cluster shares (spark.checkpoint.dir); where that is unset, a local master takes a temporary one and a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='perceptra-')}"
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once in the storage that the cluster shares."""
+    path = shared_folder(df.sparkSession, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def candidate_edges(joint: DataFrame, least: int = 100) -> DataFrame:
@@ -60,6 +65,8 @@ def spanning_forest(edges: DataFrame, by: list[str], rounds: int = 64) -> DataFr
             if step.where("_moved").isEmpty():
                 break
         label = stored(label.join(up, [*by, "root"], "left").select(*by, "n", F.coalesce("up", "root").alias("root")))
+    else:
+        raise RuntimeError(f"the forest did not settle in {rounds} rounds")
     return chosen if chosen is not None else e.limit(0)
 
 

@@ -11,11 +11,12 @@ from ..functions import expr
 from ..operators import detect, raymodel, sampling, scoring
 from ..operators.histogram import Histogram, blur_axis, upper_median
 from ..operators.rays import box_lattice
+from ..operators.trees import stored
 from ..registry import query
 from ..sources.adapters import HITS_SQL, hits, table
 from . import grids
 
-SIZE = 5.0
+SIZE, GRAIN = 5.0, (0.5, 1.0)
 H = Histogram(-5.0, 5.0, 1.0)
 POSE_SQL = """poses AS (SELECT CAST(a*12 + b*4 + c AS INTEGER) AS pose_id, a*2.0 - 2.0 AS px, b*2.0 - 2.0 AS py, c*pi()/2 AS pt FROM range(3) x(a), range(3) y(b), range(4) z(c))"""
 SEEN = f"""{HITS_SQL}, {POSE_SQL},
@@ -48,8 +49,7 @@ def seen(spark, sf_dir):
 
 
 def keyed(s):
-    p, d = expr.grams_2d("m_phi", "dist_ray", 0.5, 1.0)
-    return s.withColumns({"k_phi": p, "k_dist": d})
+    return raymodel.gram_keys(s, GRAIN)
 
 
 @query(f"WITH {SEEN} SELECT scan_id, hit_idx, pose_id, round(m_phi, 6) AS m_phi, round(dist_ray, 6) AS dist_ray, round(dist_obs, 6) AS dist_obs FROM seen")
@@ -63,20 +63,11 @@ def ray_relevant_to_all(spark, sf_dir):
 
 
 def _one(s):
-    return H.count(keyed(s), ["cls", "k_phi", "k_dist"], "dist_obs", None)
-
-
-def _linked(s):
-    k = keyed(s).withColumn("bin", expr.bin_index("dist_obs", H.lo, H.hi, H.res))
-    for c, n in (("bin", "prev"), ("k_phi", "p_phi"), ("k_dist", "p_dist")):
-        k = raymodel.with_previous(k, ["scan_id", "pose_id"], "hit_idx", c, n)
-    return k
+    return raymodel.one_gram(s, ["cls"], H, GRAIN)
 
 
 def _two(s):
-    k = _linked(s)
-    back = k.select("cls", F.col("p_phi").alias("k_phi"), F.col("p_dist").alias("k_dist"), F.col("bin").alias("prev"), F.col("prev").alias("bin"))
-    return k.select("cls", "k_phi", "k_dist", "prev", "bin").unionAll(back).groupBy("cls", "k_phi", "k_dist", "prev", "bin").agg(F.count("*").cast("double").alias("w"))
+    return raymodel.two_gram(s, ["cls"], ["scan_id", "pose_id"], H, GRAIN)
 
 
 @query(f"WITH {PREV} SELECT * FROM one")
@@ -100,15 +91,10 @@ j AS (
   LEFT JOIN one ON (one.cls, one.k_phi, one.k_dist, one.bin) = (l.cls, l.k_phi, l.k_dist, l.bin) WHERE l.scan_id % 2 = 1)
 SELECT scan_id, pose_id, round(sum(ln(greatest(lik, 1e-99))), 6) AS score, count(*) AS n FROM j GROUP BY ALL""")
 def ray_score_fallback(spark, sf_dir):
-    s = seen(spark, sf_dir)
-    train, test = s.where("scan_id % 2 = 0"), _linked(s.where("scan_id % 2 = 1"))
-    one_key, two_key = ["cls", "k_phi", "k_dist"], ["cls", "k_phi", "k_dist", "prev"]
-    one, two = _one(train), _two(train)
-    has2 = two.groupBy(*two_key).agg(F.sum("w").alias("n2")).where(F.col("n2") >= raymodel.SUPPORT)
-    t = test.join(raymodel.likelihoods(two, two_key, H.res).withColumnRenamed("lik", "l2"), [*two_key, "bin"], "left").join(has2, two_key, "left")
-    t = t.join(raymodel.likelihoods(one, one_key, H.res).withColumnRenamed("lik", "l1"), [*one_key, "bin"], "left")
-    lik = F.when(F.col("n2").isNotNull(), F.coalesce("l2", F.lit(0.0))).otherwise(F.coalesce("l1", F.lit(0.0)))
-    return t.groupBy("scan_id", "pose_id").agg(F.round(F.sum(raymodel.least_log(lik)), 6).alias("score"), F.count("*").alias("n"))
+    s = stored(seen(spark, sf_dir))
+    train, test = s.where("scan_id % 2 = 0"), s.where("scan_id % 2 = 1")
+    scored = raymodel.score(test, _one(train), _two(train), ["cls"], ["scan_id", "pose_id"], H, grain=GRAIN)
+    return scored.select("scan_id", "pose_id", F.round("score", 6).alias("score"), "n")
 
 
 @query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, value FROM events)

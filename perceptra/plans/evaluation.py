@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import evaluate, learn, sampling
+from ..operators import evaluate, learn, matching, sampling
 from ..operators.trees import stored
 from ..registry import query
 from ..sources.adapters import BOXES_SQL, HITS_SQL, detections, ground_truth, hits, table
@@ -49,6 +49,23 @@ def greedy_match_stats(spark, sf_dir):
     return evaluate.counts_at(m.select("frame", "delta"), totals, ["frame"])
 
 
+def evaluated(spark, sf_dir):
+    more = {"alpha": F.col("box_id") % 7 * 0.3, "occlusion": F.col("box_id") % 4, "truncation": F.col("box_id") % 10 / 10.0}
+    g, d = ground_truth(spark, sf_dir).withColumns(more), detections(spark, sf_dir).withColumn("alpha", F.col("box_id") % 5 * 0.4)
+    kinds = [f"Brand#{n}" for n in range(1, 6)]
+    return matching.evaluate_detections(g, d, g.where("box_id % 10 = 0"), dict(zip(kinds, [*kinds[1:], None], strict=True)), 0.5)
+
+
+@query()
+def evaluation_curve(spark, sf_dir):
+    return evaluated(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "aos")})
+
+
+@query()
+def evaluation_ap(spark, sf_dir):
+    return matching.class_average_precision(evaluated(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("ap", "orientation")})
+
+
 @query(f"WITH {BOXES_SQL}, care AS (SELECT * FROM gt WHERE box_id % 10 = 0) SELECT d.frame, d.box_id FROM det d WHERE EXISTS (SELECT 1 FROM care g WHERE d.frame = g.frame AND least(d.x2,g.x2) > greatest(d.x1,g.x1) AND least(d.y2,g.y2) > greatest(d.y1,g.y1) AND (least(d.x2,g.x2)-greatest(d.x1,g.x1))*(least(d.y2,g.y2)-greatest(d.y1,g.y1))/((d.x2-d.x1)*(d.y2-d.y1)) > 0.5)")
 def dont_care_absorption(spark, sf_dir):
     return evaluate.absorbed(detections(spark, sf_dir), ground_truth(spark, sf_dir).where("box_id % 10 = 0"), ["frame"], 0.5).select("frame", "box_id")
@@ -107,7 +124,13 @@ def average_precision(spark, sf_dir):
     return evaluate.average_precision(evaluate.envelope(sampled(spark, sf_dir), ["key"]), ["key"]).withColumn("ap", F.round("ap", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES_SQL}, n AS (SELECT kind, count(*) AS n FROM gt GROUP BY kind),
+s AS (SELECT kind, score, n, row_number() OVER (PARTITION BY kind ORDER BY score DESC) - 1 AS i, count(*) OVER (PARTITION BY kind) AS m FROM det JOIN n USING (kind)),
+fold AS (
+  SELECT kind, CAST(-1 AS BIGINT) AS i, 0.0::DOUBLE AS reached, 0 AS taken, false AS takes, NULL::DOUBLE AS score FROM n UNION ALL
+  SELECT kind, i, CASE WHEN skip THEN reached ELSE reached + 1.0::DOUBLE/40 END, CASE WHEN skip THEN taken ELSE taken + 1 END, NOT skip, score FROM (
+    SELECT s.kind, s.i, f.reached, f.taken, s.score, s.i < s.m - 1 AND (s.i + 2)/s.n - f.reached < f.reached - (s.i + 1)/s.n AS skip FROM fold f JOIN s ON s.kind = f.kind AND s.i = f.i + 1))
+SELECT kind, CAST(taken - 1 AS INTEGER) AS step, score AS threshold FROM fold WHERE takes""")
 def recall_thresholds(spark, sf_dir):
     d = detections(spark, sf_dir)
     n = ground_truth(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n_truth"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,14 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, "*.bin").select(_frame().alias("frame"), "content").mapInPandas(parse, "frame int, hit_idx int, x double, y double, z double, intensity double")
 
 
+def _framed(rows: DataFrame) -> DataFrame:
+    """Adds frame: the folder's (frame=7), as the writers here leave it, else the number in the file's name."""
+    frame = F.col("frame").cast("int") if "frame" in rows.columns else _frame("_metadata.file_path")
+    return rows.select(*[c for c in rows.columns if c != "frame"], frame.alias("frame"))
+
+
 def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", " ").csv(path).withColumn("frame", _frame("_metadata.file_path"))
+    return _framed(spark.read.schema(schema).option("sep", " ").csv(path))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +71,7 @@ def care(labels: DataFrame) -> DataFrame:
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     """Matrices as arrays by frame (S3, S4): lines with the prefixes of projection, rectification and sensor position."""
-    lines = spark.read.text(path).select(_frame("_metadata.file_path").alias("frame"), "value")
+    lines = _framed(spark.read.text(path))
     numbers = lambda prefix: F.max(F.when(F.startswith("value", F.lit(prefix)), F.split(F.trim(F.substring_index("value", ":", -1)), " +").cast("array<double>")))
     return lines.groupBy("frame").agg(numbers("P2: ").alias("p"), numbers("R0_rect: ").alias("r_rect"), numbers("Tr_velo_to_cam: ").alias("t_cv"))
 
@@ -166,3 +173,55 @@ def load_grids(spark: SparkSession, path: str, classes: list[str] | None = None,
 def write_csv(df: DataFrame, path: str) -> None:
     """Headerless results (K5, K6, K7)."""
     df.write.mode("overwrite").csv(path)
+
+
+def write_calibration(calibration: DataFrame, path: str) -> None:
+    """Matrices (frame, p, r_rect, t_cv) as text in a folder for each frame; what read_calibration reads."""
+    line = lambda name, c: F.concat_ws(" ", F.lit(f"{name}:"), F.col(c).cast("array<string>"))
+    lines = F.concat_ws("\n", line("P2", "p"), line("R0_rect", "r_rect"), line("Tr_velo_to_cam", "t_cv"))
+    calibration.select("frame", lines.alias("value")).write.mode("overwrite").partitionBy("frame").text(path)
+
+
+def write_tracklets(tracklets: DataFrame, path: str) -> None:
+    """Tracklets (objectType, h, w, l, first_frame, poses, finished) as XML; what read_tracklets reads."""
+    tracklets.write.format("xml").option("rootTag", "tracklets").option("rowTag", "tracklet").mode("overwrite").save(path)
+
+
+def write_laser_log(lines: DataFrame, path: str) -> None:
+    """FLASER lines (ranges, ox, oy, heading); what read_laser_log reads."""
+    value = F.concat_ws(" ", F.lit("FLASER"), F.size("ranges").cast("string"), F.col("ranges").cast("array<string>"), *[F.col(c).cast("string") for c in ("ox", "oy", "heading")])
+    lines.select(value.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_binary(rows: DataFrame, path: str) -> int:
+    """A file for each row (name, content) in one folder that the tasks reach; returns how many. A repeated attempt writes the same file again."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(base, recursive=True)
+        for f in frames:
+            for name, content in zip(f.name, f.content, strict=True):
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(f)]})
+
+    return rows.select("name", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def scan_files(scans: DataFrame, frame: str = "frame") -> DataFrame:
+    """Rows (name, content) of one scan a file, records of four 32-bit floats in the order of hit_idx; a scan is bounded by its sensor."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = pdf.sort_values("hit_idx")[["x", "y", "z", "intensity"]].to_numpy("<f4").tobytes()
+        return pd.DataFrame({"name": [f"{int(pdf[frame].iloc[0]):06d}.bin"], "content": [data]})
+
+    return scans.groupBy(frame).applyInPandas(pack, "name string, content binary")
+
+
+def sparse_grid_files(grids: DataFrame, by: str, res: float) -> DataFrame:
+    """Rows (name, content) of one sparse grid (i, j, k, log_odds) a file (K9)."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f"{pdf[by].iloc[0]}.sog"], "content": [sparse_grid_bytes(pdf[["i", "j", "k"]].to_numpy(), pdf["log_odds"].to_numpy(), res)]})
+
+    return grids.groupBy(by).applyInPandas(pack, "name string, content binary")
