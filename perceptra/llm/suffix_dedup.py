@@ -239,22 +239,23 @@ def pieces(docs: DataFrame, bits: bytes, hot: np.ndarray, parts: int) -> DataFra
 
 
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
-    """The place of each suffix among the sorted suffixes of pieces that end with STOP; equal suffixes in order of place."""
+    """The place of each suffix among the sorted suffixes of pieces that end with STOP; equal suffixes in any order."""
     n, step = len(symbols), 7
     padded = np.append(symbols, np.zeros(step, np.uint8))
     key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
     for j in range(step):
         key = key << np.uint64(8) | np.where(alive, padded[j : j + n], 0).astype(np.uint64)
         alive &= padded[j : j + n] != STOP
-    order = np.argsort(key, kind="stable")
-    edge = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | ~alive[order][1:]))
+    order = np.argsort(key)
+    key = key[order]
+    edge = np.concatenate(([True], (key[1:] != key[:-1]) | ~alive[order][1:]))
     begin = np.flatnonzero(edge)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
     tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
     while len(tied):
         both = rank[tied] * np.int64(n) + rank[tied + step]
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         tied, both = tied[order], both[order]
         old = rank[tied]
         group = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
@@ -276,13 +277,14 @@ def repeated_intervals(shards: list[np.ndarray], depth: int = SPAN) -> tuple[np.
     equal and the suffixes after them shared theirs. A suffix that shares its prefix with none, and so all longer
     ones that end in it, leave the interleave: that changes no one else's order. Suffixes are never compared across shards.
     """
-    place, step, base = [], [], 0
+    total, place, step, base = sum(map(len, shards)), [], [], 0
+    width = np.int32 if total < 1 << 23 else np.int64
     for symbols in shards:
         rank = suffix_ranks(symbols)
         at = np.empty(len(rank), np.int64)
         at[rank] = np.arange(len(rank))
         place.append(at + base)
-        step.append((rank[at - 1] + base) << 8 | np.where(at > 0, symbols[at - 1], STOP))
+        step.append(((rank[at - 1] + base) << 8 | np.where(at > 0, symbols[at - 1], STOP)).astype(width))
         base += len(symbols)
     place, step = np.concatenate(place), np.concatenate(step)
     order, block = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
@@ -293,7 +295,7 @@ def repeated_intervals(shards: list[np.ndarray], depth: int = SPAN) -> tuple[np.
         symbol = symbol[inner]
         deal = np.argsort(symbol, kind="stable").astype(np.int32)
         symbol, block = symbol[deal], block[inner][deal]
-        order = (both >> 8).astype(np.int32)[inner][deal]
+        order = (both[inner] >> 8).astype(np.int32, copy=False)[deal]
         differ = np.ones(len(deal) + 1, bool)
         differ[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         shared = ~(differ[:-1] & differ[1:])
