@@ -84,9 +84,9 @@ class Histogram:
         return moved.unionByName(outer.select(*keys, "bin", "w")).groupBy(*keys, "bin").agg(F.sum("w").alias("w"))
 
 
-def blur_axis(hist: DataFrame, keys: list[str], axis: str, sigma: float, value: str = "w", wrap: int | None = None) -> DataFrame:
+def blur_axis(hist: DataFrame, keys: list[str], axis: str, sigma: float, value: str = "w", wrap: int | None = None, reach: int | None = None) -> DataFrame:
     """One pass of a separable blur over an integer key (G9): weights by Gaussian of the key's distance, unnormalised; wrap closes a circle of so many."""
-    reach = math.ceil(3 * sigma)
+    reach = math.ceil(3 * sigma) if reach is None else reach
     moved = hist.withColumn("_d", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     to = F.col(axis) + F.col("_d")
     to = F.pmod(to, F.lit(wrap)) if wrap else to
@@ -95,9 +95,9 @@ def blur_axis(hist: DataFrame, keys: list[str], axis: str, sigma: float, value:
 
 
 def blur_bank(hist: DataFrame, axes: dict[str, float], keys: list[str]) -> DataFrame:
-    """All axes of a bank of histograms, one after the other."""
+    """All axes of a bank of histograms, one after the other (G9), each over the whole steps within three deviations."""
     for axis, sigma in axes.items():
-        hist = blur_axis(hist, keys, axis, sigma)
+        hist = blur_axis(hist, keys, axis, sigma, reach=math.floor(3 * sigma))
     return hist
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import grams_2d, object_frame, polar
+from ..functions.expr import grams_2d, grams_3d, object_frame, polar, wrap_angle
 from .histogram import Histogram
 
 LEAST, SUPPORT = 1e-99, 10
@@ -138,3 +138,51 @@ def sample_chain(draws: DataFrame, two: DataFrame, keys: list[str], hist: Histog
         return pdf.sort_values("step").assign(value=out)
 
     return draws.groupBy(*keys, "chain").applyInPandas(walk, schema)
+
+
+KEYS_3D = ["k_theta", "k_phi", "k_ray", "k_z"]
+
+
+def observations_3d(hits: DataFrame) -> DataFrame:
+    """Polar form of hits in space with their sines and cosines, computed once for all poses."""
+    o = hits.withColumns(polar("x", "y", "z"))
+    return o.withColumns({"sin_t": F.sin("theta"), "cos_t": F.cos("theta"), "sin_p": F.sin("phi"), "cos_p": F.cos("phi")})
+
+
+def seen_from_3d(obs: DataFrame, poses: DataFrame, size: float, height: float, max_poses: int = 100_000) -> DataFrame:
+    """Observations that concern an object at each pose in space (J7): its line passes within size in the plane and height above or below, it does not end before the object.
+
+    Adds m_theta (in -pi to pi), m_phi, dist_ray, dist_z and dist_obs, measured along the ray (X6). The poses, at most max_poses, are broadcast.
+    """
+    if poses.limit(max_poses + 1).count() > max_poses:
+        raise ValueError(f"more than {max_poses} poses: score them in parts")
+    p = poses.select("pose_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("theta").alias("pt"))
+    pairs = obs.join(F.broadcast(p)).withColumns({
+        "dist_ray": F.col("sin_t") * F.col("px") - F.col("cos_t") * F.col("py"),
+        "dist_obs": (F.col("range_xy") - F.col("cos_t") * F.col("px") - F.col("sin_t") * F.col("py")) / F.col("cos_p"),
+        "dist_z": -F.sqrt(F.col("px") ** 2 + F.col("py") ** 2) * F.col("sin_p"),
+    })
+    near = (F.abs("dist_ray") <= size) & (F.abs("dist_z") <= height)
+    return pairs.where(near & (F.col("dist_obs") >= -size) & (F.col("dist_obs") < F.col("range"))).withColumns({"m_theta": wrap_angle(F.col("theta") - F.col("pt")), "m_phi": F.col("phi")})
+
+
+def gram_keys_3d(seen: DataFrame, grain: tuple[float, float] = (0.2, 0.2)) -> DataFrame:
+    """Keys of rays in space."""
+    return seen.withColumns(dict(zip(KEYS_3D, grams_3d("m_theta", "m_phi", "dist_ray", "dist_z", *grain), strict=True)))
+
+
+def one_gram_3d(seen: DataFrame, keys: list[str], hist: Histogram, grain: tuple[float, float] = (0.2, 0.2)) -> DataFrame:
+    """Histograms of the end's distance by ray key in space."""
+    return hist.count(gram_keys_3d(seen, grain), [*keys, *KEYS_3D], "dist_obs", None)
+
+
+def score_3d(seen: DataFrame, one: DataFrame, keys: list[str], group: list[str], hist: Histogram, support: float = SUPPORT, grain: tuple[float, float] = (0.2, 0.2)) -> DataFrame:
+    """Sum of log likelihoods in space (G23). A ray without a histogram adds nothing (Q11), one whose histogram has too little support, or nothing in the bin, adds that of LEAST."""
+    from ..functions.expr import bin_index
+
+    s = gram_keys_3d(seen, grain).withColumn("bin", bin_index("dist_obs", hist.lo, hist.hi, hist.res))
+    by = [*keys, *KEYS_3D]
+    known = one.groupBy(*by).agg(F.sum("w").alias("_n"))
+    s = s.join(known, by, "left").join(likelihoods(one, by, hist.res, support), [*by, "bin"], "left")
+    value = F.when(F.col("_n").isNull(), 0.0).otherwise(least_log(F.coalesce("lik", F.lit(0.0))))
+    return s.groupBy(*group).agg(F.sum(value).alias("score"), F.count("*").alias("n"), F.count("_n").alias("n_known"))
