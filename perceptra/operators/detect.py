@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .trees import stored
+
+#: Rows of a model that are broadcast at most, some 40 MB.
+MODEL_ROWS = 500_000
+
 
 def lattice(spark: SparkSession, n_x: int, n_y: int, x0: float, y0: float, res: float) -> DataFrame:
     """Pose cells and their centres."""
@@ -17,10 +22,17 @@ def pose_scores(grid: DataFrame, model: DataFrame, keys: list[str], reach: int,
     """Sum of log probabilities of the known cells about each pose (J6, G17), poses within reach cells.
 
     Known cells meet model cells of the same height; the pose is their difference, so unknown cells cost nothing and
-    the work is bounded by the model's cells. model has cls, i, j, k, log_free, log_occ.
+    the work is bounded by the model's cells. model has cls, i, j, k, log_free, log_occ. It is stored and counted: up to MODEL_ROWS rows are broadcast, so
+    that cells stay where they are and few heights make no hot keys; a larger model is joined by height and column, each known cell sent to the columns in reach.
     """
+    model = stored(model)
     known = grid.where("log_odds != 0").select(*keys, F.col("i").alias("gi"), F.col("j").alias("gj"), "k", (F.col("log_odds") > 0).alias("o"))
-    pairs = known.join(model, "k").withColumns({"px": F.col("gi") - F.col("i"), "py": F.col("gj") - F.col("j")})
+    if model.count() <= MODEL_ROWS:
+        pairs = known.join(F.broadcast(model), "k")
+    else:
+        spread = known.withColumn("i", F.explode(F.sequence(F.col("gi") - reach, F.col("gi") + reach)))
+        pairs = spread.join(model, ["k", "i"])
+    pairs = pairs.withColumns({"px": F.col("gi") - F.col("i"), "py": F.col("gj") - F.col("j")})
     inside = F.col("px").between(-reach, reach) & F.col("py").between(-reach, reach)
     return pairs.where(inside).groupBy(*keys, "px", "py", cls).agg(F.sum(F.when(F.col("o"), F.col("log_occ")).otherwise(F.col("log_free"))).alias("score"), F.count("*").alias("n"))
 

@@ -141,3 +141,13 @@ def test_queries_beyond_sql_give_rows(spark, name):
     from .oracle import SMALL
 
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_pose_scores_do_not_depend_on_the_join(spark, monkeypatch):
+    rng = random.Random(8)
+    grid = spark.createDataFrame([(0, i, j, k, rng.choice([-1.0, 0.0, 2.0])) for i in range(-6, 7) for j in range(-6, 7) for k in (0, 1)], "scan_id int, i int, j int, k int, log_odds double")
+    model = spark.createDataFrame([(c, i, j, k, -rng.random(), -rng.random()) for c in (1, 2) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (0, 1)], "model_cls int, i int, j int, k int, log_free double, log_occ double")
+    key = lambda df: sorted((*r[:4], round(r.score, 9), r.n) for r in df.collect())
+    one = key(detect.pose_scores(grid, model, ["scan_id"], 4))
+    monkeypatch.setattr(detect, "MODEL_ROWS", 0)
+    assert len(one) == 2 * 81 and key(detect.pose_scores(grid, model, ["scan_id"], 4)) == one
