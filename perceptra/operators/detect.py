@@ -6,10 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .trees import stored
-
-#: Rows of a model that are broadcast at most, some 40 MB.
-MODEL_ROWS = 500_000
+from .trees import MODEL_ROWS, stored
 
 
 def lattice(spark: SparkSession, n_x: int, n_y: int, x0: float, y0: float, res: float) -> DataFrame:
@@ -77,16 +74,15 @@ def greedy_radius(poses: DataFrame, keys: list[str], score: str, radius: float,
     return poses.groupBy(*keys).applyInPandas(pick, schema)
 
 
-def in_labelled_box(points: DataFrame, boxes: DataFrame, by: list[str], buffer: float = 0.0) -> DataFrame:
+def in_labelled_box(points: DataFrame, boxes: DataFrame, by: list[str], buffer: float = 0.0, width: float = 4.0) -> DataFrame:
     """Type of the first box that holds each point (J10), Closeish within the buffer about one, else Background.
 
-    boxes has by, box_id, type, cx, cy, half_x, half_y, heading; points has by, point_id, x, y. Both meet in cells of a
-    grid as wide as the largest box, so no point meets all boxes of its frame.
+    boxes has by, box_id, type, cx, cy, half_x, half_y, heading; points has by, point_id, x, y. Each box is sent to the
+    cells, width wide, that its own circle covers, so one large box does not bring all points to all boxes of its frame.
     """
-    reach = boxes.agg(F.max(F.sqrt((F.col("half_x") + buffer) ** 2 + (F.col("half_y") + buffer) ** 2))).first()[0] or 1.0
-    width = max(reach, 1e-6)
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    b = boxes.withColumn("_a", near).withColumn("_b", near).withColumns({"_cx": F.floor(F.col("cx") / width) + F.col("_a"), "_cy": F.floor(F.col("cy") / width) + F.col("_b")}).drop("_a", "_b")
+    reach = F.sqrt((F.col("half_x") + buffer) ** 2 + (F.col("half_y") + buffer) ** 2)
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / width), F.floor((F.col(c) + reach) / width)))
+    b = boxes.withColumn("_cx", cells("cx")).withColumn("_cy", cells("cy"))
     p = points.withColumns({"_cx": F.floor(F.col("x") / width), "_cy": F.floor(F.col("y") / width)})
     dx, dy, c, s = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.cos("heading"), F.sin("heading")
     u, v = F.abs(c * dx + s * dy), F.abs(c * dy - s * dx)

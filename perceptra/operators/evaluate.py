@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 #: Fixed values of the evaluation: recall steps and least overlaps.
 SAMPLES = 41
 MIN_OVERLAP = {"Car": 0.7, "Pedestrian": 0.5, "Cyclist": 0.5}
@@ -36,39 +37,52 @@ def pairs(det: DataFrame, gt: DataFrame, on: list[str]) -> DataFrame:
     return d.join(g, on).where(touch)
 
 
-def clip(subject: list[tuple[float, float]], by: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Intersection of two convex polygons, corners counter-clockwise."""
-    out = subject
-    for (ax, ay), (bx, by_) in zip(by, by[1:] + by[:1], strict=True):
-        side = [(bx - ax) * (y - ay) - (by_ - ay) * (x - ax) for x, y in out]
-        new = []
-        for n, (p, s) in enumerate(zip(out, side, strict=True)):
-            q, t = out[n - 1], side[n - 1]
-            if (s >= 0) != (t >= 0):
-                k = t / (t - s)
-                new.append((q[0] + k * (p[0] - q[0]), q[1] + k * (p[1] - q[1])))
-            if s >= 0:
-                new.append(p)
-        out = new
-        if not out:
-            break
+def corners(x: np.ndarray, y: np.ndarray, length: np.ndarray, width: np.ndarray, heading: np.ndarray) -> np.ndarray:
+    """Corners of rotated boxes, counter-clockwise: box, corner, axis."""
+    c, s = np.cos(heading)[:, None], np.sin(heading)[:, None]
+    u, v = length[:, None] / 2 * np.array([1, -1, -1, 1]), width[:, None] / 2 * np.array([1, 1, -1, -1])
+    return np.stack([x[:, None] + c * u - s * v, y[:, None] + s * u + c * v], 2)
+
+
+def clip(subjects: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Intersections of convex polygons, row by row, corners counter-clockwise; rows with fewer corners repeat their first, or a zero if they have none."""
+    out = subjects
+    for n in range(by.shape[1]):
+        a, edge = by[:, n, None], (by[:, (n + 1) % by.shape[1]] - by[:, n])[:, None]
+        side = edge[..., 0] * (out[..., 1] - a[..., 1]) - edge[..., 1] * (out[..., 0] - a[..., 0])
+        last, other = np.roll(out, 1, 1), np.roll(side, 1, 1)
+        inside = side >= 0
+        cut = inside != (other >= 0)
+        share = np.divide(other, other - side, out=np.zeros_like(side), where=cut)
+        points = np.stack([last + share[..., None] * (out - last), out], 2).reshape(len(out), -1, 2)
+        valid = np.stack([cut, inside], 2).reshape(len(out), -1)
+        order = np.argsort(~valid, 1, kind="stable")[:, : max(1, valid.sum(1).max(initial=0))]
+        valid, points = np.take_along_axis(valid, order, 1), np.take_along_axis(points, order[..., None], 1)
+        points[~valid[:, 0]] = 0
+        out = np.where((valid | ~valid[:, :1])[..., None], points, points[:, :1])
     return out
 
 
-def area(polygon: list[tuple[float, float]]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(polygon, polygon[1:] + polygon[:1], strict=True)) / 2 if len(polygon) > 2 else 0.0
+def area(polygons: np.ndarray) -> np.ndarray:
+    p, q = polygons, np.roll(polygons, -1, 1)
+    return (p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]).sum(1) / 2
 
 
-def corners(x: float, y: float, length: float, width: float, heading: float) -> list[tuple[float, float]]:
-    c, s = math.cos(heading), math.sin(heading)
-    return [(x + c * a * length / 2 - s * b * width / 2, y + s * a * length / 2 + c * b * width / 2) for a, b in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+def common_area(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Area common to the boxes (x, y, length, width, heading) of the rows of a and b; only pairs whose surrounding circles meet are clipped."""
+    reach = (np.hypot(a[:, 2], a[:, 3]) + np.hypot(b[:, 2], b[:, 3])) / 2
+    near = np.hypot(a[:, 0] - b[:, 0], a[:, 1] - b[:, 1]) < reach
+    out = np.zeros(len(a))
+    if near.any():
+        centre = np.pad(a[near, :2], ((0, 0), (0, 3)))
+        out[near] = np.maximum(0, area(clip(corners(*(a[near] - centre).T), corners(*(b[near] - centre).T))))
+    return np.where(np.isnan(a).any(1) | np.isnan(b).any(1), np.nan, out)
 
 
 def ground_overlap(a: str, b: str, solid: bool = False) -> Column:
     """Overlap of rotated boxes on the ground, or of their solids with z and height (J15); columns x, y, l, w, heading (z, h) by prefix."""
     def common(ax: pd.Series, ay: pd.Series, al: pd.Series, aw: pd.Series, at: pd.Series, bx: pd.Series, by: pd.Series, bl: pd.Series, bw: pd.Series, bt: pd.Series) -> pd.Series:
-        rows = zip(ax, ay, al, aw, at, bx, by, bl, bw, bt, strict=True)
-        return pd.Series([area(clip(corners(*r[:5]), corners(*r[5:]))) for r in rows], dtype=float)
+        return pd.Series(common_area(np.column_stack([ax, ay, al, aw, at]), np.column_stack([bx, by, bl, bw, bt])))
 
     c = lambda p, n: F.col(f"{p}{n}").cast("double")
     inter = F.pandas_udf(common, "double")(*[c(p, n) for p in (a, b) for n in ("x", "y", "l", "w", "heading")])
@@ -96,14 +110,14 @@ def greedy_match(candidates: DataFrame, by: list[str], least: float, schema: str
     """
 
     def match(pdf):
-        taken, out = set(), []
-        for g, rows in pdf[pdf.overlap > least].groupby("g_box_id", sort=True):
-            free = rows[~rows.d_box_id.isin(taken)]
-            if len(free):
-                best = free.sort_values(["overlap", "d_box_id"], ascending=[False, True]).iloc[0]
-                taken.add(best.d_box_id)
-                out.append(best)
-        return pd.DataFrame(out, columns=pdf.columns).astype(pdf.dtypes.to_dict()) if out else pdf.iloc[:0]
+        rows = pdf[pdf.overlap > least].sort_values(["g_box_id", "overlap", "d_box_id"], ascending=[True, False, True])
+        taken, matched, out = set(), set(), []
+        for n, (g, d) in enumerate(zip(rows.g_box_id, rows.d_box_id, strict=True)):
+            if g not in matched and d not in taken:
+                matched.add(g)
+                taken.add(d)
+                out.append(n)
+        return rows.iloc[out]
 
     return candidates.groupBy(*by).applyInPandas(match, schema)
 
@@ -151,9 +165,8 @@ def average_precision(curve: DataFrame, by: list[str], value: str = "precision",
 def precision_recall(scored: DataFrame, by: list[str], truth: str = "truth", score: str = "score") -> DataFrame:
     """Precision and recall at each distinct score, from the highest down (M11). Scores are aggregated before the running sums."""
     s = scored.groupBy(*by, score).agg(F.sum(truth).alias("t"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    run = s.withColumns({"tp": F.sum("t").over(w), "all": F.sum("n").over(w), "pos": F.sum("t").over(Window.partitionBy(*by))})
-    return run.select(*by, score, "tp", (F.col("all") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("all")).alias("precision"), (F.col("tp") / F.nullif("pos", F.lit(0))).alias("recall"))
+    run = running_sums(s, by, [score], {"tp": F.col("t"), "all": F.col("n")}, descending=True)
+    return run.select(*by, score, "tp", (F.col("all") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("all")).alias("precision"), (F.col("tp") / F.nullif("tp_total", F.lit(0))).alias("recall"))
 
 
 def counts_at(matches: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:

@@ -24,11 +24,11 @@ def free_samples(rays: DataFrame, keys: list[str], seed: int | None = None) -> D
 def kernel_features(points: DataFrame, keys: list[str], spacing: float, support: float) -> DataFrame:
     """Values of the compact kernel at the inducing points in reach (J17): cells are sent out from each point, no pairs are searched."""
     reach = int(np.ceil(support / spacing))
-    step = lambda: F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    near = points.withColumn("_a", step()).withColumn("_b", step())
-    near = near.withColumns({"m": (F.round(F.col("x") / spacing) + F.col("_a")).cast("int"), "n": (F.round(F.col("y") / spacing) + F.col("_b")).cast("int")})
+    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+    near = points.withColumn("_s", F.explode(F.array(*steps)))
+    near = near.withColumns({"m": (F.round(F.col("x") / spacing) + F.col("_s.a")).cast("int"), "n": (F.round(F.col("y") / spacing) + F.col("_s.b")).cast("int")})
     d = F.sqrt((F.col("x") - F.col("m") * spacing) ** 2 + (F.col("y") - F.col("n") * spacing) ** 2)
-    return near.withColumn("phi", sparse_kernel(d, support)).where("phi > 0").drop("_a", "_b")
+    return near.withColumn("phi", sparse_kernel(d, support)).where("phi > 0").drop("_s")
 
 
 def margins(features: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

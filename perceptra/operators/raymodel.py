@@ -13,6 +13,8 @@ from .histogram import Histogram
 LEAST, SUPPORT = 1e-99, 10
 #: Steps of a ray key's angle and distance.
 GRAIN = (0.1, 0.1)
+#: Cells of a turn in which rays meet poses.
+BEARINGS = 64
 
 
 def observations(hits: DataFrame) -> DataFrame:
@@ -25,18 +27,15 @@ def observations(hits: DataFrame) -> DataFrame:
 def seen_from(obs: DataFrame, poses: DataFrame, size: float, max_poses: int = 100_000) -> DataFrame:
     """Observations that concern an object at each pose (J7, F7): rays that pass within size in front of it, not ending before it.
 
-    A set of poses up to max_poses is broadcast; a larger one is joined by bearing cell, the arc that its disc covers.
+    Each pose is sent to the bearing cells, BEARINGS to a turn, that its disc covers, and each observation to its own, so rays meet the poses
+    about them by an equi-join. A set of poses that counts up to max_poses is broadcast; a larger one is joined by shuffle.
     """
     p = poses.select("pose_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("theta").alias("pt"))
-    if poses.limit(max_poses + 1).count() <= max_poses:
-        pairs = obs.join(F.broadcast(p))
-    else:
-        n, d = 64, F.sqrt(F.col("px") ** 2 + F.col("py") ** 2)
-        half = F.when(d > size, F.asin(size / d)).otherwise(math.pi)
-        at, step = F.atan2("py", "px"), 2 * math.pi / n
-        cells = F.sequence(F.floor((at - half) / step), F.least(F.ceil((at + half) / step), F.floor((at - half) / step) + n - 1))
-        arcs = p.withColumn("_c", F.explode(F.transform(cells, lambda c: F.pmod(c, F.lit(n)))))
-        pairs = obs.withColumn("_c", F.pmod(F.floor(F.col("theta") / step), F.lit(n))).join(arcs, "_c").drop("_c")
+    few, step, d = poses.limit(max_poses + 1).count() <= max_poses, 2 * math.pi / BEARINGS, F.sqrt(F.col("px") ** 2 + F.col("py") ** 2)
+    half = F.when(d > size, F.asin(size / d) + 1e-9).otherwise(math.pi)
+    first, last = F.floor((F.atan2("py", "px") - half) / step), F.floor((F.atan2("py", "px") + half) / step)
+    arcs = p.withColumn("_c", F.explode(F.sequence(first, F.least(last, first + BEARINGS - 1)))).withColumn("_c", F.pmod("_c", F.lit(BEARINGS)))
+    pairs = obs.withColumn("_c", F.pmod(F.floor(F.col("theta") / step), F.lit(BEARINGS))).join(F.broadcast(arcs) if few else arcs, "_c").drop("_c")
     m = object_frame("theta", "range", "px", "py", "pt", F.col("sin_t"), F.col("cos_t"))
     return pairs.withColumns(m).where((F.abs("dist_ray") <= size) & F.col("in_front") & (F.col("dist_obs") >= -size))
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def systematic(rows: DataFrame, by: list[str], order: str, weight: str, draws: int, least: int = 10) -> DataFrame:
     """Rows at which the running weight passes another 1 / draws of its group's total (W8); small groups whole. Integer weights keep it exact."""
-    w = Window.partitionBy(*by)
-    run = F.sum(weight).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    r = rows.withColumns({"_run": run, "_total": F.sum(weight).over(w), "_n": F.count("*").over(w)})
-    step = lambda c: F.floor(c * draws / F.col("_total"))
-    return r.where((F.col("_n") < least) | (step(F.col("_run")) > step(F.col("_run") - F.col(weight)))).drop("_run", "_total", "_n")
+    r = running_sums(rows, by, [order], {"_run": F.col(weight), "_n": F.lit(1)})
+    step = lambda c: F.floor(c * draws / F.col("_run_total"))
+    taken = r.where((F.col("_n_total") < least) | (step(F.col("_run")) > step(F.col("_run") - F.col(weight))))
+    return taken.select(*rows.columns)
 
 
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
@@ -33,14 +34,13 @@ def bucketed(rows: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
 def balanced(rows: DataFrame, by: str, order: str) -> DataFrame:
     """As many rows of each class as the smallest has (T6), in the given order."""
     least = rows.groupBy(by).count().agg(F.min("count").alias("_m"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    return numbered.join(F.broadcast(least)).where("_n <= _m").drop("_n", "_m")
+    numbered = running_sums(rows, [by], [order], {"_n": F.lit(1)})
+    return numbered.join(F.broadcast(least)).where("_n <= _m").select(*rows.columns)
 
 
 def stride(rows: DataFrame, by: list[str], order: list[str], step: int) -> DataFrame:
     """Every step-th row of a group."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("_n", n).where(F.col("_n") % step == 0).drop("_n")
+    return running_sums(rows, by, order, {"_n": F.lit(1)}).where((F.col("_n") - 1) % step == 0).select(*rows.columns)
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trees import MODEL_ROWS, stored
+
 
 def naive_bayes(grid: DataFrame, model: DataFrame, keys: list[str], cls: str = "model_cls", prior: int = 1) -> DataFrame:
     """Sum over known cells of the log share of the cell's state in each class's model.
 
     model holds a row for each class and seen cell; a cell that a class has not seen has equal counts. The grid
-    meets the model by cell; what the missing cells contribute follows from counts, so no lattice is made.
+    meets the model by cell; what the missing cells contribute follows from counts, so no lattice is made. The model is stored and counted: up to
+    MODEL_ROWS rows are broadcast, so that the cells about the sensor, which every grid has, make no hot keys; with a larger one AQE splits them.
     """
+    model = stored(model)
+    beside = F.broadcast(model) if model.count() <= MODEL_ROWS else model
     known = grid.where("log_odds != 0").select(*keys, "i", "j", "k", (F.col("log_odds") > 0).alias("o"))
     classes = model.select(cls).distinct()
     hit = F.ln(F.when(F.col("o"), F.col("c_occ")).otherwise(F.col("c_free")) / (F.col("c_occ") + F.col("c_free")))
-    seen = known.join(model, ["i", "j", "k"]).groupBy(*keys, cls).agg(F.sum(hit).alias("s"), F.count("*").alias("m"))
-    n = known.groupBy(*keys).agg(F.count("*").alias("n")).join(classes)
+    seen = known.join(beside, ["i", "j", "k"]).groupBy(*keys, cls).agg(F.sum(hit).alias("s"), F.count("*").alias("m"))
+    n = known.groupBy(*keys).agg(F.count("*").alias("n")).join(F.broadcast(classes))
     missing = (F.col("n") - F.coalesce("m", F.lit(0))) * F.lit(-0.6931471805599453) if prior else F.lit(0.0)
     return n.join(seen, [*keys, cls], "left").select(*keys, cls, (F.coalesce("s", F.lit(0.0)) + missing).alias("score"))
 

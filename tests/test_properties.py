@@ -86,12 +86,47 @@ def test_matching_is_one_to_one(spark):
     assert sorted((r.g_box_id, r.d_box_id) for r in m) == [(1, 1), (2, 3)]
 
 
+def plain_common_area(a, b):
+    """One pair of boxes, clipped corner by corner."""
+    def corners(x, y, length, width, heading):
+        c, s = math.cos(heading), math.sin(heading)
+        return [(x + c * u * length / 2 - s * v * width / 2, y + s * u * length / 2 + c * v * width / 2) for u, v in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+
+    out, by = corners(*a), corners(*b)
+    for (ax, ay), (bx, by_) in zip(by, by[1:] + by[:1], strict=True):
+        side, new = [(bx - ax) * (y - ay) - (by_ - ay) * (x - ax) for x, y in out], []
+        for n, (p, s) in enumerate(zip(out, side, strict=True)):
+            q, t = out[n - 1], side[n - 1]
+            if (s >= 0) != (t >= 0):
+                new.append((q[0] + t / (t - s) * (p[0] - q[0]), q[1] + t / (t - s) * (p[1] - q[1])))
+            if s >= 0:
+                new.append(p)
+        out = new
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(out, out[1:] + out[:1], strict=True)) / 2
+
+
 def test_rotated_overlap():
-    square = evaluate.corners(0, 0, 2, 2, 0.3)
-    assert abs(evaluate.area(evaluate.clip(square, square)) - 4) < 1e-9
-    turned = evaluate.corners(0, 0, 2, 2, 0.3 + math.pi / 4)
-    assert abs(evaluate.area(evaluate.clip(square, turned)) - 8 * (math.sqrt(2) - 1)) < 1e-9
-    assert evaluate.clip(square, evaluate.corners(9, 9, 1, 1, 0)) == []
+    rng = np.random.default_rng(8)
+    a, b = (np.column_stack([rng.uniform(-3, 3, (400, 2)), rng.uniform(0.2, 5, (400, 2)), rng.uniform(-7, 7, 400)]) for _ in range(2))
+    assert np.allclose(evaluate.common_area(a, b), [plain_common_area(x, y) for x, y in zip(a, b, strict=True)])
+    square, turned, far, none = [0, 0, 2, 2, 0.3], [0, 0, 2, 2, 0.3 + math.pi / 4], [9, 9, 1, 1, 0], [0, 0, 2, np.nan, 0]
+    found = evaluate.common_area(np.array([square] * 4, float), np.array([square, turned, far, none], float))
+    assert np.allclose(found, [4, 8 * (math.sqrt(2) - 1), 0, np.nan], equal_nan=True)
+    assert len(evaluate.common_area(np.empty((0, 5)), np.empty((0, 5)))) == 0
+
+
+def test_ground_overlaps_query(spark):
+    from perceptra import catalog
+    from perceptra.plans.evaluation import overlaps
+
+    from .oracle import SMALL
+
+    box = lambda k: (k % 100 * 0.1, k % 37 * 0.1, 4.0, 1.6, k % 7 * 0.4)
+    shares = lambda d, g: (lambda i: i / (12.8 - i))(plain_common_area(box(d), box(g)))
+    found = {(r.frame, r.d_box_id, r.g_box_id): r.overlap for r in catalog.QUERIES["ground_overlaps"](spark, SMALL).collect()}
+    rows = overlaps(spark, SMALL).collect()
+    assert len(found) == len(rows) > 0
+    assert all(abs(found[r.frame, r.d_box_id, r.g_box_id] - shares(r.d_box_id, r.g_box_id)) < 2e-6 for r in rows)
 
 
 def test_linear_model_matches_numpy(spark):
