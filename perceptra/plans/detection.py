@@ -173,12 +173,6 @@ def nms_over_classes(spark, sf_dir):
     return detect.window_maxima(pose_lo(spark, sf_dir), ["scan_id"], "log_odds", WINDOW)
 
 
-@query()
-def nms_greedy_radius(spark, sf_dir):
-    each = pose_lo(spark, sf_dir, reached).select("scan_id", "model_cls", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), "log_odds")
-    return detect.greedy_radius(each, ["scan_id", "model_cls"], "log_odds", 3.0, each.schema.simpleString()[7:-1])
-
-
 @query(f"WITH {FULL} SELECT scan_id, px, py, model_cls, log_odds FROM logodds QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY log_odds DESC, px, py, model_cls) <= 5")
 def top_detections(spark, sf_dir):
     return sampling.top(pose_lo(spark, sf_dir), ["scan_id"], [F.desc("log_odds"), "px", "py", "model_cls"], 5)
@@ -198,6 +192,18 @@ def reached(spark, sf_dir):
     return grids.grid(spark, sf_dir).where(REACHED)
 
 
+@query(f"""WITH RECURSIVE {WHOLE},
+turns AS (SELECT scan_id, model_cls, CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y, log_odds, row_number() OVER (PARTITION BY scan_id, model_cls ORDER BY log_odds DESC, px, py) AS turn FROM logodds),
+taking AS (
+  SELECT DISTINCT scan_id, model_cls, CAST(0 AS BIGINT) AS turn, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept, false AS takes, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS log_odds FROM turns UNION ALL
+  SELECT scan_id, model_cls, turn, CASE WHEN takes THEN list_append(kept, {{'x': x, 'y': y}}) ELSE kept END, takes, x, y, log_odds FROM (
+    SELECT n.*, t.kept, len(list_filter(t.kept, lambda k: (k.x - n.x)**2 + (k.y - n.y)**2 < 9)) = 0 AS takes FROM taking t JOIN turns n ON n.scan_id = t.scan_id AND n.model_cls = t.model_cls AND n.turn = t.turn + 1))
+SELECT scan_id, model_cls, x, y, log_odds FROM taking WHERE takes""")
+def nms_greedy_radius(spark, sf_dir):
+    each = pose_lo(spark, sf_dir, reached).select("scan_id", "model_cls", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), "log_odds")
+    return detect.greedy_radius(each, ["scan_id", "model_cls"], "log_odds", 3.0, each.schema.simpleString()[7:-1])
+
+
 @query(f"WITH {WHOLE} SELECT scan_id, px, py, model_cls, round(score, 6) AS score, n FROM pose")
 def pose_scores_whole(spark, sf_dir):
     return pose_scored(spark, sf_dir, reached).withColumn("score", F.round("score", 6))

@@ -36,17 +36,29 @@ def matched(spark, sf_dir):
     return evaluate.greedy_match(o, ["frame"], 0.5, "frame long, d_box_id long, g_box_id long, d_score double, overlap double")
 
 
-@query()
+#: Boxes of a frame in order; the detections of each from the best down, of which the first that is left is taken.
+MATCHED = f"""{BOXES_SQL}, {IOU}, o AS (SELECT frame, d_box_id, g_box_id, d_score, round(i/(a+b-i), 9) AS overlap FROM inter WHERE round(i/(a+b-i), 9) > 0.5),
+turns AS (SELECT frame, g_box_id, list(d_box_id ORDER BY overlap DESC, d_box_id) AS ds, row_number() OVER (PARTITION BY frame ORDER BY g_box_id) AS turn FROM o GROUP BY frame, g_box_id),
+taking AS (
+  SELECT DISTINCT frame, CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS g, CAST(NULL AS BIGINT) AS d FROM o UNION ALL
+  SELECT frame, turn, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, g, pick FROM (
+    SELECT t.frame, n.turn, t.taken, CAST(n.g_box_id AS BIGINT) AS g, CAST(list_filter(n.ds, lambda x: NOT list_contains(t.taken, x))[1] AS BIGINT) AS pick FROM taking t JOIN turns n ON n.frame = t.frame AND n.turn = t.turn + 1)),
+matched AS (SELECT o.* FROM taking t JOIN o ON o.frame = t.frame AND o.g_box_id = t.g AND o.d_box_id = t.d)"""
+
+
+@query(f"WITH RECURSIVE {MATCHED} SELECT * FROM matched")
 def greedy_match(spark, sf_dir):
     return matched(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATCHED}, m AS (SELECT frame, count(*) AS tp, sum((1 + cos((d_box_id % 7 - g_box_id % 7)*0.1::DOUBLE))/2) AS similarity FROM matched GROUP BY frame),
+n AS (SELECT frame, count(*) AS n FROM gt GROUP BY frame)
+SELECT frame, coalesce(tp, 0) AS tp, n - coalesce(tp, 0) AS fp, n - coalesce(tp, 0) AS fn, round(coalesce(similarity, 0)/n, 9) AS aos FROM n LEFT JOIN m USING (frame)""")
 def greedy_match_stats(spark, sf_dir):
     m = matched(spark, sf_dir).withColumn("delta", (F.col("d_box_id") % 7 - F.col("g_box_id") % 7) * 0.1)
     d = detections(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("n_det"))
     totals = d.join(ground_truth(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("n_truth")), "frame")
-    return evaluate.counts_at(m.select("frame", "delta"), totals, ["frame"])
+    return evaluate.counts_at(m.select("frame", "delta"), totals, ["frame"]).withColumn("aos", F.round("aos", 9))
 
 
 def evaluated(spark, sf_dir):
