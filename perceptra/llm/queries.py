@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, token_counts, url_filters, warc
+from . import divergence, exact_dedup, minhash, mixing, packing, periodic, quality, sharding, suffix_dedup, token_counts, toxicity, url_filters, warc
 from .common import table
 
 
@@ -51,7 +51,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mixing, op4_packing, op5_sharding, op6_minhash, op7_suffix_dedup, op8_url_filters, op9_exact_dedup, op10_quality)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_warc, op3_mixing, op4_packing, op5_sharding, op6_minhash, op7_suffix_dedup, op8_url_filters, op9_exact_dedup, op10_quality,
+        op11_periodic_runs, op12_source_divergence, op13_toxicity,
+    )
+}
 
 OP2_SQL = r"""
 WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
@@ -197,6 +216,59 @@ w AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE bit(n, k, c) AS (
+  SELECT n, 0, n FROM range(256) r(n) UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS step FROM bit WHERE k = 8),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(4294967295, list_reduce(list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: ord(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS BIGINT), 1))::BIGINT),
+             lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1]), 4294967295)) AS h FROM documents, crc),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM g),
+tok AS (
+  SELECT doc_id, n, i, w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1] AS w FROM (SELECT *, unnest(range(n)) AS i FROM a)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+reps AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM isl GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM reps r WHERE NOT EXISTS (
+    SELECT 1 FROM reps o WHERE o.doc_id = r.doc_id AND o.q < r.q AND r.q % o.q = 0 AND o.s <= r.s AND o.s + o.len >= r.s + r.len)),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         arg_max({'s': s, 'len': len, 'q': q}, (len, -s, -q)) AS b FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM tok t WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = t.doc_id AND gone.i = t.i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.len // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM f),
+l AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM c GROUP BY lang, term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+term AS (SELECT p.lang, source, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p > q),
+parts AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op3_mixing": OP3_SQL,
@@ -205,4 +277,6 @@ ORACLES = {
     "op7_suffix_dedup": OP7_SQL,
     "op8_url_filters": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
