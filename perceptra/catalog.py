@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import detection, evaluation, formats, grids, histograms, primitives, rays3d, worlds  # noqa: F401
+from .plans import detection, evaluation, formats, grids, histograms, learning, primitives, rays3d, worlds  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

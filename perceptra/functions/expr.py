@@ -168,6 +168,40 @@ def ramp(v, lo: float, hi: float) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (col(v) - lo) / (hi - lo)))
 
 
+def heat(v, lo: float, hi: float) -> dict[str, Column]:
+    """Blue at lo to red at hi: the colours of heights and of log-odds."""
+    r = ramp(v, lo, hi)
+    return {"r": r, "g": F.lit(0.0), "b": 1 - r}
+
+
+def hsv_to_rgb(h, s, v) -> dict[str, Column]:
+    """Red, green and blue in 0 to 1 of a hue in degrees, saturation and value (X22): each channel falls from v by how far the hue is from its own."""
+    h, s, v = col(h), col(s), col(v)
+
+    def channel(turn: int) -> Column:
+        k = F.pmod(h / 60 + turn, F.lit(6.0))
+        return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return {"r": channel(5), "g": channel(3), "b": channel(1)}
+
+
+def rgb_to_hsv(r, g, b) -> dict[str, Column]:
+    """Hue in degrees (0 for greys), saturation and value of a colour."""
+    r, g, b = col(r), col(g), col(b)
+    high = F.greatest(r, g, b)
+    span = high - F.least(r, g, b)
+    grey = span < 1e-5
+    part = F.when(r == high, (g - b) / F.nullif(span, F.lit(0.0))).when(g == high, 2 + (b - r) / F.nullif(span, F.lit(0.0))).otherwise(4 + (r - g) / F.nullif(span, F.lit(0.0)))
+    return {"h": F.when(grey, 0.0).otherwise(F.pmod(part * 60, F.lit(360.0))), "s": F.when(grey, 0.0).otherwise(span / F.nullif(high, F.lit(0.0))), "v": high}
+
+
+def direction_colour(theta, phi) -> dict[str, Column]:
+    """Colour of a direction (X22): opposite bearings have one hue, level ones are full and those of 45 degrees or more are grey."""
+    t, p = wrap_angle(theta), wrap_angle(phi)
+    hue = F.degrees(2 * F.when(t < 0, t + PI).otherwise(t))
+    return hsv_to_rgb(hue, 1 - F.least(F.lit(1.0), F.abs(p) / (PI / 4)), F.lit(0.9))
+
+
 def grams_2d(phi, dist, angle_res: float = 0.1, dist_res: float = 0.1, max_size: float = 5.0) -> tuple[Column, Column]:
     """Keys of a ray in the plane, rounded."""
     clamped = F.greatest(F.lit(-max_size), F.least(F.lit(max_size), col(dist)))
@@ -177,3 +211,45 @@ def grams_2d(phi, dist, angle_res: float = 0.1, dist_res: float = 0.1, max_size:
 def grams_3d(theta, phi, dist_ray, dist_z, angle_res: float = 0.2, dist_res: float = 0.2) -> list[Column]:
     """Keys of a ray in space, floored."""
     return [F.floor(col(c) / r).cast("int") for c, r in ((theta, angle_res), (phi, angle_res), (dist_ray, dist_res), (dist_z, dist_res))]
+
+
+def uniform(*keys: Column | str, seed: int = 0) -> Column:
+    """A number in [0, 1) that depends on the keys and the seed alone: 48 bits of the MD5 of their text, so that a task that runs again, or another partitioning, draws the same. Null keys count as ''."""
+    text = F.concat_ws("/", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def least_eigenvalue(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
+    """Smallest eigenvalue of a symmetric 3 x 3 matrix in closed form."""
+    q = (xx + yy + zz) / 3
+    a, b, c = xx - q, yy - q, zz - q
+    p = F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(p > 0, det / F.nullif(2 * p * p * p, F.lit(0.0))).otherwise(0.0)))
+    return q + 2 * p * F.cos(F.acos(r) / 3 + 2 * PI / 3)
+
+
+def least_direction(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
+    """Eigenvector of the smallest eigenvalue of a symmetric 3 x 3 matrix, as a struct u, v, w of no certain length, in closed form.
+
+    Of the three cross products of rows of the matrix less the eigenvalue the longest is taken. Where two eigenvalues are equal all three vanish; then any vector across
+    the longest row has the eigenvalue, and of a multiple of the unit matrix the first axis is taken. The largest component, the first of equals, is positive.
+    """
+    def of(low: Column) -> Column:
+        rows = [(xx - low, xy, xz), (xy, yy - low, yz), (xz, yz, zz - low)]
+        struct = lambda u, v, w: F.struct((u * u + v * v + w * w).alias("size"), u.alias("u"), v.alias("v"), w.alias("w"))
+        crossed = [struct(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]) for a, b in ((rows[0], rows[1]), (rows[0], rows[2]), (rows[1], rows[2]))]
+        scale = xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)
+        best, row = F.array_max(F.array(*crossed)), F.array_max(F.array(*[struct(*r) for r in rows]))
+        across = F.when(F.abs(row["u"]) > F.abs(row["w"]), struct(-row["v"], row["u"], F.lit(0.0))).otherwise(struct(F.lit(0.0), -row["w"], row["v"]))
+        along = F.when(row["size"] <= 1e-20 * scale, struct(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(across)
+        return F.when(best["size"] > 1e-20 * scale * scale, best).otherwise(along)
+
+    found = F.transform(F.array(least_eigenvalue(xx, xy, xz, yy, yz, zz)), of)
+
+    def signed(d: Column) -> Column:
+        lead = F.when((F.abs(d["u"]) >= F.abs(d["v"])) & (F.abs(d["u"]) >= F.abs(d["w"])), d["u"]).when(F.abs(d["v"]) >= F.abs(d["w"]), d["v"]).otherwise(d["w"])
+        sign = F.when(lead < 0, -1.0).otherwise(1.0)
+        return F.struct((d["u"] * sign).alias("u"), (d["v"] * sign).alias("v"), (d["w"] * sign).alias("w"))
+
+    return F.transform(found, signed)[0]

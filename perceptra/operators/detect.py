@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import angular_bin
 from .trees import MODEL_ROWS, stored
 
 
@@ -34,9 +35,35 @@ def pose_scores(grid: DataFrame, model: DataFrame, keys: list[str], reach: int,
     return pairs.where(inside).groupBy(*keys, "px", "py", cls).agg(F.sum(F.when(F.col("o"), F.col("log_occ")).otherwise(F.col("log_free"))).alias("score"), F.count("*").alias("n"))
 
 
-def truncated_cell(cell: Column, offset: Column) -> Column:
-    """Grid cell of a model cell at a pose between cells, cut towards zero as the reference's results are (Q24)."""
-    return (cell + offset).cast("int")
+def turned(rows: DataFrame, i: str = "i", j: str = "j", turns: int = 4) -> DataFrame:
+    """Cells about the origin at each of the quarter turns, column turn: exact on the lattice."""
+    t = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    x, y = F.col(i), F.col(j)
+    at = lambda a, b, c, d: F.when(F.col("turn") == 0, a).when(F.col("turn") == 1, b).when(F.col("turn") == 2, c).otherwise(d)
+    return t.withColumns({i: at(x, -y, -x, y), j: at(y, x, -y, -x)})
+
+
+def pose_scores_with_normals(grid: DataFrame, model: DataFrame, normals: DataFrame, keys: list[str], reach: int, n_bins: int, cls: str = "model_cls", least: float = 1e-4, turns: int = 4) -> DataFrame:
+    """The score of each pose and quarter turn (G17): log probabilities of known cells, and of the directions of occupied cells that have a valid one.
+
+    grid has keys, i, j, k, log_odds, theta, phi and valid_normal (scoring.with_features(): null where a cell has no direction); model has cls, i, j, k, log_free, log_occ;
+    normals has cls, i, j, k, bin and n, the counts of directions. The model's cells and directions are a stencil, turned about its origin; a grid cell's direction is turned
+    back by the pose and meets the stencil by its angular bin. A model cell that has seen no direction gives each of the n_bins the same share; a
+    bin it has not seen has share least. Cells without a direction, free ones and invalid directions add nothing. Up to MODEL_ROWS rows of a stencil are broadcast.
+    """
+    small = lambda df: F.broadcast(df) if df.count() <= MODEL_ROWS else df
+    seen = normals.groupBy(cls, "i", "j", "k").agg(F.sum("n").alias("_n"))
+    cells = stored(turned(model.join(seen, [cls, "i", "j", "k"], "left"), turns=turns))
+    share = F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col("n") / F.col("_n")))
+    bins = stored(turned(normals.join(seen, [cls, "i", "j", "k"]).withColumn("log_n", F.ln(share)), turns=turns).select(cls, "turn", "i", "j", "k", "bin", "log_n"))
+    known = grid.where("log_odds != 0").select(*keys, F.col("i").alias("gi"), F.col("j").alias("gj"), "k", (F.col("log_odds") > 0).alias("o"), "theta", "phi", F.coalesce("valid_normal", F.lit(False)).alias("valid"))
+    wide = known.withColumn("i", F.explode(F.sequence(F.col("gi") - reach, F.col("gi") + reach))).withColumn("j", F.explode(F.sequence(F.col("gj") - reach, F.col("gj") + reach)))
+    met = wide.join(small(cells), ["i", "j", "k"])
+    bin_ = F.when(F.col("o") & F.col("valid"), angular_bin(F.col("theta") - F.col("turn") * (np.pi / 2), F.col("phi")))
+    met = met.withColumn("bin", bin_).join(small(bins), [cls, "turn", "i", "j", "k", "bin"], "left")
+    direction = F.when(F.col("bin").isNull(), 0.0).when(F.col("_n").isNull(), float(-np.log(n_bins))).otherwise(F.coalesce("log_n", F.lit(float(np.log(least)))))
+    term = F.when(F.col("o"), F.col("log_occ")).otherwise(F.col("log_free")) + direction
+    return met.groupBy(*keys, (F.col("gi") - F.col("i")).alias("px"), (F.col("gj") - F.col("j")).alias("py"), "turn", cls).agg(F.sum(term).alias("score"), F.count("*").alias("n"), F.count("bin").alias("n_directions"))
 
 
 def local_maxima(scores: DataFrame, keys: list[str], score: str, window: int, reach: int) -> DataFrame:
@@ -119,9 +146,16 @@ def camera_view(points: DataFrame, matrix: list[list[float]], width: int = 1392,
     return points.withColumns({"u": u, "v": v, "depth": depth}).where((F.col("depth") >= 0) & F.col("u").between(0, width) & F.col("v").between(0, height))
 
 
-def score_at(detections: DataFrame, x: float, y: float, res: float) -> DataFrame:
-    """Scores at a picked point."""
-    return detections.where((F.abs(F.col("x") - x) <= res / 2) & (F.abs(F.col("y") - y) <= res / 2))
+def wholly_in_view(objects: DataFrame, matrix: list[list[float]], reach: float = 1.0, width: int = 1392, height: int = 512) -> DataFrame:
+    """Objects whose four corners, reach away on both axes, all are in front of the camera and on the image."""
+    from ..functions.expr import project
+
+    seen = F.lit(True)
+    for a in (-reach, reach):
+        for b in (-reach, reach):
+            u, v, depth = project([F.col("x") + a, F.col("y") + b, F.col("z")], matrix)
+            seen = seen & (depth >= 0) & u.between(0, width) & v.between(0, height)
+    return objects.where(seen)
 
 
 def angle_marginal(poses: DataFrame, keys: list[str], p: str = "p") -> DataFrame:

@@ -12,7 +12,7 @@ from .running import running_sums
 #: Fixed values of the evaluation: recall steps and least overlaps.
 SAMPLES = 41
 MIN_OVERLAP = {"Car": 0.7, "Pedestrian": 0.5, "Cyclist": 0.5}
-#: (least height, most occlusion, most truncation) of easy, moderate and hard.
+#: Fixed values: (least height, most occlusion, most truncation) of easy, moderate and hard.
 DIFFICULTY = [(40, 0, 0.15), (25, 1, 0.3), (25, 2, 0.5)]
 #: Kinds that are neutral for another.
 NEIGHBOURS = {"Car": "Van", "Pedestrian": "Person_sitting"}
@@ -79,8 +79,8 @@ def common_area(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(a).any(1) | np.isnan(b).any(1), np.nan, out)
 
 
-def ground_overlap(a: str, b: str, solid: bool = False) -> Column:
-    """Overlap of rotated boxes on the ground, or of their solids with z and height (J15); columns x, y, l, w, heading (z, h) by prefix."""
+def ground_overlap(a: str, b: str, solid: bool = False, criterion: int = -1) -> Column:
+    """Overlap of rotated boxes on the ground, or of their solids with z and height (J15); columns x, y, l, w, heading (z, h) by prefix. Criterion as in image_overlap()."""
     def common(ax: pd.Series, ay: pd.Series, al: pd.Series, aw: pd.Series, at: pd.Series, bx: pd.Series, by: pd.Series, bl: pd.Series, bw: pd.Series, bt: pd.Series) -> pd.Series:
         return pd.Series(common_area(np.column_stack([ax, ay, al, aw, at]), np.column_stack([bx, by, bl, bw, bt])))
 
@@ -90,8 +90,37 @@ def ground_overlap(a: str, b: str, solid: bool = False) -> Column:
     if solid:
         z = F.greatest(F.lit(0.0), F.least(c(a, "z") + c(a, "h"), c(b, "z") + c(b, "h")) - F.greatest(c(a, "z"), c(b, "z")))
         inter, size = inter * z, {p: s * c(p, "h") for p, s in size.items()}
-    return inter / F.nullif(size[a] + size[b] - inter, F.lit(0.0))
+    whole = {-1: size[a] + size[b] - inter, 0: size[a], 1: size[b]}[criterion]
+    return inter / F.nullif(whole, F.lit(0.0))
+
 
+def ground_pairs(det: DataFrame, gt: DataFrame, on: list[str], width: float = 4.0) -> DataFrame:
+    """Detections and boxes of the same frame whose circles on the ground share a cell, each pair once; columns d_ and g_.
+
+    Each box is sent to the cells, width wide, that its own circle covers, and boxes meet by frame and cell, so a frame's boxes are not all paired. A
+    pair that shares several cells is kept in the first one that both cover. Boxes with a null or infinite place or size meet none.
+    """
+    def spread(rows: DataFrame, p: str) -> DataFrame:
+        reach = F.sqrt(F.col("l") ** 2 + F.col("w") ** 2) / 2
+        finite = F.isnotnull("heading")
+        for c in ("x", "y", "l", "w"):
+            finite = finite & (F.abs(c) < 1e12)
+        low, high = ([F.floor((F.col(c) + side * reach) / width) for c in ("x", "y")] for side in (-1, 1))
+        own = rows.where(finite).withColumns({f"_{p}x": low[0], f"_{p}y": low[1]})
+        own = own.withColumn("_cx", F.explode(F.sequence(F.col(f"_{p}x"), high[0]))).withColumn("_cy", F.explode(F.sequence(F.col(f"_{p}y"), high[1])))
+        return own.select(*on, "_cx", "_cy", f"_{p}x", f"_{p}y", *[F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in on])
+
+    met = spread(det, "d_").join(spread(gt, "g_"), [*on, "_cx", "_cy"])
+    first = (F.col("_cx") == F.greatest("_d_x", "_g_x")) & (F.col("_cy") == F.greatest("_d_y", "_g_y"))
+    return met.where(first).drop("_cx", "_cy", "_d_x", "_d_y", "_g_x", "_g_y")
+
+
+#: Overlap measures (J15): how boxes meet, and the overlap of a pair by criterion.
+MEASURES = {
+    "image": (pairs, lambda a, b, criterion: image_overlap(a, b, criterion)),
+    "ground": (ground_pairs, lambda a, b, criterion: ground_overlap(a, b, False, criterion)),
+    "solid": (ground_pairs, lambda a, b, criterion: ground_overlap(a, b, True, criterion)),
+}
 
 def ignored(kind: str, height: str, occlusion: str, truncation: str, wanted: str, level: int) -> Column:
     """0 for boxes that count, 1 for neutral ones, -1 for others."""
@@ -132,23 +161,42 @@ def absorbed(det: DataFrame, dont_care: DataFrame, on: list[str], least: float)
     return d.join(g, same, "left_semi").select(*det.columns)
 
 
+def recall_ranks(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, step, rank): which scores of a group, numbered from 0 in descending order, recall_thresholds() takes. sizes has by, m (scores) and n (truths).
+
+    A scan down the scores takes rank i at step t, when t were taken, unless the recall after it, (i + 2) / n, is nearer to t / 40 than (i + 1) / n. So no rank before
+    n t / 40 - 3/2 is taken at step t, and the ranks follow from the counts: the first from there on that is after the step before. The last
+    rank is taken whatever the step. Where both recalls are equally near, the scan's own sum of steps decides, as it rounds.
+    """
+    parts = SAMPLES - 1
+    n, m, t = F.col("n").cast("long"), F.col("m").cast("long"), F.col("step").cast("long")
+    most = F.least(m - 1, F.ceil((m + 2) * parts / n) + 1).cast("int")
+    steps = sizes.where("m > 0").withColumn("step", F.explode(F.sequence(F.lit(0), most)))
+    reached = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("step"))), F.lit(0.0), lambda s, _: s + 1.0 / parts)
+    reached = F.when(F.col("step") > 0, reached).otherwise(0.0)
+    first = F.greatest(F.lit(0).cast("long"), -F.floor(-(n * t * 2 - 3 * parts) / (2 * parts)))
+    tie = 2 * (2 * first + 3) * parts == 4 * n * t
+    nearer = (first + 2) / n.cast("double") - reached < reached - (first + 1) / n.cast("double")
+    ahead = F.max(F.when(tie & nearer, first + 1).otherwise(first) - t).over(Window.partitionBy(*by).orderBy("step"))
+    ranked = steps.withColumn("rank", t + F.greatest(F.lit(0).cast("long"), ahead))
+    ends = F.min(F.when(F.col("rank") >= m - 1, F.col("step"))).over(Window.partitionBy(*by))
+    return ranked.withColumn("_end", ends).where("step <= _end").select(*by, "step", F.least("rank", m - 1).alias("rank"))
+
+
 def recall_thresholds(scores: DataFrame, by: list[str], n_truth: str = "n_truth") -> DataFrame:
-    """Scores nearest to SAMPLES steps of recall (W6): each choice depends on those before, so one fold a group.
+    """Scores nearest to SAMPLES steps of recall (W6), as (by, step, threshold).
 
-    scores has by, score (of true positives) and n_truth. The fold is an array aggregation; its array is one class's matches.
+    scores has by, score (of true positives) and n_truth. The ranks to take follow from the counts of a group alone (recall_ranks()), so no group is
+    gathered: its scores are numbered by running sums over ranges, and the rows of these ranks are picked. Null scores are no scores; an empty table gives no rows.
     """
-    a = scores.groupBy(*by).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"), F.max(n_truth).alias("n"))
-    zero = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("out"))
-    step = 1.0 / (SAMPLES - 1)
-
-    def take(state, x):
-        left = (x["i"] + 1) / x["n"]
-        right = F.when(x["i"] < x["m"] - 1, (x["i"] + 2) / x["n"]).otherwise(left)
-        skip = (right - state["at"] < state["at"] - left) & (x["i"] < x["m"] - 1)
-        return F.struct(F.when(skip, state["at"]).otherwise(state["at"] + step).alias("at"), F.when(skip, state["out"]).otherwise(F.concat(state["out"], F.array(x["s"]))).alias("out"))
-
-    rows = F.transform("s", lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.col("n").cast("double").alias("n"), F.size("s").alias("m")))
-    return a.select(*by, F.posexplode(F.aggregate(rows, zero, take)["out"]).alias("step", "threshold"))
+    known = scores.where("score IS NOT NULL")
+    sizes = known.groupBy(*by).agg(F.count("*").alias("m"), F.max(n_truth).alias("n"))
+    ranks = recall_ranks(sizes, by).select(*[F.col(c).alias(f"_of_{c}") for c in by], "step", F.col("rank").alias("_rank"))
+    numbered = running_sums(known.select(*by, "score"), by, ["score"], {"_n": F.lit(1)}, descending=True)
+    same = F.col("_n") - 1 == F.col("_rank")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return numbered.join(ranks, same).select(*by, "step", F.col("score").alias("threshold"))
 
 
 def envelope(curve: DataFrame, by: list[str], value: str = "precision", order: str = "step") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import rbf_kernel, sparse_kernel
+from .trees import MODEL_ROWS, discard, shared_folder, stored
 
 
 def free_samples(rays: DataFrame, keys: list[str], seed: int | None = None) -> DataFrame:
@@ -31,9 +32,14 @@ def kernel_features(points: DataFrame, keys: list[str], spacing: float, support:
     return near.withColumn("phi", sparse_kernel(d, support)).where("phi > 0").drop("_a", "_b")
 
 
+def beside(weights: DataFrame) -> DataFrame:
+    """A table of cells for a join: up to MODEL_ROWS rows, by count, are broadcast, since all scans share the cells about the sensor; with more AQE splits these."""
+    return F.broadcast(weights) if weights.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS else weights
+
+
 def margins(features: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of weight times feature by point (M3)."""
-    return features.join(weights, ["m", "n"], "left").groupBy(*keys).agg(F.sum(F.col("phi") * F.coalesce("w", F.lit(0.0))).alias("f"))
+    return features.join(beside(weights), ["m", "n"], "left").groupBy(*keys).agg(F.sum(F.col("phi") * F.coalesce("w", F.lit(0.0))).alias("f"))
 
 
 def occupancy_query(points: DataFrame, weights: DataFrame, keys: list[str], spacing: float, support: float) -> DataFrame:
@@ -57,6 +63,35 @@ def kernel_map(samples: DataFrame, keys: list[str], spacing: float, support: flo
     return w, losses
 
 
+def coloured_map(samples: DataFrame, keys: list[str], spacing: float, support: float, passes: int = 2, ridge: float = 1.0) -> DataFrame:
+    """Weights (m, n, w) of a logistic kernel map by descent over coloured cells (M2): few passes over the samples.
+
+    Cells so far apart that no sample reaches two of them have one colour, so the weights of a colour do not meet: each takes its own Newton step, on the samples that
+    reach it, as if it moved alone, and a sample's margin changes by one feature at most. A pass is one such batch for each colour. Features lie in
+    a folder a colour, so a pass reads each once; margins are written after each colour. ridge is the weight of the squared weights. keys name a sample; samples whose keys
+    repeat are not allowed; an empty table gives no weights.
+    """
+    apart = 2 * int(np.ceil(support / spacing)) + 1
+    folder = shared_folder(samples.sparkSession, "colours")
+    colour = F.pmod("m", F.lit(apart)) * apart + F.pmod("n", F.lit(apart))
+    kernel_features(samples, keys, spacing, support).select(*keys, "y_label", "m", "n", "phi", colour.alias("_colour")).write.partitionBy("_colour").parquet(folder)
+    phi = samples.sparkSession.read.parquet(folder)
+    weights = stored(phi.select("m", "n").distinct().withColumn("w", F.lit(0.0)))
+    f = stored(samples.select(*keys, "y_label", F.lit(0.0).alias("f")))
+    for _ in range(passes):
+        for c in range(apart * apart):
+            own = phi.where(F.col("_colour") == c).drop("_colour")
+            p = 1 / (1 + F.exp(F.col("y_label") * F.col("f")))
+            sums = own.join(f, [*keys, "y_label"]).groupBy("m", "n").agg(F.sum(-F.col("y_label") * p * F.col("phi")).alias("_g"), F.sum(p * (1 - p) * F.col("phi") * F.col("phi")).alias("_h"))
+            step = -(F.col("_g") + ridge * F.col("w")) / (F.col("_h") + ridge)
+            moved = stored(sums.join(beside(weights), ["m", "n"]).select("m", "n", step.alias("_d")))
+            change = own.join(beside(moved), ["m", "n"]).select(*keys, (F.col("phi") * F.col("_d")).alias("_c"))
+            f = stored(f.join(change, keys, "left").select(*keys, "y_label", (F.col("f") + F.coalesce("_c", F.lit(0.0))).alias("f")))
+            weights = stored(weights.join(beside(moved), ["m", "n"], "left").select("m", "n", (F.col("w") + F.coalesce("_d", F.lit(0.0))).alias("w")))
+    discard(samples.sparkSession, folder)
+    return weights
+
+
 def log_likelihood(points: DataFrame) -> DataFrame:
     """Sum of -log(1 + exp(-y f))."""
     return points.agg(F.sum(-F.log1p(F.exp(-F.col("y_label") * F.col("f")))).alias("log_likelihood"))

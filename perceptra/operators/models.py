@@ -68,12 +68,11 @@ def conditional_table(joint: DataFrame, by: list[str]) -> DataFrame:
     return joint.select(*by, *cells, F.explode(F.array(*states)).alias("s")).select(*by, *cells, "s.*")
 
 
-def marginals_of_joint(joint: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of single cells from pair counts: of each cell, those of its best observed pair."""
-    first = joint.select(*by, *[F.col(f"{c}1").alias(c) for c in "ijk"], (F.col("c00") + F.col("c01")).alias("f"), (F.col("c10") + F.col("c11")).alias("o"))
-    second = joint.select(*by, *[F.col(f"{c}2").alias(c) for c in "ijk"], (F.col("c00") + F.col("c10")).alias("f"), (F.col("c01") + F.col("c11")).alias("o"))
-    both = first.unionAll(second)
-    return both.groupBy(*by, "i", "j", "k").agg(F.max(F.struct((F.col("f") + F.col("o")).alias("n"), "f", "o")).alias("x")).select(*by, "i", "j", "k", F.col("x.f").alias("c_free"), F.col("x.o").alias("c_occ"))
+def both_ways(joint: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of cell pairs, each pair once in either order."""
+    states = {"c00": "c00", "c01": "c10", "c10": "c01", "c11": "c11"}
+    turned = joint.select(*by, *[F.col(f"{c}{3 - n}").alias(f"{c}{n}") for n in (1, 2) for c in "ijk"], *[F.col(old).alias(new) for new, old in states.items()])
+    return joint.select(*turned.columns).unionAll(turned)
 
 
 def feature_counts(features: DataFrame, by: list[str], res: float = 0.2) -> DataFrame:

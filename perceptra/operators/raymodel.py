@@ -7,14 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import grams_2d, grams_3d, object_frame, polar, wrap_angle
+from ..functions.expr import bin_value, grams_2d, grams_3d, object_frame, polar, wrap_angle
 from .histogram import Histogram
+from .trees import stored
 
 LEAST, SUPPORT = 1e-99, 10
 #: Steps of a ray key's angle and distance.
 GRAIN = (0.1, 0.1)
-#: Cells of a turn in which rays meet poses.
-BEARINGS = 64
+#: Cells of a turn, and from straight down to straight up, in which rays meet poses.
+BEARINGS, ELEVATIONS = 64, 32
+#: Tasks that share the rays and poses of a cell where poses are joined by shuffle.
+SALTS = 16
 
 
 def observations(hits: DataFrame) -> DataFrame:
@@ -24,18 +27,36 @@ def observations(hits: DataFrame) -> DataFrame:
     return o.withColumns({"sin_t": F.sin("theta"), "cos_t": F.cos("theta")})
 
 
+def _met(obs: DataFrame, arcs: DataFrame, cells: list[str], max_rows: int) -> DataFrame:
+    """Observations beside the poses that cover their cells. Up to max_rows rows of arcs, by count, are broadcast; more are
+    joined by shuffle, each copied to SALTS tasks over which a cell's observations are dealt, so that a cell that all scans share is no hot key."""
+    if arcs.limit(max_rows + 1).count() <= max_rows:
+        return obs.join(F.broadcast(arcs), cells).drop(*cells)
+    copies = arcs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = obs.withColumn("_salt", F.pmod(F.xxhash64("theta", "range"), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [*cells, "_salt"]).drop(*cells, "_salt")
+
+
+def _bearings(p: DataFrame, size: float) -> DataFrame:
+    """Poses in each of the bearing cells that their disc covers (_c)."""
+    step, d = 2 * math.pi / BEARINGS, F.sqrt(F.col("px") ** 2 + F.col("py") ** 2)
+    half = F.when(d > size, F.asin(size / d) + 1e-9).otherwise(math.pi)
+    first, last = F.floor((F.atan2("py", "px") - half) / step), F.floor((F.atan2("py", "px") + half) / step)
+    return p.withColumn("_c", F.explode(F.sequence(first, F.least(last, first + BEARINGS - 1)))).withColumn("_c", F.pmod("_c", F.lit(BEARINGS)))
+
+
+def _bearing() -> Column:
+    return F.pmod(F.floor(F.col("theta") / (2 * math.pi / BEARINGS)), F.lit(BEARINGS))
+
+
 def seen_from(obs: DataFrame, poses: DataFrame, size: float, max_poses: int = 100_000) -> DataFrame:
     """Observations that concern an object at each pose (J7, F7): rays that pass within size in front of it, not ending before it.
 
     Each pose is sent to the bearing cells, BEARINGS to a turn, that its disc covers, and each observation to its own, so rays meet the poses
-    about them by an equi-join. A set of poses that counts up to max_poses is broadcast; a larger one is joined by shuffle.
+    about them by an equi-join. Poses whose cells count up to max_poses are broadcast; others are joined by shuffle with a salt.
     """
     p = poses.select("pose_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("theta").alias("pt"))
-    few, step, d = poses.limit(max_poses + 1).count() <= max_poses, 2 * math.pi / BEARINGS, F.sqrt(F.col("px") ** 2 + F.col("py") ** 2)
-    half = F.when(d > size, F.asin(size / d) + 1e-9).otherwise(math.pi)
-    first, last = F.floor((F.atan2("py", "px") - half) / step), F.floor((F.atan2("py", "px") + half) / step)
-    arcs = p.withColumn("_c", F.explode(F.sequence(first, F.least(last, first + BEARINGS - 1)))).withColumn("_c", F.pmod("_c", F.lit(BEARINGS)))
-    pairs = obs.withColumn("_c", F.pmod(F.floor(F.col("theta") / step), F.lit(BEARINGS))).join(F.broadcast(arcs) if few else arcs, "_c").drop("_c")
+    pairs = _met(obs.withColumn("_c", _bearing()), _bearings(p, size), ["_c"], max_poses)
     m = object_frame("theta", "range", "px", "py", "pt", F.col("sin_t"), F.col("cos_t"))
     return pairs.withColumns(m).where((F.abs("dist_ray") <= size) & F.col("in_front") & (F.col("dist_obs") >= -size))
 
@@ -108,35 +129,51 @@ def least_log(p: Column) -> Column:
     return F.ln(F.greatest(p, F.lit(LEAST)))
 
 
-def sample_ranges(rays: DataFrame, one: DataFrame, keys: list[str], hist: Histogram, u: str = "u", grain: tuple[float, float] = GRAIN) -> DataFrame:
-    """A drawn distance for each ray from its one-gram histogram (M9)."""
-    return hist.sample(one, gram_keys(rays, grain).select(*keys, "hit_idx", "k_phi", "k_dist", u), [*keys, "k_phi", "k_dist"], u)
+def sample_ranges(draws: DataFrame, one: DataFrame, keys: list[str], hist: Histogram, u: str = "u") -> DataFrame:
+    """A drawn distance for each ray (keys, k_phi, k_dist and u in (0, 1]) from its one-gram histogram (M9); rays without a histogram fall out."""
+    return hist.sample(one, draws, [*keys, "k_phi", "k_dist"], u)
 
 
-def sample_chain(draws: DataFrame, two: DataFrame, keys: list[str], hist: Histogram, schema: str) -> DataFrame:
-    """Distances drawn one after the other, each given the bin of the one before (M9): sequential, so one group a chain.
+def transitions(two: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, k_phi, k_dist, trans): of each ray key an array of (prev, total, bins: array of (upto, bin)), the running weights of the bins after each bin before.
 
-    draws has keys, chain, step, k_phi, k_dist and u; two is the bounded two-gram model, collected once.
+    The entry with prev null sums over all bins before; it serves those without weight of their own. The array is bounded by the square of the number of bins.
+    """
+    key = [*keys, "k_phi", "k_dist"]
+    whole = two.groupBy(*key, F.lit(None).cast(two.schema["prev"].dataType).alias("prev"), "bin").agg(F.sum("w").alias("w"))
+    both = two.groupBy(*key, "prev", "bin").agg(F.sum("w").alias("w")).where("prev IS NOT NULL").unionByName(whole)
+    w = Window.partitionBy(*key, "prev")
+    run = both.withColumns({"upto": F.sum("w").over(w.orderBy("bin")), "total": F.sum("w").over(w)})
+    rows = run.groupBy(*key, "prev").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("upto", "bin"))).alias("bins"))
+    return rows.groupBy(*key).agg(F.collect_list(F.struct("prev", "total", "bins")).alias("trans"))
+
+
+def sample_chain(draws: DataFrame, two: DataFrame, keys: list[str], chain: list[str], hist: Histogram, max_keys: int = 50_000) -> DataFrame:
+    """Distances drawn one after the other, each given the bin of the one before (M9), as (keys, chain, step, bin, value).
+
+    draws has keys, chain, step, k_phi, k_dist and u in (0, 1]; two is the two-gram model. Each draw's u makes of its ray key's transitions a map from bin to bin: the first bin
+    whose running weight reaches u of the total. Such maps are composed along the chain by a fold over its steps, so all is one join with the
+    model, one grouping by chain and an array expression. A bin before without weight takes the sums over all bins; a ray key without any
+    weight draws nothing (null) and leaves the chain's bin. Up to max_keys ray keys are broadcast, so that the few keys that all chains share are not hot.
     """
-    table: dict = {}
-    for r in two.select("k_phi", "k_dist", "prev", "bin", "w").orderBy("bin").collect():
-        table.setdefault((r.k_phi, r.k_dist, r.prev), []).append((r.bin, r.w))
-
-    def walk(pdf):
-        out, prev = [], None
-        for r in pdf.sort_values("step").itertuples():
-            bins = table.get((r.k_phi, r.k_dist, prev)) or [x for (a, b, _), v in table.items() if (a, b) == (r.k_phi, r.k_dist) for x in v]
-            total, at, pick = sum(w for _, w in bins), 0.0, None
-            for b, w in bins:
-                at += w
-                if at >= r.u * total:
-                    pick = b
-                    break
-            prev = pick if pick is not None else prev
-            out.append(math.nan if pick is None else (pick - 1) * hist.res + hist.lo)
-        return pdf.sort_values("step").assign(value=out)
-
-    return draws.groupBy(*keys, "chain").applyInPandas(walk, schema)
+    key = [*keys, "k_phi", "k_dist"]
+    model = stored(transitions(two, keys))
+    met = draws.join(F.broadcast(model) if model.count() <= max_keys else model, key, "left")
+    pick = lambda t: F.filter(t["bins"], lambda b: b["upto"] >= F.col("u") * t["total"])[0]["bin"]
+    moves = F.transform(F.coalesce("trans", F.array()), lambda t: F.struct(t["prev"].alias("prev"), pick(t).alias("bin")))
+    steps = met.groupBy(*keys, *chain).agg(F.sort_array(F.collect_list(F.struct("step", moves.alias("moves")))).alias("steps"))
+    number = two.schema["bin"].dataType.simpleString()
+    none = F.lit(None).cast(number)
+
+    def follow(state: Column, x: Column) -> Column:
+        own = F.filter(x["moves"], lambda m: m["prev"] == state["at"])
+        rest = F.filter(x["moves"], lambda m: m["prev"].isNull())
+        drawn = F.when(F.size(own) > 0, F.get(own, F.lit(0))["bin"]).otherwise(F.get(rest, F.lit(0))["bin"])
+        return F.struct(F.coalesce(drawn, state["at"]).alias("at"), F.concat(state["out"], F.array(F.struct(x["step"].alias("step"), drawn.alias("bin")))).alias("out"))
+
+    zero = F.struct(none.alias("at"), F.array().cast(f"array<struct<step:{draws.schema['step'].dataType.simpleString()},bin:{number}>>").alias("out"))
+    walked = steps.select(*keys, *chain, F.explode(F.aggregate("steps", zero, follow)["out"]).alias("x")).select(*keys, *chain, "x.step", "x.bin")
+    return walked.withColumn("value", bin_value("bin", hist.lo, hist.res))
 
 
 KEYS_3D = ["k_theta", "k_phi", "k_ray", "k_z"]
@@ -148,15 +185,20 @@ def observations_3d(hits: DataFrame) -> DataFrame:
     return o.withColumns({"sin_t": F.sin("theta"), "cos_t": F.cos("theta"), "sin_p": F.sin("phi"), "cos_p": F.cos("phi")})
 
 
-def seen_from_3d(obs: DataFrame, poses: DataFrame, size: float, height: float, max_poses: int = 100_000) -> DataFrame:
+def seen_from_3d(obs: DataFrame, poses: DataFrame, size: float, height: float, max_rows: int = 500_000) -> DataFrame:
     """Observations that concern an object at each pose in space (J7): its line passes within size in the plane and height above or below, it does not end before the object.
 
-    Adds m_theta (in -pi to pi), m_phi, dist_ray, dist_z and dist_obs, measured along the ray (X6). The poses, at most max_poses, are broadcast.
+    Adds m_theta (in -pi to pi), m_phi, dist_ray, dist_z and dist_obs, measured along the ray (X6). Rays and poses meet by an equi-join on two
+    angles: each pose is sent to the bearing and elevation cells that its box covers as seen from the sensor (all of them where the sensor is within the box), each ray to its own. Any
+    number of poses: up to max_rows rows of pose and cell are broadcast, more are joined by shuffle with a salt.
     """
-    if poses.limit(max_poses + 1).count() > max_poses:
-        raise ValueError(f"more than {max_poses} poses: score them in parts")
     p = poses.select("pose_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("theta").alias("pt"))
-    pairs = obs.join(F.broadcast(p)).withColumns({
+    step, d = math.pi / ELEVATIONS, F.sqrt(F.col("px") ** 2 + F.col("py") ** 2)
+    tilt = F.when(d > height, F.asin(height / d) + 1e-9).otherwise(math.pi / 2)
+    within = lambda angle: F.greatest(F.lit(0), F.least(F.lit(ELEVATIONS - 1), F.floor((angle + math.pi / 2) / step))).cast("int")
+    arcs = _bearings(p, size).withColumn("_e", F.explode(F.sequence(within(-tilt), within(tilt))))
+    met = _met(obs.withColumns({"_c": _bearing(), "_e": within(F.col("phi"))}), arcs, ["_c", "_e"], max_rows)
+    pairs = met.withColumns({
         "dist_ray": F.col("sin_t") * F.col("px") - F.col("cos_t") * F.col("py"),
         "dist_obs": (F.col("range_xy") - F.col("cos_t") * F.col("px") - F.col("sin_t") * F.col("py")) / F.col("cos_p"),
         "dist_z": -F.sqrt(F.col("px") ** 2 + F.col("py") ** 2) * F.col("sin_p"),

@@ -63,10 +63,6 @@ def log_odds(scores: DataFrame, by: list[str], score: str = "score", limit: floa
     return s.withColumn(name, value).drop("_top", "_e", "_order", "_other", "_sum")
 
 
-def clamp(c: Column, most: float = 40.0) -> Column:
-    return F.greatest(F.lit(-most), F.least(F.lit(most), c))
-
-
 def logit(p: Column, least: float = 1e-16) -> Column:
     """Log-odds of a clamped probability (K5)."""
     q = F.greatest(F.lit(least), F.least(F.lit(1 - least), p))
@@ -82,11 +78,3 @@ def marginal_tree_score(grid: DataFrame, log_probs: DataFrame, keys: list[str],
 def with_features(grid: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Cells with their directions, null where there is none."""
     return grid.join(features.select(*keys, "i", "j", "k", "theta", "phi", "valid_normal"), [*keys, "i", "j", "k"], "left")
-
-
-def with_normals(scores: DataFrame, grid: DataFrame, feature_model: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Adds to a score the log probabilities of the directions of occupied cells (G17); grid has bin where the direction is valid."""
-    bins = grid.where("log_odds > 0 AND bin IS NOT NULL").join(feature_model, [*[b for b in by if b in grid.columns], "bin"])
-    extra = bins.groupBy(*keys, *[b for b in by if b not in keys]).agg(F.sum("log_p").alias("_f"))
-    on = [*keys, *[b for b in by if b not in keys]]
-    return scores.join(extra, on, "left").withColumn("score", F.col("score") + F.coalesce("_f", F.lit(0.0))).drop("_f")

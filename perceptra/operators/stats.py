@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import least_direction
+
 AXES = ("x", "y", "z")
 
 
@@ -19,10 +17,6 @@ def moment_sums(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
 
 
-def merge_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
-    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums.columns if c == "n" or c.startswith("s_")])
-
-
 def blur27(sums: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Sums over each voxel's 27 neighbours, for voxels with more than least hits (J5, F12): each voxel is sent to its
     neighbours and added up there; only voxels with hits of their own are kept."""
@@ -44,28 +38,11 @@ def moments(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normals(moment: DataFrame) -> DataFrame:
-    """Adds theta, phi and valid_normal: the direction of least variance (X20), its largest component made positive."""
-    names = ["cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz"]
-
-    @F.pandas_udf("struct<theta:double,phi:double,valid_normal:boolean>")
-    def direction(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for xx, xy, xz, yy, yz, zz in parts:
-            m = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2).astype(float)
-            ok = np.isfinite(m).all((1, 2))
-            v = np.linalg.eigh(np.where(ok[:, None, None], m, 0))[1][:, :, 0]
-            lead = np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1)
-            v = v * np.where(lead < 0, -1, 1)
-            yield pd.DataFrame({"theta": np.arctan2(v[:, 1], v[:, 0]), "phi": np.arctan2(v[:, 2], np.hypot(v[:, 0], v[:, 1])), "valid_normal": ok})
-
-    return moment.withColumn("_d", direction(*names)).select("*", "_d.*").drop("_d")
-
-
-def least_eigenvalue(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
-    """Smallest eigenvalue of a symmetric 3 x 3 matrix in closed form."""
-    q = (xx + yy + zz) / 3
-    p2 = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)
-    p = F.sqrt(p2 / 6)
-    a, b, c = (xx - q), (yy - q), (zz - q)
-    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(p > 0, det / F.nullif(2 * p * p * p, F.lit(0.0))).otherwise(0.0)))
-    return q + 2 * p * F.cos(F.acos(r) / 3 + 2 * np.pi / 3)
+    """Adds theta, phi and valid_normal: the direction of least variance (X20), its largest component made positive. Null or infinite moments have no valid direction."""
+    names = [F.col(c) for c in ("cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz")]
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    d = moment.withColumn("valid_normal", ok).withColumn("_d", least_direction(*[F.when(F.col("valid_normal"), c).otherwise(0.0) for c in names]))
+    flat = F.sqrt(F.col("_d.u") * F.col("_d.u") + F.col("_d.v") * F.col("_d.v"))
+    return d.withColumns({"theta": F.atan2("_d.v", "_d.u"), "phi": F.atan2(F.col("_d.w"), flat)}).drop("_d")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def candidate_edges(joint: DataFrame, least: int = 100) -> DataFrame:
     """Pairs with enough joint observations and their mutual information."""
     n = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
@@ -111,35 +118,84 @@ def tree_scores(cells: DataFrame, parents: DataFrame, conditionals: DataFrame, m
     return terms.groupBy(*keys).agg(F.sum(term).alias("score"), F.count_if(F.col("parent").isNull()).alias("roots"))
 
 
+def _inside(cells: DataFrame, edges: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Edges whose two cells a grid knows; cells without any edge fall out."""
+    a = cells.select(*keys, *[b for b in by if b not in keys], F.col("cell").alias("a"))
+    b = cells.select(*keys, F.col("cell").alias("b"))
+    return a.join(edges.select(*by, "a", "b", "mi"), [*by, "a"]).join(b, [*keys, "b"]).select(*keys, "a", "b", "mi")
+
+
+def _heaviest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a grid's edges those of its maximum spanning forest, ties by the ends."""
+    pdf, root = pdf.sort_values(["mi", "a", "b"], ascending=[False, True, True]), {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    take = []
+    for x, y in zip(pdf.a, pdf.b, strict=True):
+        p, q = top(x), top(y)
+        take.append(p != q)
+        root[max(p, q)] = min(p, q)
+    return pdf[take]
+
+
 def grid_forests(cells: DataFrame, edges: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Maximum spanning forest of each grid's own cells, as (keys, a, b, mi).
 
     A grid's cells are bounded by the model's window, so each grid is one array and one call; edges are joined by class and both
     ends first, which leaves out cells without any edge.
     """
-    import pandas as pd
-
-    a = cells.select(*keys, *[b for b in by if b not in keys], F.col("cell").alias("a"))
-    b = cells.select(*keys, F.col("cell").alias("b"))
-    inside = a.join(edges.select(*by, "a", "b", "mi"), [*by, "a"]).join(b, [*keys, "b"]).select(*keys, "a", "b", "mi")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, root = pdf.sort_values(["mi", "a", "b"], ascending=[False, True, True]), {}
+    inside = _inside(cells, edges, keys, by)
+    return inside.groupBy(*keys).applyInPandas(_heaviest, inside.schema)
 
-        def top(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
 
-        take = []
-        for x, y in zip(pdf.a, pdf.b, strict=True):
-            p, q = top(x), top(y)
-            take.append(p != q)
-            root[max(p, q)] = min(p, q)
-        return pdf[take]
+def oriented_forests(cells: DataFrame, edges: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Nodes (keys, child, parent) of each grid's maximum spanning forest, parent null at roots (R3): the smallest cell of each tree is its root.
 
-    return inside.groupBy(*keys).applyInPandas(forest, inside.schema)
+    One bounded fold a grid, as in grid_forests(). Cells without an edge are no nodes.
+    """
+    inside = _inside(cells, edges, keys, by)
+    kind = inside.schema["a"].dataType.simpleString()
+
+    def orient(pdf: pd.DataFrame) -> pd.DataFrame:
+        beside: dict = {}
+        for x, y in zip((chosen := _heaviest(pdf)).a.tolist(), chosen.b.tolist(), strict=True):
+            beside.setdefault(x, []).append(y)
+            beside.setdefault(y, []).append(x)
+        parent: dict = {}
+        for root in sorted(beside):
+            if root in parent:
+                continue
+            parent[root], reached = None, [root]
+            while reached:
+                x = reached.pop()
+                for y in beside[x]:
+                    if y not in parent:
+                        parent[y] = x
+                        reached.append(y)
+        out = pd.DataFrame({"child": list(parent), "parent": pd.array(list(parent.values()), "Int64")})
+        return pdf[keys].iloc[:1].merge(out, how="cross")
+
+    schema = ", ".join([*(f"`{k}` {inside.schema[k].dataType.simpleString()}" for k in keys), f"child {kind}", f"parent {kind}"])
+    return inside.groupBy(*keys).applyInPandas(orient, schema)
+
+
+def forest_scores(cells: DataFrame, edges: DataFrame, conditionals: DataFrame, marginals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Rows (keys, score, nodes, roots): log probability of each grid under the maximum spanning forest of its own cells.
+
+    Marginal terms at roots, conditional ones at children. cells has keys, by, cell and occ; conditionals hold each pair of cells both ways (models.both_ways());
+    else as in tree_scores(). Cells without an edge are ignored; a grid without nodes scores 0.
+    """
+    forest = stored(oriented_forests(cells, edges, keys, by))
+    nodes = cells.join(forest.select(*keys, F.col("child").alias("cell")), [*keys, "cell"])
+    scored = tree_scores(nodes, forest.where("parent IS NOT NULL"), conditionals, marginals, keys, by)
+    sizes = forest.groupBy(*keys).agg(F.count("*").alias("nodes"))
+    every = cells.select(*keys).distinct().join(scored, keys, "left").join(sizes, keys, "left")
+    return every.select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("nodes", F.lit(0).cast("long")).alias("nodes"), F.coalesce("roots", F.lit(0).cast("long")).alias("roots"))
 
 
 def total_information(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import evaluate, learn, matching, sampling
+from ..operators import evaluate, learn, matching, sampling, training
 from ..operators.trees import stored
 from ..registry import query
 from ..sources.adapters import BOXES_SQL, HITS_SQL, detections, ground_truth, hits, table
@@ -61,21 +61,49 @@ def greedy_match_stats(spark, sf_dir):
     return evaluate.counts_at(m.select("frame", "delta"), totals, ["frame"]).withColumn("aos", F.round("aos", 9))
 
 
-def evaluated(spark, sf_dir):
-    more = {"alpha": F.col("box_id") % 7 * 0.3, "occlusion": F.col("box_id") % 4, "truncation": F.col("box_id") % 10 / 10.0}
-    g, d = ground_truth(spark, sf_dir).withColumns(more), detections(spark, sf_dir).withColumn("alpha", F.col("box_id") % 5 * 0.4)
-    kinds = [f"Brand#{n}" for n in range(1, 6)]
-    return matching.evaluate_detections(g, d, g.where("box_id % 10 = 0"), dict(zip(kinds, [*kinds[1:], None], strict=True)), 0.5)
+def evaluated(spark, sf_dir, measure="image"):
+    """The boxes of the parts, each with a place on the ground and a height that follow from its key and its image box, evaluated by one measure of overlap."""
+    n = F.col("box_id")
+    side = {"x": F.col("x1") / 10, "y": F.col("y1") / 10, "l": (F.col("x2") - F.col("x1")) / 10, "w": (F.col("y2") - F.col("y1")) / 15, "z": n % 3 * 0.2, "h": n % 4 * 0.5 + 1.0}
+    more = {"alpha": n % 7 * 0.3, "occlusion": n % 4, "truncation": n % 10 / 10.0, **side, "heading": n % 9 * 0.35}
+    g = ground_truth(spark, sf_dir).withColumns(more)
+    d = detections(spark, sf_dir).withColumns({"alpha": n % 5 * 0.4, **side, "heading": n % 9 * 0.35 + n % 2 * 0.1})
+    kinds = [f"Brand#{k}" for k in range(1, 6)]
+    return matching.evaluate_detections(g, d, g.where("box_id % 10 = 0"), dict(zip(kinds, [*kinds[1:], None], strict=True)), 0.5, measure)
+
+
+def _rounded(rows, *columns):
+    return rows.withColumns({c: F.round(c, 9) for c in columns})
 
 
 @query()
 def evaluation_curve(spark, sf_dir):
-    return evaluated(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "aos")})
+    return _rounded(evaluated(spark, sf_dir), "precision", "recall", "aos")
 
 
 @query()
 def evaluation_ap(spark, sf_dir):
-    return matching.class_average_precision(evaluated(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("ap", "orientation")})
+    return _rounded(matching.class_average_precision(evaluated(spark, sf_dir)), "ap", "orientation")
+
+
+@query()
+def evaluation_ground_curve(spark, sf_dir):
+    return _rounded(evaluated(spark, sf_dir, "ground"), "precision", "recall", "aos")
+
+
+@query()
+def evaluation_ground_ap(spark, sf_dir):
+    return _rounded(matching.class_average_precision(evaluated(spark, sf_dir, "ground")), "ap", "orientation")
+
+
+@query()
+def evaluation_solid_curve(spark, sf_dir):
+    return _rounded(evaluated(spark, sf_dir, "solid"), "precision", "recall", "aos")
+
+
+@query()
+def evaluation_solid_ap(spark, sf_dir):
+    return _rounded(matching.class_average_precision(evaluated(spark, sf_dir, "solid")), "ap", "orientation")
 
 
 @query(f"WITH {BOXES_SQL}, care AS (SELECT * FROM gt WHERE box_id % 10 = 0) SELECT d.frame, d.box_id FROM det d WHERE EXISTS (SELECT 1 FROM care g WHERE d.frame = g.frame AND least(d.x2,g.x2) > greatest(d.x1,g.x1) AND least(d.y2,g.y2) > greatest(d.y1,g.y1) AND (least(d.x2,g.x2)-greatest(d.x1,g.x1))*(least(d.y2,g.y2)-greatest(d.y1,g.y1))/((d.x2-d.x1)*(d.y2-d.y1)) > 0.5)")
@@ -205,11 +233,97 @@ def kernel_map_occupancy(spark, sf_dir):
     return learn.occupancy_query(p, cells, ["scan_id", "hit_idx", "sample"], 2.0, 2.0).select("scan_id", "hit_idx", "sample", F.round("p", 6).alias("p"))
 
 
-@query()
+def _full_batch(rounds: int, rate: float) -> str:
+    """SQL of full-batch steps: weights w{r} and margins f{r} of each round."""
+    key = " AND ".join(f"o.{k} = f.{k}" for k in ("scan_id", "hit_idx", "sample"))
+    steps = ["feats AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, m, n, phi FROM phi WHERE phi > 0)", "w0 AS MATERIALIZED (SELECT DISTINCT m, n, 0.0::DOUBLE AS w FROM feats)"]
+    for r in range(rounds):
+        steps += [
+            f"f{r} AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, sum(phi*w) AS f FROM feats o JOIN w{r} w ON w.m = o.m AND w.n = o.n GROUP BY ALL)",
+            f"g{r} AS (SELECT o.m, o.n, sum(-f.y_label/(1 + exp(f.y_label*f.f))*phi) AS g FROM feats o JOIN f{r} f ON {key} GROUP BY o.m, o.n)",
+            f"w{r + 1} AS MATERIALIZED (SELECT w.m, w.n, w - {rate!r}::DOUBLE*g AS w FROM w{r} w JOIN g{r} g ON g.m = w.m AND g.n = w.n)",
+        ]
+    return ", ".join(steps)
+
+
+FULL_BATCH = f"WITH {KERNEL}, {_full_batch(4, 1e-3)}"
+
+
+def _trained(spark, sf_dir):
+    return learn.kernel_map(free(spark, sf_dir), ["scan_id", "hit_idx", "sample"], 2.0, 2.0, stored, rounds=4, rate=1e-3)
+
+
+@query(FULL_BATCH + " SELECT CAST(round AS INTEGER) AS round, round(loss, 9) AS loss FROM (" + " UNION ALL ".join(f"SELECT {r} AS round, avg(ln(1 + exp(-y_label*f))) AS loss FROM f{r}" for r in range(4)) + ")")
 def kernel_map_training(spark, sf_dir):
-    rows = free(spark, sf_dir)
-    _, losses = learn.kernel_map(rows, ["scan_id", "hit_idx", "sample"], 2.0, 2.0, stored, rounds=4, rate=1e-3)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "round int, loss double")
+    _, losses = _trained(spark, sf_dir)
+    return spark.createDataFrame([(i, round(float(x), 9)) for i, x in enumerate(losses)], "round int, loss double")
+
+
+@query(FULL_BATCH + " SELECT m, n, round(w, 9) AS w FROM w4")
+def kernel_map_weights(spark, sf_dir):
+    weights, _ = _trained(spark, sf_dir)
+    return weights.withColumn("w", F.round("w", 9))
+
+
+def _coloured(passes: int, ridge: float) -> str:
+    """SQL of the descent over nine colours: margins f and weights w after each."""
+    steps, n = ["feats AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, m, n, phi, ((m % 3 + 3) % 3)*3 + (n % 3 + 3) % 3 AS colour FROM phi WHERE phi > 0)", "w0 AS MATERIALIZED (SELECT DISTINCT m, n, 0.0::DOUBLE AS w FROM feats)", "f0 AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, 0.0::DOUBLE AS f FROM free)"], 0
+    for _ in range(passes):
+        for c in range(9):
+            key = " AND ".join(f"o.{k} = f.{k}" for k in ("scan_id", "hit_idx", "sample"))
+            steps += [
+                f"o{n} AS MATERIALIZED (SELECT * FROM feats WHERE colour = {c})",
+                f"s{n} AS (SELECT m, n, sum(-o.y_label*p*phi) AS g, sum(p*(1 - p)*phi*phi) AS h FROM (SELECT o.*, 1/(1 + exp(f.y_label*f.f)) AS p FROM o{n} o JOIN f{n} f ON {key}) o GROUP BY m, n)",
+                f"d{n} AS MATERIALIZED (SELECT s.m, s.n, -(g + {ridge}*w)/(h + {ridge}) AS d FROM s{n} s JOIN w{n} w ON w.m = s.m AND w.n = s.n)",
+                f"f{n + 1} AS MATERIALIZED (SELECT f.scan_id, f.hit_idx, f.sample, f.y_label, f.f + coalesce(o.c, 0.0) AS f FROM f{n} f LEFT JOIN (SELECT o.scan_id, o.hit_idx, o.sample, phi*d AS c FROM o{n} o JOIN d{n} d ON d.m = o.m AND d.n = o.n) o ON {key})",
+                f"w{n + 1} AS MATERIALIZED (SELECT w.m, w.n, w.w + coalesce(d.d, 0.0) AS w FROM w{n} w LEFT JOIN d{n} d ON d.m = w.m AND d.n = w.n)",
+            ]
+            n += 1
+    return ", ".join(steps) + f" SELECT m, n, round(w, 6) AS w FROM w{n}"
+
+
+@query(f"WITH {KERNEL}, " + _coloured(2, 1.0))
+def kernel_map_coloured(spark, sf_dir):
+    return learn.coloured_map(free(spark, sf_dir), ["scan_id", "hit_idx", "sample"], 2.0, 2.0).withColumn("w", F.round("w", 6))
+
+
+def _alternating(rounds: int, slots: int, rate: float, kernel_rate: float, decay: float) -> str:
+    """SQL of learning weights and kernel in turn."""
+    key = " AND ".join(f"o.{k} = f.{k}" for k in ("scan_id", "hit_idx", "sample"))
+    steps = [
+        f"feats AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, m, n, CAST(least({slots - 1}, floor(sqrt((x-m*2)**2+(y-n*2)**2)/2.0*{slots})) AS INTEGER) AS slot FROM phi WHERE phi > 0)",
+        "w0 AS MATERIALIZED (SELECT DISTINCT m, n, 0.0::DOUBLE AS w FROM feats)", f"k0 AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS slot, 1.0::DOUBLE - s/{slots} AS v FROM range({slots}) r(s))",
+    ]
+
+    def margins(name: str, half: int, w: str, k: str) -> str:
+        return f"{name} AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, sum(w*v) AS f FROM feats o JOIN {w} w ON w.m = o.m AND w.n = o.n JOIN {k} k ON k.slot = o.slot WHERE scan_id % 2 = {half} GROUP BY ALL)"
+
+    slope = "(-f.y_label/(1 + exp(f.y_label*f.f)))"
+    for r in range(rounds):
+        own, other = r % 2, 1 - r % 2
+        steps += [
+            margins(f"h{r}", other, f"w{r}", f"k{r}"), margins(f"f{r}", own, f"w{r}", f"k{r}"),
+            f"g{r} AS (SELECT o.m, o.n, sum({slope}*v) AS g FROM feats o JOIN f{r} f ON {key} JOIN k{r} k ON k.slot = o.slot GROUP BY o.m, o.n)",
+            f"w{r + 1} AS MATERIALIZED (SELECT w.m, w.n, w - {rate!r}::DOUBLE*coalesce(g, 0.0) AS w FROM w{r} w LEFT JOIN g{r} g ON g.m = w.m AND g.n = w.n)",
+            margins(f"e{r}", other, f"w{r + 1}", f"k{r}"),
+            f"u{r} AS (SELECT o.slot, sum({slope}*w)/count(*) AS g FROM feats o JOIN e{r} f ON {key} JOIN w{r + 1} w ON w.m = o.m AND w.n = o.n GROUP BY o.slot)",
+            f"k{r + 1} AS MATERIALIZED (SELECT k.slot, v - {kernel_rate!r}::DOUBLE*coalesce(g, 0.0) AS v FROM k{r} k LEFT JOIN u{r} u ON u.slot = k.slot)",
+        ]
+        rate, kernel_rate = rate * decay, kernel_rate * decay
+    losses = " UNION ALL ".join(f"SELECT 'loss', {r}, NULL, avg(ln(1 + exp(-y_label*f))) FROM h{r}" for r in range(rounds))
+    return ", ".join(steps) + f""", out(part, a, b, value) AS (SELECT 'weight', m, n, w FROM w{rounds} UNION ALL SELECT 'kernel', slot, NULL, v FROM k{rounds} UNION ALL {losses})
+SELECT part, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(value, 6) AS value FROM out"""
+
+
+@query(f"WITH {KERNEL}, " + _alternating(4, 16, 1e-3, 0.5, 0.9999))
+def kernel_learning(spark, sf_dir):
+    """Weights by cell, the kernel by slot, and the losses on the half held out: even and odd scans take turns."""
+    weights, kernel, losses = training.learn_kernel(free(spark, sf_dir), ["scan_id", "hit_idx", "sample"], F.col("scan_id") % 2, 2.0, 2.0, stored)
+    none = F.lit(None).cast("int")
+    lost = spark.createDataFrame([(r, float(x)) for r, x in enumerate(losses)], "a int, value double")
+    rows = weights.select(F.lit("weight").alias("part"), F.col("m").alias("a"), F.col("n").alias("b"), F.col("w").alias("value"))
+    rows = rows.unionAll(kernel.select(F.lit("kernel"), "slot", none, "v")).unionAll(lost.select(F.lit("loss"), "a", none, "value"))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 def xs():

@@ -110,3 +110,67 @@ def sparse_grid_files(spark, sf_dir):
 def unscaled_distances(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("grid"))
     return e.select("vec_id", F.round(F.aggregate(files.unscaled("grid"), F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+def _written_labels(spark, sf_dir):
+    path = shared_folder(spark, "labels")
+    files.write_labels(_detection_lines(spark, sf_dir), path)
+    return files.read_labels(spark, path)
+
+
+@query(f"WITH {BOXES_SQL}, {LINES} SELECT frame, type, {', '.join(c for c in PLAIN if c != 'score')} FROM lines")
+def label_files(spark, sf_dir):
+    return _written_labels(spark, sf_dir).select("frame", "type", *[c for c in PLAIN if c != "score"])
+
+
+@query("""SELECT CAST(s_suppkey AS INTEGER) AS day, list_transform(range(12), lambda i: CAST(s_suppkey % 7 + i AS DOUBLE)) AS p, list_transform(range(9), lambda i: i/4.0::DOUBLE) AS r_rect,
+list_transform(range(9), lambda i: CAST(s_nationkey + i AS DOUBLE)) AS r, list_transform(range(3), lambda i: CAST(s_nationkey - i AS DOUBLE)) AS t FROM supplier""")
+def camera_files(spark, sf_dir):
+    path, upto = shared_folder(spark, "camera"), lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    s = table(spark, sf_dir, "supplier")
+    c = s.select(
+        F.col("s_suppkey").alias("day"), F.transform(upto(12), lambda i: (F.col("s_suppkey") % 7 + i).cast("double")).alias("p"), F.transform(upto(9), lambda i: i / 4.0).alias("r_rect"),
+        F.transform(upto(9), lambda i: (F.col("s_nationkey") + i).cast("double")).alias("r"), F.transform(upto(3), lambda i: (F.col("s_nationkey") - i).cast("double")).alias("t"),
+    )
+    files.write_camera(c, path)
+    return files.read_camera(spark, path).select(F.col("day").cast("int").alias("day"), "p", "r_rect", "r", "t")
+
+
+@query(f"""WITH {HITS_SQL}, {BOXES_SQL}, {LINES}, per AS (SELECT frame, count(*) AS n_labels, sum(h) AS h FROM lines GROUP BY frame)
+SELECT CAST(scan_id AS INTEGER) AS frame, hit_idx, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x, CAST(coalesce(n_labels, 0) AS INTEGER) AS n_labels, round(coalesce(h, 0), 4) AS label_heights, CAST(s_suppkey % 7 AS DOUBLE) AS p0
+FROM hits LEFT JOIN per ON per.frame = scan_id LEFT JOIN supplier ON s_suppkey = scan_id""")
+def frame_files(spark, sf_dir):
+    """Scans, labels and calibration written in their formats, read again and brought together by frame."""
+    scans, calibration, upto = shared_folder(spark, "scans"), shared_folder(spark, "calibration"), lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    files.write_binary(files.scan_files(hits(spark, sf_dir).withColumnRenamed("scan_id", "frame")), scans)
+    ones = F.transform(upto(12), lambda i: (F.col("s_suppkey") % 7 + i).cast("double"))
+    files.write_calibration(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), ones.alias("p"), F.slice(ones, 1, 9).alias("r_rect"), ones.alias("t_cv")), calibration)
+    f = files.read_frame(files.read_scans(spark, scans), _written_labels(spark, sf_dir), files.read_calibration(spark, calibration))
+    labels = F.coalesce("labels", F.array())
+    return f.select(
+        "frame", "hit_idx", F.round("x", 5).alias("x"), F.size(labels).alias("n_labels"), F.round(F.aggregate(labels, F.lit(0.0), lambda s, b: s + b["h"]), 4).alias("label_heights"), F.get("p", F.lit(0)).alias("p0")
+    )
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE)) AS g FROM embeddings), p AS (SELECT vec_id, g, vec_id - vec_id % 4 AS shape FROM e)
+SELECT a.vec_id, b.vec_id AS full_id, round(list_sum(a.g), 5) AS part_sum, round(list_sum(b.g), 5) AS full_sum FROM p a JOIN p b ON b.vec_id = a.shape WHERE a.vec_id <> b.vec_id""")
+def voxel_file_pairs(spark, sf_dir):
+    """Voxel files of partial scans, read back beside the complete shape of the same name."""
+    path, side = shared_folder(spark, "voxels"), 4
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("grid"))
+    name = F.concat((F.col("n") - F.col("n") % 4).cast("string"), F.lit("__"), (F.col("n") % 4).cast("string"), F.when(F.col("n") % 4 == 0, "__.df").otherwise("__.sdf"))
+    files.write_binary(files.voxel_files(e.select(name.alias("name"), "grid")), path)
+    parts = F.split(F.element_at(F.split("path", "/"), -1), "__")
+    total = lambda c: F.round(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, v: a + v), 5)
+    own = parts[0].cast("long")
+    return files.paired(files.read_voxels(spark, path, side=side)).select((own + parts[1].cast("long")).alias("vec_id"), own.alias("full_id"), total("grid").alias("part_sum"), total("full").alias("full_sum"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE))), 5) AS total FROM embeddings WHERE vec_id % 4 = 0""")
+def dense_voxel_files(spark, sf_dir):
+    """Of a folder of voxel files those of complete shapes alone, chosen by name before they are read."""
+    path = shared_folder(spark, "voxels")
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.when(F.col("vec_id") % 4 == 0, "full_").otherwise("part_"), F.col("vec_id").cast("string"), F.lit(".df")).alias("name"), F.col("embedding").alias("grid"))
+    files.write_binary(files.voxel_files(e, header=0), path)
+    v = files.read_voxels(spark, path, "full_*", 0, 4)
+    return v.select(F.regexp_extract("path", r"full_(\d+)\.df$", 1).cast("long").alias("vec_id"), F.round(F.aggregate(F.col("grid").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import models, rays, scoring, training, trees
 from ..registry import query
 from ..sources.adapters import HITS_SQL, hits
+from ..streaming import counts
+from ..streaming import training as versions
 
 RES, COARSE = 0.5, 1.0
 SIZE = (3, 3, 1)
@@ -38,10 +40,13 @@ def grid(spark: SparkSession, sf_dir: str, res: float = COARSE) -> DataFrame:
     return rays.occupancy_grid(hits(spark, sf_dir), res, KEYS)
 
 
-def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_of(points: DataFrame) -> DataFrame:
     """The part of each grid that the models cover; the bound is applied before the aggregation."""
-    cells = rays.trace(rays.ray_ends(hits(spark, sf_dir), COARSE), KEYS).where(models.window(*SIZE))
-    return rays.occupancy(cells, KEYS)
+    return rays.occupancy(rays.trace(rays.ray_ends(points, COARSE), KEYS).where(models.window(*SIZE)), KEYS)
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_of(hits(spark, sf_dir))
 
 
 @query(f"WITH {grid_sql(RES)} SELECT scan_id, cls, i, j, k, n_free, n_occ, round(log_odds, 6) AS log_odds FROM grid")
@@ -311,6 +316,24 @@ def grid_forests(spark, sf_dir):
     return trees.grid_forests(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"])
 
 
+@query()
+def forest_scores(spark, sf_dir):
+    """The score of each scan under the maximum spanning forest of its own cells: what the trees are for."""
+    known, j = near(spark, sf_dir).where("log_odds != 0"), trees.stored(joint(spark, sf_dir))
+    conditional = models.conditional_table(models.both_ways(j, ["cls"]), ["cls"]).select("cls", cell("1").alias("a"), cell("2").alias("b"), "given", "occ", "log_p")
+    marginals = models.marginal_log_probs(models.marginal_model(known, ["cls"], prior=0)).select("cls", cell().alias("cell"), "log_free", "log_occ")
+    candidates = trees.candidate_edges(j, OBSERVED).select("cls", cell("1").alias("a"), cell("2").alias("b"), F.round("mi", 9).alias("mi"))
+    cells = known.select("scan_id", "cls", cell().alias("cell"), (F.col("log_odds") > 0).cast("int").alias("occ"))
+    return trees.forest_scores(cells, candidates, conditional, marginals, ["scan_id"], ["cls"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {EDGES}, busy AS (SELECT cls, {CELL.format(i='i', j='j', k='k')} AS cell FROM grid WHERE log_odds <> 0 GROUP BY ALL HAVING count(*) FILTER (WHERE log_odds > 0) / count(*) > 0.1)
+SELECT e.* FROM edges e JOIN busy p ON p.cls = e.cls AND p.cell = e.a JOIN busy q ON q.cls = e.cls AND q.cell = e.b WHERE mi >= 0""")
+def rendered_edges(spark, sf_dir):
+    counted = models.marginal_model(near(spark, sf_dir), ["cls"], prior=0).select("cls", cell().alias("cell"), "c_free", "c_occ")
+    return trees.rendered(edges(spark, sf_dir), counted, ["cls"])
+
+
 @query(f"""WITH {MARGINAL} SELECT scan_id, round(sum(ln(CASE WHEN log_odds > 0 THEN c_occ ELSE c_free END/(c_occ + c_free))), 6) AS score
 FROM grid JOIN marginal m ON m.model_cls = grid.cls AND m.i = grid.i AND m.j = grid.j AND m.k = grid.k WHERE log_odds <> 0 GROUP BY scan_id""")
 def marginal_tree_score(spark, sf_dir):
@@ -318,8 +341,53 @@ def marginal_tree_score(spark, sf_dir):
     return scoring.marginal_tree_score(near(spark, sf_dir), probs, ["scan_id"], ["cls"]).withColumn("score", F.round("score", 6))
 
 
-@query()
+FRAMES = (1, 3, 5, 7, 9)
+
+
+def _trained(r: int, frame: int) -> str:
+    """SQL of one step of importance training, from model m{r} to m{r + 1}."""
+    return f"""
+k{r} AS MATERIALIZED (SELECT * FROM grid WHERE scan_id % 10 = {frame} AND log_odds <> 0),
+s{r} AS MATERIALIZED (
+  SELECT scan_id, k.cls, c.model_cls, sum(ln(CASE WHEN log_odds > 0 THEN coalesce(c_occ, 1) ELSE coalesce(c_free, 1) END / (coalesce(c_occ, 1) + coalesce(c_free, 1)))) AS score
+  FROM k{r} k CROSS JOIN (SELECT DISTINCT model_cls FROM m{r}) c LEFT JOIN m{r} m ON m.model_cls = c.model_cls AND m.i = k.i AND m.j = k.j AND m.k = k.k GROUP BY ALL),
+d{r} AS (SELECT scan_id, cls, arg_min(model_cls, (-round(score, 9), model_cls)) AS predicted, max(score) - max(score) FILTER (WHERE model_cls = cls) AS lead FROM s{r} GROUP BY ALL),
+w{r} AS (SELECT *, CAST(ceil(round(lead, 6)*1000) AS BIGINT) + 1 AS w FROM d{r} WHERE predicted <> cls),
+x{r} AS (SELECT *, sum(w) OVER (PARTITION BY cls ORDER BY scan_id ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY cls) AS total, count(*) OVER (PARTITION BY cls) AS n FROM w{r}),
+t{r} AS MATERIALIZED (SELECT scan_id FROM x{r} WHERE n < 10 OR run*10//total > (run - w)*10//total),
+a{r} AS (SELECT cls AS model_cls, i, j, k, count(*) FILTER (WHERE log_odds < 0) AS c_free, count(*) FILTER (WHERE log_odds > 0) AS c_occ FROM k{r} WHERE scan_id IN (SELECT scan_id FROM t{r}) GROUP BY ALL),
+m{r + 1} AS MATERIALIZED (SELECT model_cls, i, j, k, CAST(greatest(1, sum(c_free)) AS BIGINT) AS c_free, CAST(greatest(1, sum(c_occ)) AS BIGINT) AS c_occ FROM (SELECT * FROM m{r} UNION ALL SELECT * FROM a{r}) GROUP BY ALL)"""
+
+
+HARD = f"WITH {MARGINAL}, m0 AS MATERIALIZED (SELECT * FROM marginal)," + ",".join(_trained(r, n) for r, n in enumerate(FRAMES)) + f" SELECT * FROM m{len(FRAMES)}"
+
+
+@query(HARD)
 def hard_training(spark, sf_dir):
     g = near(spark, sf_dir)
-    frames = [g.where(f"scan_id % 10 = {n}") for n in (1, 3, 5, 7, 9)]
+    frames = [g.where(f"scan_id % 10 = {n}") for n in FRAMES]
     return training.hard_rounds(frames, marginal(spark, sf_dir), trees.stored)
+
+
+#: Files that a frame of scans is written in.
+FILES = 4
+
+
+@query(HARD)
+def stream_training(spark, sf_dir):
+    """Importance training on a stream of scan files: the frames of hard_training(), a micro-batch each, give the same model."""
+    points, folder = hits(spark, sf_dir), trees.shared_folder(spark, "stream")
+    versions.write_frames([points.where(f"scan_id % 10 = {n}") for n in FRAMES], f"{folder}/frames", FILES)
+    stream = versions.frame_stream(spark, f"{folder}/frames", points.schema, FILES)
+    learn = lambda batch, model: training.hard_round(near_of(batch), model)
+    versions.train_versions(stream, marginal(spark, sf_dir), learn, f"{folder}/model", f"{folder}/mark").awaitTermination()
+    return versions.model_version(spark, f"{folder}/model", versions.latest_version(spark, f"{folder}/model"))
+
+
+@query(f"""WITH {grid_sql(COARSE)} SELECT cls, i, j, k, CAST(sum(n_free) AS BIGINT) AS n_free, CAST(sum(n_occ) AS BIGINT) AS n_occ FROM grid GROUP BY ALL""")
+def stream_counts(spark, sf_dir):
+    """Additive counts of a stream of scan files, a snapshot a batch, and their sum."""
+    points, folder = hits(spark, sf_dir), trees.shared_folder(spark, "stream")
+    versions.write_frames([points.where(f"scan_id % 5 = {n}") for n in range(5)], f"{folder}/frames", FILES)
+    counts.train(counts.scan_stream(spark, f"{folder}/frames", points.schema, FILES), COARSE, ["cls"], f"{folder}/counts", f"{folder}/mark").awaitTermination()
+    return counts.model(spark, f"{folder}/counts", ["cls"])

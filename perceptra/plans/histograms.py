@@ -114,7 +114,30 @@ def voxel_moments_blur27(spark, sf_dir):
     return rounded(stats.moments(stats.blur27(voxel_sums(spark, sf_dir), KEYS), KEYS), KEYS)
 
 
-@query()
+def _covariance(a: str, b: str) -> str:
+    return f"(s_{a}{b}/n - (s_{a}/n)*(s_{b}/n))"
+
+
+#: The closed form of the direction of least variance.
+NORMALS = f"""WITH {BLURRED}, c AS (SELECT cls, i, j, k, {', '.join(f"{_covariance(a, b)} AS {a}{b}" for a, b in PAIRS)} FROM s WHERE n > 3),
+q AS (SELECT *, (xx + yy + zz)/3 AS q FROM c),
+p AS (SELECT *, xx - q AS a, yy - q AS b, zz - q AS d, sqrt(((xx - q)*(xx - q) + (yy - q)*(yy - q) + (zz - q)*(zz - q) + 2*(xy*xy + xz*xz + yz*yz))/6) AS p FROM q),
+r AS (SELECT *, greatest(-1.0, least(1.0, coalesce((a*(b*d - yz*yz) - xy*(xy*d - yz*xz) + xz*(xy*yz - b*xz))/nullif(2*p*p*p, 0), 0.0))) AS r FROM p),
+l AS (SELECT *, q + 2*p*cos(acos(r)/3 + 2*pi()/3) AS low, xx*xx + yy*yy + zz*zz + 2*(xy*xy + xz*xz + yz*yz) AS scale FROM r),
+rows AS (SELECT *, [xx - low, xy, xz] AS r1, [xy, yy - low, yz] AS r2, [xz, yz, zz - low] AS r3 FROM l),
+crossed AS (
+  SELECT *, list_transform([[r1, r2], [r1, r3], [r2, r3]], lambda t: [t[1][2]*t[2][3] - t[1][3]*t[2][2], t[1][3]*t[2][1] - t[1][1]*t[2][3], t[1][1]*t[2][2] - t[1][2]*t[2][1]]) AS cs FROM rows),
+best AS (
+  SELECT *, list_sort(list_transform(cs, lambda t: list_concat([t[1]*t[1] + t[2]*t[2] + t[3]*t[3]], t)), 'DESC')[1] AS best,
+         list_sort(list_transform([r1, r2, r3], lambda t: list_concat([t[1]*t[1] + t[2]*t[2] + t[3]*t[3]], t)), 'DESC')[1] AS own FROM crossed),
+picked AS (
+  SELECT cls, i, j, k, CASE WHEN best[1] > 1e-20*scale*scale THEN best[2:4] WHEN own[1] <= 1e-20*scale THEN [1.0, 0.0, 0.0] WHEN abs(own[2]) > abs(own[4]) THEN [0 - own[3], own[2], 0.0] ELSE [0.0, 0 - own[4], own[3]] END AS v FROM best),
+signed AS (
+  SELECT cls, i, j, k, list_transform(v, lambda t: t*CASE WHEN CASE WHEN abs(v[1]) >= abs(v[2]) AND abs(v[1]) >= abs(v[3]) THEN v[1] WHEN abs(v[2]) >= abs(v[3]) THEN v[2] ELSE v[3] END < 0 THEN -1.0 ELSE 1.0 END) AS v FROM picked)
+SELECT cls, i, j, k, round(atan2(v[2], v[1]), 6) AS theta, round(atan2(v[3], sqrt(v[1]*v[1] + v[2]*v[2])), 6) AS phi, true AS valid_normal FROM signed"""
+
+
+@query(NORMALS)
 def surface_normals(spark, sf_dir):
     m = stats.normals(stats.moments(stats.blur27(voxel_sums(spark, sf_dir), KEYS), KEYS))
     return m.select(*KEYS, F.round("theta", 6).alias("theta"), F.round("phi", 6).alias("phi"), "valid_normal")

@@ -75,3 +75,11 @@ def bank_blur_4axis(spark, sf_dir):
     one = raymodel.one_gram_3d(seen(spark, sf_dir).where("pose_id < 4"), ["cls"], H, GRAIN)
     b = blur_bank(one, AXES, ["cls", "bin", *AXES])
     return b.groupBy("cls", "k_theta", "k_phi", "bin").agg(F.round(F.sum("w"), 4).alias("w"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {SEEN}, one AS (SELECT cls, {K}, bin, count(*)::DOUBLE AS w FROM keyed GROUP BY ALL), {BLUR}
+SELECT cls, k_theta, k_phi, bin, round(sum(w), 4) AS w, count(*) AS n FROM b_k_z GROUP BY ALL""")
+def bank_blur_4axis_whole(spark, sf_dir):
+    """The bank of all poses, blurred along all axes and summed over distance."""
+    b = blur_bank(raymodel.one_gram_3d(seen(spark, sf_dir), ["cls"], H, GRAIN), AXES, ["cls", "bin", *AXES])
+    return b.groupBy("cls", "k_theta", "k_phi", "bin").agg(F.round(F.sum("w"), 4).alias("w"), F.count("*").alias("n"))

@@ -102,3 +102,17 @@ def kernels(spark, sf_dir):
     return d.select("steps", expr.quantise(F.col("steps") * 0.37 - 5, 1.0).alias("cell"), F.round(expr.sparse_kernel(q), 9).alias("kernel"), F.round(expr.rbf_kernel(q**2), 9).alias("rbf"))
 
 
+def _channel(turn: int) -> str:
+    k = f"((h/60 + {turn}) - 6*floor((h/60 + {turn})/6))"
+    return f"(0.9 - 0.9*s*greatest(0.0, least({k}, 4 - {k}, 1.0)))"
+
+
+@query(f"""WITH {HITS_SQL}, a AS (SELECT scan_id, hit_idx, z, atan2(y, x) AS t, atan2(z, sqrt(x*x+y*y)) AS p FROM hits),
+c AS (SELECT scan_id, hit_idx, least(1, greatest(0, (z+2)/4)) AS heat, 2*(CASE WHEN t < 0 THEN t + pi() ELSE t END)*180/pi() AS h, 1 - least(1.0, abs(p)/(pi()/4)) AS s FROM a)
+SELECT scan_id, hit_idx, round({_channel(5)}, 6) AS r, round({_channel(3)}, 6) AS g, round({_channel(1)}, 6) AS b, round(heat, 6) AS height_r, round(1 - heat, 6) AS height_b, round(CASE WHEN 0.9*s < 1e-5 THEN 0 ELSE s END, 6) AS saturation FROM c""")
+def direction_colours(spark, sf_dir):
+    p = expr.polar("x", "y", "z")
+    h = hits(spark, sf_dir).withColumns({"theta": p["theta"], "phi": p["phi"]})
+    h = h.withColumns({**expr.direction_colour("theta", "phi"), **{f"height_{k}": c for k, c in expr.heat("z", -2.0, 2.0).items()}})
+    h = h.withColumn("saturation", expr.rgb_to_hsv("r", "g", "b")["s"])
+    return h.select("scan_id", "hit_idx", *[F.round(c, 6).alias(c) for c in ("r", "g", "b", "height_r", "height_b", "saturation")])

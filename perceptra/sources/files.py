@@ -76,11 +76,39 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("frame").agg(numbers("P2: ").alias("p"), numbers("R0_rect: ").alias("r_rect"), numbers("Tr_velo_to_cam: ").alias("t_cv"))
 
 
+#: Prefixes of the camera's lines, and the columns they are read as.
+CAMERA = {"P_rect_02": "p", "R_rect_00": "r_rect", "R": "r", "T": "t"}
+
+
 def read_camera(spark: SparkSession, path: str) -> DataFrame:
-    """Intrinsics and extrinsics by prefix."""
+    """Intrinsics and extrinsics of each recording day by prefix (S4), in a folder a day (day=7); other lines are left out, a missing one is null."""
     lines = spark.read.text(path)
     numbers = lambda prefix: F.max(F.when(F.startswith("value", F.lit(prefix + ": ")), F.split(F.trim(F.substring_index("value", ":", -1)), " +").cast("array<double>")))
-    return lines.agg(*[numbers(p).alias(n) for p, n in (("P_rect_02", "p"), ("R_rect_00", "r_rect"), ("R", "r"), ("T", "t"))])
+    return lines.groupBy("day").agg(*[numbers(p).alias(n) for p, n in CAMERA.items()])
+
+
+def write_camera(cameras: DataFrame, path: str) -> None:
+    """Camera files (day, p, r_rect, r, t) as text in a folder for each day; what read_camera reads."""
+    line = lambda name, c: F.concat_ws(" ", F.lit(f"{name}:"), F.col(c).cast("array<string>"))
+    lines = F.concat_ws("\n", F.lit("calib_time: 09-Jan-2012 13:57:47"), *[line(p, n) for p, n in CAMERA.items()])
+    cameras.select("day", lines.alias("value")).write.mode("overwrite").partitionBy("day").text(path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Lines of 15 columns in a folder for each frame; what read_labels reads."""
+    names = [c.split()[0] for c in LABEL.split(", ")]
+    line = F.concat_ws(" ", "type", *[F.format_string("%.2f", F.col(c).cast("double")) for c in names[1:]])
+    labels.select("frame", line.alias("value")).write.mode("overwrite").partitionBy("frame").text(path)
+
+
+def voxel_files(grids: DataFrame, name: str = "name", grid: str = "grid", header: int = 24) -> DataFrame:
+    """Rows (name, content) of one voxel array a file, 32-bit floats after an empty header (S12, S14); what read_voxels reads."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"name": f[name], "content": [bytes(header) + np.asarray(g, "<f4").tobytes() for g in f[grid]]})
+
+    return grids.select(name, grid).mapInPandas(pack, "name string, content binary")
 
 
 def read_tracklets(spark: SparkSession, path: str) -> DataFrame:

@@ -12,11 +12,6 @@ def scan_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def producer(spark: SparkSession, per_second: int) -> DataFrame:
-    """Numbered work at a given rate."""
-    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
-
-
 def voxel_counts(hits: DataFrame, res: float, by: list[str]) -> DataFrame:
     """Counts of cells by class, on a stream or a batch alike."""
     from ..operators.rays import ray_ends, trace

@@ -2,13 +2,17 @@
 
 import math
 import random
+import sys
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from perceptra.operators import matching
+from perceptra.operators import evaluate, matching
 from perceptra.operators.evaluate import DIFFICULTY
 
+from .test_properties import plain_common_area
+
 FRAMES = 30
 WANTED, LEAST = {"Car": "Van", "Cyclist": None}, 0.5
 COLUMNS = "frame long, box_id long, kind string, alpha double, x1 double, y1 double, x2 double, y2 double"
@@ -125,3 +129,62 @@ def test_a_neutral_detection_is_taken_only_where_none_counts():
     assert (hits.tolist(), fp, fn) == ([-1], 0, 0)
     hits, fp, fn = matching.assign(overlap, score, flags, np.array([0, 0]), np.array([False, True]), 0.5)
     assert (hits.tolist(), fp, fn) == ([1], 1, 0)
+
+
+def placed(rows):
+    """Boxes on the ground and in space that follow from the image boxes."""
+    for r in rows:
+        n = r["box_id"] % 9
+        r |= {"x": (r["x1"] + r["x2"]) / 20, "y": (r["y1"] + r["y2"]) / 20, "l": (r["x2"] - r["x1"]) / 10, "w": (r["y2"] - r["y1"]) / 12, "heading": 0.3 * n + 0.05 * r.get("score", 0), "z": 0.11 * n, "h": 1.5 + 0.13 * n}
+    return rows
+
+
+def space_overlap(solid):
+    def overlap(a, b, own=False):
+        inter = plain_common_area(*((r["x"], r["y"], r["l"], r["w"], r["heading"]) for r in (a, b)))
+        size = {id(r): r["l"] * r["w"] for r in (a, b)}
+        if solid:
+            inter *= max(0.0, min(a["z"] + a["h"], b["z"] + b["h"]) - max(a["z"], b["z"]))
+            size = {id(r): size[id(r)] * r["h"] for r in (a, b)}
+        return inter / (size[id(a)] if own else size[id(a)] + size[id(b)] - inter)
+
+    return overlap
+
+
+@pytest.mark.parametrize("measure", ["ground", "solid"])
+def test_curves_by_overlap_in_space(spark, monkeypatch, measure):
+    monkeypatch.setattr(sys.modules[__name__], "iou", space_overlap(measure == "solid"))
+    gt, det, care = map(placed, scene(5))
+    place = ", x double, y double, l double, w double, heading double, z double, h double"
+    make = lambda rows, schema: spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    g, d = make(gt, COLUMNS + place + ", occlusion long, truncation double"), make(det, COLUMNS + place + ", score double")
+    c = make(care, "frame long, box_id long" + place)
+    curve = matching.evaluate_detections(g, d, c, WANTED, LEAST, measure)
+    rows = curve.collect()
+    by = lambda rows, frame: [r for r in rows if r["frame"] == frame]
+    assert len(rows) > 20
+    for r in rows:
+        found = [plain(by(gt, f), by(det, f), by(care, f), r.wanted, r.level, r.threshold) for f in range(FRAMES)]
+        assert (r.tp, r.fp, r.fn) == (sum(len(p) for p, _, _ in found), sum(x for _, x, _ in found), sum(x for *_, x in found))
+    for wanted in WANTED:
+        for level in range(3):
+            first = [plain(by(gt, f), by(det, f), by(care, f), wanted, level) for f in range(FRAMES)]
+            scores = sorted((p[1]["score"] for pairs, _, _ in first for p in pairs), reverse=True)
+            got = {r.step: r.threshold for r in rows if (r.wanted, r.level) == (wanted, level)}
+            assert set(got.values()) <= set(scores) and (not scores or got[0] == scores[0])
+    ap = {(r.wanted, r.level): r.ap for r in matching.class_average_precision(curve).collect()}
+    for key in ap:
+        steps = {r.step: r.precision for r in rows if (r.wanted, r.level) == key}
+        best = [max((steps[j] for j in steps if j >= i), default=0.0) if i in steps else 0.0 for i in range(41)]
+        assert math.isclose(ap[key], sum(best[::4]) / 11, abs_tol=1e-12)
+
+
+def test_ground_pairs_lose_none_and_repeat_none(spark):
+    rng = random.Random(9)
+    box = lambda f, n: (f, n, rng.uniform(-30, 30), rng.uniform(-30, 30), rng.choice([0.5, 4.0, 40.0]), rng.uniform(0.2, 6), rng.uniform(-7, 7))
+    a, b = ([box(f, n) for f in range(3) for n in range(60)] for _ in range(2))
+    a.append((0, 99, None, 1.0, 2.0, 2.0, 0.0))
+    schema = "frame long, box_id long, x double, y double, l double, w double, heading double"
+    met = [(r.frame, r.d_box_id, r.g_box_id) for r in evaluate.ground_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["frame"]).collect()]
+    assert len(set(met)) == len(met) < 3 * 60 * 60
+    assert {(x[0], x[1], y[1]) for x in a if x[2] is not None for y in b if x[0] == y[0] and plain_common_area(x[2:], y[2:]) > 0} <= set(met)
