@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import by_group, drop_table, flagged, materialize, slices, spread
 from .graph import connected_components
-from .text_arrays import distinct, scrambled, windows, word_begins, word_hashes
+from .text_arrays import distinct, scrambled, window_numbers, windows, word_begins, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32, all but 5e-6.
@@ -51,6 +51,12 @@ def shingles(words: bytes) -> np.ndarray:
     return distinct(windows(word_hashes(data, solid, begins), WORDS)) if len(begins) else np.empty(0, np.uint64)
 
 
+def count_shingles(words: bytes, found: np.ndarray) -> int:
+    """How many shingles differ. Where no two of the text's windows share a hash, that is the number of hashes; else the windows are told apart by their words."""
+    windows_of = max(1, words.count(b" ") + 2 - WORDS) if words else 0
+    return len(found) if len(found) == windows_of else int(window_numbers(words.split(b" "), WORDS).max()) + 1
+
+
 def exact_shingles(words: bytes) -> set[bytes]:
     """The shingles themselves."""
     w = words.split(b" ")
@@ -92,7 +98,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     continue
                 found = shingles(words)
                 low = minima(found)
-                rows.append((len(found), len(words), _digest(words), band_keys(low), (low >> np.uint64(20)).astype("<u2").tobytes()))
+                rows.append((count_shingles(words, found), len(words), _digest(words), band_keys(low), (low >> np.uint64(20)).astype("<u2").tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["_key", "n_shingles", "size", "digest", "bands", "sig"])

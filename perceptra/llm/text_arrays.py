@@ -67,8 +67,35 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of size hashes, in order; fewer than size give one of all."""
+    """A hash of each run of size hashes, in order; fewer than size give one of all. Different runs may share a hash: window_numbers() tells them apart."""
     out = scrambled(h[: max(1, len(h) - size + 1)])
     for j in range(1, min(size, len(h))):
         out = scrambled(out * np.uint64(3) + h[j : j + len(out)])
     return out
+
+
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1]
+
+
+def window_numbers(words: list[bytes], size: int) -> np.ndarray:
+    """A number of each run of size words, equal for equal runs alone; fewer than size give one of all.
+
+    Runs are numbered by doubling: equal words have equal numbers, and a longer run is the pair of the numbers of its halves.
+    """
+    of_word = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    one = np.fromiter(map(of_word.__getitem__, words), np.int64, len(words))
+    size = min(size, len(words))
+    have, width = one, 1
+    powers = {1: one}
+    while 2 * width <= size:
+        have = _numbered(have[:-width] * len(words) + have[width:])
+        width *= 2
+        powers[width] = have
+    rest = size - width
+    while rest:
+        step = 1 << (rest.bit_length() - 1)
+        more = powers[step][width : width + len(have)]
+        have = _numbered(have[: len(more)] * len(words) + more)
+        width, rest = width + step, rest - step
+    return have
