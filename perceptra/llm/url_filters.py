@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SALTS, drop_table, materialize, spread
 from .graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,14 +90,15 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
     if redirects is not None:
         edges = edges.unionByName(redirects.select("a", "b").where("a != b"))
     members = connected_components(materialize(edges, "links"))
-    judged = match_rules(split_url(members, "node"), rules)
-    decided = judged.groupBy("component").agg(F.count_if(F.col("explicit") == "allow").alias("allows"), F.count_if(F.col("explicit") == "block").alias("blocks"))
-    verdicts = materialize(
-        members.join(decided.where("blocks > 0 AND allows = 0").select("component"), "component").select(F.col("node").alias("_url"), "component"), "blocked"
-    )
+    judged = materialize(match_rules(split_url(members, "node"), rules).select("node", "component", "explicit"), "judged")
+    sums = {f"_{v}": ("sum", (F.col("explicit") == v).cast("long")) for v in ("allow", "block")}
+    decided = spread(judged, ["component"], sums, ["node"], "_block > 0 AND coalesce(_allow, 0) = 0")
+    verdicts = materialize(decided.select(F.col("node").alias("_url"), "component"), "blocked")
+    drop_table(judged)
     rows = match_rules(split_url(own.select("_key", "_url"), "_url"), rules)
-    if not verdicts.isEmpty():
-        rows = rows.join(verdicts, "_url", "left")
+    if not verdicts.isEmpty():  # each verdict goes to SALTS tasks, so that a url of many pages is no hot key
+        copies = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(copies, ["_url", "_salt"], "left").drop("_salt")
     else:
         rows = rows.withColumn("component", F.lit(None).cast("string"))
     verdict = F.coalesce("explicit", F.when(F.col("component").isNotNull(), "block"), F.lit("allow"))
