@@ -65,15 +65,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() does not keep, all columns. Only rows that may have copies are shuffled.
 
-    Null and empty texts are equal, so one of them stays; of repeated rows one stays; an empty table gives an empty result.
+    Null and empty texts are equal, so one of them stays; of rows that share key and code points the one that is greatest by the hash of its text, then of
+    all its columns, stays, of equal rows one; an empty table gives an empty result.
     """
     groups, survivors = refine(docs.select(key, text), key, text)
     keepers = materialize(groups.where("kept AND _full IS NOT NULL").select(F.col(key).alias("_keep"), F.col("_full").alias("_f")), "keepers")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     measured = _measured(docs.select(whole.alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text", False)
     measured = flagged(measured, survivors, SLOT("_len", "_prefix"), "_hit")
-    hit = measured.where("_hit").select("_doc", "_key", "_cps", F.sha2(F.col("_norm"), 256).alias("_full"))
+    order = F.struct("_cps", F.sha2(F.coalesce("_text", F.lit("")), 256).alias("t"), F.xxhash64("_doc").alias("d"))
+    hit = measured.where("_hit").select("_doc", "_key", order.alias("_by"), F.sha2(F.col("_norm"), 256).alias("_full"))
     keeper = hit.join(keepers, (F.col("_f") == F.col("_full")) & F.col("_keep").eqNullSafe(F.col("_key")), "left_semi")
     # rows may repeat the keeper's key: the longest stays, one of several; partial aggregation comes before the shuffle
-    one = keeper.groupBy("_full").agg(F.max_by("_doc", "_cps").alias("_doc"))
+    one = keeper.groupBy("_full").agg(F.max_by("_doc", "_by").alias("_doc"))
     return measured.where("NOT _hit").select("_doc.*").unionByName(one.select("_doc.*"))
