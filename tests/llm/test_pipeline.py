@@ -19,7 +19,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= names
 
 
