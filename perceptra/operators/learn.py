@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,17 +99,18 @@ def log_likelihood(points: DataFrame) -> DataFrame:
     return points.agg(F.sum(-F.log1p(F.exp(-F.col("y_label") * F.col("f")))).alias("log_likelihood"))
 
 
+def gram_sums(rows: DataFrame, features: list[Column], target: Column) -> DataFrame:
+    """One row: g{i}{j} for i <= j, b{i}, tt and n, the sums of Phi'Phi, Phi't and t't and the number of rows (M6)."""
+    m = len(features)
+    cells = [F.sum(features[i] * features[j]).alias(f"g{i}{j}") for i in range(m) for j in range(i, m)]
+    return rows.agg(*cells, *[F.sum(f * target).alias(f"b{i}") for i, f in enumerate(features)], F.sum(target * target).alias("tt"), F.count("*").alias("n"))
+
+
 def gram(rows: DataFrame, features: list[Column], target: Column) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(Phi'Phi, Phi't, t't, n) in one aggregation (M6); only sums come to the driver."""
-    m = len(features)
-    cells = [F.sum(features[i] * features[j]) for i in range(m) for j in range(i, m)]
-    r = list(rows.agg(*cells, *[F.sum(f * target) for f in features], F.sum(target * target), F.count("*")).first())
-    a, k = np.zeros((m, m)), 0
-    for i in range(m):
-        for j in range(i, m):
-            a[i, j] = a[j, i] = r[k]
-            k += 1
-    return a, np.array(r[k : k + m], float), float(r[k + m]), int(r[k + m + 1])
+    m, r = len(features), gram_sums(rows, features, target).first()
+    a = np.array([[r[f"g{min(i, j)}{max(i, j)}"] for j in range(m)] for i in range(m)], float)
+    return a, np.array([r[f"b{i}"] for i in range(m)], float), float(r["tt"]), int(r["n"])
 
 
 @dataclass
@@ -192,26 +195,32 @@ def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label",
     picked = rows.select(x, y).distinct().orderBy(F.xxhash64(x, y), x, y).limit(centres).collect()
     c = np.array([[r[0], r[1]] for r in picked])
     w, alpha, live = np.zeros(len(c)), np.ones(len(c)), np.arange(len(c))
-
-    def kernel(a: float, b: float) -> Column:
-        k = rbf_kernel((F.col(x) - float(a)) ** 2 + (F.col(y) - float(b)) ** 2, width)
-        return F.when(k > cut, k).otherwise(0.0)
+    data = rows.select(F.col(x).cast("double"), F.col(y).cast("double"), F.col(label).cast("double"))
+
+    def sums(at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phi'(t - p) and Phi'BPhi over all rows: each batch of rows gives its own sums, so what is shuffled does not grow with the rows of a batch."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i, j = np.triu_indices(len(at))
+            for batch in batches:
+                px, py, t = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+                phi = np.exp(-((px[:, None] - at[:, 0]) ** 2 + (py[:, None] - at[:, 1]) ** 2) / width)
+                phi[phi <= cut] = 0
+                p = 1 / (1 + np.exp(-(phi @ weight)))
+                h = phi.T @ (phi * (p * (1 - p))[:, None])
+                values = np.concatenate((phi.T @ (t - p), h[i, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.full(len(at), -1), i))), pa.array(np.concatenate((np.arange(len(at)), j))), pa.array(values)], names=["i", "j", "v"])
+
+        total = data.mapInArrow(part, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+        row, column, value = (total[n].to_numpy() for n in ("i", "j", "v"))
+        grad, hess = np.zeros(len(at)), np.zeros((len(at), len(at)))
+        grad[column[row < 0]] = value[row < 0]
+        hess[row[row >= 0], column[row >= 0]] = value[row >= 0]
+        return grad, np.triu(hess) + np.triu(hess, 1).T
 
     for _ in range(rounds):
-        phi = F.array(*[kernel(*c[i]) for i in live])
-        f = F.aggregate(F.zip_with(phi, F.array(*[F.lit(float(v)) for v in w[live]]), lambda p, v: p * v), F.lit(0.0), lambda s, v: s + v)
-        base = rows.select(phi.alias("phi"), (1 / (1 + F.exp(-f))).alias("p"), F.col(label).cast("double").alias("t"))
-        flat = base.select("phi", (F.col("t") - F.col("p")).alias("e"), (F.col("p") * (1 - F.col("p"))).alias("b"))
-        g = flat.select(F.posexplode("phi").alias("i", "v"), "e").groupBy("i").agg(F.sum(F.col("v") * F.col("e")).alias("g")).collect()
-        h = flat.select(F.posexplode("phi").alias("i", "v"), "phi", "b").select("i", "v", "b", F.posexplode("phi").alias("j", "u")).where("i <= j AND v != 0 AND u != 0").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u") * F.col("b")).alias("h")).collect()
-        grad, hess = np.zeros(len(live)), np.diag(alpha[live])
-        for r in g:
-            grad[r.i] = r.g
-        for r in h:
-            hess[r.i, r.j] += r.h
-            if r.i != r.j:
-                hess[r.j, r.i] += r.h
-        sigma = np.linalg.inv(hess)
+        grad, hess = sums(c[live], w[live])
+        sigma = np.linalg.inv(np.diag(alpha[live]) + hess)
         w[live] += sigma @ (grad - alpha[live] * w[live])
         gamma = 1 - alpha[live] * np.diag(sigma)
         alpha[live] = np.clip(gamma, 1e-6, None) / np.maximum(w[live] ** 2, 1e-12)

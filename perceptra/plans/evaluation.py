@@ -61,6 +61,103 @@ def greedy_match_stats(spark, sf_dir):
     return evaluate.counts_at(m.select("frame", "delta"), totals, ["frame"]).withColumn("aos", F.round("aos", 9))
 
 
+def _corner_sql(p: str) -> str:
+    return f"list_transform([[1, 1], [-1, 1], [-1, -1], [1, -1]], lambda c: [{p}_x + cos({p}_t)*c[1]*{p}_l/2 - sin({p}_t)*c[2]*{p}_w/2, {p}_y + sin({p}_t)*c[1]*{p}_l/2 + cos({p}_t)*c[2]*{p}_w/2])"
+
+
+def _within_sql(p: str) -> str:
+    dx, dy = f"(px - {p}_x)", f"(py - {p}_y)"
+    return f"abs(cos({p}_t)*{dx} + sin({p}_t)*{dy}) <= {p}_l/2 + 1e-9 AND abs(cos({p}_t)*{dy} - sin({p}_t)*{dx}) <= {p}_w/2 + 1e-9"
+
+
+SIDES = ", ".join(f"{p}_{c}" for p in "ab" for c in "xylwt")
+#: Common area s of rotated boxes p by id: the corners of each within the other and the crossings of their sides, in the order of their angle about the middle.
+COMMON = f"""c AS MATERIALIZED (SELECT *, {_corner_sql('a')} AS ca, {_corner_sql('b')} AS cb FROM p),
+sides AS (
+  SELECT id, ca[i][1] AS x, ca[i][2] AS y, ca[i%4+1][1] - ca[i][1] AS rx, ca[i%4+1][2] - ca[i][2] AS ry, cb[j][1] AS qx, cb[j][2] AS qy, cb[j%4+1][1] - cb[j][1] AS sx, cb[j%4+1][2] - cb[j][2] AS sy FROM c, range(1, 5) u(i), range(1, 5) v(j)),
+crossed AS (
+  SELECT id, x, y, rx, ry, ((qx - x)*sy - (qy - y)*sx)/den AS t, ((qx - x)*ry - (qy - y)*rx)/den AS u FROM (SELECT *, rx*sy - ry*sx AS den FROM sides) WHERE abs(den) > 1e-9),
+points AS (
+  SELECT id, px, py FROM (SELECT id, {SIDES}, ca[i][1] AS px, ca[i][2] AS py FROM c, range(1, 5) u(i)) WHERE {_within_sql('b')}
+  UNION ALL SELECT id, px, py FROM (SELECT id, {SIDES}, cb[i][1] AS px, cb[i][2] AS py FROM c, range(1, 5) u(i)) WHERE {_within_sql('a')}
+  UNION ALL SELECT id, x + t*rx, y + t*ry FROM crossed WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+middle AS (SELECT id, px - avg(px) OVER (PARTITION BY id) AS px, py - avg(py) OVER (PARTITION BY id) AS py FROM points),
+around AS (SELECT *, coalesce(lead(px) OVER w, first_value(px) OVER w) AS nx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS ny FROM middle WINDOW w AS (PARTITION BY id ORDER BY atan2(py, px), px, py)),
+area AS MATERIALIZED (SELECT id, sum(px*ny - nx*py)/2 AS s FROM around GROUP BY id)"""
+GROUND = f"""WITH {BOXES_SQL}, {IOU},
+p AS (SELECT row_number() OVER () AS id, frame, d_box_id, g_box_id, (d_box_id % 100)*0.1::DOUBLE AS a_x, (d_box_id % 37)*0.1::DOUBLE AS a_y, 4.0::DOUBLE AS a_l, 1.6::DOUBLE AS a_w, (d_box_id % 7)*0.4::DOUBLE AS a_t,
+  (g_box_id % 100)*0.1::DOUBLE AS b_x, (g_box_id % 37)*0.1::DOUBLE AS b_y, 4.0::DOUBLE AS b_l, 1.6::DOUBLE AS b_w, (g_box_id % 7)*0.4::DOUBLE AS b_t FROM inter),
+{COMMON}
+SELECT frame, d_box_id, g_box_id, round(coalesce(s, 0)/(12.8 - coalesce(s, 0)), 6) AS overlap FROM p LEFT JOIN area USING (id)"""
+
+
+def _overlap_sql(measure: str) -> str:
+    """SQL of met (frame, d, g, o: overlaps over LEAST) and absorbed (frame, d) by a measure."""
+    if measure == "image":
+        return f"""{IOU}, met AS MATERIALIZED (SELECT frame, d_box_id AS d, g_box_id AS g, i/(a+b-i) AS o FROM inter WHERE i/(a+b-i) > 0.5),
+absorbed AS MATERIALIZED (SELECT DISTINCT frame, d_box_id AS d FROM inter WHERE g_box_id % 10 = 0 AND i/a > 0.5)"""
+    size = {p: f"{p}_l*{p}_w" + f"*{p}_h" * (measure == "solid") for p in "ab"}
+    common = "coalesce(s, 0)" + "*greatest(0, least(a_z + a_h, b_z + b_h) - greatest(a_z, b_z))" * (measure == "solid")
+    place = lambda t, p: ", ".join(f"{c} AS {p}_{n}" for n, c in (("x", f"{t}.x1/10"), ("y", f"{t}.y1/10"), ("l", f"({t}.x2 - {t}.x1)/10"), ("w", f"({t}.y2 - {t}.y1)/15"), ("z", f"({t}.box_id % 3)*0.2::DOUBLE"), ("h", f"({t}.box_id % 4)*0.5::DOUBLE + 1.0")))
+    return f"""p AS MATERIALIZED (SELECT row_number() OVER () AS id, d.frame, d.box_id AS d, g.box_id AS g, {place('d', 'a')}, (d.box_id % 9)*0.35::DOUBLE + (d.box_id % 2)*0.1::DOUBLE AS a_t, {place('g', 'b')}, (g.box_id % 9)*0.35::DOUBLE AS b_t
+  FROM det d JOIN gt g ON g.frame = d.frame AND sqrt((d.x1 - g.x1)**2 + (d.y1 - g.y1)**2)/10 <= 12),
+{COMMON}, shares AS (SELECT p.*, {common} AS s FROM p LEFT JOIN area USING (id)),
+met AS MATERIALIZED (SELECT frame, d, g, s/({size['a']} + {size['b']} - s) AS o FROM shares WHERE s/({size['a']} + {size['b']} - s) > 0.5),
+absorbed AS MATERIALIZED (SELECT DISTINCT frame, d FROM shares WHERE g % 10 = 0 AND s/({size['a']}) > 0.5)"""
+
+
+def _evaluated_sql(measure: str) -> str:
+    """SQL of the curve: boxes choose in turn by a recursion over each frame, first by score, then at each threshold by overlap."""
+    key = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("frame", "wanted", "level"))
+    free = "list_filter(n.ds, lambda x: NOT list_contains(t.taken, x.d)"
+    return f"""WITH RECURSIVE {BOXES_SQL}, {_overlap_sql(measure)},
+levels(level, low, occ, trunc) AS (VALUES (0, 40, 0, 0.15::DOUBLE), (1, 25, 1, 0.3::DOUBLE), (2, 25, 2, 0.5::DOUBLE)),
+kinds(wanted, near) AS (VALUES ('Brand#1', 'Brand#2'), ('Brand#2', 'Brand#3'), ('Brand#3', 'Brand#4'), ('Brand#4', 'Brand#5'), ('Brand#5', NULL)),
+boxes AS MATERIALIZED (
+  SELECT * FROM (SELECT frame, wanted, level, box_id AS g, (box_id % 7)*0.3::DOUBLE AS al, CASE WHEN kind = wanted AND NOT (y2 - y1 < low OR box_id % 4 > occ OR (box_id % 10)/10.0 > trunc) THEN 0 WHEN kind = wanted OR kind = near THEN 1 ELSE -1 END AS gf
+    FROM gt, levels, kinds) WHERE gf >= 0),
+found AS MATERIALIZED (
+  SELECT f.*, a.d IS NOT NULL AS ab FROM (SELECT frame, wanted, level, box_id AS d, score AS s, (box_id % 5)*0.4::DOUBLE AS al, CASE WHEN y2 - y1 < low THEN 1 WHEN kind = wanted THEN 0 ELSE -1 END AS df FROM det, levels, kinds) f
+  LEFT JOIN absorbed a ON a.frame = f.frame AND a.d = f.d WHERE df >= 0),
+cand AS MATERIALIZED (
+  SELECT b.frame, b.wanted, b.level, b.g, list({{'d': f.d, 's': f.s, 'df': f.df, 'al': f.al, 'ab': f.ab}} ORDER BY f.s DESC, f.d) AS first, list({{'d': f.d, 's': f.s, 'df': f.df, 'al': f.al, 'ab': f.ab}} ORDER BY f.df, CASE WHEN f.df = 0 THEN -m.o ELSE 0 END, f.d) AS second
+  FROM boxes b JOIN met m ON m.frame = b.frame AND m.g = b.g JOIN found f ON {key('f', 'b')} AND f.d = m.d GROUP BY ALL),
+turns AS MATERIALIZED (SELECT b.*, c.first, c.second, row_number() OVER (PARTITION BY b.frame, b.wanted, b.level ORDER BY b.g) AS turn FROM boxes b LEFT JOIN cand c ON {key('c', 'b')} AND c.g = b.g),
+one AS (
+  SELECT DISTINCT frame, wanted, level, CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS taken, 1 AS gf, first[1] AS pick FROM turns WHERE turn = 1 UNION ALL
+  SELECT frame, wanted, level, turn, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.d) END, gf, pick FROM (
+    SELECT n.frame, n.wanted, n.level, n.turn, t.taken, n.gf, {free.replace('n.ds', 'n.first')})[1] AS pick FROM one t JOIN turns n ON {key('n', 't')} AND n.turn = t.turn + 1)),
+hits AS (SELECT wanted, level, pick.s AS score FROM one WHERE turn > 0 AND gf = 0 AND pick.df = 0),
+truth AS (SELECT wanted, level, count(*) FILTER (WHERE gf = 0) AS n FROM boxes GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT h.wanted, h.level, score, n, row_number() OVER (PARTITION BY h.wanted, h.level ORDER BY score DESC) - 1 AS i, count(*) OVER (PARTITION BY h.wanted, h.level) AS m FROM hits h JOIN truth t ON t.wanted = h.wanted AND t.level = h.level),
+fold AS (
+  SELECT wanted, level, CAST(-1 AS BIGINT) AS i, 0.0::DOUBLE AS reached, 0 AS taken, false AS takes, NULL::DOUBLE AS score FROM truth UNION ALL
+  SELECT wanted, level, i, CASE WHEN skip THEN reached ELSE reached + 1.0::DOUBLE/40 END, CASE WHEN skip THEN taken ELSE taken + 1 END, NOT skip, score FROM (
+    SELECT r.wanted, r.level, r.i, f.reached, f.taken, r.score, r.i < r.m - 1 AND (r.i + 2)/r.n - f.reached < f.reached - (r.i + 1)/r.n AS skip FROM fold f JOIN ranked r ON r.wanted = f.wanted AND r.level = f.level AND r.i = f.i + 1)),
+steps AS MATERIALIZED (SELECT wanted, level, CAST(taken - 1 AS INTEGER) AS step, score AS threshold FROM fold WHERE takes),
+two AS (
+  SELECT DISTINCT n.frame, n.wanted, n.level, s.step, s.threshold, CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS taken, 1 AS gf, 0.0::DOUBLE AS al, n.first[1] AS pick FROM turns n JOIN steps s ON s.wanted = n.wanted AND s.level = n.level WHERE n.turn = 1 UNION ALL
+  SELECT frame, wanted, level, step, threshold, turn, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.d) END, gf, al, pick FROM (
+    SELECT n.frame, n.wanted, n.level, t.step, t.threshold, n.turn, t.taken, n.gf, n.al, {free.replace('n.ds', 'n.second')} AND x.s >= t.threshold)[1] AS pick FROM two t JOIN turns n ON {key('n', 't')} AND n.turn = t.turn + 1)),
+met2 AS (
+  SELECT wanted, level, step, count(*) FILTER (WHERE gf = 0 AND pick.df = 0) AS tp, count(*) FILTER (WHERE gf = 0 AND pick IS NULL) AS fn, count(*) FILTER (WHERE pick.df = 0 AND NOT pick.ab) AS used,
+         coalesce(sum((1 + cos(al - pick.al))/2) FILTER (WHERE gf = 0 AND pick.df = 0), 0) AS similarity FROM two WHERE turn > 0 GROUP BY ALL),
+all2 AS (SELECT s.wanted, s.level, s.step, count(f.d) AS n FROM steps s LEFT JOIN found f ON f.wanted = s.wanted AND f.level = s.level AND f.df = 0 AND NOT f.ab AND f.s >= s.threshold GROUP BY ALL),
+curve AS (
+  SELECT s.wanted, s.level, s.step, s.threshold, coalesce(tp, 0) AS tp, a.n - coalesce(used, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(similarity, 0) AS similarity
+  FROM steps s JOIN all2 a ON a.wanted = s.wanted AND a.level = s.level AND a.step = s.step LEFT JOIN met2 m ON m.wanted = s.wanted AND m.level = s.level AND m.step = s.step),
+rates AS (SELECT wanted, level, step, threshold, tp, fp, fn, coalesce(tp/nullif(tp + fp, 0), 0) AS precision, tp/nullif(tp + fn, 0) AS recall, coalesce(similarity/nullif(tp + fp, 0), 0) AS aos FROM curve)"""
+
+
+def _curve_sql(measure: str) -> str:
+    return f"{_evaluated_sql(measure)} SELECT wanted, level, step, threshold, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(aos, 9) AS aos FROM rates"
+
+
+def _ap_sql(measure: str) -> str:
+    best = ", ".join(f"max({c}) OVER (PARTITION BY wanted, level ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}" for c in ("precision", "aos"))
+    return f"{_evaluated_sql(measure)}, best AS (SELECT wanted, level, step, {best} FROM rates) SELECT wanted, level, round(sum(precision)/11, 9) AS ap, round(sum(aos)/11, 9) AS orientation FROM best WHERE step % 4 = 0 GROUP BY ALL"
+
+
 def evaluated(spark, sf_dir, measure="image"):
     """The boxes of the parts, each with a place on the ground and a height that follow from its key and its image box, evaluated by one measure of overlap."""
     n = F.col("box_id")
@@ -76,32 +173,32 @@ def _rounded(rows, *columns):
     return rows.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query()
+@query(_curve_sql("image"))
 def evaluation_curve(spark, sf_dir):
     return _rounded(evaluated(spark, sf_dir), "precision", "recall", "aos")
 
 
-@query()
+@query(_ap_sql("image"))
 def evaluation_ap(spark, sf_dir):
     return _rounded(matching.class_average_precision(evaluated(spark, sf_dir)), "ap", "orientation")
 
 
-@query()
+@query(_curve_sql("ground"))
 def evaluation_ground_curve(spark, sf_dir):
     return _rounded(evaluated(spark, sf_dir, "ground"), "precision", "recall", "aos")
 
 
-@query()
+@query(_ap_sql("ground"))
 def evaluation_ground_ap(spark, sf_dir):
     return _rounded(matching.class_average_precision(evaluated(spark, sf_dir, "ground")), "ap", "orientation")
 
 
-@query()
+@query(_curve_sql("solid"))
 def evaluation_solid_curve(spark, sf_dir):
     return _rounded(evaluated(spark, sf_dir, "solid"), "precision", "recall", "aos")
 
 
-@query()
+@query(_ap_sql("solid"))
 def evaluation_solid_ap(spark, sf_dir):
     return _rounded(matching.class_average_precision(evaluated(spark, sf_dir, "solid")), "ap", "orientation")
 
@@ -117,7 +214,7 @@ def ignore_flags(spark, sf_dir):
     return g.select("frame", "box_id", evaluate.ignored("kind", "height", "occ", "trunc", "Brand#1", 1).alias("flag"))
 
 
-@query()
+@query(GROUND)
 def ground_overlaps(spark, sf_dir):
     p = overlaps(spark, sf_dir)
     b = lambda n, k: [(F.col(k) % 100 * 0.1).alias(f"{n}x"), (F.col(k) % 37 * 0.1).alias(f"{n}y"), F.lit(4.0).alias(f"{n}l"), F.lit(1.6).alias(f"{n}w"), (F.col(k) % 7 * 0.4).alias(f"{n}heading")]
@@ -336,9 +433,8 @@ X_SQL = ["1.0::DOUBLE", "(l_quantity/50)", "((l_quantity/50)**2)", "(l_discount*
 
 @query("SELECT " + ", ".join(f"round(sum({X_SQL[i]}*{X_SQL[j]})/1000, 4) AS g{i}{j}" for i in range(4) for j in range(i, 4)) + ", " + ", ".join(f"round(sum({x}*l_extendedprice)/1e7, 4) AS b{i}" for i, x in enumerate(X_SQL)) + " FROM lineitem")
 def gram_matrix(spark, sf_dir):
-    t, x = table(spark, sf_dir, "lineitem"), xs()
-    cells = [F.round(F.sum(x[i] * x[j]) / 1000, 4).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)]
-    return t.agg(*cells, *[F.round(F.sum(v * F.col("l_extendedprice")) / 1e7, 4).alias(f"b{i}") for i, v in enumerate(x)])
+    sums = learn.gram_sums(table(spark, sf_dir, "lineitem"), xs(), F.col("l_extendedprice"))
+    return sums.select(*[F.round(F.col(c) / (1000 if c[0] == "g" else 1e7), 4).alias(c) for c in sums.columns if c[0] in "gb"])
 
 
 @query("WITH r AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem) SELECT round(s, 4) AS slope, round(i, 4) AS intercept, (SELECT round(avg((i + s*l_quantity - l_extendedprice)**2)/1e6, 4) FROM lineitem) AS error FROM r")

@@ -279,7 +279,13 @@ def greedy_tree_total(spark, sf_dir):
     return trees.greedy_parents(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"]).transform(trees.total_information, ["scan_id"]).withColumn("total_mi", F.round("total_mi", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, ranked AS MATERIALIZED (SELECT cls, a, b, mi, row_number() OVER (PARTITION BY cls ORDER BY mi DESC, a DESC, b DESC) AS n FROM edges WHERE mi >= 0),
+classes AS (SELECT DISTINCT cls FROM ranked),
+walk AS (
+  SELECT cls, CAST(0 AS BIGINT) AS n, range(200) AS roots, false AS takes FROM classes UNION ALL
+  SELECT cls, n, CASE WHEN ra = rb THEN roots ELSE list_transform(roots, lambda r: CASE WHEN r = ra THEN rb ELSE r END) END, ra <> rb FROM (
+    SELECT w.cls, r.n, w.roots, w.roots[r.a + 1] AS ra, w.roots[r.b + 1] AS rb FROM walk w JOIN ranked r ON r.cls = w.cls AND r.n = w.n + 1))
+SELECT r.cls, a, b, mi FROM walk w JOIN ranked r ON r.cls = w.cls AND r.n = w.n WHERE takes""")
 def mst_chow_liu(spark, sf_dir):
     return trees.spanning_forest(edges(spark, sf_dir), ["cls"])
 
@@ -311,12 +317,45 @@ def greedy_tree_score(spark, sf_dir):
     return trees.tree_scores(cells, parents, conditional, marginals, ["scan_id"], ["cls"]).select("scan_id", F.round("score", 5).alias("score"), "roots")
 
 
-@query()
+#: Kruskal's order over each scan's own edges, with the components' labels in a list.
+FORESTS = f"""{PARENTS},
+known AS (SELECT scan_id, cls, {CELL.format(i='i', j='j', k='k')} AS cell, o FROM state),
+inside AS MATERIALIZED (
+  SELECT x.scan_id, e.a, e.b, e.mi, row_number() OVER (PARTITION BY x.scan_id ORDER BY mi DESC, a, b) AS n
+  FROM edges e JOIN known x ON x.cls = e.cls AND x.cell = e.a JOIN known y ON y.scan_id = x.scan_id AND y.cell = e.b WHERE mi >= 0),
+walk AS (
+  SELECT scan_id, CAST(0 AS BIGINT) AS n, range(200) AS roots, false AS takes FROM inside GROUP BY ALL UNION ALL
+  SELECT scan_id, n, CASE WHEN ra = rb THEN roots ELSE list_transform(roots, lambda r: CASE WHEN r = ra THEN rb ELSE r END) END, ra <> rb FROM (
+    SELECT w.scan_id, r.n, w.roots, w.roots[r.a + 1] AS ra, w.roots[r.b + 1] AS rb FROM walk w JOIN inside r ON r.scan_id = w.scan_id AND r.n = w.n + 1)),
+forest AS MATERIALIZED (SELECT r.scan_id, a, b, mi FROM walk w JOIN inside r ON r.scan_id = w.scan_id AND r.n = w.n WHERE takes)"""
+
+
+@query(f"WITH RECURSIVE {FORESTS} SELECT scan_id, a, b, mi FROM forest")
 def grid_forests(spark, sf_dir):
     return trees.grid_forests(places(spark, sf_dir), edges(spark, sf_dir), ["scan_id"], ["cls"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {FORESTS},
+ways AS MATERIALIZED (SELECT scan_id, a AS x, b AS y FROM forest UNION ALL SELECT scan_id, b, a FROM forest),
+last AS (SELECT scan_id, arg_max(roots, n) AS roots FROM walk GROUP BY scan_id),
+labelled AS (SELECT w.scan_id, w.x, l.roots[w.x + 1] AS tree FROM (SELECT DISTINCT scan_id, x FROM ways) w JOIN last l ON l.scan_id = w.scan_id),
+nodes AS (
+  SELECT scan_id, min(x) AS child, CAST(NULL AS INTEGER) AS parent FROM labelled GROUP BY scan_id, tree UNION ALL
+  SELECT n.scan_id, w.y, n.child FROM nodes n JOIN ways w ON w.scan_id = n.scan_id AND w.x = n.child AND w.y IS DISTINCT FROM n.parent),
+pairs AS (
+  SELECT cls, {CELL.format(i='i1', j='j1', k='k1')} AS a, {CELL.format(i='i2', j='j2', k='k2')} AS b, c00, c01, c10, c11 FROM joint UNION ALL
+  SELECT cls, {CELL.format(i='i2', j='j2', k='k2')}, {CELL.format(i='i1', j='j1', k='k1')}, c00, c10, c01, c11 FROM joint),
+cond AS (
+  SELECT cls, a, b, given, occ, CASE WHEN t > 0 AND c > 0 THEN ln(c/t) END AS log_p FROM (
+    SELECT *, CASE WHEN given = 0 THEN c00 + c01 ELSE c10 + c11 END AS t, CASE given*2 + occ WHEN 0 THEN c00 WHEN 1 THEN c01 WHEN 2 THEN c10 ELSE c11 END AS c
+    FROM pairs, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(given, occ))),
+marg AS (SELECT cls, cell, count(*) AS t, sum(o) AS c_occ FROM known GROUP BY ALL),
+terms AS (
+  SELECT n.scan_id, n.parent, greatest(-227.95592420641055, coalesce(CASE WHEN n.parent IS NOT NULL THEN c.log_p WHEN k.o = 1 THEN CASE WHEN m.c_occ > 0 THEN ln(m.c_occ/m.t) END ELSE CASE WHEN m.t > m.c_occ THEN ln((m.t - m.c_occ)/m.t) END END, -227.95592420641055)) AS term
+  FROM nodes n JOIN known k ON k.scan_id = n.scan_id AND k.cell = n.child LEFT JOIN known p ON p.scan_id = n.scan_id AND p.cell = n.parent
+  LEFT JOIN cond c ON c.cls = k.cls AND c.a = n.parent AND c.b = n.child AND c.given = p.o AND c.occ = k.o LEFT JOIN marg m ON m.cls = k.cls AND m.cell = k.cell),
+sums AS (SELECT scan_id, sum(term) AS score, count(*) AS nodes, count(*) FILTER (WHERE parent IS NULL) AS roots FROM terms GROUP BY scan_id)
+SELECT s.scan_id, round(coalesce(score, 0), 6) AS score, coalesce(nodes, 0) AS nodes, coalesce(roots, 0) AS roots FROM (SELECT DISTINCT scan_id FROM known) s LEFT JOIN sums USING (scan_id)""")
 def forest_scores(spark, sf_dir):
     """The score of each scan under the maximum spanning forest of its own cells: what the trees are for."""
     known, j = near(spark, sf_dir).where("log_odds != 0"), trees.stored(joint(spark, sf_dir))
