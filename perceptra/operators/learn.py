@@ -24,14 +24,20 @@ def free_samples(rays: DataFrame, keys: list[str], seed: int | None = None) -> D
     return rows.select(*keys, F.col("_s").alias("sample"), (F.col("x") * F.col("_f")).alias("x"), (F.col("y") * F.col("_f")).alias("y"), "y_label")
 
 
-def kernel_features(points: DataFrame, keys: list[str], spacing: float, support: float) -> DataFrame:
-    """Values of the compact kernel at the inducing points in reach (J17): cells are sent out from each point, no pairs are searched."""
+def cells_in_reach(points: DataFrame, spacing: float, support: float) -> DataFrame:
+    """The inducing points (m, n) about each point, all within support and some beyond, and their distance d: cells are sent out from each point, no pairs are searched."""
     reach = int(np.ceil(support / spacing))
     step = lambda: F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     near = points.withColumn("_a", step()).withColumn("_b", step())
     near = near.withColumns({"m": (F.round(F.col("x") / spacing) + F.col("_a")).cast("int"), "n": (F.round(F.col("y") / spacing) + F.col("_b")).cast("int")})
     d = F.sqrt((F.col("x") - F.col("m") * spacing) ** 2 + (F.col("y") - F.col("n") * spacing) ** 2)
-    return near.withColumn("phi", sparse_kernel(d, support)).where("phi > 0").drop("_a", "_b")
+    return near.withColumn("d", d).drop("_a", "_b")
+
+
+def kernel_features(points: DataFrame, keys: list[str], spacing: float, support: float) -> DataFrame:
+    """Values of the compact kernel at the inducing points in reach."""
+    near = cells_in_reach(points, spacing, support)
+    return near.withColumn("phi", sparse_kernel(F.col("d"), support)).where("phi > 0").drop("d")
 
 
 def beside(weights: DataFrame) -> DataFrame:

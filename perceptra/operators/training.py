@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import uniform
 from .detect import not_too_close
-from .learn import beside, kernel_features
+from .learn import beside, cells_in_reach
 from .models import marginal_model
 from .sampling import systematic
 from .scoring import argmax, naive_bayes
@@ -70,9 +70,8 @@ def learn_kernel(samples: DataFrame, keys: list[str], half: Column, spacing: flo
     halves. half is 0 or 1. Both are logistic gradients by one aggregation each: of weights by cell, of the kernel by slot. The kernel has slots rows and starts as a cone;
     weights start at 0, and are broadcast behind their count. A round writes margins and both tables, and reads the features four times.
     """
-    near = kernel_features(samples.withColumn("_half", half.cast("int")), keys, spacing, support)
-    d = F.sqrt((F.col("x") - F.col("m") * spacing) ** 2 + (F.col("y") - F.col("n") * spacing) ** 2)
-    near = store(near.select(*keys, "y_label", "m", "n", "_half", F.least(F.lit(slots - 1), F.floor(d / support * slots)).cast("int").alias("slot")))
+    near = cells_in_reach(samples.withColumn("_half", half.cast("int")), spacing, support).where(F.col("d") < support)
+    near = store(near.select(*keys, "y_label", "m", "n", "_half", F.least(F.lit(slots - 1), F.floor(F.col("d") / support * slots)).cast("int").alias("slot")))
     weights = store(near.select("m", "n").distinct().withColumn("w", F.lit(0.0)))
     kernel = store(near.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), (1.0 - F.col("id") / slots).alias("v")))
     losses = []

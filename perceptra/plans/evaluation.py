@@ -388,7 +388,7 @@ def _alternating(rounds: int, slots: int, rate: float, kernel_rate: float, decay
     """SQL of learning weights and kernel in turn."""
     key = " AND ".join(f"o.{k} = f.{k}" for k in ("scan_id", "hit_idx", "sample"))
     steps = [
-        f"feats AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, m, n, CAST(least({slots - 1}, floor(sqrt((x-m*2)**2+(y-n*2)**2)/2.0*{slots})) AS INTEGER) AS slot FROM phi WHERE phi > 0)",
+        f"feats AS MATERIALIZED (SELECT scan_id, hit_idx, sample, y_label, m, n, CAST(least({slots - 1}, floor(q*{slots})) AS INTEGER) AS slot FROM d WHERE q < 1)",
         "w0 AS MATERIALIZED (SELECT DISTINCT m, n, 0.0::DOUBLE AS w FROM feats)", f"k0 AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS slot, 1.0::DOUBLE - s/{slots} AS v FROM range({slots}) r(s))",
     ]
 

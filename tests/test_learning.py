@@ -259,7 +259,7 @@ def test_kernel_and_weights_in_turn(spark):
     keys, rows = ["scan_id", "hit_idx", "sample"], evaluation.free(spark, SMALL)
     weights, kernel, losses = training.learn_kernel(rows, keys, F.col("scan_id") % 2, 2.0, 2.0, trees.stored, rounds=3)
     assert losses[-1] < losses[0]
-    near = learn.kernel_features(rows, keys, 2.0, 2.0).collect()
+    near = learn.cells_in_reach(rows, 2.0, 2.0).where("d < 2").collect()
     sample = {}
     for r in near:
         sample.setdefault((r.scan_id, r.hit_idx, r.sample), len(sample))
