@@ -26,8 +26,9 @@ LEAST_BITS, MOST_BITS = 20, 30
 TEXT_PER_COUNT = 1 << 28
 #: Anchors are counted by their upper 44 bits.
 COUNTED = np.uint64(20)
-#: An anchor at more places than this is hot: its strings are dealt one by one by all of their bytes. There are at most a text's bytes / HOT of them.
-HOT = 1 << 16
+#: An anchor at more places than this is hot: its strings are dealt one by one by all of their bytes. Hot anchors are known by a filter of 2^HOT_BITS bits
+#: (8 MB whatever the text); an anchor that shares its bit with one is dealt alike in all documents, so no repeat is lost.
+HOT, HOT_BITS = 1 << 16, 26
 #: Bytes of text for each partition that merges transforms; symbols of a shard's transform.
 TEXT_PER_TASK, SHARD = 4 << 20, 1 << 18
 #: Anchors, and bytes of pieces, gathered before they are handed on.
@@ -116,8 +117,8 @@ def filter_bits(total: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (total // 2).bit_length()))
 
 
-def repeated_anchors(docs: DataFrame, text: str, total: int) -> tuple[bytes, np.ndarray]:
-    """The filter of anchors that occur at two places or more, and the hot anchors; total is the text's bytes."""
+def repeated_anchors(docs: DataFrame, text: str, total: int) -> tuple[bytes, bytes]:
+    """The filters of anchors that occur at two places or more, and of hot ones; total is the text's bytes."""
     filter_size = filter_bits(total)
     split = min(16, max(8, (total // TEXT_PER_COUNT).bit_length()))
 
@@ -152,23 +153,35 @@ def repeated_anchors(docs: DataFrame, text: str, total: int) -> tuple[bytes, np.
         edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         anchor, times = anchor[edge], np.add.reduceat(times[order].astype(np.int64), edge)
         group = table.column("_group")[0].as_py()
-        bits = np.zeros(1 << (filter_size - split), np.uint8)
-        bits[(anchor[times > 1] >> (np.uint64(64 - filter_size) - COUNTED)).astype(np.int64) - (group << (filter_size - split))] = 1
-        yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "bits": [np.packbits(bits, bitorder="little").tobytes()], "hot": [anchor[times > HOT].tobytes()]})
+
+        def marked(found: np.ndarray, size: int) -> bytes:
+            """The group's part of a filter of 2^size bits; empty where no bit is set."""
+            bits = np.zeros(1 << (size - split) if len(found) else 0, np.uint8)
+            bits[(found >> (np.uint64(64 - size) - COUNTED)).astype(np.int64) - (group << (size - split))] = 1
+            return np.packbits(bits, bitorder="little").tobytes()
+
+        yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "bits": [marked(anchor[times > 1], filter_size)], "hot": [marked(anchor[times > HOT], HOT_BITS)]})
 
     dealt = docs.select(text).mapInArrow(gather, "_group long, n long, anchor binary, times binary")
     rows = by_group(dealt, combine, "part long, bits binary, hot binary", 1 << (split - 3)).collect()
-    size = 1 << (filter_size - split - 3)
-    whole = bytearray(size << split)
-    for r in rows:
-        whole[r.part * size : (r.part + 1) * size] = r.bits
-    return bytes(whole), np.sort(np.frombuffer(b"".join(bytes(r.hot) for r in rows), np.uint64))
+
+    def whole(column: str, size: int) -> bytes:
+        part = 1 << (size - split - 3)
+        out = bytearray(part << split)
+        for r in rows:
+            if r[column]:
+                out[r.part * part : (r.part + 1) * part] = r[column]
+        return bytes(out)
+
+    return whole("bits", filter_size), whole("hot", HOT_BITS) if any(r.hot for r in rows) else b""
 
 
 def _one_by_one(data: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs, those of hot anchors as single starts with a hash of their string for an anchor."""
-    short = anchor >> COUNTED
-    is_hot = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short if len(hot) else np.zeros(len(anchor), bool)
+    """The runs, those of anchors in the filter of hot ones as single starts with a hash of their string for an anchor."""
+    if not len(hot):
+        return start, count, anchor
+    slot = (anchor >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+    is_hot = (hot[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
     if not is_hot.any():
         return start, count, anchor
     n = count[is_hot]
@@ -181,7 +194,7 @@ def _one_by_one(data: np.ndarray, start: np.ndarray, count: np.ndarray, anchor:
 FIELDS = {"start": np.uint32, "count": np.uint16, "anchor": np.uint32, "order": np.int64, "ident": np.int64}
 
 
-def pieces(docs: DataFrame, bits: bytes, hot: np.ndarray, parts: int) -> DataFrame:
+def pieces(docs: DataFrame, bits: bytes, hot: bytes, parts: int) -> DataFrame:
     """Runs of strings whose anchor may occur again, dealt by anchor: docs has _order, _ident and the text; a row for each part and batch.
 
     Of equal pieces of one batch, those whose order is not the least are settled: they repeat whole. They travel without bytes or
@@ -191,7 +204,7 @@ def pieces(docs: DataFrame, bits: bytes, hot: np.ndarray, parts: int) -> DataFra
     shift = np.uint64(64 - (len(bits).bit_length() + 2))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, hot = np.frombuffer(known.value[0], np.uint8), known.value[1]
+        mask, hot = (np.frombuffer(x, np.uint8) for x in known.value)
         held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
