@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,17 +86,20 @@ def coloured_map(samples: DataFrame, keys: list[str], spacing: float, support: f
     kernel_features(samples, keys, spacing, support).select(*keys, "y_label", "m", "n", "phi", colour.alias("_colour")).write.partitionBy("_colour").parquet(folder)
     phi = samples.sparkSession.read.parquet(folder)
     weights = stored(phi.select("m", "n").distinct().withColumn("w", F.lit(0.0)))
+    small = F.broadcast if weights.count() <= MODEL_ROWS else (lambda table: table)
     f = stored(samples.select(*keys, "y_label", F.lit(0.0).alias("f")))
     for _ in range(passes):
+        steps = []
         for c in range(apart * apart):
             own = phi.where(F.col("_colour") == c).drop("_colour")
             p = 1 / (1 + F.exp(F.col("y_label") * F.col("f")))
             sums = own.join(f, [*keys, "y_label"]).groupBy("m", "n").agg(F.sum(-F.col("y_label") * p * F.col("phi")).alias("_g"), F.sum(p * (1 - p) * F.col("phi") * F.col("phi")).alias("_h"))
             step = -(F.col("_g") + ridge * F.col("w")) / (F.col("_h") + ridge)
-            moved = stored(sums.join(beside(weights), ["m", "n"]).select("m", "n", step.alias("_d")))
-            change = own.join(beside(moved), ["m", "n"]).select(*keys, (F.col("phi") * F.col("_d")).alias("_c"))
+            steps.append(stored(sums.join(small(weights), ["m", "n"]).select("m", "n", step.alias("_d"))))
+            change = own.join(small(steps[-1]), ["m", "n"]).select(*keys, (F.col("phi") * F.col("_d")).alias("_c"))
             f = stored(f.join(change, keys, "left").select(*keys, "y_label", (F.col("f") + F.coalesce("_c", F.lit(0.0))).alias("f")))
-            weights = stored(weights.join(beside(moved), ["m", "n"], "left").select("m", "n", (F.col("w") + F.coalesce("_d", F.lit(0.0))).alias("w")))
+        moved = reduce(DataFrame.unionByName, steps)  # each cell has one colour, so its weight moves once a pass
+        weights = stored(weights.join(small(moved), ["m", "n"], "left").select("m", "n", (F.col("w") + F.coalesce("_d", F.lit(0.0))).alias("w")))
     discard(samples.sparkSession, folder)
     return weights
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import uniform
 from .detect import not_too_close
-from .learn import beside, cells_in_reach
+from .learn import cells_in_reach
 from .models import marginal_model
 from .sampling import systematic
 from .scoring import argmax, naive_bayes
+from .trees import MODEL_ROWS
 
 
 def jittered(objects: DataFrame, keys: list[str], copies: int, res: float, seed: int) -> DataFrame:
@@ -55,7 +56,7 @@ def hard_rounds(frames: list[DataFrame], model: DataFrame, store: Callable[[Data
 
 def _table_margins(near: DataFrame, weights: DataFrame, kernel: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, y_label, f): the sum over the cells in reach of weight times kernel, both looked up."""
-    met = near.join(beside(weights), ["m", "n"]).join(F.broadcast(kernel), "slot")
+    met = near.join(weights, ["m", "n"]).join(F.broadcast(kernel), "slot")
     return met.groupBy(*keys, "y_label").agg(F.sum(F.col("w") * F.col("v")).alias("f"))
 
 
@@ -74,16 +75,17 @@ def learn_kernel(samples: DataFrame, keys: list[str], half: Column, spacing: flo
     near = store(near.select(*keys, "y_label", "m", "n", "_half", F.least(F.lit(slots - 1), F.floor(F.col("d") / support * slots)).cast("int").alias("slot")))
     weights = store(near.select("m", "n").distinct().withColumn("w", F.lit(0.0)))
     kernel = store(near.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), (1.0 - F.col("id") / slots).alias("v")))
+    small = F.broadcast if weights.count() <= MODEL_ROWS else (lambda table: table)
     losses = []
     for r in range(rounds):
         own, other = (near.where(F.col("_half") == h) for h in (r % 2, 1 - r % 2))
-        held = _table_margins(other, weights, kernel, keys)
+        held = _table_margins(other, small(weights), kernel, keys)
         losses.append(held.agg(F.avg(F.log1p(F.exp(-F.col("y_label") * F.col("f"))))).first()[0])
-        f = store(_table_margins(own, weights, kernel, keys))
+        f = store(_table_margins(own, small(weights), kernel, keys))
         steep = own.join(f, [*keys, "y_label"]).join(F.broadcast(kernel), "slot").groupBy("m", "n").agg(F.sum(_slope() * F.col("v")).alias("_g"))
         weights = store(weights.join(steep, ["m", "n"], "left").select("m", "n", (F.col("w") - rate * F.coalesce("_g", F.lit(0.0))).alias("w")))
-        f = store(_table_margins(other, weights, kernel, keys))
-        steep = other.join(f, [*keys, "y_label"]).join(beside(weights), ["m", "n"]).groupBy("slot").agg((F.sum(_slope() * F.col("w")) / F.count("*")).alias("_g"))
+        f = store(_table_margins(other, small(weights), kernel, keys))
+        steep = other.join(f, [*keys, "y_label"]).join(small(weights), ["m", "n"]).groupBy("slot").agg((F.sum(_slope() * F.col("w")) / F.count("*")).alias("_g"))
         kernel = store(kernel.join(F.broadcast(steep), "slot", "left").select("slot", (F.col("v") - kernel_rate * F.coalesce("_g", F.lit(0.0))).alias("v")))
         rate, kernel_rate = rate * decay, kernel_rate * decay
     return weights, kernel, losses
