@@ -23,8 +23,8 @@ AGREE = 72
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Buckets of several blocks up to this number are broadcast; beyond, they are joined by shuffle.
 MAX_BROADCAST_ROWS = 100_000
-#: Shingles of the exact sets that a task keeps at hand.
-HELD = 1 << 20
+#: Shingles that a task keeps at hand as hashes, and as bytes (some 130 bytes each).
+HELD = 1 << 18
 
 _random = np.random.default_rng(20240101)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
