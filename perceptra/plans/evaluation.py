@@ -445,7 +445,39 @@ def least_squares_fit(spark, sf_dir):
     return e.select(F.round(F.lit(float(w[1])), 4).alias("slope"), F.round(F.lit(float(w[0])), 4).alias("intercept"), F.round(F.col("error") / 1e6, 4).alias("error"))
 
 
-@query()
+def _minor(i: int, j: int) -> str:
+    """Cofactor of the symmetric 4 x 4 matrix a."""
+    at = lambda r, c: f"a{min(r, c)}{max(r, c)}"
+    (p, q, r), (x, y, z) = ([n for n in range(4) if n != k] for k in (i, j))
+    det = f"{at(p, x)}*({at(q, y)}*{at(r, z)} - {at(q, z)}*{at(r, y)}) - {at(p, y)}*({at(q, x)}*{at(r, z)} - {at(q, z)}*{at(r, x)}) + {at(p, z)}*({at(q, x)}*{at(r, y)} - {at(q, y)}*{at(r, x)})"
+    return f"({det})" if (i + j) % 2 == 0 else f"(0 - ({det}))"
+
+
+UPPER = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def _posterior_sql(state: str) -> str:
+    """SQL of covariance s, mean m, gamma, squared mean and error from a state's alpha and beta."""
+    at = lambda n, i, j: f"{n}{min(i, j)}{max(i, j)}"
+    a = ", ".join(f"beta*g{i}{j}{' + alpha' if i == j else ''} AS a{i}{j}" for i, j in UPPER)
+    c = ", ".join(f"{_minor(i, j)} AS c{i}{j}" for i, j in UPPER)
+    inverse = ", ".join(f"c{i}{j}/(a00*c00 + a01*c01 + a02*c02 + a03*c03) AS s{i}{j}" for i, j in UPPER)
+    mean = ", ".join("beta*(" + " + ".join(f"{at('s', i, j)}*b{j}" for j in range(4)) + f") AS m{i}" for i in range(4))
+    quadratic = " + ".join(f"m{i}*m{j}*{at('g', i, j)}" for i in range(4) for j in range(4))
+    return f"""SELECT *, 4 - alpha*(s00 + s11 + s22 + s33) AS gamma, m0*m0 + m1*m1 + m2*m2 + m3*m3 AS mm, tt - 2*(m0*b0 + m1*b1 + m2*b2 + m3*b3) + {quadratic} AS error
+FROM (SELECT *, {mean} FROM (SELECT *, {inverse} FROM (SELECT *, {c} FROM (SELECT *, {a} FROM {state}, sums))))"""
+
+
+#: The fixed-point updates of alpha and beta as a recursion over one row.
+BAYESIAN = f"""WITH RECURSIVE x AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{c} AS x{i}' for i, c in enumerate(X_SQL))}, l_extendedprice/1e5 AS t FROM lineitem),
+sums AS MATERIALIZED (SELECT {', '.join(f'sum(x{i}*x{j}) AS g{i}{j}' for i, j in UPPER)}, {', '.join(f'sum(x{i}*t) AS b{i}' for i in range(4))}, sum(t*t) AS tt, count(*) AS n FROM x),
+fit AS (SELECT 0 AS k, 1.0::DOUBLE AS alpha, 25.0::DOUBLE AS beta UNION ALL
+  SELECT k + 1, gamma/greatest(mm, 1e-12), greatest(n - gamma, 1e-12)/greatest(error, 1e-12) FROM ({_posterior_sql('(SELECT * FROM fit WHERE k < 50)')})),
+model AS MATERIALIZED ({_posterior_sql('(SELECT * FROM fit WHERE k = 50)')})
+SELECT l_orderkey, l_linenumber, round(x0*m0 + x1*m1 + x2*m2 + x3*m3, 6) AS mean, round(sqrt(1/beta + {' + '.join(f'x{i}*x{j}*s{min(i, j)}{max(i, j)}' for i in range(4) for j in range(4))}), 6) AS sd FROM x, model"""
+
+
+@query(BAYESIAN)
 def bayesian_linear(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / 1e5)
     m = learn.LinearModel(*learn.gram(t, xs(), F.col("price"))).maximise()
