@@ -39,3 +39,38 @@ def test_pruned_pairs_are_all_that_overlap(measure, criterion, monkeypatch):
             assert np.array_equal(rows, np.flatnonzero(truth > least)) and np.allclose(share, truth[rows])
             met += len(rows)
     assert met > 50
+
+
+def test_best_and_greedy_matches_without_gathered_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = lambda n, start: [(int(f), start + i, float(i % 97) / 97, float(x), float(y), float(x + w), float(y + h)) for i, (f, x, y, w, h) in enumerate(zip(rng.integers(0, 3, n), *(rng.integers(0, 40, n).astype(float) for _ in "xy"), *(rng.integers(3, 25, n).astype(float) for _ in "wh"), strict=True))]
+    schema = "frame long, box_id long, score double, x1 double, y1 double, x2 double, y2 double"
+    gt, det = rows(150, 0), rows(200, 1000)
+    gt.append((7, 900, 0.0, 0.0, 0.0, 5.0, 5.0))
+    area = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+
+    def iou(a, b):
+        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        return round(w * h / (area(a) + area(b) - w * h), 9) if w > 0 and h > 0 else 0.0
+
+    best, greedy, used = {}, {}, set()
+    for g in gt:
+        met = sorted((-o, d[1]) for d in det if d[0] == g[0] and (o := iou(d, g)) > 0)
+        if met:
+            best[g[1]] = met[0][1], -met[0][0]
+        left = [(o, d) for o, d in met if -o > 0.3 and d not in used]
+        if left:
+            greedy[g[1]] = left[0][1], -left[0][0]
+            used.add(left[0][1])
+    g, d = spark.createDataFrame(gt, schema), spark.createDataFrame(det, schema)
+    assert {r.g_box_id: (r.d_box_id, r.overlap) for r in matching.best_matches(d, g).collect()} == best
+    found = matching.match_frames(d, g, 0.3)
+    assert {r.g_box_id: (r.d_box_id, r.overlap) for r in found.collect()} == greedy and len(greedy) > 40
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_one_frame_are_many_tasks(spark):
+    schema = "frame long, box_id long, x1 double, y1 double, x2 double, y2 double"
+    rows = spark.createDataFrame([(1, n, 0.0, 0.0, 1.0 + n, 1.0) for n in range(300)], schema)
+    dealt = evaluate.pairs(rows, rows, ["frame"])
+    assert dealt.count() == 300 * 300 and "_part" in dealt._jdf.queryExecution().executedPlan().toString()
