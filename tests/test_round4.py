@@ -74,3 +74,28 @@ def test_pairs_of_one_frame_are_many_tasks(spark):
     rows = spark.createDataFrame([(1, n, 0.0, 0.0, 1.0 + n, 1.0) for n in range(300)], schema)
     dealt = evaluate.pairs(rows, rows, ["frame"])
     assert dealt.count() == 300 * 300 and "_part" in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pairs_of_a_grid_are_not_shuffled(spark):
+    from perceptra.operators import detect, trees
+
+    grid = spark.range(60).selectExpr("id % 6 AS scan_id", "CAST(id DIV 6 AS INT) AS i", "0 AS j", "0 AS k", "CAST(id % 5 - 2 AS DOUBLE) AS log_odds")
+    model = spark.range(9).selectExpr("CAST(id % 3 AS INT) AS model_cls", "CAST(id DIV 3 AS INT) AS i", "0 AS j", "0 AS k", "-1.0D AS log_free", "-2.0D AS log_occ")
+    assert shuffles(detect.pose_scores(grid, model, ["scan_id"], 4)) == 1
+    cells = spark.range(60).selectExpr("id % 6 AS scan_id", "id % 2 AS cls", "id DIV 6 AS cell", "id DIV 6 AS ord")
+    edges = spark.range(100).selectExpr("id % 2 AS cls", "id DIV 10 AS a", "id % 10 AS b", "CAST(id AS DOUBLE) AS mi").where("a < b")
+    parents = trees.greedy_parents(cells, edges, ["scan_id"], ["cls"])
+    assert shuffles(parents) == 1
+    held = {(r.cls, r.a, r.b): r.mi for r in edges.collect()}
+    for span in (None, 3):
+        want = {}
+        for r in cells.collect():
+            for a in range(max(0, r.cell - span) if span else 0, r.cell):
+                if (r.cls, a, r.cell) in held:
+                    want[r.scan_id, r.cell] = max(want.get((r.scan_id, r.cell), (-1.0, 0)), (held[r.cls, a, r.cell], -a))
+        found = {(r.scan_id, r.child): (r.mi, -r.parent) for r in trees.greedy_parents(cells, edges, ["scan_id"], ["cls"], span).collect()}
+        assert found == want
