@@ -99,3 +99,21 @@ def test_pairs_of_a_grid_are_not_shuffled(spark):
                     want[r.scan_id, r.cell] = max(want.get((r.scan_id, r.cell), (-1.0, 0)), (held[r.cls, a, r.cell], -a))
         found = {(r.scan_id, r.child): (r.mi, -r.parent) for r in trees.greedy_parents(cells, edges, ["scan_id"], ["cls"], span).collect()}
         assert found == want
+
+
+def test_greedy_radius_folds_arrays(spark):
+    from perceptra.operators import detect
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x), float(y), float(s)) for g, x, y, s in zip(rng.integers(0, 4, 300), rng.integers(0, 20, 300), rng.integers(0, 20, 300), rng.integers(0, 50, 300), strict=True)]
+    rows = [(int(g), x, y, s) for g, x, y, s in rows]
+    want = set()
+    for g in range(4):
+        taken = []
+        for _, x, y, s in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1], r[2])):
+            if all((x - a) ** 2 + (y - b) ** 2 >= 9 for a, b in taken):
+                taken.append((x, y))
+                want.add((g, x, y, s))
+    found = detect.greedy_radius(spark.createDataFrame(rows, "g int, x double, y double, s double"), ["g"], "s", 3.0, "g int, x double, y double, s double")
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
