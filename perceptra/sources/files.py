@@ -10,6 +10,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.trees import discard
+
 #: Fixed values of the label format.
 KINDS = ["Car", "Van", "Truck", "Pedestrian", "Person_sitting", "Cyclist", "Tram", "Misc", "DontCare"]
 LABEL = "type string, truncated double, occluded double, alpha double, x1 double, y1 double, x2 double, y2 double, h double, w double, l double, x double, y double, z double, rotation_y double"
@@ -81,17 +83,26 @@ CAMERA = {"P_rect_02": "p", "R_rect_00": "r_rect", "R": "r", "T": "t"}
 
 
 def read_camera(spark: SparkSession, path: str) -> DataFrame:
-    """Intrinsics and extrinsics of each recording day by prefix (S4), in a folder a day (day=7); other lines are left out, a missing one is null."""
+    """Intrinsics and extrinsics of each recording day by prefix (S4), in a file (000007.txt) or a folder a day (day=7); other lines are left out, a missing one is null."""
     lines = spark.read.text(path)
+    lines = lines if "day" in lines.columns else lines.withColumn("day", _frame("_metadata.file_path"))
     numbers = lambda prefix: F.max(F.when(F.startswith("value", F.lit(prefix + ": ")), F.split(F.trim(F.substring_index("value", ":", -1)), " +").cast("array<double>")))
     return lines.groupBy("day").agg(*[numbers(p).alias(n) for p, n in CAMERA.items()])
 
 
 def write_camera(cameras: DataFrame, path: str) -> None:
-    """Camera files (day, p, r_rect, r, t) as text in a folder for each day; what read_camera reads."""
+    """Camera files (day, p, r_rect, r, t) as a text file for each day; what read_camera reads."""
     line = lambda name, c: F.concat_ws(" ", F.lit(f"{name}:"), F.col(c).cast("array<string>"))
     lines = F.concat_ws("\n", F.lit("calib_time: 09-Jan-2012 13:57:47"), *[line(p, n) for p, n in CAMERA.items()])
-    cameras.select("day", lines.alias("value")).write.mode("overwrite").partitionBy("day").text(path)
+    write_texts(cameras.select("day", lines.alias("value")), "day", path)
+
+
+def write_texts(rows: DataFrame, key: str, path: str) -> None:
+    """A text file for each row (key, value), named by its key, in one folder: tasks write them beside one another, where a folder for each is made and moved by the driver alone."""
+    name = F.concat(F.lpad(F.col(key).cast("string"), F.greatest(F.lit(6), F.length(F.col(key).cast("string"))), F.lit("0")), F.lit(".txt"))
+    rows = rows.select(name.alias("name"), F.concat("value", F.lit("\n")).cast("binary").alias("content"))
+    discard(rows.sparkSession, path)  # overwrites what lies there
+    write_binary(rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism), path)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -204,10 +215,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_calibration(calibration: DataFrame, path: str) -> None:
-    """Matrices (frame, p, r_rect, t_cv) as text in a folder for each frame; what read_calibration reads."""
+    """Matrices (frame, p, r_rect, t_cv) as a text file for each frame; what read_calibration reads."""
     line = lambda name, c: F.concat_ws(" ", F.lit(f"{name}:"), F.col(c).cast("array<string>"))
     lines = F.concat_ws("\n", line("P2", "p"), line("R0_rect", "r_rect"), line("Tr_velo_to_cam", "t_cv"))
-    calibration.select("frame", lines.alias("value")).write.mode("overwrite").partitionBy("frame").text(path)
+    write_texts(calibration.select("frame", lines.alias("value")), "frame", path)
 
 
 def write_tracklets(tracklets: DataFrame, path: str) -> None:

@@ -117,3 +117,17 @@ def test_greedy_radius_folds_arrays(spark):
     found = detect.greedy_radius(spark.createDataFrame(rows, "g int, x double, y double, s double"), ["g"], "s", 3.0, "g int, x double, y double, s double")
     assert {tuple(r) for r in found.collect()} == want
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calibration_and_cameras_are_files_in_one_folder(spark, tmp_path):
+    from perceptra.sources import files
+
+    rows = spark.range(40).selectExpr("id * 50021 AS frame", "array(CAST(id AS DOUBLE)) AS p", "array(1.5D) AS r_rect", "array(-2.0D) AS t_cv")
+    one, two = f"file://{tmp_path}/calibration", f"file://{tmp_path}/camera"
+    files.write_calibration(rows, one)
+    files.write_camera(rows.selectExpr("frame AS day", "p", "r_rect", "t_cv AS r", "t_cv AS t"), two)
+    for folder in ("calibration", "camera"):
+        made = list((tmp_path / folder).iterdir())
+        assert len(made) == 40 and all(p.is_file() and p.suffix == ".txt" for p in made)
+    assert {(r.frame, tuple(r.p)) for r in files.read_calibration(spark, one).collect()} == {(n * 50021, (float(n),)) for n in range(40)}
+    assert {(r.day, tuple(r.p), tuple(r.t)) for r in files.read_camera(spark, two).collect()} == {(n * 50021, (float(n),), (-2.0,)) for n in range(40)}
