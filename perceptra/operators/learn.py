@@ -196,48 +196,71 @@ class RelevanceVector:
         return rows.withColumn("p", 1 / (1 + F.exp(-self.score(x, y))))
 
 
-def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label", centres: int = 40, rounds: int = 30, width: float = 0.25, prune: float = 1e3, cut: float = 1e-3) -> RelevanceVector:
-    """Laplace approximation and evidence updates; each round aggregates gradient and Hessian over all rows.
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Inverse of a symmetric positive matrix; what rounding took from its smallest eigenvalues is given back."""
+    value, vector = np.linalg.eigh(a)
+    return (vector / np.maximum(value, np.finfo(float).eps * value.max(initial=0))) @ vector.T
+
+
+def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label", centres: int = 40, rounds: int = 30, width: float = 0.25, prune: float = 1e3, cut: float = 1e-3, steps: int = 20) -> RelevanceVector:
+    """Laplace approximation and evidence updates; likelihood, gradient and Hessian are aggregated over all rows, which are stored once.
 
     Candidate centres are at most centres rows, those with the smallest hash: the model's documented bound. Kernel values under cut
-    count as zero.
+    count as zero. In each round the weights go to the mode of their posterior, by at most steps Newton steps: a step that does not raise the posterior enough is halved until it does, so
+    that weights stay finite where the kernels tell the labels apart. Only there are the precisions updated.
     """
     picked = rows.select(x, y).distinct().orderBy(F.xxhash64(x, y), x, y).limit(centres).collect()
     c = np.array([[r[0], r[1]] for r in picked])
-    w, alpha, live = np.zeros(len(c)), np.ones(len(c)), np.arange(len(c))
-    data = rows.select(F.col(x).cast("double"), F.col(y).cast("double"), F.col(label).cast("double"))
+    w, alpha = np.zeros(len(c)), np.ones(len(c))
+    data = stored(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(label).cast("double").alias("t")))
 
-    def sums(at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phi'(t - p) and Phi'BPhi over all rows: each batch of rows gives its own sums, so what is shuffled does not grow with the rows of a batch."""
+    def sums(at: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood, Phi'(t - p) and Phi'BPhi over all rows: each task gives its own sums, so what is shuffled does not grow with the rows."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.triu_indices(len(at))
+            values = np.zeros(1 + len(at) + len(i))
             for batch in batches:
                 px, py, t = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
                 phi = np.exp(-((px[:, None] - at[:, 0]) ** 2 + (py[:, None] - at[:, 1]) ** 2) / width)
                 phi[phi <= cut] = 0
-                p = 1 / (1 + np.exp(-(phi @ weight)))
+                f = phi @ weight
+                p = np.exp(-np.logaddexp(0, -f))
                 h = phi.T @ (phi * (p * (1 - p))[:, None])
-                values = np.concatenate((phi.T @ (t - p), h[i, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.full(len(at), -1), i))), pa.array(np.concatenate((np.arange(len(at)), j))), pa.array(values)], names=["i", "j", "v"])
+                values += np.concatenate(([(t * f - np.logaddexp(0, f)).sum()], phi.T @ (t - p), h[i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-2], np.full(len(at), -1), i))), pa.array(np.concatenate(([0], np.arange(len(at)), j))), pa.array(values)], names=["i", "j", "v"])
 
         total = data.mapInArrow(part, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
         row, column, value = (total[n].to_numpy() for n in ("i", "j", "v"))
         grad, hess = np.zeros(len(at)), np.zeros((len(at), len(at)))
-        grad[column[row < 0]] = value[row < 0]
+        grad[column[row == -1]] = value[row == -1]
         hess[row[row >= 0], column[row >= 0]] = value[row >= 0]
-        return grad, np.triu(hess) + np.triu(hess, 1).T
+        return float(value[row == -2].sum()), grad, np.triu(hess) + np.triu(hess, 1).T
 
+    likelihood, grad, hess = sums(c, w)
     for _ in range(rounds):
-        grad, hess = sums(c[live], w[live])
-        sigma = np.linalg.inv(np.diag(alpha[live]) + hess)
-        w[live] += sigma @ (grad - alpha[live] * w[live])
-        gamma = 1 - alpha[live] * np.diag(sigma)
-        alpha[live] = np.clip(gamma, 1e-6, None) / np.maximum(w[live] ** 2, 1e-12)
-        keep = alpha[live] < prune
-        if keep.any():
-            live = live[keep]
-    return RelevanceVector(c[live], w[live], width)
+        for _ in range(steps):
+            slope = grad - alpha * w
+            step = _inverse(np.diag(alpha) + hess) @ slope
+            now, gain, share = likelihood - alpha @ w**2 / 2, slope @ step, 1.0
+            if gain <= 1e-10 * (1 + abs(now)):
+                break
+            while share > 1e-6:
+                moved = w + share * step
+                tried = sums(c, moved)
+                if tried[0] - alpha @ moved**2 / 2 >= now + 1e-4 * share * gain:
+                    break
+                share /= 2
+            else:
+                break
+            w, (likelihood, grad, hess) = moved, tried
+        gamma = 1 - alpha * np.diag(_inverse(np.diag(alpha) + hess))
+        alpha = np.clip(gamma, 1e-6, None) / np.maximum(w**2, 1e-12)
+        keep = alpha < prune
+        if keep.any() and not keep.all():
+            c, w, alpha = c[keep], w[keep], alpha[keep]
+            likelihood, grad, hess = sums(c, w)
+    return RelevanceVector(c, w, width)
 
 
 def valid(samples: DataFrame) -> DataFrame:
