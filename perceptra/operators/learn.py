@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,17 +76,64 @@ def coloured_map(samples: DataFrame, keys: list[str], spacing: float, support: f
     """Weights (m, n, w) of a logistic kernel map by descent over coloured cells (M2): few passes over the samples.
 
     Cells so far apart that no sample reaches two of them have one colour, so the weights of a colour do not meet: each takes its own Newton step, on the samples that
-    reach it, as if it moved alone, and a sample's margin changes by one feature at most. A pass is one such batch for each colour. Features lie in
-    a folder a colour, so a pass reads each once; margins are written after each colour. ridge is the weight of the squared weights. keys name a sample; samples whose keys
+    reach it, as if it moved alone. A pass is one such batch for each colour. Samples lie in a folder a colour, so a pass reads each once for each cell it reaches, and a sample's margin is
+    computed from the weights where it is read: no margins are written, joined or broadcast, only a cell's sums are shuffled, and the driver holds the weights, at most
+    MODEL_ROWS. With more cells weights stay a table and samples meet it by joins. ridge is the weight of the squared weights. keys name a sample; samples whose keys
     repeat are not allowed; an empty table gives no weights.
     """
-    apart = 2 * int(np.ceil(support / spacing)) + 1
-    folder = shared_folder(samples.sparkSession, "colours")
+    spark, apart = samples.sparkSession, 2 * int(np.ceil(support / spacing)) + 1
     colour = F.pmod("m", F.lit(apart)) * apart + F.pmod("n", F.lit(apart))
+    cells = stored(kernel_features(samples, keys, spacing, support).select("m", "n").distinct())
+    if cells.count() > MODEL_ROWS:
+        return _coloured_by_joins(samples, keys, spacing, support, passes, ridge, apart, colour)
+    folder = shared_folder(spark, "colours")
+    near = kernel_features(samples, keys, spacing, support).where(F.isnotnull("y_label"))
+    near = near.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("y_label").cast("double").alias("y_label"), "m", "n", colour.alias("_colour"))
+    near.write.partitionBy("_colour").parquet(folder)
+    near = spark.read.schema(near.schema).parquet(folder)
+    at = cells.orderBy("m", "n").toArrow()
+    m, n = (at[c].to_numpy().astype(np.int64) for c in ("m", "n"))
+    code, w = (m << 32) + n, np.zeros(len(m))
+    reach = range(-int(np.ceil(support / spacing)), int(np.ceil(support / spacing)) + 1)
+
+    def kernel(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        q = np.sqrt((x - m * spacing) ** 2 + (y - n * spacing) ** 2) / support
+        return np.where(q > 1, 0.0, (2 + np.cos(2 * np.pi * q)) / 3 * (1 - q) + np.sin(2 * np.pi * q) / (2 * np.pi))
+
+    def sums(weight: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Gradient and curvature of each cell over a task's samples."""
+        g, h, met = np.zeros(len(code)), np.zeros(len(code)), np.zeros(len(code), bool)
+        for batch in batches:
+            x, y, label, m, n = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            f, mid = np.zeros(len(x)), (np.rint(x / spacing).astype(np.int64), np.rint(y / spacing).astype(np.int64))
+            for a in reach:
+                for b in reach:
+                    i, j = mid[0] + a, mid[1] + b
+                    c = np.minimum(np.searchsorted(code, (i << 32) + j), len(code) - 1)
+                    f += kernel(x, y, i, j) * np.where(code[c] == (i << 32) + j, weight[c], 0.0)
+            p, phi, own = np.exp(-np.logaddexp(0, label * f)), kernel(x, y, m, n), np.searchsorted(code, (m.astype(np.int64) << 32) + n)
+            g += np.bincount(own, -label * p * phi, len(code))
+            h += np.bincount(own, p * (1 - p) * phi * phi, len(code))
+            met[own] = True
+        c = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g[c]), pa.array(h[c])], names=["c", "g", "h"])
+
+    for _ in range(passes):
+        for c in range(apart * apart):
+            own = near.where(F.col("_colour") == c).drop("_colour")
+            met = own.mapInArrow(partial(sums, w), "c long, g double, h double").groupBy("c").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            c, g, h = (met[k].to_numpy() for k in "cgh")
+            w[c] -= (g + ridge * w[c]) / (h + ridge)
+    discard(spark, folder)
+    return spark.createDataFrame(pa.table({"m": pa.array(m, pa.int32()), "n": pa.array(n, pa.int32()), "w": w}))
+
+
+def _coloured_by_joins(samples: DataFrame, keys: list[str], spacing: float, support: float, passes: int, ridge: float, apart: int, colour: Column) -> DataFrame:
+    """coloured_map() of cells too many to be held: margins are written after each colour and meet features by sample, weights by cell."""
+    folder = shared_folder(samples.sparkSession, "colours")
     kernel_features(samples, keys, spacing, support).select(*keys, "y_label", "m", "n", "phi", colour.alias("_colour")).write.partitionBy("_colour").parquet(folder)
     phi = samples.sparkSession.read.parquet(folder)
     weights = stored(phi.select("m", "n").distinct().withColumn("w", F.lit(0.0)))
-    small = F.broadcast if weights.count() <= MODEL_ROWS else (lambda table: table)
     f = stored(samples.select(*keys, "y_label", F.lit(0.0).alias("f")))
     for _ in range(passes):
         steps = []
@@ -95,11 +142,11 @@ def coloured_map(samples: DataFrame, keys: list[str], spacing: float, support: f
             p = 1 / (1 + F.exp(F.col("y_label") * F.col("f")))
             sums = own.join(f, [*keys, "y_label"]).groupBy("m", "n").agg(F.sum(-F.col("y_label") * p * F.col("phi")).alias("_g"), F.sum(p * (1 - p) * F.col("phi") * F.col("phi")).alias("_h"))
             step = -(F.col("_g") + ridge * F.col("w")) / (F.col("_h") + ridge)
-            steps.append(stored(sums.join(small(weights), ["m", "n"]).select("m", "n", step.alias("_d"))))
-            change = own.join(small(steps[-1]), ["m", "n"]).select(*keys, (F.col("phi") * F.col("_d")).alias("_c"))
+            steps.append(stored(sums.join(weights, ["m", "n"]).select("m", "n", step.alias("_d"))))
+            change = own.join(steps[-1], ["m", "n"]).select(*keys, (F.col("phi") * F.col("_d")).alias("_c"))
             f = stored(f.join(change, keys, "left").select(*keys, "y_label", (F.col("f") + F.coalesce("_c", F.lit(0.0))).alias("f")))
         moved = reduce(DataFrame.unionByName, steps)  # each cell has one colour, so its weight moves once a pass
-        weights = stored(weights.join(small(moved), ["m", "n"], "left").select("m", "n", (F.col("w") + F.coalesce("_d", F.lit(0.0))).alias("w")))
+        weights = stored(weights.join(moved, ["m", "n"], "left").select("m", "n", (F.col("w") + F.coalesce("_d", F.lit(0.0))).alias("w")))
     discard(samples.sparkSession, folder)
     return weights
 

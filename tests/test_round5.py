@@ -4,7 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from perceptra.operators import learn
+from perceptra import catalog
+from perceptra.operators import learn, trees
+from perceptra.plans import evaluation
+
+from .oracle import SMALL, agree, connect
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +32,18 @@ def test_weights_go_to_the_mode(told_apart):
     p = 1 / (1 + np.exp(-phi @ model.weights))
     assert len(model.weights) == 10
     assert np.abs(phi.T @ (rows.label - p) - model.weights).max() < 1e-2
+
+
+@pytest.mark.parametrize("rows", [trees.MODEL_ROWS, 0])
+def test_coloured_descent_writes_no_margins(spark, monkeypatch, rows):
+    written, store = [], learn.stored
+    monkeypatch.setattr(learn, "MODEL_ROWS", rows)
+    monkeypatch.setattr(learn, "stored", lambda df: written.append(sorted(df.columns)) or store(df))
+    found = catalog.QUERIES["kernel_map_coloured"](spark, SMALL)
+    agree(found, connect(), catalog.ORACLES["kernel_map_coloured"])
+    assert ("f" in sum(written, [])) == (rows == 0)
+
+
+def test_coloured_descent_over_nothing(spark):
+    rows = evaluation.free(spark, SMALL).where("false")
+    assert learn.coloured_map(rows, ["scan_id", "hit_idx", "sample"], 2.0, 2.0).collect() == []
