@@ -3,9 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from perceptra import catalog
-from perceptra.operators import learn, trees
+from perceptra.operators import evaluate, learn, trees
 from perceptra.plans import evaluation
 
 from .oracle import SMALL, agree, connect
@@ -47,3 +48,11 @@ def test_coloured_descent_writes_no_margins(spark, monkeypatch, rows):
 def test_coloured_descent_over_nothing(spark):
     rows = evaluation.free(spark, SMALL).where("false")
     assert learn.coloured_map(rows, ["scan_id", "hit_idx", "sample"], 2.0, 2.0).collect() == []
+
+
+def test_a_small_table_is_paired_by_many_tasks(spark):
+    d, g = (side(spark, SMALL).drop("kind").coalesce(1) for side in (evaluation.detections, evaluation.ground_truth))
+    met = evaluate.pairs(d, g, ["frame"])
+    assert "BroadcastHashJoin" in met._jdf.queryExecution().toString()
+    tasks = [r.n for r in met.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 8 and max(tasks) < sum(tasks) / 2
