@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from perceptra.operators import detect
+from perceptra.operators import detect, scoring
 
 
 def plan(df):
@@ -37,3 +37,8 @@ def test_poses_are_computed_once_and_stay_in_their_task(spark, poses):
     scores = poses[1].withColumn("log_odds", F.col("log_odds") + F.rand(1) * 0)
     found = plan(detect.window_maxima(scores, ["scan_id"], "log_odds", 2))
     assert "Join" not in found and found.count("Exchange hashpartitioning") == 1 and found.count("rand(1)") == 1
+
+
+def test_log_odds_sort_a_group_once(spark, poses):
+    found = plan(scoring.log_odds(poses[1], ["scan_id", "px", "py"], "log_odds"))
+    assert found.count("Sort [") == 1 and found.count("Exchange hashpartitioning") == 1
