@@ -78,7 +78,7 @@ def test_batches_are_summed_in_bounded_parts(most):
     assert found == plain(CELLS, MODEL, 4)
 
 
-@pytest.mark.parametrize("name", ["pose_scores"])
+@pytest.mark.parametrize("name", ["pose_scores", "pose_scores_whole"])
 def test_no_task_gathers_its_poses(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Window|Sort \[|Join|Aggregate\(keys=\[[^]]*px#", plan) and plan.count("Exchange hashpartitioning") == 2
