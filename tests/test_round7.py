@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perceptra import catalog
-from perceptra.operators import detect
+from perceptra.operators import detect, scoring
 
 from .oracle import SMALL
 
@@ -78,7 +78,18 @@ def test_batches_are_summed_in_bounded_parts(most):
     assert found == plain(CELLS, MODEL, 4)
 
 
-@pytest.mark.parametrize("name", ["pose_scores", "pose_scores_whole"])
+@pytest.mark.parametrize("few", [None, 2])
+def test_softmax_of_an_array_is_that_of_its_group(spark, few):
+    rows = [(g, c, RNG.uniform(-900, 900) if g else None) for g in range(5) for c in range(4)] + [(1, 9, None)]
+    df = spark.createDataFrame(rows, "g int, c int, score double")
+    want = scoring.softmax(df, ["g"]).where(F.lit(True) if few is None else F.col("c") < few).groupBy("g").agg(F.sum("p").alias("p"))
+    held = df.groupBy("g").agg(F.collect_list(F.struct("c", "score")).alias("rows"))
+    found = held.select("g", scoring.softmax_of("rows", None if few is None else lambda r: r["c"] < few).alias("p"))
+    key = lambda of: {r.g: r.p if r.p is None else round(r.p, 12) for r in of.collect()}
+    assert key(found) == key(want)
+
+
+@pytest.mark.parametrize("name", ["pose_scores", "pose_scores_whole", "class_marginal_whole"])
 def test_no_task_gathers_its_poses(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Window|Sort \[|Join|Aggregate\(keys=\[[^]]*px#", plan) and plan.count("Exchange hashpartitioning") == 2
