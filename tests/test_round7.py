@@ -89,7 +89,7 @@ def test_softmax_of_an_array_is_that_of_its_group(spark, few):
     assert key(found) == key(want)
 
 
-@pytest.mark.parametrize("name", ["pose_scores", "pose_scores_whole", "class_marginal_whole"])
+@pytest.mark.parametrize("name", ["pose_scores", "pose_scores_whole", "class_marginal", "class_marginal_whole"])
 def test_no_task_gathers_its_poses(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Window|Sort \[|Join|Aggregate\(keys=\[[^]]*px#", plan) and plan.count("Exchange hashpartitioning") == 2
