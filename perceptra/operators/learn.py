@@ -249,17 +249,48 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return (vector / np.maximum(value, np.finfo(float).eps * value.max(initial=0))) @ vector.T
 
 
-def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label", centres: int = 40, rounds: int = 30, width: float = 0.25, prune: float = 1e3, cut: float = 1e-3, steps: int = 20) -> RelevanceVector:
+def _interpolation(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Weights (row of x, node) by which values at Chebyshev nodes give those at x."""
+    sign = np.sin(np.pi * (np.arange(len(nodes)) + 0.5) / len(nodes)) * (-1.0) ** np.arange(len(nodes))
+    d = x[:, None] - nodes
+    met = d == 0
+    weight = sign / np.where(met, 1.0, d)
+    weight /= weight.sum(1, keepdims=True)
+    return np.where(met.any(1, keepdims=True), met, weight)
+
+
+def _kernel_nodes(low: float, high: float, width: float) -> np.ndarray:
+    """Chebyshev nodes of a range, so many that interpolation along one axis gives the kernel and its square for all points and centres there within 1e-12."""
+    n, half = 16, max((high - low) / 2, width**0.5 / 2)
+    while True:
+        nodes = (low + high) / 2 + half * np.cos(np.pi * (np.arange(n) + 0.5) / n)
+        x = np.linspace(nodes.min(), nodes.max(), 12 * n + 1)
+        if np.abs(_interpolation(x, nodes) @ np.exp(-2 * (nodes[:, None] - x) ** 2 / width) - np.exp(-2 * (x[:, None] - x) ** 2 / width)).max() < 1e-12:
+            return nodes
+        n += n // 4
+
+
+#: Shares of a Newton step that are tried after the whole one; in every so many rounds all rows are priced as centres.
+HALVES, PRICED = [0.5**n for n in range(1, 20)], 3
+
+
+def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label", centres: int = 40, rounds: int = 30, width: float = 0.25, prune: float = 1e3, steps: int = 20) -> RelevanceVector:
     """Laplace approximation and evidence updates; likelihood, gradient and Hessian are aggregated over all rows, which are stored once.
 
-    Candidate centres are at most centres rows, those with the smallest hash: the model's documented bound. Kernel values under cut
-    count as zero. In each round the weights go to the mode of their posterior, by at most steps Newton steps: a step that does not raise the posterior enough is halved until it does, so
+    Every row is a candidate centre. The model starts with centres rows, those with the smallest hash; in the first and then every third round all rows are priced by what they would add to the
+    evidence (sparse Bayesian learning by its sparsity s and quality q), and of those that add to it the best of each neighbourhood join. A row that is left out is priced again
+    the next time. Rounds end early where none joins or leaves and the precisions stand still. Pricing all rows against all rows takes two passes and no pairs: the kernel is smooth, so sums over rows are
+    kept at Chebyshev nodes of the plane, as many as its extent in kernel widths asks for, and give the sum at any centre within rounding (1e-12 of the weights summed).
+    In each round the weights go to the mode of their posterior, by at most steps Newton steps: a step that does not raise the posterior enough is halved until it does, so
     that weights stay finite where the kernels tell the labels apart. Only there are the precisions updated.
     """
     picked = rows.select(x, y).distinct().orderBy(F.xxhash64(x, y), x, y).limit(centres).collect()
-    c = np.array([[r[0], r[1]] for r in picked])
+    c = np.array([[r[0], r[1]] for r in picked], float)
     w, alpha = np.zeros(len(c)), np.ones(len(c))
     data = stored(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(label).cast("double").alias("t")))
+    ends = data.agg(*[f(n) for n in "xy" for f in (F.min, F.max)]).first()
+    nodes = [_kernel_nodes(ends[2 * n], ends[2 * n + 1], width) for n in (0, 1)]
+    kernel = lambda px, py, at: np.exp(-((px[:, None] - at[:, 0]) ** 2 + (py[:, None] - at[:, 1]) ** 2) / width)
 
     def sums(at: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood, Phi'(t - p) and Phi'BPhi over all rows: each task gives its own sums, so what is shuffled does not grow with the rows."""
@@ -269,8 +300,7 @@ def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label",
             values = np.zeros(1 + len(at) + len(i))
             for batch in batches:
                 px, py, t = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
-                phi = np.exp(-((px[:, None] - at[:, 0]) ** 2 + (py[:, None] - at[:, 1]) ** 2) / width)
-                phi[phi <= cut] = 0
+                phi = kernel(px, py, at)
                 f = phi @ weight
                 p = np.exp(-np.logaddexp(0, -f))
                 h = phi.T @ (phi * (p * (1 - p))[:, None])
@@ -284,28 +314,91 @@ def fit_rvm(rows: DataFrame, x: str = "x0", y: str = "x1", label: str = "label",
         hess[row[row >= 0], column[row >= 0]] = value[row >= 0]
         return float(value[row == -2].sum()), grad, np.triu(hess) + np.triu(hess, 1).T
 
+    def along(at: np.ndarray, weight: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Log-likelihood after each share of a step in HALVES, in one pass over the rows."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = np.zeros(len(HALVES))
+            for batch in batches:
+                px, py, t = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+                f, g = (kernel(px, py, at) @ np.stack((weight, step), 1)).T
+                values += [(t * (f + h * g) - np.logaddexp(0, f + h * g)).sum() for h in HALVES]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(HALVES))), pa.array(values)], names=["n", "v"])
+
+        return data.mapInArrow(part, "n long, v double").groupBy("n").agg(F.sum("v").alias("v")).toArrow().sort_by("n")["v"].to_numpy()
+
+    def moments(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """At the nodes, the sums over all rows of t - p, of B and of BPhi for each centre."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = np.zeros((2 + len(at), len(nodes[0]), len(nodes[1])))
+            for batch in batches:
+                px, py, t = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+                phi = kernel(px, py, at)
+                p = np.exp(-np.logaddexp(0, -(phi @ weight)))
+                b, left, right = p * (1 - p), _interpolation(px, nodes[0]).T, _interpolation(py, nodes[1])
+                for n, v in enumerate((t - p, b, *(phi * b[:, None]).T)):
+                    values[n] += (left * v) @ right
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array([v.tobytes() for v in values], pa.binary())], names=["n", "v"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v, float) for v in table["v"].to_pylist())
+            return pa.table({"n": table["n"][:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+        total = data.mapInArrow(part, "n long, v binary").groupBy("n").applyInArrow(add, "n long, v binary").toArrow().sort_by("n")
+        return np.stack([np.frombuffer(v, float).reshape(len(nodes[0]), len(nodes[1])) for v in total["v"].to_pylist()])
+
+    def gains(at: np.ndarray, known: np.ndarray, cover: np.ndarray) -> pa.Table:
+        """Of each neighbourhood of the plane the row (x, y) that would add most to the evidence, and the precision that it would have."""
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                px, py = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+                left, right = (np.exp(-((v[:, None] - n) ** 2) / width) for v, n in zip((px, py), nodes, strict=True))
+                near = lambda m, a=left, b=right: ((a @ m) * b).sum(1)
+                q, whole = near(known[0]), near(known[1], left**2, right**2)
+                beside = np.stack([near(m) for m in known[2:]], 1)
+                s = whole - ((beside @ cover) * beside).sum(1)
+                found = np.flatnonzero((s > 1e-9 * whole) & (q * q > s) & ~np.isin(px + 1j * py, at[:, 0] + 1j * at[:, 1]))
+                q, s, px, py = q[found], s[found], px[found], py[found]
+                precision = s * s / (q * q - s)
+                gain = (q * q / s - 1 - np.log(q * q / s)) / 2
+                kept = precision < prune
+                yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (np.floor(px / width**0.5), np.floor(py / width**0.5), gain, px, py, precision)], names=["i", "j", "gain", "x", "y", "precision"])
+
+        rows = data.select("x", "y").mapInArrow(best, "i double, j double, gain double, x double, y double, precision double")
+        return rows.groupBy("i", "j").agg(F.max(F.struct("gain", "x", "y", "precision")).alias("b")).select("b.*").orderBy(F.desc("gain"), "x", "y").toArrow()
+
     likelihood, grad, hess = sums(c, w)
-    for _ in range(rounds):
+    for turn in range(rounds):
         for _ in range(steps):
             slope = grad - alpha * w
             step = _inverse(np.diag(alpha) + hess) @ slope
             now, gain, share = likelihood - alpha @ w**2 / 2, slope @ step, 1.0
             if gain <= 1e-10 * (1 + abs(now)):
                 break
-            while share > 1e-6:
-                moved = w + share * step
-                tried = sums(c, moved)
-                if tried[0] - alpha @ moved**2 / 2 >= now + 1e-4 * share * gain:
+            tried = sums(c, w + step)
+            if tried[0] - alpha @ (w + step) ** 2 / 2 < now + 1e-4 * gain:
+                rise = [v - alpha @ (w + h * step) ** 2 / 2 >= now + 1e-4 * h * gain for h, v in zip(HALVES, along(c, w, step), strict=True)]
+                if not any(rise):
                     break
-                share /= 2
-            else:
-                break
-            w, (likelihood, grad, hess) = moved, tried
-        gamma = 1 - alpha * np.diag(_inverse(np.diag(alpha) + hess))
+                share = HALVES[rise.index(True)]
+                tried = sums(c, w + share * step)
+            w, (likelihood, grad, hess) = w + share * step, tried
+        cover, before = _inverse(np.diag(alpha) + hess), alpha
+        gamma = 1 - alpha * np.diag(cover)
         alpha = np.clip(gamma, 1e-6, None) / np.maximum(w**2, 1e-12)
         keep = alpha < prune
-        if keep.any() and not keep.all():
-            c, w, alpha = c[keep], w[keep], alpha[keep]
+        keep = keep if keep.any() else np.ones(len(c), bool)
+        joined = np.zeros((0, 3))
+        if turn % PRICED == 0 and turn + 1 < rounds:
+            for _, px, py, precision in zip(*(column.to_numpy() for column in gains(c, moments(c, w), cover).columns), strict=True):
+                if (kernel(joined[:, 0], joined[:, 1], np.array([[px, py]])) < 0.5).all():
+                    joined = np.vstack((joined, [px, py, precision]))
+        if turn % PRICED == 0 and keep.all() and not len(joined) and np.abs(np.log(alpha / before)).max() < 1e-3:
+            break
+        if len(joined) or not keep.all():
+            c, w, alpha = np.vstack((c[keep], joined[:, :2])), np.append(w[keep], np.zeros(len(joined))), np.append(alpha[keep], joined[:, 2])
             likelihood, grad, hess = sums(c, w)
     return RelevanceVector(c, w, width)
 
