@@ -2,8 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from perceptra.operators import learn
+from perceptra import catalog
+from perceptra.operators import evaluate, learn
+
+from .oracle import SMALL
 
 
 def test_every_row_may_become_a_relevance_vector(spark):
@@ -35,3 +40,32 @@ def test_the_best_of_all_rows_joins_first(spark):
     known = (x[:, None] == model.centres[:2]).all(2).any(1)
     gain = np.where(~known & (q * q > s), (q * q / s - 1 - np.log(q * q / s)) / 2, -1)
     assert len(model.centres) > 2 and np.array_equal(model.centres[2], x[gain.argmax()])
+
+
+def test_copies_of_many_boxes_are_not_broadcast(spark):
+    rows = spark.range(40_000).selectExpr("id % 50 AS frame", "id AS box_id", "id * 1D AS x1", "0D AS y1", "id + 1D AS x2", "1D AS y2")
+    plan = evaluate.pairs(rows, rows, ["frame"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    few = rows.where("box_id < 500")
+    assert evaluate.pairs(few, few, ["frame"]).count() == 500
+
+
+@pytest.mark.parametrize("places", [4, 10_000])
+def test_overlaps_of_touching_boxes(spark, monkeypatch, places):
+    rng = np.random.default_rng(5)
+    place = np.column_stack([rng.uniform(0, 8, (places, 2)), rng.uniform(0, 4, (places, 2)), rng.uniform(-4, 4, places)])
+    place[0, 2:4] = 0
+    n, at = 400, rng.uniform(0, 5, (400, 2))
+    rows = pd.DataFrame({"frame": rng.integers(0, 3, n), "box_id": range(n), "score": 0.5, "x1": at[:, 0], "y1": at[:, 1], "x2": at[:, 0] + 2, "y2": at[:, 1] + 2})
+    rows[["x", "y", "l", "w", "heading"]] = place[rng.integers(0, places, n)]
+    boxes = spark.createDataFrame(rows).withColumn("frame", F.when(F.col("box_id") > 2, F.col("frame"))).withColumn("x", F.when(F.col("box_id") != 9, F.col("x")))
+    monkeypatch.setattr(evaluate, "AT_ONCE", 1000)
+    key = lambda r: (r.frame, r.d_box_id, r.g_box_id)
+    found = evaluate.touching_overlaps(boxes, boxes, "frame", 6).collect()
+    wanted = evaluate.pairs(boxes, boxes, ["frame"]).withColumn("overlap", F.round(evaluate.ground_overlap("d_", "g_"), 6)).collect()
+    assert {key(r): r.overlap for r in found} == {key(r): r.overlap for r in wanted} and len(found) == len(wanted) > 5000
+
+
+def test_ground_overlaps_join_no_pairs(spark):
+    plan = catalog.QUERIES["ground_overlaps"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
