@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perceptra import catalog
-from perceptra.operators import evaluate, learn
+from perceptra.operators import evaluate, learn, matching
 
 from .oracle import SMALL
 
@@ -69,3 +69,31 @@ def test_overlaps_of_touching_boxes(spark, monkeypatch, places):
 def test_ground_overlaps_join_no_pairs(spark):
     plan = catalog.QUERIES["ground_overlaps"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+@pytest.mark.parametrize("measure", ["image", "ground", "solid"])
+def test_boxes_of_one_place_are_measured_once(monkeypatch, measure, held):
+    rng = np.random.default_rng(6)
+    columns = len(matching.PLACE[measure])
+    boxes = rng.uniform(1, 3, (80, columns))
+    if measure == "image":
+        boxes[:, 2:] += boxes[:, :2]
+    a, b, pairs, measured = boxes[np.append(rng.integers(0, 20, 600), 70)], boxes, [], matching.measured
+    a[5] = np.nan
+    want = list(matching.overlapping(a, b, measure, -1, 0.3))
+    monkeypatch.setattr(matching, "HELD", held)
+    monkeypatch.setattr(matching, "measured", lambda x, *more: pairs.append(len(x)) or measured(x, *more))
+    found = list(matching.met_by_place(a, b, measure, 0.3))
+    assert [x[0] for x in found] == list(range(601)) and sum(len(x[2]) for x in found) > 1000
+    assert all(np.array_equal(r, x[2]) and np.array_equal(share, x[3]) for (_, r, share), x in zip(want, found, strict=True))
+    assert held == 0 or sum(pairs) <= 22 * len(b)
+
+
+def test_first_free_goes_on_to_what_is_left():
+    rng = np.random.default_rng(7)
+    free, order = rng.random((50, 3000)) < 0.01, rng.permutation(3000)[:2000]
+    at = rng.integers(0, 2001, 50)
+    want = [next((k for k in range(i, 2000) if free[row, order[k]]), 2000) for row, i in enumerate(at)]
+    matching.first_free(free, order, at)
+    assert at.tolist() == want
