@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_value, grams_2d, grams_3d, object_frame, polar, wrap_angle
 from .histogram import Histogram
-from .trees import stored
+from .trees import MODEL_ROWS, gathered, stored
 
 LEAST, SUPPORT = 1e-99, 10
 #: Steps of a ray key's angle and distance.
@@ -148,17 +152,85 @@ def transitions(two: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.collect_list(F.struct("prev", "total", "bins")).alias("trans"))
 
 
+def _walked(draws: DataFrame, weights: DataFrame, keys: list[str], chain: list[str]) -> DataFrame:
+    """Rows (keys, chain, step, bin) of sample_chain(): draws has the number _id of its ray key (null: unknown), weights _id, prev, total, upto and bin.
+
+    Only the draws are shuffled and sorted, a few numbers each; a task walks the chains of a batch side by side and keeps the state of the last one for the next batch.
+    """
+    held = weights.orderBy("_id", F.asc_nulls_first("prev"), "bin").toArrow()
+    first_bin = min(pc.min(held["prev"]).as_py() or 0, pc.min(held["bin"]).as_py() or 0)
+    span = max(pc.max(held["prev"]).as_py() or 0, pc.max(held["bin"]).as_py() or 0) - first_bin + 2
+    # slot 0 of a ray key sums over all bins before; -1 stands for no bin
+    code = held["_id"].to_numpy().astype(np.int64) * span + pc.fill_null(pc.add(held["prev"], 1 - first_bin), 0).to_numpy()
+    code, begin = np.unique(code, return_index=True)
+    upto, bins, total = held["upto"].to_numpy(), held["bin"].to_numpy().astype(np.int64) - first_bin, held["total"].to_numpy()
+    end = np.append(begin[1:], len(bins))[: len(begin)]
+
+    def drawn(ray: np.ndarray, at: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The bin that each draw takes after the bin at, -1 if none."""
+        out = np.full(len(ray), -1)
+        if not len(code):
+            return out
+        own, rest = (np.minimum(np.searchsorted(code, ray * span + slot), len(code) - 1) for slot in (at + 1, 0))
+        use = np.where((at >= 0) & (code[own] == ray * span + at + 1), own, rest)
+        known = (ray >= 0) & ((use == own) & (at >= 0) & (code[own] == ray * span + at + 1) | (code[use] == ray * span))
+        low, high = begin[use], np.where(known, end[use], begin[use])
+        for n in range(int((high - low).max(initial=0))):
+            place = np.minimum(low + n, len(bins) - 1)
+            hit = (out < 0) & (low + n < high) & (upto[place] >= u * total[place])
+            out[hit] = bins[place[hit]]
+        return out
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            new = np.zeros(rows.num_rows, bool)
+            for c in [*keys, *chain]:
+                number = pc.fill_null(rows[c].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+                new[1:] |= number[1:] != number[:-1]
+            if last is not None:
+                new, fresh = new[1:], new[1]
+            else:
+                fresh = True
+            new[0] = True
+            first = np.flatnonzero(new)
+            size, at = np.diff(np.append(first, len(new))), np.full(len(first), -1)
+            at[0] = -1 if fresh else state
+            ray, u = pc.fill_null(batch["_id"], -1).to_numpy().astype(np.int64), pc.fill_null(batch["u"], np.nan).to_numpy()
+            out, live = np.full(len(new), -1), np.arange(len(first))
+            for n in range(int(size.max())):
+                live = live[size[live] > n]
+                row = first[live] + n
+                out[row] = pick = drawn(ray[row], at[live], u[row])
+                at[live] = np.where(pick >= 0, pick, at[live])
+            last, state = batch.slice(batch.num_rows - 1), at[-1]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in [*keys, *chain, "step"]), pa.array(out + first_bin, pa.int64(), mask=out < 0)], names=[*keys, *chain, "step", "bin"])
+
+    own = [*keys, *chain]
+    rows = gathered(draws.select(*own, "step", F.col("_id").cast("long").alias("_id"), F.col("u").cast("double").alias("u")), own).sortWithinPartitions(*own, "step")
+    shape = ", ".join(f"`{c}` {draws.schema[c].dataType.simpleString()}" for c in [*own, "step"])
+    return rows.mapInArrow(walk, f"{shape}, bin long").withColumn("bin", F.col("bin").cast(weights.schema["bin"].dataType))
+
+
 def sample_chain(draws: DataFrame, two: DataFrame, keys: list[str], chain: list[str], hist: Histogram, max_keys: int = 50_000) -> DataFrame:
     """Distances drawn one after the other, each given the bin of the one before (M9), as (keys, chain, step, bin, value).
 
-    draws has keys, chain, step, k_phi, k_dist and u in (0, 1]; two is the two-gram model. Each draw's u makes of its ray key's transitions a map from bin to bin: the first bin
+    draws has keys, chain, step, k_phi, k_dist and u in (0, 1]; two is the two-gram model. Up to max_keys ray keys and MODEL_ROWS of their weights, by count, are held by each task and walked (_walked()). With more, each draw's u makes of its ray key's transitions a map from bin to bin: the first bin
     whose running weight reaches u of the total. Such maps are composed along the chain by a fold over its steps, so all is one join with the
     model, one grouping by chain and an array expression. A bin before without weight takes the sums over all bins; a ray key without any
-    weight draws nothing (null) and leaves the chain's bin. Up to max_keys ray keys are broadcast, so that the few keys that all chains share are not hot.
+    weight draws nothing (null) and leaves the chain's bin.
     """
     key = [*keys, "k_phi", "k_dist"]
     model = stored(transitions(two, keys))
-    met = draws.join(F.broadcast(model) if model.count() <= max_keys else model, key, "left")
+    if model.count() <= max_keys:
+        numbered = stored(model.withColumn("_id", F.row_number().over(Window.orderBy(*key)) - 1))
+        weights = numbered.select("_id", F.inline("trans")).select("_id", "prev", "total", F.inline("bins"))
+        if weights.count() <= MODEL_ROWS:
+            return _walked(draws.join(F.broadcast(numbered.select(*key, "_id")), key, "left"), weights, keys, chain).withColumn("value", bin_value("bin", hist.lo, hist.res))
+    met = draws.join(model, key, "left")
     pick = lambda t: F.filter(t["bins"], lambda b: b["upto"] >= F.col("u") * t["total"])[0]["bin"]
     moves = F.transform(F.coalesce("trans", F.array()), lambda t: F.struct(t["prev"].alias("prev"), pick(t).alias("bin")))
     steps = met.groupBy(*keys, *chain).agg(F.sort_array(F.collect_list(F.struct("step", moves.alias("moves")))).alias("steps"))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from perceptra import catalog
-from perceptra.operators import evaluate, learn, matching
+from perceptra.operators import evaluate, learn, matching, raymodel
+from perceptra.operators.histogram import Histogram
 
 from .oracle import SMALL
 
@@ -97,3 +98,22 @@ def test_first_free_goes_on_to_what_is_left():
     want = [next((k for k in range(i, 2000) if free[row, order[k]]), 2000) for row, i in enumerate(at)]
     matching.first_free(free, order, at)
     assert at.tolist() == want
+
+
+def test_chains_are_walked_over_narrow_rows(spark):
+    rng, hist = np.random.default_rng(8), Histogram(-5.0, 5.0, 1.0)
+    two = [("c" if rng.random() < 0.5 else "d", p, d, b, a, float(rng.integers(1, 5))) for p in range(3) for d in range(2) for b in (None, 2, 5, 9) for a in (2, 5, 9) if rng.random() < 0.5]
+    draws = [(c, chain, step, int(rng.integers(0, 4)), int(rng.integers(0, 2)), float(rng.integers(1, 101)) / 100) for c in "cd" for chain in range(40) for step in range(int(rng.integers(1, 30)))]
+    model = spark.createDataFrame(two, "cls string, k_phi int, k_dist int, prev int, bin int, w double")
+    d = spark.createDataFrame(draws, "cls string, chain long, step int, k_phi int, k_dist int, u double").withColumn("chain", F.when(F.col("chain") > 0, F.col("chain")))
+    walked = lambda most: raymodel.sample_chain(d, model, ["cls"], ["chain"], hist, most)
+    want = walked(0)
+    assert walked(50_000).dtypes == want.dtypes
+    assert "moves" not in walked(50_000)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = walked(50_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, found)) == sorted(map(str, want.collect())) and len(found) == len(draws)
+    assert raymodel.sample_chain(d, model.where("false"), ["cls"], ["chain"], hist).where("bin IS NOT NULL").count() == 0
